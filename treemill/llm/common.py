@@ -7,6 +7,7 @@ carriage return.  ``bytes.split()`` cuts at exactly these six bytes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -18,19 +19,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 20
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` stored in the cluster's shared checkpoint folder, its lineage cut.
-
-    ``spark.checkpoint.dir`` names the folder; only where it is unset (tests on one machine)
-    a temporary folder is used.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, named by ``spark.checkpoint.dir``; only where that
+    is unset (tests on one machine) a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, its lineage cut; for narrow rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again; for wide rows."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,20 +1,21 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A 64-bit fingerprint is cut into ``SEGMENTS`` segments; the bit counts of the segments are its
-place in a grid.  One differing bit changes one count by one, so the Manhattan distance of two
-places is a lower bound of the Hamming distance.  For a radius of 2 the range join is an
-equi-join: two places at distance 2 or less share a cell within distance 1 of both, so each
-fingerprint enters its own cell and the cells one step away.  Pairs in a cell are then verified by the
-bits themselves.  Cells with many fingerprints are divided further by whole thirds
-of the bits, of which two fingerprints at distance 2 share one at least, so nothing is lost.
+A fingerprint is cut into segments; the bit counts of the segments are its place in a grid.  One
+differing bit changes one count by one, so the Manhattan distance of two places is a lower
+bound of the Hamming distance.  For a radius of 2 the range join is an equi-join: two places
+at distance 2 or less share a cell within distance 1 of both, so each fingerprint enters its own
+cell and the cells one step away.  Pairs in a cell are then verified by the bits themselves.
 
 Only distinct fingerprints are joined; copies of a text have one fingerprint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treemill.llm.common import documents, per_row, settle, texts, word_chunks
@@ -24,6 +25,10 @@ SEGMENTS, RADIUS, SHINGLE = 16, 2, 3
 SEED = 42
 #: Fingerprints in a cell from which it is divided.
 CROWD = 200
+#: For near copies (see ``near_copies``): bands of 32 bits, differing bits of all 128 at most.
+BANDS, APART = 4, 12
+#: Members of a crowded cell that one task takes, and those that all its parts share.
+PART, SHARED = 20_000, 200
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -37,17 +42,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         hashes = [xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
         left = words[max(0, len(words) - shingle + 1) :]
         n += len(hashes)
-        sums += _bit_sums(hashes)
+        sums += _bit_sums(np.array(hashes, "<u8"), 64)
     if not n:
         if not left:
             return 0
-        n, sums = 1, _bit_sums([xxh64_intdigest(b" ".join(left), SEED)])
+        n, sums = 1, _bit_sums(np.array([xxh64_intdigest(b" ".join(left), SEED)], "<u8"), 64)
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
 
-def _bit_sums(hashes: list[int]) -> np.ndarray:
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-    return bits.sum(axis=0, dtype=np.int64)
+def _bit_sums(hashes: np.ndarray, bits: int) -> np.ndarray:
+    found = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, bits)
+    return found.sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -56,48 +61,55 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return per_row(texts(docs), lambda doc_id, text: (doc_id, signed(fingerprint(text, shingle))), "doc_id long, fingerprint long")
 
 
-def cells(distinct: DataFrame) -> DataFrame:
-    """fingerprint, cell and step (0: its own cell; else which neighbour) for each fingerprint.
+def cells(rows: DataFrame, bits: str, segments: int, width: int) -> DataFrame:
+    """``rows`` once for each cell within one step of the place of column ``bits``.
 
-    A cell is the segments' bit counts as digits of base 6, two longs' worth folded in one
-    decimal-free struct would be wider; 16 counts of 0 to 4 fit one long.
+    ``cell`` holds the segments' bit counts; ``step`` tells the row's own cell (0) from the
+    neighbours (1 and up).
     """
-    width = 64 // SEGMENTS
-    digit = lambda i: F.bit_count(F.shiftrightunsigned("fingerprint", i * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long")
-    place = sum((digit(i) * F.lit(1 << (3 * i)) for i in range(1, SEGMENTS)), digit(0))
-    steps = [F.struct(F.lit(0).alias("step"), F.col("place").alias("cell"))]
-    for i in range(SEGMENTS):
-        count = F.shiftrightunsigned("place", 3 * i).bitwiseAND(F.lit(7))
-        steps.append(F.when(count < width, F.struct(F.lit(2 * i + 1).alias("step"), (F.col("place") + F.lit(1 << (3 * i))).alias("cell"))))
-        steps.append(F.when(count > 0, F.struct(F.lit(2 * i + 2).alias("step"), (F.col("place") - F.lit(1 << (3 * i))).alias("cell"))))
+    size = width.bit_length()
+    digit = lambda i: F.bit_count(F.shiftrightunsigned(bits, i * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long")
+    place = sum((digit(i) * F.lit(1 << (size * i)) for i in range(1, segments)), digit(0))
+    steps = [F.struct(F.lit(0).alias("step"), F.col("_place").alias("cell"))]
+    for i in range(segments):
+        count = F.shiftrightunsigned("_place", size * i).bitwiseAND(F.lit((1 << size) - 1))
+        steps.append(F.when(count < width, F.struct(F.lit(2 * i + 1).alias("step"), (F.col("_place") + F.lit(1 << (size * i))).alias("cell"))))
+        steps.append(F.when(count > 0, F.struct(F.lit(2 * i + 2).alias("step"), (F.col("_place") - F.lit(1 << (size * i))).alias("cell"))))
     near = F.explode(F.filter(F.array(*steps), lambda s: s.isNotNull()))
-    return distinct.select("fingerprint", place.alias("place")).select("fingerprint", near.alias("near")).select("fingerprint", "near.step", "near.cell")
+    placed = rows.withColumn("_place", place).withColumn("_near", near)
+    return placed.select(*rows.columns, "_near.step", "_near.cell")
 
 
-def pairs_in(members: DataFrame, *keys: str) -> DataFrame:
-    """Pairs a < b of fingerprints that share ``keys``, verified bit by bit.
+def pairs_in(members: DataFrame, keys: Iterable[str], apart: Column) -> DataFrame:
+    """Pairs (a, b) of the rows' ``id`` with a < b that share ``keys`` and meet ``apart``, a
+    condition on the sides ``a`` and ``b``.
 
     Two with one place share all their cells; they are paired in their own cell only.
     """
-    a, b = members.alias("a"), members.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    near = F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))) <= RADIUS
     once = (F.col("a.step") != F.col("b.step")) | (F.col("a.step") == 0)
-    on = near & once & (F.col("a.fingerprint") < F.col("b.fingerprint"))
-    for s in same:
-        on = s & on
-    return a.join(b, on).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
+    on = once & (F.col("a.id") < F.col("b.id")) & apart
+    for k in keys:
+        on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on
+    return members.alias("a").join(members.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def differing(*columns: str) -> Column:
+    return sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in columns), F.lit(0))
 
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """All pairs (a, b) of different fingerprints that differ in ``RADIUS`` bits or fewer."""
-    members = settle(cells(distinct))
-    crowds = members.groupBy("cell").count().where(F.col("count") > crowd).select("cell")
-    crowds = settle(crowds)
+    """All pairs (a, b) of different fingerprints that differ in ``RADIUS`` bits or fewer.
+
+    A cell of more than ``crowd`` members is divided by whole thirds of the bits: two
+    fingerprints at distance 2 share one of three thirds, so nothing is lost.
+    """
+    members = settle(cells(distinct.select(F.col("fingerprint").alias("id")), "id", SEGMENTS, 64 // SEGMENTS))
+    crowds = settle(members.groupBy("cell").count().where(F.col("count") > crowd).select("cell"))
     calm = members.join(crowds, "cell", "left_anti")
-    third = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.shiftrightunsigned("fingerprint", at).bitwiseAND(F.lit((1 << size) - 1)).alias("bits")) for n, (at, size) in enumerate([(0, 21), (21, 21), (42, 22)])]))
-    divided = members.join(crowds, "cell", "left_semi").withColumn("third", third).select("fingerprint", "step", "cell", F.col("third.n").alias("n"), F.col("third.bits").alias("bits"))
-    return pairs_in(calm, "cell").unionByName(pairs_in(divided, "cell", "n", "bits")).distinct()
+    thirds = [F.struct(F.lit(n).alias("n"), F.shiftrightunsigned("id", at).bitwiseAND(F.lit((1 << size) - 1)).alias("bits")) for n, (at, size) in enumerate([(0, 21), (21, 21), (42, 22)])]
+    divided = members.join(crowds, "cell", "left_semi").withColumn("third", F.explode(F.array(*thirds))).select("id", "step", "cell", "third.n", "third.bits")
+    near = differing("id") <= RADIUS
+    return pairs_in(calm, ["cell"], near).unionByName(pairs_in(divided, ["cell", "n", "bits"], near)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
@@ -110,16 +122,95 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD)
     prints = settle(fingerprints(docs, shingle))
     classes = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     linked = components(links(classes.select("fingerprint"), crowd)).select(F.col("node").alias("fingerprint"), F.col("component").alias("root"))
-    rooted = classes.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    rooted = settle(rooted)
+    rooted = settle(classes.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with the least doc_id of each component; all columns as they are."""
-    kept = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+def wide_fingerprint(text: str | None) -> tuple[int, int]:
+    """128 bits as two signed longs, over the set of the text's words, A-Z in lower case."""
+    from xxhash import xxh3_128_digest
+
+    seen: set[bytes] = set()
+    for words in word_chunks((text or "").encode().translate(LOWER)):
+        seen.update(words)
+    if not seen:
+        return 0, 0
+    sums = np.zeros(128, np.int64)
+    found = list(seen)
+    for at in range(0, len(found), 1 << 16):
+        hashes = b"".join(xxh3_128_digest(w, SEED) for w in found[at : at + (1 << 16)])
+        sums += _bit_sums(np.frombuffer(hashes, np.uint8), 128)
+    low, high = np.packbits(2 * sums > len(found), bitorder="little").view("<i8")
+    return int(low), int(high)
+
+
+def spanning(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the same members of a crowded cell as all pairs would: a search from
+    each member that is not reached yet, one link for each one reached.
+    """
+    rows = rows.drop_duplicates("id")
+    ids, bits = rows["id"].to_numpy(), rows[["low", "high"]].to_numpy().view(np.uint64)
+    open_ = np.ones(len(ids), bool)
+    a, b = [], []
+    for start in range(len(ids)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        todo = [start]
+        while todo and open_.any():
+            at = todo.pop()
+            rest = np.flatnonzero(open_)
+            near = rest[np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1) <= APART]
+            open_[near] = False
+            todo += near.tolist()
+            a += [ids[at]] * len(near)
+            b += ids[near].tolist()
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id and component_id (the least doc_id) of rows with a near copy; for whole texts that
+    share four fifths or more of their five-word shingles.
+
+    Such texts differ in about one word of fifty, so fingerprints over the *set of words* differ
+    in one bit of fifteen at most on average, while shingles' would differ in one of six.  Each of
+    ``BANDS`` bands of 32 bits goes through the grid with radius 2; a pair is verified by all
+    128 bits, of which ``APART`` may differ.  At the limit of four fifths 98 of 100 pairs meet
+    in a band; nearer ones nearly all do.  In a crowded cell each task links the members
+    it reaches one by one instead of all pairs; cells of over ``PART`` members are dealt in
+    parts that share ``SHARED`` members.  Texts without a word are copies of each other.
+    """
+    prints = settle(per_row(texts(docs), lambda doc_id, text: (doc_id, *wide_fingerprint(text)), "doc_id long, low long, high long"))
+    classes = settle(prints.groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id is not null"))
+    half = lambda c, n: F.shiftrightunsigned(c, 32 * n).bitwiseAND(F.lit((1 << 32) - 1))
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), half(("low", "high")[i // 2], i % 2).alias("bits")) for i in range(BANDS)]))
+    banded = classes.withColumn("_b", bands).select("id", "low", "high", "_b.band", "_b.bits")
+    members = cells(banded, "bits", 16, 2).drop("bits")
+    members = settle(members.withColumn("cell", F.col("cell") * BANDS + F.col("band")).drop("band"))
+    counts = members.groupBy("cell").count()
+    crowds = settle(counts.where(F.col("count") > crowd))
+    found = pairs_in(members.join(crowds, "cell", "left_anti"), ["cell"], differing("low", "high") <= APART)
+    parts = F.ceil(F.col("count") / PART).cast("int")
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    crowded = members.join(crowds, "cell").withColumn("_order", order)
+    shared = (F.col("_order") < SHARED * (1 << 30) / F.col("count")) & (parts > 1)
+    part = F.when(shared, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.col("_order") % parts))
+    dealt = crowded.withColumn("part", F.explode(part)).select("cell", "part", "id", "low", "high")
+    spanned = dealt.groupBy("cell", "part").applyInPandas(spanning, "a long, b long")
+    copies = components(found.unionByName(spanned)).select(F.col("node").alias("id"), "component")
+    rooted = classes.join(copies, "id", "left").where("component is not null or id < last")
+    rooted = rooted.select("low", "high", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(rooted, ["low", "high"]).select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with the least doc_id of each group of near copies; all columns as they are.
+
+    Rows with a null doc_id stay.
+    """
+    gone = near_copies(docs, crowd).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
