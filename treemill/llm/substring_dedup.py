@@ -7,7 +7,7 @@ windows show as a block of one document that equals a rolling stretch of the oth
 1. Anchors.  All rolling stretches of ``BLOCK`` words probe the index of blocks.  Both are hashed in
    each task with numpy and dealt by hash; a stretch is a hit if it occurs twice or more and
    one occurrence is a block.
-2. Extension.  Around the hits the windows of ``WINDOW`` words are hashed (96 bits) and dealt
+2. Extension.  Around the hits the windows of ``WINDOW`` words are hashed (80 bits) and dealt
    again; those that occur twice or more are repeats, and runs of them are the maximal repeats.
 3. The words under a repeat are removed.
 
@@ -33,9 +33,25 @@ WINDOW, BLOCK = 35, 18
 #: Bytes of text that a task hashes at a time; entries that a task looks through at a time.
 CHUNK, BUCKET = 8 << 20, 2_500_000
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Bits of a stretch's hash beyond those that number the blocks; one stretch in 2 ** SPARE is a
+#: hit by chance, which the windows' 80 bits put right.
+SPARE = 13
 ENTRY = "bucket int, n int, keys binary, sizes binary, hashes binary, places binary, hits binary"
 
 
+def closed(text: str | None) -> bytes | None:
+    """A text compressed, for the shuffles."""
+    import zstandard
+
+    return None if text is None else zstandard.ZstdCompressor(level=3).compress(text.encode())
+
+
+def opened(data: bytes | None) -> str | None:
+    import zstandard
+
+    return None if data is None else zstandard.ZstdDecompressor().decompress(data).decode()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -96,7 +112,7 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
         yield held
 
 
-def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int) -> pa.RecordBatch | None:
+def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int, bits: int) -> pa.RecordBatch | None:
     """Rows of ``ENTRY`` from one chunk: ``at`` are places in the chunk (counting words), ``first``
     their hashes; ``second`` more bits of them, or None in the round of the blocks.
 
@@ -117,10 +133,10 @@ def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarr
         block = ((p - own_start[doc[p]]) % BLOCK == 0).astype(np.uint64)
         extra = np.maximum.reduceat(block, start)
     else:
-        extra = second[order][start] >> np.uint64(32)
+        extra = second[order][start] >> np.uint64(48)
     distinct, places = h[start], p[start].astype(np.uint64) + np.uint64(1)
     places[count > 1] = 0
-    bucket = (distinct >> np.uint64(40)) % np.uint64(buckets)
+    bucket = (distinct >> np.uint64(bits - 16)) * np.uint64(buckets) >> np.uint64(16)
     rows: list[list] = [[], [], [], [], [], [], []]
     turn = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[turn], np.arange(buckets + 1))
@@ -129,8 +145,8 @@ def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarr
         mine = turn[edges[b] : edges[b + 1]]
         if not len(mine):
             continue
-        hashes = packed(distinct[mine], 8 if second is not None else 6)
-        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[mine], 4 if second is not None else 1)
+        hashes = packed(distinct[mine], -(-bits // 8))
+        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[mine], 2 if second is not None else 1)
         for column, value in zip(rows, (b, len(mine), *table, hashes, packed(places[mine], 4), b""), strict=True):
             column.append(value)
     if len(repeated):
@@ -165,15 +181,15 @@ def by_document(keys: bytes, sizes: bytes, places: np.ndarray) -> Iterator[tuple
         yield int(key[doc[a]]), packed((places[a:b] - start[doc[a]]).astype(np.uint64), 5)
 
 
-def shared(group: pd.DataFrame, anchors: bool) -> pd.DataFrame:
+def shared(group: pd.DataFrame, anchors: bool, bits: int) -> pd.DataFrame:
     """The places of one bucket's hashes that occur twice or more (``anchors``: one in a block)."""
     out = []
     group = group[group["n"] > 0].reset_index(drop=True)
     hashes, extras, single = [], [], []
     for data, places, n in zip(group["hashes"], group["places"], group["n"], strict=True):
         cut = 4 + int.from_bytes(data[:4], "little")
-        hashes.append(unpacked(data[4:cut], 6 if anchors else 8, n))
-        extras.append(unpacked(data[cut:], 1 if anchors else 4, n))
+        hashes.append(unpacked(data[4:cut], -(-bits // 8), n))
+        extras.append(unpacked(data[cut:], 1 if anchors else 2, n))
         single.append(unpacked(places, 4, n).astype(np.uint32))
     if hashes:
         h, extra, place = np.concatenate(hashes), np.concatenate(extras), np.concatenate(single)
@@ -196,15 +212,18 @@ def shared(group: pd.DataFrame, anchors: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["key", "places"])
 
 
-def dealt(rows: DataFrame, buckets: int, anchors: bool) -> DataFrame:
+def dealt(rows: DataFrame, size: int, anchors: bool) -> DataFrame:
     """key and places of the stretches (``anchors``) or windows of ``rows`` that are shared.
 
-    ``rows`` has key and text; for windows also hits, the places of shared stretches.
+    ``rows`` has key and text; for windows also hits, the places of shared stretches, and the text
+    compressed.  ``size`` is the number of bytes of all texts.
     """
+    buckets = min(max(12, size // 6 // BUCKET + 1), 1 << 16)
+    bits = min(64, (size // 6 // BLOCK + 1).bit_length() + SPARE) if anchors else 64
 
     def send(batches):
         for held in chunks(batches, ("key", "text") if anchors else ("key", "text", "hits")):
-            words = [word_hashes(r[1]) for r in held]
+            words = [word_hashes(r[1] if anchors else opened(r[1])) for r in held]
             sizes = np.array([len(w) for w in words], np.int64)
             joined = np.concatenate(words)
             length = BLOCK if anchors else WINDOW
@@ -220,15 +239,15 @@ def dealt(rows: DataFrame, buckets: int, anchors: bool) -> DataFrame:
             at = np.flatnonzero(fits)
             first = rolling(joined, length, BASES[0])[at] if len(at) else at.astype(np.uint64)
             if anchors:
-                first = first & np.uint64((1 << 48) - 1)
+                first = first >> np.uint64(64 - bits)
             second = None if anchors or not len(at) else rolling(joined, length, BASES[1])[at]
             keys = np.array([r[0] for r in held], np.int64)
-            if (found := entries(keys, sizes, at, first, second, buckets)) is not None:
+            if (found := entries(keys, sizes, at, first, second, buckets, bits)) is not None:
                 yield found
 
     def look(group: pd.DataFrame) -> pd.DataFrame:
         own = [p for k, s, h in zip(group["keys"], group["sizes"], group["hits"], strict=True) if len(h) for p in by_document(k, s, np.frombuffer(h, "<u4"))]
-        return pd.concat([shared(group, anchors), pd.DataFrame(own, columns=["key", "places"])]) if own else shared(group, anchors)
+        return pd.concat([shared(group, anchors, bits), pd.DataFrame(own, columns=["key", "places"])]) if own else shared(group, anchors, bits)
 
     # what a task found by itself has no bucket; it is dealt over as many groups again
     alone = -1 - F.pmod(F.xxhash64("hits"), F.lit(buckets)).cast("int")
@@ -296,22 +315,22 @@ def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     def first(key, doc_id, text, hits):
         if hits:
             return key, doc_id, 0, 0, None, text, hits
-        n, gone, kept = kept_words(text, None)
+        n, gone, kept = kept_words(opened(text), None)
         return key, doc_id, n, gone, out(kept), None, None
 
     def last(doc_id, text, starts):
-        n, gone, kept = kept_words(text, starts)
+        n, gone, kept = kept_words(opened(text), starts)
         return doc_id, n, gone, out(kept)
 
     rows = keyed(docs)
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    buckets = max(12, size // 6 // BUCKET + 1)
-    hits = gathered(dealt(rows.select("key", "text"), buckets, anchors=True))
-    joined = rows.join(hits.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "hits")
+    hits = gathered(dealt(rows.select("key", "text"), size, anchors=True))
+    small = per_row(rows.select("key", "doc_id", "text"), lambda key, doc_id, text: (key, doc_id, closed(text)), "key long, doc_id long, text binary")
+    joined = small.join(hits.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "hits")
     schema = f"doc_id long, n_words long, n_removed long, {name} string"
-    marked = stored(per_row(joined, first, f"key long, {schema}, text string, hits array<binary>"))
+    marked = stored(per_row(joined, first, f"key long, {schema}, text binary, hits array<binary>"))
     found = marked.where("hits is not null").select("key", "doc_id", "text", "hits")
-    starts = gathered(dealt(found.select("key", "text", "hits"), buckets, anchors=False)).withColumnRenamed("hits", "starts")
+    starts = gathered(dealt(found.select("key", "text", "hits"), size, anchors=False)).withColumnRenamed("hits", "starts")
     cut = per_row(found.join(starts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "starts"), last, schema)
     return marked.where("hits is null").select("doc_id", "n_words", "n_removed", name).unionByName(cut)
 
