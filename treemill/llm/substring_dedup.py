@@ -178,7 +178,7 @@ def by_document(keys: bytes, sizes: bytes, places: np.ndarray) -> Iterator[tuple
     doc = np.searchsorted(start, places, "right") - 1
     edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     for a, b in zip(edge, np.r_[edge[1:], len(doc)], strict=True):
-        yield int(key[doc[a]]), packed((places[a:b] - start[doc[a]]).astype(np.uint64), 5)
+        yield int(key[doc[a]]), listed(places[a:b] - start[doc[a]])
 
 
 def shared(group: pd.DataFrame, anchors: bool, bits: int) -> pd.DataFrame:
@@ -218,7 +218,7 @@ def dealt(rows: DataFrame, size: int, anchors: bool) -> DataFrame:
     ``rows`` has key and text; for windows also hits, the places of shared stretches, and the text
     compressed.  ``size`` is the number of bytes of all texts.
     """
-    buckets = min(max(12, size // 6 // BUCKET + 1), 1 << 16)
+    buckets = min(max(64, size // 6 // BUCKET + 1), 1 << 16)
     bits = min(64, (size // 6 // BLOCK + 1).bit_length() + SPARE) if anchors else 64
 
     def send(batches):
@@ -260,13 +260,15 @@ def gathered(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.collect_list("places").alias("hits"))
 
 
-def places(parts: list[bytes] | None) -> np.ndarray:
-    import zstandard
+def listed(at: np.ndarray) -> bytes:
+    """Rising places as steps of two bytes each, or eight if one is wider; the first byte tells."""
+    steps = np.diff(at, prepend=0)
+    return b"\2" + steps.astype("<u2").tobytes() if steps.max() < 1 << 16 else b"\x08" + steps.astype("<i8").tobytes()
 
-    if not parts:
-        return np.zeros(0, np.int64)
-    sizes = [len(zstandard.ZstdDecompressor().decompress(p)) // 5 for p in parts]
-    return np.concatenate([unpacked(p, 5, n).astype(np.int64) for p, n in zip(parts, sizes, strict=True)])
+
+def places(parts: list[bytes] | None) -> np.ndarray:
+    lists = [np.cumsum(np.frombuffer(p, "<u2" if p[0] == 2 else "<i8", offset=1), dtype=np.int64) for p in parts or []]
+    return np.concatenate(lists) if lists else np.zeros(0, np.int64)
 
 
 def spread(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
