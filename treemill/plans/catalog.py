@@ -1,5 +1,521 @@
 """All queries by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from treemill.functions import text as fn
+from treemill.operators import align, evaluate, match, rewrite, rules, spans, stats, tree
+from treemill.operators.match import Triplet
+from treemill.plans.base_sql import sql
+from treemill.sources import other
+from treemill.sources.adapter import Treebank
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "match_adjacent"
+
+NOUN = F.col("pos").isin("NOM", "NAM")
+VERB = F.col("pos") == "VER"
+
+
+def query(name: str, oracle: str | None = None, plain: bool = False):
+    """Registers a function of a ``Treebank`` (``plain``: of the session and folder)."""
+
+    def add(f):
+        QUERIES[name] = f if plain else lambda spark, sf_dir: f(Treebank(spark, sf_dir))
+        if oracle:
+            ORACLE_SQL[name] = oracle if plain else sql(oracle)
+        return f
+
+    return add
+
+
+def linked(tb: Treebank) -> DataFrame:
+    return match.linked(tb.tokens, tb.gold)
+
+
+# scans and projections
+
+
+@query("tokens_scan", "SELECT pos, count(*) AS n, CAST(sum(length(form)) AS BIGINT) AS chars, CAST(sum(idx) AS BIGINT) AS places FROM tok GROUP BY pos")
+def tokens_scan(tb):
+    return tb.tokens.groupBy("pos").agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("chars"), F.sum("idx").alias("places"))
+
+
+@query("sentence_lengths", "SELECT n AS words, count(*) AS sentences FROM (SELECT sent_id, count(*) AS n FROM tok GROUP BY sent_id) GROUP BY n")
+def sentence_lengths(tb):
+    return tb.tokens.groupBy("sent_id").agg(F.count("*").alias("words")).groupBy("words").agg(F.count("*").alias("sentences"))
+
+
+@query("short_sentences", "SELECT t.* FROM tok t JOIN (SELECT sent_id FROM tok GROUP BY sent_id HAVING count(*) <= 10) USING (sent_id)")
+def short_sentences(tb):
+    short = tb.tokens.groupBy("sent_id").count().where("count <= 10").select("sent_id")
+    return tb.tokens.join(short, "sent_id", "left_semi")
+
+
+# search
+
+
+@query(FLAGSHIP, "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, a.head AS head0, b.head AS head1, a.label AS rel0, b.label AS rel1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.idx + 1 WHERE regexp_full_match(a.pos, 'N.M') AND b.pos = 'VER'")
+def match_adjacent(tb):
+    found = match.search(linked(tb), [Triplet("pos rlike '^(?:N.M)$'"), Triplet("pos = 'VER'")], "dep1 = dep0 + 1")
+    return found.select("sent_id", "dep0", "dep1", "head0", "head1", "rel0", "rel1")
+
+
+@query("match_all_pairs", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx <> b.idx WHERE a.pos = 'ADV' AND b.pos = 'VER'")
+def match_all_pairs(tb):
+    return match.search(linked(tb), [Triplet("pos = 'ADV'"), Triplet("pos = 'VER'")]).select("sent_id", "dep0", "dep1")
+
+
+@query("match_first", "SELECT a.sent_id, a.idx AS dep0, min(b.idx) AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx > a.idx WHERE a.pos = 'ADV' AND b.pos = 'VER' GROUP BY ALL")
+def match_first(tb):
+    return match.search(linked(tb), [Triplet("pos = 'ADV'"), Triplet("pos = 'VER'")], "dep1 > dep0", mode="first").select("sent_id", "dep0", "dep1")
+
+
+@query("match_closest", "SELECT sent_id, dep0, dep1 FROM (SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, row_number() OVER (PARTITION BY a.sent_id, a.idx ORDER BY abs(b.idx - a.idx), b.idx) AS n FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx <> b.idx WHERE a.pos = 'DET' AND b.pos = 'NAM') WHERE n = 1")
+def match_closest(tb):
+    return match.search(linked(tb), [Triplet("pos = 'DET'"), Triplet("pos = 'NAM'")], closest=("dep1", "dep0")).select("sent_id", "dep0", "dep1")
+
+
+@query("match_label_set", "SELECT sent_id, idx AS dep0, head AS head0, label AS rel0 FROM lnk WHERE label IN ('SUJ', 'OBJ') AND (head < 0 OR head_pos = 'VER')")
+def match_label_set(tb):
+    return match.search(linked(tb), [Triplet(head="head_pos = 'VER'", labels=("SUJ", "OBJ"))]).select("sent_id", "dep0", "head0", "rel0")
+
+
+@query("match_other_labels", "SELECT label AS rel0, count(*) AS n FROM lnk WHERE label NOT IN ('SUJ', 'OBJ', 'ROOT') GROUP BY label")
+def match_other_labels(tb):
+    return match.search(linked(tb), [Triplet(labels=("SUJ", "OBJ", "ROOT"), others=True)]).groupBy("rel0").agg(F.count("*").alias("n"))
+
+
+@query("match_head_test_passes_roots", "SELECT pos, label, count(*) AS n FROM lnk WHERE head < 0 OR head_pos = 'NAM' GROUP BY pos, label")
+def match_head_test(tb):
+    return match.search(linked(tb), [Triplet(head="head_pos = 'NAM'")]).groupBy(F.col("pos0").alias("pos"), F.col("rel0").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("match_form_cases", "SELECT 'lower' AS kind, count(*) AS n FROM tok WHERE lower(form) IN ('the', 'de') UNION ALL SELECT 'exact', count(*) FROM tok WHERE form IN ('the', 'de') UNION ALL SELECT 'either', count(*) FROM tok WHERE lower(form) = 'the' OR pos = 'NUM'")
+def match_form_cases(tb):
+    n = lambda kind, test: tb.tokens.where(test).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return n("lower", "lower(form) in ('the', 'de')").unionByName(n("exact", "form in ('the', 'de')")).unionByName(n("either", "lower(form) = 'the' or pos = 'NUM'"))
+
+
+@query("match_same_lemma", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx < b.idx AND a.lemma = b.lemma WHERE a.pos = 'NOM' AND b.pos = 'NOM'")
+def match_same_lemma(tb):
+    return match.search(linked(tb), [Triplet("pos = 'NOM'"), Triplet("pos = 'NOM'")], "dep0 < dep1 and lemma0 = lemma1").select("sent_id", "dep0", "dep1")
+
+
+@query("match_three", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, c.idx AS dep2 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.head JOIN lnk c ON c.sent_id = a.sent_id AND c.head = b.idx AND c.idx > b.idx WHERE a.label = 'SUJ' AND c.label = 'OBJ'")
+def match_three(tb):
+    found = match.search(linked(tb), [Triplet(labels=("SUJ",)), Triplet(), Triplet(labels=("OBJ",))], "dep1 = head0 and head2 = dep1 and dep2 > dep1")
+    return found.select("sent_id", "dep0", "dep1", "dep2")
+
+
+@query("match_equal_relations", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, a.label AS rel0 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.head = a.idx AND a.label = b.label WHERE a.pos <> 'PUN'")
+def match_equal_relations(tb):
+    return match.search(linked(tb), [Triplet("pos <> 'PUN'"), Triplet()], "head1 = dep0 and rel0 = rel1").select("sent_id", "dep0", "dep1", "rel0")
+
+
+PAIRS = "a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx < b.idx AND b.idx <= a.idx + 8 WHERE a.pos = 'NAM' AND b.pos = 'VER'"
+
+
+def _pairs(tb):
+    words = linked(tb)
+    return words, match.search(words, [Triplet("pos = 'NAM'"), Triplet("pos = 'VER'")], "dep0 < dep1 and dep1 <= dep0 + 8")
+
+
+@query("match_nop_between", f"SELECT {PAIRS} AND NOT EXISTS (SELECT 1 FROM tok t WHERE t.sent_id = a.sent_id AND t.idx > a.idx AND t.idx < b.idx AND t.pos = 'PUN')")
+def match_nop(tb):
+    words, pairs = _pairs(tb)
+    return match.between(pairs, words, "dep0", "dep1", F.col("pos") == "PUN", present=False).select("sent_id", "dep0", "dep1")
+
+
+@query("match_onlyp_between", f"SELECT {PAIRS} AND NOT EXISTS (SELECT 1 FROM tok t WHERE t.sent_id = a.sent_id AND t.idx > a.idx AND t.idx < b.idx AND t.pos NOT IN ('DET', 'PRP'))")
+def match_onlyp(tb):
+    words, pairs = _pairs(tb)
+    return match.between(pairs, words, "dep0", "dep1", ~F.col("pos").isin("DET", "PRP"), present=False).select("sent_id", "dep0", "dep1")
+
+
+@query("match_projecting", f"SELECT {PAIRS} AND NOT EXISTS (SELECT 1 FROM lnk t WHERE t.sent_id = a.sent_id AND t.idx > a.idx AND t.idx < b.idx AND (t.head < a.idx OR t.head > b.idx))")
+def match_proj(tb):
+    words, pairs = _pairs(tb)
+    return match.projecting(pairs, words, "dep0", "dep1").select("sent_id", "dep0", "dep1")
+
+
+@query("match_has_ancestor", "SELECT DISTINCT u.sent_id, u.idx AS dep0, u.anc AS dep1 FROM up u JOIN tok t ON t.sent_id = u.sent_id AND t.idx = u.idx WHERE t.pos = 'DET' AND u.anc > u.idx")
+def match_has_ancestor(tb):
+    up = tree.ancestors(tb.tokens, tb.gold).select("sent_id", "idx", F.explode(F.array_distinct("chain")).alias("dep1"))
+    return tb.tokens.where("pos = 'DET'").join(up, ["sent_id", "idx"]).where("dep1 > idx").select("sent_id", F.col("idx").alias("dep0"), "dep1")
+
+
+@query("match_children_count", "SELECT t.pos, coalesce(c.n, 0) AS children, count(*) AS words FROM tok t LEFT JOIN (SELECT sent_id, head, count(*) AS n FROM gold GROUP BY ALL) c ON c.sent_id = t.sent_id AND c.head = t.idx GROUP BY ALL")
+def match_children(tb):
+    counted = tb.tokens.join(match.child_counts(tb.gold), ["sent_id", "idx"], "left")
+    return counted.groupBy("pos", F.coalesce("children", F.lit(0)).alias("children")).agg(F.count("*").alias("words"))
+
+
+@query("match_in_group", "SELECT m.sent_id, m.idx FROM lnk m WHERE m.label = 'SUJ' AND EXISTS (SELECT 1 FROM grp g WHERE g.sent_id = m.sent_id AND g.name = 'NOM' AND m.idx BETWEEN g.first_idx AND g.last_idx AND g.last_idx > g.first_idx)")
+def match_in_group(tb):
+    words = linked(tb).where("label = 'SUJ'")
+    return match.in_group(words, tb.groups.where("last_idx > first_idx"), "idx", "NOM").select("sent_id", "idx")
+
+
+@query("match_outside_group", "SELECT m.label, count(*) AS n FROM lnk m WHERE NOT EXISTS (SELECT 1 FROM grp g WHERE g.sent_id = m.sent_id AND g.name = 'NOM' AND m.idx BETWEEN g.first_idx AND g.last_idx) GROUP BY m.label")
+def match_outside_group(tb):
+    return match.in_group(linked(tb), tb.groups, "idx", "NOM", inside=False).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("match_group_start", "SELECT t.sent_id, t.idx, t.form FROM tok t JOIN grp g ON g.sent_id = t.sent_id AND g.first_idx = t.idx AND g.name = 'NAM'")
+def match_group_start(tb):
+    return match.group_starts(tb.tokens, tb.groups, "NAM").select("sent_id", "idx", "form")
+
+
+@query("quick_search", "SELECT sent_id, idx FROM lnk WHERE label = 'ADV' OR form = 'the'")
+def quick_search(tb):
+    return linked(tb).where("label = 'ADV' or form = 'the'").select("sent_id", "idx")
+
+
+@query("sequence_search", "SELECT sent_id, idx FROM (SELECT sent_id, idx, form, pos, lead(pos) OVER w AS p1, lead(form) OVER w AS f1, lead(pos, 2) OVER w AS p2, lead(form, 2) OVER w AS f2 FROM tok WINDOW w AS (PARTITION BY sent_id ORDER BY idx)) WHERE 'DET' IN (form, pos) AND 'ADJ' IN (f1, p1) AND 'NOM' IN (f2, p2)")
+def sequence_search(tb):
+    return match.sequence(tb.tokens, ["DET", "ADJ", "NOM"])
+
+
+@query("repeated_error", "SELECT w.sent_id, w.idx, w.head, w.label FROM lnk w WHERE w.head >= 0 AND EXISTS (SELECT 1 FROM lnk e WHERE e.sent_id % 7000000 = 0 AND e.head >= 0 AND e.form = w.form AND e.head_form = w.head_form AND e.head - e.idx = w.head - w.idx AND e.label = w.label)")
+def repeated_error(tb):
+    words = linked(tb)
+    return match.same_errors(words, words.where("sent_id % 7000000 = 0"))
+
+
+@query("multihead", "SELECT sent_id, gov, count(*) AS arcs FROM (SELECT * FROM gold UNION SELECT * FROM sys) GROUP BY sent_id, gov HAVING count(*) > 1")
+def multihead(tb):
+    return match.several_heads(tb.gold.unionByName(tb.system).distinct())
+
+
+# rewriting
+
+
+@query("rewrite_delete_arcs", "SELECT label, count(*) AS n FROM gold g WHERE NOT EXISTS (SELECT 1 FROM lnk m WHERE m.sent_id = g.sent_id AND m.idx = g.gov AND m.pos = 'DET') GROUP BY label")
+def rewrite_delete_arcs(tb):
+    found = match.search(linked(tb), [Triplet("pos = 'DET'")])
+    return rewrite.delete_arcs_of(tb.gold, found, "dep0").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("rewrite_delete_labels", "SELECT label, count(*) AS n FROM gold g WHERE NOT (label = 'MOD' AND EXISTS (SELECT 1 FROM tok t WHERE t.sent_id = g.sent_id AND t.pos = 'NUM')) GROUP BY label")
+def rewrite_delete_labels(tb):
+    found = match.search(linked(tb), [Triplet("pos = 'NUM'")])
+    return rewrite.delete_labels(tb.gold, found, "MOD").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("rewrite_add_arcs", "SELECT label, count(*) AS n FROM (SELECT sent_id, gov, head, label FROM gold UNION SELECT a.sent_id, a.idx, b.idx, 'NEXT' FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.idx + 1 WHERE a.pos = 'ADV' AND b.pos = 'VER') GROUP BY label")
+def rewrite_add_arcs(tb):
+    found = match.search(linked(tb), [Triplet("pos = 'ADV'"), Triplet("pos = 'VER'")], "dep1 = dep0 + 1")
+    return rewrite.add_arcs(tb.gold, found, "dep0", "dep1", "NEXT").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("rewrite_dry_run", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.idx + 1 WHERE a.pos = 'DET' AND b.pos = 'ADJ' AND a.head <> b.idx")
+def rewrite_dry_run(tb):
+    found = match.search(linked(tb), [Triplet("pos = 'DET'"), Triplet("pos = 'ADJ'")], "dep1 = dep0 + 1")
+    return rewrite.would_add(tb.gold, found, "dep0", "dep1").select("sent_id", "dep0", "dep1")
+
+
+@query("rewrite_groups", "SELECT name, count(*) AS n FROM (SELECT sent_id, name, first_idx, last_idx FROM grp WHERE name <> 'PUN' UNION SELECT sent_id, 'SV', least(idx, head), greatest(idx, head) FROM lnk WHERE label = 'SUJ') GROUP BY name")
+def rewrite_groups(tb):
+    words = linked(tb)
+    kept = rewrite.delete_groups(tb.groups, match.search(words, [Triplet("pos = 'PUN'")]), "dep0")
+    kept = kept.where("name <> 'PUN'")
+    return rewrite.add_groups(kept, match.search(words, [Triplet(labels=("SUJ",))]), "dep0", "head0", "SV").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("delete_punctuation", "SELECT label, count(*) AS n, CAST(sum(head) AS BIGINT) AS heads FROM (SELECT g.label, hn.n AS head FROM gold g JOIN (SELECT sent_id, idx, row_number() OVER (PARTITION BY sent_id ORDER BY idx) - 1 AS n FROM tok WHERE pos <> 'PUN') gn ON gn.sent_id = g.sent_id AND gn.idx = g.gov JOIN (SELECT sent_id, idx, row_number() OVER (PARTITION BY sent_id ORDER BY idx) - 1 AS n FROM tok WHERE pos <> 'PUN') hn ON hn.sent_id = g.sent_id AND hn.idx = g.head) GROUP BY label")
+def delete_punctuation(tb):
+    _, deps = rewrite.delete_words(tb.tokens, tb.gold, tb.tokens.where("pos = 'PUN'"))
+    return deps.groupBy("label").agg(F.count("*").alias("n"), F.sum("head").alias("heads"))
+
+
+# trees
+
+
+@query("tree_roots", "SELECT t.pos, count(*) AS n FROM tok t WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.sent_id = t.sent_id AND g.gov = t.idx) GROUP BY t.pos")
+def tree_roots(tb):
+    return tree.roots(tb.tokens, tb.gold).join(tb.tokens, ["sent_id", "idx"]).groupBy("pos").agg(F.count("*").alias("n"))
+
+
+@query("tree_depths", "SELECT d AS depth, count(*) AS n FROM (SELECT t.sent_id, t.idx, coalesce(max(u.d), 0) AS d FROM tok t LEFT JOIN up u ON u.sent_id = t.sent_id AND u.idx = t.idx GROUP BY t.sent_id, t.idx) GROUP BY d")
+def tree_depths(tb):
+    return tree.depths(tb.tokens, tb.gold).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query("tree_root_of", "SELECT t.sent_id, t.idx, CASE WHEN m.d IS NULL THEN t.idx WHEN m.d < 50 THEN u.anc END AS root FROM tok t LEFT JOIN (SELECT sent_id, idx, max(d) AS d FROM up GROUP BY ALL) m ON m.sent_id = t.sent_id AND m.idx = t.idx LEFT JOIN up u ON u.sent_id = m.sent_id AND u.idx = m.idx AND u.d = m.d")
+def tree_root_of(tb):
+    return tree.root_of(tb.tokens, tb.gold)
+
+
+@query("tree_cycles", "SELECT DISTINCT sent_id, idx FROM up WHERE anc = idx")
+def tree_cycles(tb):
+    return tree.cyclic(tb.tokens, tb.gold)
+
+
+@query("tree_yields", "SELECT sent_id, idx, min(w) AS leftmost, max(w) AS rightmost, count(*) AS size FROM (SELECT sent_id, anc AS idx, idx AS w FROM up UNION SELECT sent_id, idx, idx FROM tok) GROUP BY sent_id, idx")
+def tree_yields(tb):
+    return tree.yields(tb.tokens, tb.gold)
+
+
+@query("tree_crossings", "SELECT a.sent_id, a.gov AS gov_a, b.gov AS gov_b FROM sys a JOIN sys b ON a.sent_id = b.sent_id AND a.gov < b.gov WHERE (least(a.gov, a.head) < least(b.gov, b.head) AND least(b.gov, b.head) < greatest(a.gov, a.head) AND greatest(a.gov, a.head) < greatest(b.gov, b.head)) OR (least(b.gov, b.head) < least(a.gov, a.head) AND least(a.gov, a.head) < greatest(b.gov, b.head) AND greatest(b.gov, b.head) < greatest(a.gov, a.head))")
+def tree_crossings(tb):
+    return tree.crossings(tb.system)
+
+
+@query("tree_unprojective", "SELECT g.sent_id, g.gov, count(*) AS breaks FROM sys g JOIN (SELECT t.sent_id, t.idx, coalesce(s.head, -1) AS head FROM tok t LEFT JOIN sys s ON s.sent_id = t.sent_id AND s.gov = t.idx) w ON w.sent_id = g.sent_id AND w.idx > least(g.gov, g.head) AND w.idx < greatest(g.gov, g.head) AND (w.head < least(g.gov, g.head) OR w.head > greatest(g.gov, g.head)) GROUP BY g.sent_id, g.gov")
+def tree_unprojective(tb):
+    return tree.unprojective(tb.tokens, tb.system)
+
+
+@query("tree_shapes", "SELECT t.pos, coalesce(c.children, '') AS children, count(*) AS n FROM tok t LEFT JOIN (SELECT sent_id, head, string_agg(label, ' ' ORDER BY label) AS children FROM gold GROUP BY ALL) c ON c.sent_id = t.sent_id AND c.head = t.idx GROUP BY ALL")
+def tree_shapes(tb):
+    return tree.shapes(tb.tokens, tb.gold)
+
+
+@query("sub_sentence", "SELECT sent_id, gov - 2 AS gov, head - 2 AS head, label FROM gold WHERE gov BETWEEN 2 AND 9 AND head BETWEEN 2 AND 9")
+def sub_sentence(tb):
+    return tree.sub_sentence(tb.tokens, tb.gold, 2, 9)[1]
+
+
+@query("topology_penalties", "SELECT w.sent_id, w.words, coalesce(r.roots, 0) AS roots, CAST(coalesce(l.length, 0) AS BIGINT) AS length, coalesce(f.fan, 0) AS fan, CAST(1000 * greatest(coalesce(r.roots, 0) - 1, 0) + 10 * greatest(coalesce(f.fan, 0) - 4, 0) + coalesce(l.length, 0) AS BIGINT) AS penalty FROM (SELECT sent_id, count(*) AS words FROM tok GROUP BY ALL) w LEFT JOIN (SELECT sent_id, count(*) AS roots FROM lnk WHERE head < 0 GROUP BY ALL) r USING (sent_id) LEFT JOIN (SELECT sent_id, sum(abs(gov - head)) AS length FROM gold GROUP BY ALL) l USING (sent_id) LEFT JOIN (SELECT sent_id, max(n) AS fan FROM (SELECT sent_id, head, count(*) AS n FROM gold GROUP BY ALL) GROUP BY ALL) f USING (sent_id)")
+def topology_penalties(tb):
+    return tree.penalties(tb.tokens, tb.gold)
+
+
+# statistics and evaluation
+
+
+@query("pos_label_count", "SELECT t.pos, g.label, count(*) AS n FROM gold g JOIN tok t ON t.sent_id = g.sent_id AND t.idx = g.gov GROUP BY ALL")
+def pos_label_count(tb):
+    return stats.by_pos_label(tb.tokens, tb.gold)
+
+
+@query("label_headpos_count", "SELECT g.label, t.pos AS head_pos, count(*) AS n FROM gold g JOIN tok t ON t.sent_id = g.sent_id AND t.idx = g.head GROUP BY ALL")
+def label_headpos_count(tb):
+    return stats.by_label_head_pos(tb.tokens, tb.gold)
+
+
+@query("roots_histogram", "SELECT roots, count(*) AS sentences FROM (SELECT sent_id, count(*) FILTER (WHERE head < 0) AS roots FROM lnk GROUP BY sent_id) GROUP BY roots")
+def roots_histogram(tb):
+    return stats.roots_histogram(tb.tokens, tb.gold)
+
+
+@query("vocabulary", "SELECT 'form' AS kind, lower(form) AS item, count(*) AS n FROM tok GROUP BY lower(form) HAVING count(*) >= 5 UNION ALL SELECT 'pos', pos, count(*) FROM tok GROUP BY pos")
+def vocabulary(tb):
+    return stats.vocabulary(tb.tokens)
+
+
+@query("dirichlet_scores", "SELECT pos, label, n, round(ln(0.001 + n) - ln(sum(n) OVER (PARTITION BY pos) + s * 0.001), 9) AS log_posterior FROM (SELECT t.pos, g.label, count(*) AS n FROM gold g JOIN tok t ON t.sent_id = g.sent_id AND t.idx = g.gov GROUP BY ALL), (SELECT count(DISTINCT label) AS s FROM gold)")
+def dirichlet_scores(tb):
+    found = stats.dirichlet(stats.by_pos_label(tb.tokens, tb.gold), "pos", "label")
+    return found.withColumn("log_posterior", F.round("log_posterior", 9))
+
+
+@query("label_entropy", "SELECT round(sum(-p * ln(p)), 9) AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM gold GROUP BY label)")
+def label_entropy(tb):
+    return stats.entropy(tb.gold.groupBy("label").agg(F.count("*").alias("n"))).select(F.round("entropy", 9).alias("entropy"))
+
+
+@query("label_bigrams", "SELECT label, next_label, count(*) AS n FROM (SELECT label, lead(label) OVER (PARTITION BY sent_id, head ORDER BY gov) AS next_label FROM gold) WHERE next_label IS NOT NULL GROUP BY ALL")
+def label_bigrams(tb):
+    return stats.label_bigrams(tb.gold)
+
+
+@query("lexical_preferences", "SELECT h.lemma AS head_lemma, g.label, d.lemma AS dep_lemma, count(*) AS n FROM gold g JOIN tok d ON d.sent_id = g.sent_id AND d.idx = g.gov JOIN tok h ON h.sent_id = g.sent_id AND h.idx = g.head GROUP BY ALL HAVING count(*) >= 2")
+def lexical_preferences(tb):
+    return stats.preferences(tb.tokens, tb.gold)
+
+
+SIDES = "(SELECT t.sent_id, t.idx, t.form, t.pos, coalesce(g.head, -1) AS gh, coalesce(g.label, 'ROOT') AS gl, coalesce(s.head, -1) AS sh, coalesce(s.label, 'ROOT') AS sl FROM tok t LEFT JOIN gold g ON g.sent_id = t.sent_id AND g.gov = t.idx LEFT JOIN sys s ON s.sent_id = t.sent_id AND s.gov = t.idx)"
+SHARES = "count(*) AS words, round(avg(CAST(gh = sh AS DOUBLE)), 9) AS uas, round(avg(CAST(gh = sh AND gl = sl AS DOUBLE)), 9) AS las, round(avg(CAST(gl = sl AS DOUBLE)), 9) AS label_accuracy"
+
+
+def _sides(tb):
+    return evaluate.side_by_side(tb.tokens, tb.gold, tb.system)
+
+
+@query("las_uas", f"SELECT {SHARES} FROM {SIDES}")
+def las_uas(tb):
+    return evaluate.attachment(_sides(tb))
+
+
+@query("las_nopunct", rf"SELECT {SHARES} FROM {SIDES} WHERE NOT regexp_matches(form, '^\p{{P}}+$')")
+def las_nopunct(tb):
+    return evaluate.attachment(_sides(tb).where(~fn.is_punctuation(F.col("form"))))
+
+
+@query("las_by_pos", f"SELECT pos, {SHARES} FROM {SIDES} GROUP BY pos")
+def las_by_pos(tb):
+    return evaluate.attachment(_sides(tb), "pos")
+
+
+@query("las_by_label", f"SELECT gl AS gold_label, {SHARES} FROM {SIDES} GROUP BY gl")
+def las_by_label(tb):
+    return evaluate.attachment(_sides(tb), "gold_label")
+
+
+@query("las_by_direction", f"SELECT CASE WHEN gh < 0 THEN 'to_root' WHEN gh < idx THEN 'left' WHEN gh > idx THEN 'right' ELSE 'self' END AS direction, {SHARES} FROM {SIDES} GROUP BY 1")
+def las_by_direction(tb):
+    return evaluate.attachment(_sides(tb), evaluate.direction("gold_head").alias("direction"))
+
+
+@query("las_by_distance", f"SELECT CASE WHEN gh < 0 THEN 'to_root' WHEN abs(gh - idx) <= 1 THEN '1' WHEN abs(gh - idx) = 2 THEN '2' WHEN abs(gh - idx) <= 6 THEN '3-6' ELSE '7-' END AS distance, {SHARES} FROM {SIDES} GROUP BY 1")
+def las_by_distance(tb):
+    return evaluate.attachment(_sides(tb), evaluate.distance("gold_head").alias("distance"))
+
+
+@query("label_prf", "SELECT label, in_gold, in_sys, \"right\", round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / nullif(p + r, 0), 9) AS f1, round(1.96 * sqrt(p * (1 - p) / in_sys), 9) AS precision_half, round(1.96 * sqrt(r * (1 - r) / in_gold), 9) AS recall_half FROM (SELECT *, \"right\" / nullif(in_sys, 0) AS p, \"right\" / nullif(in_gold, 0) AS r FROM (SELECT coalesce(g.label, s.label) AS label, coalesce(g.n, 0) AS in_gold, coalesce(s.n, 0) AS in_sys, coalesce(b.n, 0) AS \"right\" FROM (SELECT label, count(*) AS n FROM gold GROUP BY label) g FULL JOIN (SELECT label, count(*) AS n FROM sys GROUP BY label) s ON g.label = s.label LEFT JOIN (SELECT label, count(*) AS n FROM (SELECT * FROM gold INTERSECT SELECT * FROM sys) GROUP BY label) b ON b.label = coalesce(g.label, s.label)))")
+def label_prf(tb):
+    return evaluate.by_label(tb.gold, tb.system)
+
+
+@query("graph_diff", "SELECT CAST(count(*) FILTER (WHERE g.label IS NOT NULL AND s.label IS NOT NULL) AS BIGINT) AS common, count(*) FILTER (WHERE s.label IS NULL) AS only_a, count(*) FILTER (WHERE g.label IS NULL) AS only_b, count(*) FILTER (WHERE g.label <> s.label) AS relabelled FROM gold g FULL JOIN sys s ON g.sent_id = s.sent_id AND g.gov = s.gov AND g.head = s.head")
+def graph_diff(tb):
+    return evaluate.difference(tb.gold, tb.system)
+
+
+@query("induced_roles", "SELECT n.verb, n.n, round(p.x / n.n, 9) AS purity, round(c.x / n.n, 9) AS collocation, round(2 * (p.x / n.n) * (c.x / n.n) / (p.x / n.n + c.x / n.n), 9) AS f1 FROM (SELECT h.lemma AS verb, count(*) AS n FROM gold g JOIN sys s ON g.sent_id = s.sent_id AND g.gov = s.gov JOIN tok h ON h.sent_id = g.sent_id AND h.idx = g.head GROUP BY ALL) n JOIN (SELECT verb, CAST(sum(m) AS BIGINT) AS x FROM (SELECT verb, found, max(k) AS m FROM (SELECT h.lemma AS verb, s.label AS found, g.label AS gold, count(*) AS k FROM gold g JOIN sys s ON g.sent_id = s.sent_id AND g.gov = s.gov JOIN tok h ON h.sent_id = g.sent_id AND h.idx = g.head GROUP BY ALL) GROUP BY ALL) GROUP BY verb) p ON p.verb = n.verb JOIN (SELECT verb, CAST(sum(m) AS BIGINT) AS x FROM (SELECT verb, gold, max(k) AS m FROM (SELECT h.lemma AS verb, s.label AS found, g.label AS gold, count(*) AS k FROM gold g JOIN sys s ON g.sent_id = s.sent_id AND g.gov = s.gov JOIN tok h ON h.sent_id = g.sent_id AND h.idx = g.head GROUP BY ALL) GROUP BY ALL) GROUP BY verb) c ON c.verb = n.verb")
+def induced_roles(tb):
+    heads = tb.tokens.select("sent_id", F.col("idx").alias("head"), F.col("lemma").alias("verb"))
+    both = tb.gold.withColumnRenamed("label", "gold").join(tb.system.select("sent_id", "gov", F.col("label").alias("found")), ["sent_id", "gov"])
+    return evaluate.induced_roles(both.join(heads, ["sent_id", "head"]).select("verb", "found", "gold"))
+
+
+# rules
+
+
+def _rule_sql(test: str, target: str, frame: str, pick: str, label: str) -> str:
+    return f"SELECT sent_id, idx AS gov, h AS head, '{label}' AS label FROM (SELECT *, {pick}(CASE WHEN {target} THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN {frame}) AS h FROM tok) WHERE {test} AND h IS NOT NULL"
+
+
+@query("rule_any_right", "SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'SUJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx > a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'")
+def rule_any_right(tb):
+    return rules.to_any(tb.tokens, F.col("pos") == "NAM", VERB, "SUJ")
+
+
+@query("rule_any_left", "SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'OBJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx < a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'")
+def rule_any_left(tb):
+    return rules.to_any(tb.tokens, F.col("pos") == "NAM", VERB, "OBJ", right=False)
+
+
+@query("rule_first_after", _rule_sql("pos = 'DET'", "pos IN ('NOM', 'NAM')", "1 FOLLOWING AND UNBOUNDED FOLLOWING", "min", "DET"))
+def rule_first_after(tb):
+    return rules.to_first(tb.tokens, F.col("pos") == "DET", NOUN, "DET")
+
+
+@query("rule_first_before", _rule_sql("pos IN ('NOM', 'NAM')", "pos = 'VER'", "UNBOUNDED PRECEDING AND 1 PRECEDING", "max", "OBJ"))
+def rule_first_before(tb):
+    return rules.to_first(tb.tokens, NOUN, VERB, "OBJ", right=False)
+
+
+@query("rule_within", _rule_sql("pos = 'DET'", "pos IN ('NOM', 'NAM')", "1 FOLLOWING AND 3 FOLLOWING", "min", "DET"))
+def rule_within(tb):
+    return rules.to_first(tb.tokens, F.col("pos") == "DET", NOUN, "DET", within=4)
+
+
+@query("rule_previous", _rule_sql("pos = 'PUN'", "true", "1 PRECEDING AND 1 PRECEDING", "max", "PONC"))
+def rule_previous(tb):
+    return rules.to_previous(tb.tokens, F.col("pos") == "PUN", "PONC")
+
+
+@query("rule_previous_if", _rule_sql("pos = 'ADJ'", "pos IN ('NOM', 'NAM')", "1 PRECEDING AND 1 PRECEDING", "max", "MOD"))
+def rule_previous_if(tb):
+    return rules.to_previous(tb.tokens, F.col("pos") == "ADJ", "MOD", NOUN)
+
+
+@query("rule_head_to_first", "SELECT t.sent_id, t.idx AS gov, t.h AS head, 'AUX' AS label FROM (SELECT *, max(CASE WHEN pos = 'VER' THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM tok) t WHERE h IS NOT NULL AND EXISTS (SELECT 1 FROM gold g WHERE g.sent_id = t.sent_id AND g.head = t.idx AND g.label = 'SUJ')")
+def rule_head_to_first(tb):
+    return rules.head_to_first(tb.tokens, tb.gold, "SUJ", VERB, "AUX")
+
+
+@query("rule_lift_children", "SELECT g.sent_id, g.gov, coalesce(u.head, g.head) AS head, g.label FROM gold g LEFT JOIN gold u ON u.sent_id = g.sent_id AND u.gov = g.head AND u.label = 'COORD'")
+def rule_lift_children(tb):
+    return rules.lifted(tb.gold, "COORD")
+
+
+@query("rule_without_child", "SELECT sent_id, idx AS gov, h AS head, 'SUJ' AS label FROM (SELECT t.*, min(CASE WHEN t.pos = 'VER' AND p.head IS NULL THEN t.idx END) OVER (PARTITION BY t.sent_id ORDER BY t.idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h FROM tok t LEFT JOIN (SELECT DISTINCT sent_id, head FROM gold WHERE label = 'ADV') p ON p.sent_id = t.sent_id AND p.head = t.idx) WHERE pos = 'NAM' AND h IS NOT NULL")
+def rule_without_child(tb):
+    return rules.to_first_childless(tb.tokens, tb.gold, F.col("pos") == "NAM", VERB, "ADV", "SUJ")
+
+
+@query("rule_applied", "SELECT label, count(*) AS n FROM (SELECT sent_id, gov, head, label FROM sys UNION ALL SELECT sent_id, idx, h, 'DET' FROM (SELECT *, min(CASE WHEN pos IN ('NOM', 'NAM') THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h FROM tok) t WHERE pos = 'DET' AND h IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sys s WHERE s.sent_id = t.sent_id AND s.gov = t.idx)) GROUP BY label")
+def rule_applied(tb):
+    new = rules.to_first(tb.tokens, F.col("pos") == "DET", NOUN, "DET")
+    return rules.applied(tb.system, new).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# groups, order, splits
+
+
+@query("group_runs", "SELECT name, last_idx - first_idx + 1 AS words, count(*) AS n FROM grp GROUP BY ALL")
+def group_runs(tb):
+    return tb.groups.groupBy("name", (F.col("last_idx") - F.col("first_idx") + 1).alias("words")).agg(F.count("*").alias("n"))
+
+
+@query("group_bio", "SELECT t.sent_id, t.idx, t.form, t.pos, CASE WHEN t.pos <> 'NAM' THEN 'NO' WHEN EXISTS (SELECT 1 FROM grp g WHERE g.sent_id = t.sent_id AND g.name = 'NAM' AND g.first_idx = t.idx) THEN 'NAMB' ELSE 'NAMI' END AS tag FROM tok t")
+def group_bio(tb):
+    return spans.begin_inside(tb.tokens, tb.groups, "NAM")
+
+
+@query("corpus_chunks", "SELECT chunk, count(*) AS sentences FROM (SELECT least((row_number() OVER (ORDER BY sent_id) - 1) // greatest(count(*) OVER () // 4, 1), 3) AS chunk FROM (SELECT DISTINCT sent_id FROM tok)) GROUP BY chunk")
+def corpus_chunks(tb):
+    return other.chunks(tb.tokens, 4).groupBy("chunk").agg(F.count("*").alias("sentences"))
+
+
+@query("next_mark", "SELECT sent_id, idx, lead(sent_id) OVER (PARTITION BY sent_id // 100000000 ORDER BY sent_id, idx) AS next_sent, lead(idx) OVER (PARTITION BY sent_id // 100000000 ORDER BY sent_id, idx) AS next_idx FROM tok WHERE pos = 'NUM'")
+def next_mark(tb):
+    order = Window.partitionBy(F.floor(F.col("sent_id") / 100000000)).orderBy("sent_id", "idx")
+    return tb.tokens.where("pos = 'NUM'").select("sent_id", "idx", F.lead("sent_id").over(order).alias("next_sent"), F.lead("idx").over(order).alias("next_idx"))
+
+
+@query("frequent_shapes", "SELECT pos, children, n FROM (SELECT t.pos, coalesce(c.children, '') AS children, count(*) AS n FROM tok t LEFT JOIN (SELECT sent_id, head, string_agg(label, ' ' ORDER BY label) AS children FROM gold GROUP BY ALL) c ON c.sent_id = t.sent_id AND c.head = t.idx GROUP BY ALL) ORDER BY n DESC, pos, children LIMIT 10")
+def frequent_shapes(tb):
+    return tree.shapes(tb.tokens, tb.gold).orderBy(F.desc("n"), "pos", "children").limit(10)
+
+
+# functions
+
+
+@query("number_classes", "SELECT CASE WHEN regexp_matches(form, '^[0-9]+$') THEN 'entier' WHEN regexp_matches(form, '^[0-9]+[.,][0-9]+$') THEN 'reel' WHEN regexp_matches(form, '^[A-Z]{2,}$') THEN 'acronyme' WHEN regexp_matches(form, '[0-9]') THEN 'bizarre' ELSE 'nan' END AS class, count(*) AS n FROM tok GROUP BY 1")
+def number_classes(tb):
+    return tb.tokens.groupBy(fn.number_class(F.col("form")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("plain_texts", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[,;:.?!\"]', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents", plain=True)
+def plain_texts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", fn.without_punctuation(F.col("text")).alias("plain"))
+
+
+@query("tokenized", r"SELECT doc_id, len(regexp_extract_all(replace(text, '’', ''''), '(aujourd''hui|[^ \t\n\r,;:.?!""'']*''|[^ \t\n\r,;:.?!""'']+|[,;:.?!""])')) AS tokens FROM documents".replace('""', '"'), plain=True)
+def tokenized(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(fn.tokenize(F.col("text"))).cast("long").alias("tokens"))
+
+
+# alignment: texts against themselves without punctuation
+
+
+@query("aligned_edits")
+def aligned_edits(tb):
+    left = tb.tokens.where("sent_id % 100000000 = 0")
+    right = left.where("pos <> 'PUN'")
+    return align.edits(left, right, align.links(left, right))
+
+
+# classic tables
+
+
+@query("event_moving_average", "SELECT event_id, round(mean, 9) AS mean FROM (SELECT event_id, avg(value) OVER w AS mean, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10", plain=True)
+def event_moving_average(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "key")
+    return stats.moving_average(events, "event_id", "value").select("event_id", F.round("mean", 9).alias("mean"))
+
+
+@query("operating_points", "SELECT score, round(1 - coalesce(sum(b) OVER w, 0) / sum(b) OVER (), 9) AS false_accept, round(coalesce(sum(g) OVER w, 0) / sum(g) OVER (), 9) AS false_reject FROM (SELECT l_quantity AS score, sum(CAST(l_returnflag = 'R' AS INT)) AS g, sum(CAST(l_returnflag <> 'R' AS INT)) AS b FROM lineitem GROUP BY 1) WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", plain=True)
+def operating_points(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").alias("truth"))
+    return stats.operating_points(rows).select("score", F.round("false_accept", 9).alias("false_accept"), F.round("false_reject", 9).alias("false_reject"))
