@@ -28,7 +28,7 @@ FEATURES = {
     "chars_per_word": "word_chars / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
 }
-#: Labelled rows the list is learned from, at most; those with the smallest hash of doc_id.
+#: Labelled rows the list is learned from, at most; those with the smallest hash of doc_id (a bound of the broadcast, too).
 SAMPLE = 20_000
 MAX_RULES, MAX_TESTS, PRECISION = 12, 4, 0.9
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -122,16 +122,18 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7) -> list[list[tuple[int,
     return rules
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[tuple[str, bool, float]]]:
-    """Rules learned from at most ``sample`` rows of ``stats`` that have a label.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[tuple[str, bool, float]]]:
+    """Rules learned from the documents of at most ``sample`` labels, which are broadcast.
 
     Labels other than 0 and 1, and nulls, are left out; a doc_id with two labels counts with both.
     """
-    known = labels.where("quality in (0, 1)").select("doc_id", "quality")
-    joined = rows.join(known, "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    picked = joined.select("order", "doc_id", "quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).orderBy("order", "doc_id", *FEATURES).limit(sample).collect()
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    rows = stats(texts(docs).join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi"))
+    picked = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).collect()
     if not picked:
         return []
+    picked.sort(key=lambda r: tuple(r))
     x = np.array([[r[f] for f in FEATURES] for r in picked])
     found = learn(x, np.array([r["quality"] == 0 for r in picked]))
     names = list(FEATURES)
@@ -160,15 +162,13 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     A null or empty text has no words and fails.  Without usable labels only the base decides.
     Other columns are not looked at.
     """
-    labelled = texts(docs).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = fit(stats(labelled), labels, sample)
+    rules = fit(docs, labels, sample)
     return stats(docs).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are; no shuffle of the texts."""
-    labelled = texts(docs).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = fit(stats(labelled), labels, sample)
+    rules = fit(docs, labels, sample)
     names = docs.columns
     spark_udf = F.pandas_udf(_stats_frame, ", ".join(f"{s} long" for s in STATS))
     marked = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), spark_udf(docs["text"].cast("string")).alias("_stats"))
