@@ -11,6 +11,7 @@ Only distinct fingerprints are joined; copies of a text have one fingerprint.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import numpy as np
@@ -27,6 +28,8 @@ SEED = 42
 CROWD = 200
 #: For near copies (see ``near_copies``): bands of 32 bits, differing bits of all 128 at most.
 BANDS, APART = 4, 14
+#: Members of a cell from which it is searched instead of paired.
+DENSE = 50
 #: Members of a crowded cell that one task takes, and those that all its parts share.
 PART, SHARED = 20_000, 200
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -147,9 +150,9 @@ def wide_fingerprint(text: str | None) -> tuple[int, int]:
 
 def spanning(rows: pd.DataFrame) -> pd.DataFrame:
     """Links that join the same members of a crowded cell as all pairs would: a search from
-    each member that is not reached yet, one link for each one reached.
+    each member that is not reached yet, least first, one link for each one reached.
     """
-    rows = rows.drop_duplicates("id")
+    rows = rows.drop_duplicates("id").sort_values("id")
     ids, bits = rows["id"].to_numpy(), rows[["low", "high"]].to_numpy().view(np.uint64)
     open_ = np.ones(len(ids), bool)
     a, b = [], []
@@ -159,17 +162,18 @@ def spanning(rows: pd.DataFrame) -> pd.DataFrame:
         open_[start] = False
         todo = [start]
         while todo and open_.any():
-            at = todo.pop()
+            at = heapq.heappop(todo)
             rest = np.flatnonzero(open_)
             near = rest[np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1) <= APART]
             open_[near] = False
-            todo += near.tolist()
+            for k in near.tolist():
+                heapq.heappush(todo, k)
             a += [ids[at]] * len(near)
             b += ids[near].tolist()
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     """doc_id and component_id (the least doc_id) of rows with a near copy; for whole texts that
     share four fifths or more of their five-word shingles.
 
@@ -204,7 +208,7 @@ def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return prints.join(rooted, ["low", "high"]).select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     """``docs`` with the least doc_id of each group of near copies; all columns as they are.
 
     Rows with a null doc_id stay.
