@@ -11,19 +11,25 @@ path gives a word's whole encoding.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treemill.llm.common import documents, per_row, texts
+from treemill.llm.common import documents, per_batch, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded words that a task keeps; past it the table starts anew (only speed depends on it).
-REMEMBER = 200_000
+REMEMBER = 400_000
 #: The pattern of the byte-level pretokenizer, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII characters only.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Characters whose classes all Unicode versions agree on.
+COMMON = r"[\x00-\u0557\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u20a0-\u20b0\u2100-\u214f\u3000-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -57,17 +63,18 @@ class Codec:
         self.longest = max(map(len, self.ids))
         self.find = regex.compile(PATTERN).findall
         self.parts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
-        self.known: dict[str, bytes] = {}
-
-    def stays_apart(self, left: bytes, right: bytes) -> bool:
-        """Whether merging ``left + right`` from its bytes ends in these two tokens."""
-        key = (left, right)
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) > 4 * REMEMBER:
-                self.apart.clear()
-            found = self.apart[key] = self.merged(left + right) == [left, right]
+        self.path, self.library = path, None
+        self.common = re.compile(COMMON).fullmatch
+        self.find_ascii = re.compile(ASCII_PATTERN).findall
+        #: by token: for the last token before it, whether the two stay apart
+        self.apart: dict[bytes, dict[bytes, bool]] = {t: {} for t in self.ids}
+        self.known = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
+
+    def stays_apart(self, left: bytes, token: bytes) -> bool:
+        """Whether merging ``left + token`` from its bytes ends in these two tokens; an empty left:
+        in the token alone.  The answer is kept in ``apart``.
+        """
+        found = self.apart[token][left] = self.merged(left + token) == ([left, token] if left else [token])
         return found
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -80,58 +87,79 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def last_token(self, word: bytes, end: int, path: list[bytes]) -> bytes:
-        """The last token of ``word[:end]``; ``path[n]`` is that of the prefix of n bytes."""
-        ids = self.ids
-        for start in range(max(0, end - self.longest), end):
-            token = word[start:end]
-            if token in ids and (self.own(token) if start == 0 else self.stays_apart(path[start], token)):
-                return token
-        raise ValueError(f"no token ends {word[:end]!r}")
-
-    def own(self, token: bytes) -> bool:
-        key = (b"", token)
-        found = self.apart.get(key)
-        if found is None:
-            found = self.apart[key] = self.merged(token) == [token]
-        return found
-
     def learn(self, words: set[str]) -> None:
         """Puts the encodings of ``words`` into ``known``: one walk over their trie."""
         path, before = [b""], b""
+        longest, apart, ids = self.longest, self.apart, self.ids
         for word, text in sorted((w.encode(), w) for w in words):
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
             del path[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                path.append(self.last_token(word, end, path))
+                for start in range(max(0, end - longest), end):
+                    token = word[start:end]
+                    lefts = apart.get(token)
+                    if lefts is None:
+                        continue
+                    left = path[start]
+                    ok = lefts.get(left)
+                    if ok or (ok is None and self.stays_apart(left, token)):
+                        path.append(token)
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:end]!r}")
             before, end, tokens = word, len(word), []
             while end:
-                tokens.append(self.ids[path[end]])
-                end -= len(path[end])
-            self.known[text] = array("I", reversed(tokens)).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers."""
-        out = []
-        for n, part in enumerate(self.parts(text) if self.parts else [text]):
-            if n % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            for at in range(0, len(words := self.find(part)), 1 << 20):
-                some = words[at : at + (1 << 20)]
-                new = set(some).difference(self.known)
-                if new:
-                    if len(self.known) + len(new) > REMEMBER:
-                        self.known.clear()
-                        new = set(some)
-                    self.learn(new)
-                out += map(self.known.__getitem__, some)
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.content.__getitem__, array("I", ids))).decode("utf-8", "replace")
+                token = path[end]
+                tokens.append(ids[token])
+                end -= len(token)
+            tokens.reverse()
+            self.known[text] = array("I", tokens).tobytes()
+
+    def pretokens(self, text: str) -> list[str]:
+        """The pretokens of a text; a special token's string is one."""
+        if not self.special or not any(t in text for t in self.special):
+            return self.cut(text)
+        return [w for n, part in enumerate(self.parts(text)) for w in ([part] if n % 2 else self.cut(part))]
+
+    def cut(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.find_ascii(text)
+        if self.common(text):
+            return self.find(text)
+        # letters and digits of later Unicode versions: as the library's own tables have them
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).pre_tokenizer
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        cut = list(map(self.pretokens, texts))
+        words = set().union(*cut)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBER:
+            self.known = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
+            new = words.difference(self.known)
+        self.learn(new)
+        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+
+    def decoded(self, ids: bytes) -> bytes:
+        """The UTF-8 bytes of the decoded text; bytes that are no UTF-8 are replaced."""
+        data = b"".join(map(self.content.__getitem__, array("I", ids)))
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            return data.decode("utf-8", "replace").encode()
+        return data
+
+
+@functools.lru_cache(2)
+def codec(path: str) -> Codec:
+    """The codec of a file, kept by each worker process from task to task."""
+    return Codec(path)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -142,23 +170,23 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     name = path or vocabulary_path()
 
-    def one(codec: Codec, doc_id, text):
-        ids = codec.encode(text or "")
-        return doc_id, len(ids) // 4, ids, codec.decode(ids)
+    def many(own: Codec, rows):
+        found = own.encode([text or "" for _, text in rows])
+        return [(doc_id, len(ids) // 4, ids, own.decoded(ids).decode()) for (doc_id, _), ids in zip(rows, found, strict=True)]
 
-    return per_row(texts(docs), one, "doc_id long, n_tokens long, ids binary, decoded string", lambda: Codec(name))
+    return per_batch(texts(docs), many, "doc_id long, n_tokens long, ids binary, decoded string", lambda: codec(name))
 
 
 def encoded_digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
     """``encoded`` with SHA-256 digests in place of the decoded text and, unless asked for, ids."""
     name = path or vocabulary_path()
 
-    def one(codec: Codec, doc_id, text):
-        found = codec.encode(text or "")
-        digests = hashlib.sha256(found).hexdigest(), hashlib.sha256(codec.decode(found).encode()).hexdigest()
-        return (doc_id, len(found) // 4, *digests, *([found] if ids else []))
+    def many(own: Codec, rows):
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        found = own.encode([text or "" for _, text in rows])
+        return [(doc_id, len(x) // 4, sha(x), sha(own.decoded(x)), *([x] if ids else [])) for (doc_id, _), x in zip(rows, found, strict=True)]
 
-    return per_row(texts(docs), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, lambda: Codec(name))
+    return per_batch(texts(docs), many, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, lambda: codec(name))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

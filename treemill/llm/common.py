@@ -56,8 +56,15 @@ def per_row(df: DataFrame, one: Callable[..., tuple], schema: str, start: Callab
 
     With ``start``, what it returns (made once a task) is passed first.
     """
-    from pyspark.sql.types import _parse_datatype_string
+    if start is None:
+        return per_batch(df, lambda rows: [one(*r) for r in rows], schema)
+    return per_batch(df, lambda first, rows: [one(first, *r) for r in rows], schema, start)
+
+
+def per_batch(df: DataFrame, many: Callable[..., list[tuple]], schema: str, start: Callable[[], object] | None = None) -> DataFrame:
+    """Like ``per_row`` for lists of rows of a few MB: ``many(rows)`` returns their results."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
@@ -65,7 +72,7 @@ def per_row(df: DataFrame, one: Callable[..., tuple], schema: str, start: Callab
         first = (start(),) if start else ()
         for batch in batches:
             for part in slices(batch):
-                rows = [one(*first, *values) for values in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                rows = many(*first, list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
