@@ -27,9 +27,9 @@ FAMILIES = {
     "semitic": "ar he mt",
 }
 #: Buckets of the n-grams.
-WIDTH = 1 << 13
-#: Rows learned from, at most: this many of each language, those with the smallest hash.
-SAMPLE = 1500
+WIDTH = 1 << 12
+#: Rows learned from, at most: so many of each language, those with the smallest hash, and in all.
+SAMPLE, IN_ALL = 700, 4000
 #: Bytes whose n-grams are counted at a time.
 STEP = 1 << 20
 UNKNOWN = "und"
@@ -130,14 +130,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
     if not langs:
         return None
+    sample = max(1, min(sample, IN_ALL // len(langs)))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().where(F.col("lang").isin(langs)).collect()}
     # the hash is uniform, so a limit on it leaves a little over ``sample`` rows of each language
     share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, 1.2 * sample / counts[lang]))])
     near = known.where((F.pmod("order", F.lit(1 << 20)) / (1 << 20) < share[F.col("lang")]) & F.col("lang").isin(langs))
-    rows = per_row(near.select("lang", "order", "text"), lambda lang, order, text: (lang, order, vector(text).tobytes()), "lang string, order long, v binary").orderBy("lang", "order", "v").toLocalIterator()
+    rows = per_row(near.select("lang", "order", "text"), lambda lang, order, text: (lang, order, vector(text).tobytes()), "lang string, order long, v binary").collect()
     taken: dict[str, int] = {}
     x, y = [], []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["lang"], r["order"], r["v"])):
         if taken.setdefault(r["lang"], 0) < sample:
             taken[r["lang"]] += 1
             x.append(np.frombuffer(r["v"], np.float32))
