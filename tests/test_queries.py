@@ -43,3 +43,11 @@ def test_entry(spark):
 def test_alignment_without_punctuation_only_deletes(spark):
     found = catalog.QUERIES["aligned_edits"](spark, DATA).agg({"inserted": "sum", "deleted": "sum"}).first()
     assert found["sum(inserted)"] == 0 and found["sum(deleted)"] > 0
+
+
+def test_import_without_a_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, check=True)
+    assert min(map(int, out.stdout.split())) >= 70

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
@@ -18,8 +18,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "match_adjacent"
 
-NOUN = F.col("pos").isin("NOM", "NAM")
-VERB = F.col("pos") == "VER"
+
+def noun() -> Column:
+    return F.col("pos").isin("NOM", "NAM")
+
+
+def verb() -> Column:
+    return F.col("pos") == "VER"
+
 
 
 def query(name: str, oracle: str | None = None, plain: bool = False):
@@ -395,27 +401,27 @@ def _rule_sql(test: str, target: str, frame: str, pick: str, label: str) -> str:
 
 @query("rule_any_right", "SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'SUJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx > a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'")
 def rule_any_right(tb):
-    return rules.to_any(tb.tokens, F.col("pos") == "NAM", VERB, "SUJ")
+    return rules.to_any(tb.tokens, F.col("pos") == "NAM", verb(), "SUJ")
 
 
 @query("rule_any_left", "SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'OBJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx < a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'")
 def rule_any_left(tb):
-    return rules.to_any(tb.tokens, F.col("pos") == "NAM", VERB, "OBJ", right=False)
+    return rules.to_any(tb.tokens, F.col("pos") == "NAM", verb(), "OBJ", right=False)
 
 
 @query("rule_first_after", _rule_sql("pos = 'DET'", "pos IN ('NOM', 'NAM')", "1 FOLLOWING AND UNBOUNDED FOLLOWING", "min", "DET"))
 def rule_first_after(tb):
-    return rules.to_first(tb.tokens, F.col("pos") == "DET", NOUN, "DET")
+    return rules.to_first(tb.tokens, F.col("pos") == "DET", noun(), "DET")
 
 
 @query("rule_first_before", _rule_sql("pos IN ('NOM', 'NAM')", "pos = 'VER'", "UNBOUNDED PRECEDING AND 1 PRECEDING", "max", "OBJ"))
 def rule_first_before(tb):
-    return rules.to_first(tb.tokens, NOUN, VERB, "OBJ", right=False)
+    return rules.to_first(tb.tokens, noun(), verb(), "OBJ", right=False)
 
 
 @query("rule_within", _rule_sql("pos = 'DET'", "pos IN ('NOM', 'NAM')", "1 FOLLOWING AND 3 FOLLOWING", "min", "DET"))
 def rule_within(tb):
-    return rules.to_first(tb.tokens, F.col("pos") == "DET", NOUN, "DET", within=4)
+    return rules.to_first(tb.tokens, F.col("pos") == "DET", noun(), "DET", within=4)
 
 
 @query("rule_previous", _rule_sql("pos = 'PUN'", "true", "1 PRECEDING AND 1 PRECEDING", "max", "PONC"))
@@ -425,12 +431,12 @@ def rule_previous(tb):
 
 @query("rule_previous_if", _rule_sql("pos = 'ADJ'", "pos IN ('NOM', 'NAM')", "1 PRECEDING AND 1 PRECEDING", "max", "MOD"))
 def rule_previous_if(tb):
-    return rules.to_previous(tb.tokens, F.col("pos") == "ADJ", "MOD", NOUN)
+    return rules.to_previous(tb.tokens, F.col("pos") == "ADJ", "MOD", noun())
 
 
 @query("rule_head_to_first", "SELECT t.sent_id, t.idx AS gov, t.h AS head, 'AUX' AS label FROM (SELECT *, max(CASE WHEN pos = 'VER' THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM tok) t WHERE h IS NOT NULL AND EXISTS (SELECT 1 FROM gold g WHERE g.sent_id = t.sent_id AND g.head = t.idx AND g.label = 'SUJ')")
 def rule_head_to_first(tb):
-    return rules.head_to_first(tb.tokens, tb.gold, "SUJ", VERB, "AUX")
+    return rules.head_to_first(tb.tokens, tb.gold, "SUJ", verb(), "AUX")
 
 
 @query("rule_lift_children", "SELECT g.sent_id, g.gov, coalesce(u.head, g.head) AS head, g.label FROM gold g LEFT JOIN gold u ON u.sent_id = g.sent_id AND u.gov = g.head AND u.label = 'COORD'")
@@ -440,12 +446,12 @@ def rule_lift_children(tb):
 
 @query("rule_without_child", "SELECT sent_id, idx AS gov, h AS head, 'SUJ' AS label FROM (SELECT t.*, min(CASE WHEN t.pos = 'VER' AND p.head IS NULL THEN t.idx END) OVER (PARTITION BY t.sent_id ORDER BY t.idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h FROM tok t LEFT JOIN (SELECT DISTINCT sent_id, head FROM gold WHERE label = 'ADV') p ON p.sent_id = t.sent_id AND p.head = t.idx) WHERE pos = 'NAM' AND h IS NOT NULL")
 def rule_without_child(tb):
-    return rules.to_first_childless(tb.tokens, tb.gold, F.col("pos") == "NAM", VERB, "ADV", "SUJ")
+    return rules.to_first_childless(tb.tokens, tb.gold, F.col("pos") == "NAM", verb(), "ADV", "SUJ")
 
 
 @query("rule_applied", "SELECT label, count(*) AS n FROM (SELECT sent_id, gov, head, label FROM sys UNION ALL SELECT sent_id, idx, h, 'DET' FROM (SELECT *, min(CASE WHEN pos IN ('NOM', 'NAM') THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h FROM tok) t WHERE pos = 'DET' AND h IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sys s WHERE s.sent_id = t.sent_id AND s.gov = t.idx)) GROUP BY label")
 def rule_applied(tb):
-    new = rules.to_first(tb.tokens, F.col("pos") == "DET", NOUN, "DET")
+    new = rules.to_first(tb.tokens, F.col("pos") == "DET", noun(), "DET")
     return rules.applied(tb.system, new).groupBy("label").agg(F.count("*").alias("n"))
 
 
