@@ -53,9 +53,12 @@ def model(rows: DataFrame) -> np.ndarray:
 
 
 def weighed(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """doc_id, n_grams and log_ratio of every row; ``good`` has the target's doc_ids."""
+    """doc_id, n_grams and log_ratio of every row; ``good`` has the target's doc_ids.
+
+    The ids grow with the corpus, so they are joined by a shuffle at every size: texts move once.
+    """
     raw = texts(docs)
-    target = raw.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+    target = raw.join(good.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     ratio = model(target) - model(raw)
 
     def one(doc_id, text):
