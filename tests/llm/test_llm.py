@@ -177,22 +177,51 @@ def test_links_of_planted_neighbours(spark):
         assert {(r.a, r.b) for r in simhash.links(df, crowd).collect()} == want
 
 
-@pytest.mark.parametrize("crowd", [50, 2])
-def test_near_copies(spark, crowd):
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return set(zip(*(words[i:] for i in range(min(5, len(words)))), strict=False))
+
+
+def alike_components(rows):
+    """The least doc_id reachable over pairs with four fifths of their shingles in common."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        todo = [i] if root[i] == i else []
+        while todo:
+            a = todo.pop()
+            new = [b for b in sets if b > i and root[b] == b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            root |= dict.fromkeys(new, i)
+            todo += new
+    return {i: r for i, r in root.items() if r != i or list(root.values()).count(i) > 1}
+
+
+@pytest.mark.parametrize(("crowd", "part_size"), [(50, 1 << 20), (2, 1 << 20), (50, 5000)])
+def test_near_copies(spark, crowd, part_size):
     rng = np.random.default_rng(6)
     words = [f"word{i}" for i in range(5000)]
-    rows, group = [], []
-    for g in range(12):
+    rows = []
+    for _ in range(12):
         text = list(rng.choice(words, 300))
-        for _ in range(6):
+        for edits in (0, 1, 2, 3, 12, 30):  # the last two keep about two thirds and a third
             copy = list(text)
-            copy[int(rng.integers(300))] = "edited"
+            for at in rng.choice(300, edits, replace=False):
+                copy[int(at)] = "edited"
             rows.append(" ".join(copy))
-            group.append(g)
+    rows += [" ".join(sorted(rows[0].split())), " ".join(sorted(rows[0].split(), reverse=True))]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, crowd).collect()}
-    assert found == {i: 6 * g for i, g in enumerate(group)}
-    assert simhash.drop_near_copies(docs, crowd).count() == 12
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, crowd, part_size).collect()}
+    want = alike_components(list(enumerate(rows)))
+    assert len(want) >= 48 and found == want
+    assert simhash.drop_near_copies(docs, crowd).count() == len(rows) - sum(i != r for i, r in want.items())
+
+
+def test_near_copies_odd_rows(docs):
+    unique = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert found == alike_components(list(unique.items()))
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
 
 
 def test_components(spark):

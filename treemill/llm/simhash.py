@@ -12,22 +12,30 @@ Only distinct fingerprints are joined; copies of a text have one fingerprint.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treemill.llm.common import documents, per_row, settle, texts, word_chunks
+from treemill.llm.common import documents, per_row, settle, slices, texts, word_chunks
 from treemill.llm.components import components
+from treemill.llm.exact_dedup import exact_repeats
 
 SEGMENTS, RADIUS, SHINGLE = 16, 2, 3
 SEED = 42
 #: Fingerprints in a cell from which it is divided.
 CROWD = 200
 #: For near copies (see ``near_copies``): bands of 32 bits, differing bits of all 128 at most.
-BANDS, APART = 4, 14
+BANDS, APART = 4, 18
+#: Bits beyond which no shingles are compared.
+FAR = 28
+#: Words of a shingle, and the factor that joins their hashes.
+WORDS, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
+#: Characters of text that are verified at a time.
+PART_SIZE = 32 << 20
 #: Members of a cell from which it is searched instead of paired.
 DENSE = 50
 #: Members of a crowded cell that one task takes, and those that all its parts share.
@@ -173,19 +181,91 @@ def spanning(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
-    """doc_id and component_id (the least doc_id) of rows with a near copy; for whole texts that
-    share four fifths or more of their five-word shingles.
+def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles, A-Z in lower case.
 
-    Such texts differ in about one word of fifty, so fingerprints over the *set of words* differ
-    in one bit of fifteen at most on average, while shingles' would differ in one of six.  Each of
-    ``BANDS`` bands of 32 bits goes through the grid with radius 2; a pair is verified by all
-    128 bits, of which ``APART`` may differ.  At the limit of four fifths 98 of 100 pairs meet
-    in a band; of real near copies at .80 to .85 95 of 100 were found in all, above that 99.  In a crowded cell each task links the members
-    it reaches one by one instead of all pairs; cells of over ``PART`` members are dealt in
-    parts that share ``SHARED`` members.  Texts without a word are copies of each other.
+    Fewer words than ``size`` are one shingle; a text without a word has none.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    chunks = word_chunks((text or "").encode().translate(LOWER))
+    words = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter((xxh3_64_intdigest(w, SEED) for w in c), np.uint64, len(c)) for c in chunks)])
+    size = min(size, len(words))
+    out = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
+    for i in range(size):
+        out = out * MIX + words[i : len(out) + i]
+    return np.unique(out)
+
+
+def alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of ``others`` have four fifths or more of all shingles in common with ``own``."""
+    sizes = np.array([len(o) for o in others], np.int64)
+    joined = np.concatenate([np.zeros(0, np.uint64), *others])
+    hit = own[np.searchsorted(own[:-1], joined)] == joined if len(own) else np.zeros(len(joined), bool)
+    both = np.bincount(np.repeat(np.arange(len(others)), sizes)[hit], minlength=len(others))
+    return 5 * both >= 4 * (len(own) + sizes - both)
+
+
+def verified(ids: np.ndarray, bits: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each member of a candidate group the least id it reaches over links of alike shingles,
+    itself included, by a search from each member not reached yet.
+
+    Shingles are compared where fingerprints, sizes and bucket counts allow a link.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    counts = np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) for s in sets]).astype(np.int32)
+    root, open_ = ids.copy(), np.argsort(ids, kind="stable")
+    while len(open_):
+        start, open_ = open_[0], open_[1:]
+        todo = [start]
+        while todo and len(open_):
+            at = todo.pop()
+            near = np.bitwise_count(bits[open_] ^ bits[at]).sum(axis=1) <= FAR
+            near &= 5 * np.minimum(sizes[open_], sizes[at]) >= 4 * np.maximum(sizes[open_], sizes[at])
+            hits = [np.zeros(0, np.int64)]
+            found = np.flatnonzero(near)
+            for part in np.array_split(found, len(found) // 1000 + 1):
+                most = np.minimum(counts[open_[part]], counts[at]).sum(axis=1)
+                part = part[5 * most >= 4 * (sizes[open_[part]] + sizes[at] - most)]
+                hits.append(part[alike(sets[at], [sets[k] for k in open_[part]])])
+            hit = np.concatenate(hits)
+            root[open_[hit]] = ids[start]
+            todo += open_[hit].tolist()
+            open_ = np.delete(open_, hit)
+    return root
+
+
+def roots_in_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``verified`` of each (component, part) in rows sorted by it; texts become hashes as they
+    come, so one part's hashes are held at a time.
+    """
+    key, members = None, []
+
+    def closed() -> pa.RecordBatch:
+        ids = np.array([m[0] for m in members], np.int64)
+        bits = np.array([m[1:3] for m in members], np.int64).reshape(-1, 2).view(np.uint64)
+        root = verified(ids, bits, [m[3] for m in members]) if members else ids
+        whole = np.full(len(ids), key is not None and key[2] == 1)
+        return pa.RecordBatch.from_arrays([pa.array(whole), pa.array(ids), pa.array(root)], ["whole", "a", "b"])
+
+    for batch in batches:
+        for rows in slices(batch):
+            for *now, doc_id, low, high, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if now != key:
+                    yield closed()
+                    key, members = now, []
+                members.append((doc_id, low, high, shingle_set(text)))
+    yield closed()
+
+
+def candidates(prints: DataFrame, crowd: int = DENSE) -> DataFrame:
+    """``prints`` (doc_id, key, size, low, high) of rows with a fingerprint near another row's,
+    with ``component``, what is reachable over fingerprints that differ in ``APART`` bits.
+
+    Each of ``BANDS`` bands of 32 bits goes through the grid with radius 2.  In a crowded cell
+    each task links the members it reaches one by one instead of all pairs; cells of over
+    ``PART`` members are dealt in parts that share ``SHARED`` members.
     """
-    prints = settle(per_row(texts(docs), lambda doc_id, text: (doc_id, *wide_fingerprint(text)), "doc_id long, low long, high long"))
     classes = settle(prints.groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id is not null"))
     half = lambda c, n: F.shiftrightunsigned(c, 32 * n).bitwiseAND(F.lit((1 << 32) - 1))
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), half(("low", "high")[i // 2], i % 2).alias("bits")) for i in range(BANDS)]))
@@ -195,17 +275,48 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     counts = members.groupBy("cell").count()
     crowds = settle(counts.where(F.col("count") > crowd))
     found = pairs_in(members.join(crowds, "cell", "left_anti"), ["cell"], differing("low", "high") <= APART)
-    parts = F.ceil(F.col("count") / PART).cast("int")
-    order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    crowded = members.join(crowds, "cell").withColumn("_order", order)
-    shared = (F.col("_order") < SHARED * (1 << 30) / F.col("count")) & (parts > 1)
-    part = F.when(shared, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.col("_order") % parts))
-    dealt = crowded.withColumn("part", F.explode(part)).select("cell", "part", "id", "low", "high")
-    spanned = dealt.groupBy("cell", "part").applyInPandas(spanning, "a long, b long")
-    copies = components(found.unionByName(spanned)).select(F.col("node").alias("id"), "component")
-    rooted = classes.join(copies, "id", "left").where("component is not null or id < last")
-    rooted = rooted.select("low", "high", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(rooted, ["low", "high"]).select("doc_id", "component_id")
+    crowded = members.join(crowds, "cell").withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
+    spanned = dealt(crowded, "id").select("cell", "part", "id", "low", "high").groupBy("cell", "part").applyInPandas(spanning, "a long, b long")
+    linked = components(found.unionByName(spanned)).select(F.col("node").alias("id"), "component")
+    rooted = classes.join(linked, "id", "left").where("component is not null or id < last")
+    return prints.join(rooted.select("low", "high", F.coalesce("component", "id").alias("component")), ["low", "high"]).where("doc_id is not null")
+
+
+def dealt(rows: DataFrame, of: str) -> DataFrame:
+    """``rows``, each in one ``part`` of its group's ``parts`` by a hash of column ``of``, about
+    ``SHARED`` of the group's ``count`` rows in all of them.
+    """
+    order = F.pmod(F.xxhash64(of), F.lit(1 << 30))
+    shared = (order < SHARED * (1 << 30) / F.col("count")) & (F.col("parts") > 1)
+    return rows.withColumn("part", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array((order % F.col("parts")).cast("int")))))
+
+
+def near_copies(docs: DataFrame, crowd: int = DENSE, part_size: int = PART_SIZE) -> DataFrame:
+    """doc_id and component_id (the least doc_id reachable) of rows with a near copy: whole texts
+    whose five-word shingles are alike, four fifths or more of all in common.
+
+    Texts without a word are copies of each other; null doc_ids are left out; rows of one doc_id
+    are one document.  Candidates come from fingerprints over the *set of words*: near copies
+    differ in about one word of fifty, so these differ in one bit of fifteen at most on average,
+    while shingles' would differ in one of six.  Every link is then verified by the shingles: each
+    candidate's text goes once to its group's task, where the search tries every pair.  Groups
+    of over ``part_size`` characters are dealt in parts that share ``SHARED`` members.
+    """
+    marked = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
+    one = lambda doc_id, text, key: (doc_id, key, len(text), *wide_fingerprint(text))
+    prints = settle(per_row(marked, one, "doc_id long, key long, size long, low long, high long"))
+    rows = settle(candidates(prints, crowd).distinct())
+    groups = rows.groupBy("component").agg(F.sum("size").alias("_size"), F.count("*").alias("count"))
+    groups = groups.select("component", "count", F.greatest(F.ceil(F.col("_size") / part_size), F.lit(1)).cast("int").alias("parts"))
+    placed = dealt(rows.join(groups, "component"), "doc_id").select("component", "part", "parts", "doc_id", "key", "low", "high")
+    whole = marked.dropDuplicates(["doc_id", "key"]) if exact_repeats(docs) else marked
+    full = whole.join(placed.hint("shuffle_hash"), ["doc_id", "key"]).select("component", "part", "parts", "doc_id", "low", "high", "text")
+    sorted_ = full.repartition("component", "part").sortWithinPartitions("component", "part")
+    reached = settle(sorted_.mapInArrow(roots_in_parts, "whole boolean, a long, b long"))
+    joined = components(reached.where("not whole")).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    alone = reached.where("whole").select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
+    copies = alone.where("doc_id <> component_id")
+    return copies.unionByName(copies.select(F.col("component_id").alias("doc_id"), "component_id").distinct()).unionByName(joined)
 
 
 def drop_near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
