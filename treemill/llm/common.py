@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a text that are cut into words at a time.
 CHUNK = 1 << 20
+#: Bits of the filter by which rows are sifted before a shuffle; broadcast as 64-bit words, so at
+#: most 262,144 rows (4 MB) whatever the input.
+FILTER_BITS = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +45,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sifted(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``column`` may be the one of ``keys``, and rows where it is not.
+
+    A bitmap of hashes, made by the executors and broadcast at a bounded size; false hits are in
+    the first part, so an exact join has to follow.  A full bitmap sifts nothing and loses nothing.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
+    hashed = keys.select(place(F.col(keys.columns[0])).alias("_place"))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 AS int))")
+    words = settle(hashed.groupBy(F.expr("_place div 64").alias("_bitmap_word")).agg(F.bit_or(bit).alias("_bitmap_bits")))
+    placed = df.withColumn("_place", place(F.col(column)))
+    marked = placed.join(F.broadcast(words), F.expr("_place div 64") == F.col("_bitmap_word"), "left")
+    hit = F.coalesce(F.col("_bitmap_bits").bitwiseAND(bit) != 0, F.lit(False))
+    ours = ("_place", "_bitmap_word", "_bitmap_bits")
+    return marked.where(hit).drop(*ours), marked.where(~hit).drop(*ours)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treemill.llm.common import documents, per_row, settle, slices, texts, word_chunks
+from treemill.llm.common import documents, per_row, settle, sifted, slices, texts, word_chunks
 from treemill.llm.components import components
 from treemill.llm.exact_dedup import exact_repeats
 
@@ -309,7 +309,9 @@ def near_copies(docs: DataFrame, crowd: int = DENSE, part_size: int = PART_SIZE)
     groups = rows.groupBy("component").agg(F.sum("size").alias("_size"), F.count("*").alias("count"))
     groups = groups.select("component", "count", F.greatest(F.ceil(F.col("_size") / part_size), F.lit(1)).cast("int").alias("parts"))
     placed = dealt(rows.join(groups, "component"), "doc_id").select("component", "part", "parts", "doc_id", "key", "low", "high")
-    whole = marked.dropDuplicates(["doc_id", "key"]) if exact_repeats(docs) else marked
+    placed = settle(placed)
+    whole, _ = sifted(marked, "doc_id", placed.select("doc_id"))
+    whole = whole.dropDuplicates(["doc_id", "key"]) if exact_repeats(docs) else whole
     full = whole.join(placed.hint("shuffle_hash"), ["doc_id", "key"]).select("component", "part", "parts", "doc_id", "low", "high", "text")
     sorted_ = full.repartition("component", "part").sortWithinPartitions("component", "part")
     reached = settle(sorted_.mapInArrow(roots_in_parts, "whole boolean, a long, b long"))
@@ -324,8 +326,9 @@ def drop_near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    gone = near_copies(docs, crowd).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = settle(near_copies(docs, crowd).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    maybe, stay = sifted(docs, "doc_id", gone)
+    return maybe.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti").union(stay)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
