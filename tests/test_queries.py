@@ -1,6 +1,7 @@
 """Each query against its SQL in DuckDB on sf0.001."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from treemill.plans import catalog
@@ -19,9 +20,9 @@ def duck():
 
 def rows(df):
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
-        return round(float(x), 6) if isinstance(x, float) else int(x) if hasattr(x, "__int__") and not isinstance(x, str) else x
+        return int(x) if isinstance(x, float) and x.is_integer() else round(float(x), 6) if isinstance(x, float) else int(x) if hasattr(x, "__int__") and not isinstance(x, str) else x
 
     df = df[sorted(df.columns)]
     return sorted(map(repr, (tuple(map(plain, r)) for r in df.itertuples(index=False, name=None))))
