@@ -216,6 +216,22 @@ def test_near_copies(spark, crowd, part_size):
     assert simhash.drop_near_copies(docs, crowd).count() == len(rows) - sum(i != r for i, r in want.items())
 
 
+def test_near_copies_of_whole_blocks(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    footer, rows = words(60), []
+    for n in (90, 200, 400):
+        for common in (0.79, 0.805, 0.83, 0.86, 0.9, 0.95):
+            for kind in ("appended", "truncated", "replaced", "footer"):
+                text, more = words(n) + (footer if kind == "footer" else []), round(n * (1 / common - 1))
+                half = round(n * (1 - common) / (1 + common))
+                copy = {"appended": text + words(more), "truncated": text[: round(n * common)], "footer": text[:-more]}.get(kind)
+                rows += [text, copy or text[: n // 3] + words(half) + text[n // 3 + half :]]
+    rows = list(enumerate(map(" ".join, rows)))
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == alike_components(rows) and len(found) > 90
+
+
 def test_near_copies_odd_rows(docs):
     unique = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}

@@ -17,10 +17,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treemill.llm.common import documents, per_row, settle, sifted, slices, texts, word_chunks
+from treemill.llm.common import documents, per_row, settle, sifted, slices, stored, texts, word_chunks
 from treemill.llm.components import components
 from treemill.llm.exact_dedup import exact_repeats
 
@@ -38,6 +38,11 @@ WORDS, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
 PART_SIZE = 32 << 20
 #: Members of a cell from which it is searched instead of paired.
 DENSE = 50
+#: Shingles that the prefixes of two alike sets have in common at least, if the sets have so many.
+MEET = 3
+#: Documents whose shingles tell the frequent ones, copies there from which a shingle is one, and
+#: how many are kept; only the order of shingles hangs on them and no link does.
+LOOKED, OFTEN, MOST = 10_000, 4, 200_000
 #: Members of a crowded cell that one task takes, and those that all its parts share.
 PART, SHARED = 20_000, 200
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -291,18 +296,119 @@ def dealt(rows: DataFrame, of: str) -> DataFrame:
     return rows.withColumn("part", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array((order % F.col("parts")).cast("int")))))
 
 
+def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share: rare ones by hash, then
+    ``often`` (sorted) by ``rank``.
+
+    Two sets of n shingles or more that are alike share 4/5 n or more; of the first
+    n - 4/5 n + ``MEET`` of each, ``MEET`` at least are then common to both, whatever the order.
+    """
+    if len(often):
+        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        hit = often[at] == own
+        own = np.concatenate([own[~hit], own[hit][np.argsort(rank[at[hit]])]])
+    return own[: len(own) - -(-4 * len(own) // 5) + MEET]
+
+
+def frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of ``LOOKED`` texts, sorted, and their ranks, the rarest first."""
+    n = marked.count()
+    some = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < min(1.0, LOOKED / max(n, 1)) * (1 << 30))
+    each = some.select("text").mapInArrow(_shingle_rows, "token long")
+    top = each.groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(MOST).collect()
+    found = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], -order
+
+
+def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in slices(batch):
+            for text in rows.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["token"])
+
+
+def prefixes(marked: DataFrame, often: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """token, id and n of every shingle in a document's ``prefix``; n is the size of its set.
+
+    A row with n below 0 stands for the whole set: its token is the set's hash.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, 1 << 20):
+                tokens, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for doc_id, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                    own = shingle_set(text)
+                    first = prefix(own, often, rank)
+                    tokens += [np.array([xxh3_64_intdigest(own.tobytes(), SEED)], np.uint64), first]
+                    ids.append(np.full(len(first) + 1, doc_id, np.int64))
+                    sizes.append(np.append(-1 - len(own), np.full(len(first), len(own))))
+                columns = [np.concatenate(tokens).view(np.int64), np.concatenate(ids), np.concatenate(sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "id", "n"])
+
+    return marked.select("doc_id", "text").mapInArrow(run, "token long, id long, n long")
+
+
+def shared_by(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose token has two or more values of ``column``."""
+    same = Window.partitionBy("token")
+    found = rows.withColumn("_least", F.min(column).over(same)).withColumn("_most", F.max(column).over(same))
+    return found.where("_least <> _most").drop("_least", "_most")
+
+
+def all_near_copies(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id and component_id over all links: those of ``known`` (doc_id, component_id) and, by
+    an exact search, every one between two of its components or documents outside them.
+
+    Documents of one component need no further link, so a large group of copies is not paired.
+    """
+    marked = marked.where("doc_id is not null")
+    met = settle(shared_by(prefixes(marked, *frequent(marked)), "id"))
+    wholes = met.where("n < 0")
+    equal = wholes.join(wholes.groupBy("token", "n").agg(F.min("id").alias("b")), ["token", "n"]).select(F.col("id").alias("a"), "b")
+    joined = components(known.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(equal))
+    joined = settle(joined.select(F.col("node").alias("id"), F.col("component").alias("root")))
+    rooted = met.where("n > 0").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = settle(shared_by(rooted, "root"))
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
+    on &= 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")
+    pairs = rooted.alias("a").join(rooted.alias("b"), on).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.least("a.n", "b.n").alias("n")).count()
+    pairs = settle(pairs.where(F.col("count") >= F.least(F.lit(MEET), "n")).select("a", "b").distinct())
+    ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    maybe, _ = sifted(marked, "doc_id", ids)
+    whole = maybe.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "text")
+    sets = stored(per_row(whole, lambda i, text: (i, shingle_set(text).tobytes()), "id long, shingles binary"))
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+    shingles = lambda data: np.frombuffer(data, np.uint64)
+    judged = per_row(both, lambda a, b, x, y: (a, b, bool(alike(shingles(x), [shingles(y)])[0])), "a long, b long, near boolean")
+    links = joined.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(judged.where("near").select("a", "b"))
+    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
 def near_copies(docs: DataFrame, crowd: int = DENSE, part_size: int = PART_SIZE) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable) of rows with a near copy: whole texts
     whose five-word shingles are alike, four fifths or more of all in common.
 
     Texts without a word are copies of each other; null doc_ids are left out; rows of one doc_id
-    are one document.  Candidates come from fingerprints over the *set of words*: near copies
+    are one document.  ``close_copies`` joins most groups; ``all_near_copies`` then finds every
+    link that it left out, so no limit of its search decides what is found.
+    """
+    marked = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
+    return all_near_copies(marked, settle(close_copies(docs, marked, crowd, part_size)))
+
+
+def close_copies(docs: DataFrame, marked: DataFrame, crowd: int, part_size: int) -> DataFrame:
+    """doc_id and component_id over links between texts whose fingerprints are near, a part of all.
+
+    Candidates come from fingerprints over the *set of words*: near copies whose edits are scattered
     differ in about one word of fifty, so these differ in one bit of fifteen at most on average,
     while shingles' would differ in one of six.  Every link is then verified by the shingles: each
     candidate's text goes once to its group's task, where the search tries every pair.  Groups
     of over ``part_size`` characters are dealt in parts that share ``SHARED`` members.
     """
-    marked = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
     one = lambda doc_id, text, key: (doc_id, key, len(text), *wide_fingerprint(text))
     prints = settle(per_row(marked, one, "doc_id long, key long, size long, low long, high long"))
     rows = settle(candidates(prints, crowd).distinct())
