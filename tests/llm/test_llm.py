@@ -83,6 +83,15 @@ def test_mix(docs):
     assert mixing.mixed_texts(docs).columns == docs.columns
 
 
+def test_mix_reaches_the_targets_of_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 20)  # large blocks, as a large corpus has
+    sizes = {"big": (60, 1000), "s1": (1, 10), "s2": (5, 20), "s3": (40, 50), None: (3, 7)}
+    rows = [(f"{name} {k}", name, n) for name, (count, n) in sizes.items() for k in range(count)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), name) for i, (_, name, n) in enumerate(rows)], "doc_id long, text string, source string")
+    found = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(found) == 5 and all(r.taken > 0 and abs(r.taken - r.target) <= 1 for r in found)
+
+
 def test_text_stats():
     text = "a b c a b c\n# x |\n# x |\n\n \n"
     n, chars, symbols, dup, rep, *_ = quality_rules.text_stats(text)
@@ -232,6 +241,21 @@ def test_near_copies_of_whole_blocks(spark):
     assert found == alike_components(rows) and len(found) > 90
 
 
+def test_near_copies_in_different_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARED", 0)
+    monkeypatch.setattr(simhash, "PART", 3)
+    rng = np.random.default_rng(9)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for _ in range(12):  # twelve pairs in one candidate group, each like nothing but its partner
+        text = list(base)
+        for at in rng.choice(200, 14, replace=False):
+            text[int(at)] = f"e{rng.integers(1 << 40)}"
+        rows += [" ".join(text), " ".join(text[:-1] + ["end"])]
+    rows = list(enumerate(rows))
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 2, 1500).collect()}
+    assert found == alike_components(rows) and len(found) == len(rows) and len(set(found.values())) > 6
+
+
 def test_near_copies_odd_rows(docs):
     unique = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}

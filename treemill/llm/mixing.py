@@ -3,7 +3,9 @@
 Slot ``i`` of the mix holds one block of ``block`` words.  The golden-ratio point
 ``frac((i + 1) * phi)`` falls into one source's share of [0, 1), so every stretch of the
 schedule is near the weights.  The n-th slot of a source takes the n-th block of its documents,
-which are laid end to end in a hashed order, and starts over after the last block.
+which are laid end to end in a hashed order, and starts over after the last block.  After the
+last slot a source takes its next words, or gives back its last ones, up to its target: a source
+of less than a block has few slots or none.
 
 Ranks and running sums are made in two levels (within a bounded bucket, then over the buckets),
 so no source has to fit into one task.
@@ -11,7 +13,7 @@ so no source has to fit into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.llm.common import WORD, documents, settle
@@ -95,10 +97,19 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int, few: bool = Tr
     return found.withColumn("inside", inside).join(runs, ["number", "run"]).select("slot", "number", (F.col("before") + F.col("inside")).alias("rank"))
 
 
+def taken_first(words: Column) -> Column:
+    """How many of the first ``words`` of a source, which starts over at its end, are the row's."""
+    rounds = F.floor(words / F.col("source_size"))
+    left = words - rounds * F.col("source_size")
+    inside = F.greatest(F.least(F.col("start") + F.col("size"), left) - F.col("start"), F.lit(0))
+    return F.when(F.col("source_size") > 0, rounds * F.col("size") + inside).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST, seed: int = 11) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, start.
 
-    ``taken`` counts the words that the schedule takes from the document, repeats included;
+    ``taken`` counts the words that the mix takes from the document, repeats included; a source's
+    add up to its target, rounded;
     ``start`` is its place in its source's order.  Null texts have no words and are taken 0
     times; a null source is a source of its own.  A corpus without words gives targets of 0.
     """
@@ -117,12 +128,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
     pieces = spots.withColumn("block", F.explode_outer(blocks))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     pieces = pieces.withColumn("words", overlap)
-    sizes = sources.select("number", F.ceil(F.col("source_size") / block).alias("blocks"))
+    sizes = sources.select("number", "source_size", F.ceil(F.col("source_size") / block).alias("blocks"))
     slotted = schedule(spark, sources, slots, few).join(F.broadcast(sizes) if few else sizes, "number").where(F.col("rank") < most * F.col("blocks"))
-    passes = slotted.groupBy("number", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("passes"))
+    passes = settle(slotted.groupBy("number", (F.col("rank") % F.col("blocks")).alias("block"), "source_size").agg(F.count("*").alias("passes")))
+    filled = F.least(F.lit(block), F.col("source_size") - F.col("block") * block) * F.col("passes")
+    slotted_words = passes.groupBy("number").agg(F.sum(filled).alias("slotted"))
+    known = settle(sources.join(slotted_words, "number", "left").fillna(0, ["slotted"]))
+    known = F.broadcast(known) if few else known
     taken = F.coalesce(F.sum(F.col("words") * F.col("passes")), F.lit(0)).cast("long").alias("taken")
-    found = pieces.join(passes, ["number", "block"], "left").groupBy("row", "number", "doc_id", "size", "start").agg(taken)
-    return found.join(known, "number").select("doc_id", "source", "size", "source_size", "target", "taken", "start")
+    found = pieces.join(passes.drop("source_size"), ["number", "block"], "left").groupBy("row", "number", "doc_id", "size", "start").agg(taken)
+    rest = taken_first(F.round("target").cast("long")) - taken_first(F.col("slotted"))
+    return found.join(known, "number").select("doc_id", "source", "size", "source_size", "target", (F.col("taken") + rest).cast("long").alias("taken"), "start")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
