@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from treemill.plans import catalog
+from treemill.sources.adapter import Treebank
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents benchmark events lineitem".split()
@@ -46,6 +47,11 @@ def test_alignment_without_punctuation_only_deletes(spark):
     assert found["sum(inserted)"] == 0 and found["sum(deleted)"] > 0
 
 
+def test_alignment_takes_every_sentence(spark):
+    want = {r.sent_id for r in Treebank(spark, DATA).tokens.where("pos <> 'PUN'").select("sent_id").distinct().collect()}
+    assert {r.sent_id for r in catalog.QUERIES["aligned_edits"](spark, DATA).select("sent_id").collect()} == want
+
+
 def test_import_without_a_session():
     import subprocess
     import sys
