@@ -270,16 +270,34 @@ def test_components(spark):
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def without_repeats(rows):
+    """(doc_id, n_words, n_removed, digest of what is kept) of each (doc_id, text), sorted."""
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    seen = collections.Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
+    out = []
+    for doc_id, w in words:
+        gone = set()
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        out.append((doc_id or 0, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+def removed(found):
+    return sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect())
+
+
 def test_substring_dedup(docs):
-    rows = docs.select("doc_id", "text").collect()
-    words = [re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in rows]
-    seen = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
-    want = []
-    for r, w in zip(rows, words, strict=True):
-        gone = {k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
-        want.append((r.doc_id or 0, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
-    found = substring_dedup.substring_dedup(docs, digest=True).collect()
-    assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(want)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert removed(substring_dedup.substring_dedup(docs, digest=True)) == without_repeats(rows)
+
+
+@pytest.mark.parametrize("bucket", [400_000, 300])
+def test_substring_dedup_of_a_whole_table(spark, monkeypatch, bucket):
+    monkeypatch.setattr(substring_dedup, "BUCKET", bucket)  # small ones: over a thousand buckets
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert removed(substring_dedup.op4(spark, "/root/testdata/sf0.01")) == without_repeats(rows)
 
 
 def test_language_id(spark):

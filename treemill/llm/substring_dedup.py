@@ -7,8 +7,10 @@ windows show as a block of one document that equals a rolling stretch of the oth
 1. Anchors.  All rolling stretches of ``BLOCK`` words probe the index of blocks.  Both are hashed in
    each task with numpy and dealt by hash; a stretch is a hit if it occurs twice or more and
    one occurrence is a block.
-2. Extension.  Around the hits the windows of ``WINDOW`` words are hashed (80 bits) and dealt
-   again; those that occur twice or more are repeats, and runs of them are the maximal repeats.
+2. Extension.  Around the hits the windows of ``WINDOW`` words are hashed (128 bits, from two
+   independent hashes of every word) and dealt again; those that occur twice or more are repeats,
+   and runs of them are the maximal repeats.  Among 1e13 windows the expected number of unequal
+   ones with equal hashes is below 1e-12.
 3. The words under a repeat are removed.
 
 A task sends each hash once, with its place if it saw it once; if it saw it more often, its
@@ -22,7 +24,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,14 @@ from treemill.llm.common import documents, per_row, slices, stored, texts
 
 WINDOW, BLOCK = 35, 18
 #: Bytes of text that a task hashes at a time; entries that a task looks through at a time.
-CHUNK, BUCKET = 8 << 20, 2_500_000
+CHUNK, BUCKET = 4 << 20, 400_000
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+SEEDS = 0, 0x5851F42D
 #: Bits of a stretch's hash beyond those that number the blocks; one stretch in 2 ** SPARE is a
-#: hit by chance, which the windows' 80 bits put right.
+#: hit by chance, which the windows' 128 bits put right.
 SPARE = 13
-ENTRY = "bucket int, n int, keys binary, sizes binary, hashes binary, places binary, hits binary"
+ENTRY = "bucket long, n int, keys binary, sizes binary, hashes binary, places binary, hits binary"
+FOUND = "key long, places binary"
 
 
 def closed(text: str | None) -> bytes | None:
@@ -52,10 +55,11 @@ def opened(data: bytes | None) -> str | None:
     return None if data is None else zstandard.ZstdDecompressor().decompress(data).decode()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, seed: int = SEEDS[0]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.array(list(map(xxh64_intdigest, (text or "").encode().split())), np.uint64)
+    words = (text or "").encode().split()
+    return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
 def rolling(words: np.ndarray, length: int, base: int) -> np.ndarray:
@@ -98,14 +102,14 @@ def unpacked(data: bytes, size: int, n: int) -> np.ndarray:
     return found.view("<u8").ravel()
 
 
-def chunks(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """Rows of whole texts, in lists of about ``CHUNK`` bytes."""
+def chunks(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...], most: int) -> Iterator[list[tuple]]:
+    """Rows of whole texts, in lists of about ``most`` bytes."""
     held, size = [], 0
     for batch in batches:
-        for part in slices(batch, CHUNK // 4):
+        for part in slices(batch, most // 4):
             held += zip(*(part.column(c).to_pylist() for c in columns), strict=True)
             size += part.nbytes
-            if size >= CHUNK:
+            if size >= most:
                 yield held
                 held, size = [], 0
     if held:
@@ -120,9 +124,12 @@ def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarr
     """
     if not len(at):
         return None
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
     h, p = first[order], at[order]
     new = np.r_[True, h[1:] != h[:-1]]
+    if second is not None:
+        second = second[order]
+        new[1:] |= second[1:] != second[:-1]
     start = np.flatnonzero(new)
     count = np.diff(np.r_[start, len(h)])
     many = np.repeat(count > 1, count)
@@ -133,26 +140,28 @@ def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarr
         block = ((p - own_start[doc[p]]) % BLOCK == 0).astype(np.uint64)
         extra = np.maximum.reduceat(block, start)
     else:
-        extra = second[order][start] >> np.uint64(48)
-    distinct, places = h[start], p[start].astype(np.uint64) + np.uint64(1)
-    places[count > 1] = 0
-    bucket = (distinct >> np.uint64(bits - 16)) * np.uint64(buckets) >> np.uint64(16)
+        extra = second[start]
+    distinct, places, single = h[start], p[start], count == 1
+    # the top 32 bits deal the hashes, so the number of buckets may grow with the input
+    top = distinct >> np.uint64(max(0, bits - 32))
+    bucket = (top * np.uint64(buckets) >> np.uint64(min(bits, 32))).astype(np.int64)
     rows: list[list] = [[], [], [], [], [], [], []]
     turn = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[turn], np.arange(buckets + 1))
-    table = zip_table(keys, sizes)
-    for b in range(buckets):
-        mine = turn[edges[b] : edges[b + 1]]
-        if not len(mine):
-            continue
+    edges = np.flatnonzero(np.r_[True, np.diff(bucket[turn]) != 0, True])
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        mine = turn[a:b]
+        # only the documents that have a place here, as if they alone were laid end to end
+        docs, which = np.unique(doc[places[mine]], return_inverse=True)
+        moved = np.r_[0, np.cumsum(sizes[docs])[:-1]] - own_start[docs]
+        place = np.where(single[mine], places[mine] + moved[which] + 1, 0).astype(np.uint64)
         hashes = packed(distinct[mine], -(-bits // 8))
-        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[mine], 2 if second is not None else 1)
-        for column, value in zip(rows, (b, len(mine), *table, hashes, packed(places[mine], 4), b""), strict=True):
+        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[mine], 8 if second is not None else 1)
+        for column, value in zip(rows, (int(bucket[mine[0]]), len(mine), *zip_table(keys[docs], sizes[docs]), hashes, packed(place, 5), b""), strict=True):
             column.append(value)
     if len(repeated):
-        for column, value in zip(rows, (0, 0, *table, b"", b"", repeated.astype("<u4").tobytes()), strict=True):
+        for column, value in zip(rows, (-1, 0, *zip_table(keys, sizes), b"", b"", repeated.astype("<u4").tobytes()), strict=True):
             column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "n", "keys", "sizes", "hashes", "places", "hits"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "n", "keys", "sizes", "hashes", "places", "hits"])
 
 
 def zip_table(keys: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
@@ -181,49 +190,73 @@ def by_document(keys: bytes, sizes: bytes, places: np.ndarray) -> Iterator[tuple
         yield int(key[doc[a]]), listed(places[a:b] - start[doc[a]])
 
 
-def shared(group: pd.DataFrame, anchors: bool, bits: int) -> pd.DataFrame:
-    """The places of one bucket's hashes that occur twice or more (``anchors``: one in a block)."""
-    out = []
-    group = group[group["n"] > 0].reset_index(drop=True)
-    hashes, extras, single = [], [], []
-    for data, places, n in zip(group["hashes"], group["places"], group["n"], strict=True):
+def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[int, bytes]]:
+    """key and places of one bucket's hashes that occur twice or more (``anchors``: one in a block);
+    ``rows`` are (n, keys, sizes, hashes, places) of the chunks that sent some.
+    """
+    n = np.array([r[0] for r in rows], np.int64)
+    ends = np.cumsum(n)
+    h, extra, place = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint8 if anchors else np.uint64), np.empty(ends[-1], np.int64)
+    for (count, _, _, data, at, *_), end in zip(rows, ends, strict=True):
         cut = 4 + int.from_bytes(data[:4], "little")
-        hashes.append(unpacked(data[4:cut], -(-bits // 8), n))
-        extras.append(unpacked(data[cut:], 1 if anchors else 2, n))
-        single.append(unpacked(places, 4, n).astype(np.uint32))
-    if hashes:
-        h, extra, place = np.concatenate(hashes), np.concatenate(extras), np.concatenate(single)
-        row = np.repeat(np.arange(len(group), dtype=np.int32), group["n"])
-        order = np.argsort(h, kind="stable") if anchors else np.lexsort((extra, h))
-        h, extra = h[order], extra[order]
-        new = np.r_[True, h[1:] != h[:-1]] if anchors else np.r_[True, (h[1:] != h[:-1]) | (extra[1:] != extra[:-1])]
-        start = np.flatnonzero(new)
-        total = np.add.reduceat(np.where(place[order] == 0, 2, 1), start)
-        hit = total > 1
-        if anchors:
-            hit &= np.maximum.reduceat(extra, start) > 0
-        found = order[np.repeat(hit, np.diff(np.r_[start, len(h)]))]
-        found = found[place[found] > 0]
-        found = found[np.argsort(row[found], kind="stable")]
-        edges = np.searchsorted(row[found], np.arange(len(group) + 1))
-        for i in range(len(group)):
-            mine = place[found[edges[i] : edges[i + 1]]].astype(np.int64) - 1
-            out += by_document(group["keys"][i], group["sizes"][i], mine)
-    return pd.DataFrame(out, columns=["key", "places"])
+        h[end - count : end] = unpacked(data[4:cut], -(-bits // 8), count)
+        extra[end - count : end] = unpacked(data[cut:], 1 if anchors else 8, count)
+        place[end - count : end] = unpacked(at, 5, count).view(np.int64)
+    order = np.argsort(h, kind="stable") if anchors else np.lexsort((extra, h))
+    h, extra = h[order], extra[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    if not anchors:
+        new[1:] |= extra[1:] != extra[:-1]
+    start = np.flatnonzero(new)
+    hit = np.add.reduceat(np.where(place[order] == 0, 2, 1), start) > 1
+    if anchors:
+        hit &= np.maximum.reduceat(extra, start) > 0
+    found = np.sort(order[np.repeat(hit, np.diff(np.r_[start, len(h)]))])
+    found = found[place[found] > 0]
+    out = []
+    for row, a, b in zip(rows, np.searchsorted(found, ends - n), np.searchsorted(found, ends), strict=True):
+        out += by_document(row[1], row[2], place[found[a:b]] - 1)
+    return out
+
+
+def looked_through(anchors: bool, bits: int):
+    """A function of batches sorted by bucket: ``FOUND`` rows, one bucket in memory at a time."""
+
+    def answer(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        own = [x for _, k, s, _, _, hits in rows if bucket < 0 for x in by_document(k, s, np.frombuffer(hits, "<u4"))]
+        found = own if bucket < 0 else shared(rows, anchors, bits)
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["key", "places"])
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part in slices(batch):
+                for bucket, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if held and (bucket != now or bucket < 0):
+                        yield answer(now, held)
+                        held = []
+                    now = bucket
+                    held.append(tuple(row))
+        if held:
+            yield answer(now, held)
+
+    return look
 
 
 def dealt(rows: DataFrame, size: int, anchors: bool) -> DataFrame:
     """key and places of the stretches (``anchors``) or windows of ``rows`` that are shared.
 
     ``rows`` has key and text; for windows also hits, the places of shared stretches, and the text
-    compressed.  ``size`` is the number of bytes of all texts.
+    compressed.  ``size`` is the number of bytes of all texts; the number of buckets follows it.
     """
-    buckets = min(max(64, size // 6 // BUCKET + 1), 1 << 16)
+    buckets = max(64, size // 6 // BUCKET + 1)
     bits = min(64, (size // 6 // BLOCK + 1).bit_length() + SPARE) if anchors else 64
 
     def send(batches):
-        for held in chunks(batches, ("key", "text") if anchors else ("key", "text", "hits")):
-            words = [word_hashes(r[1] if anchors else opened(r[1])) for r in held]
+        # compressed texts are about a third as long
+        for held in chunks(batches, ("key", "text"), CHUNK) if anchors else chunks(batches, ("key", "text", "hits"), CHUNK // 3):
+            texts_ = [r[1] if anchors else opened(r[1]) for r in held]
+            words = [word_hashes(t) for t in texts_]
             sizes = np.array([len(w) for w in words], np.int64)
             joined = np.concatenate(words)
             length = BLOCK if anchors else WINDOW
@@ -240,19 +273,18 @@ def dealt(rows: DataFrame, size: int, anchors: bool) -> DataFrame:
             first = rolling(joined, length, BASES[0])[at] if len(at) else at.astype(np.uint64)
             if anchors:
                 first = first >> np.uint64(64 - bits)
-            second = None if anchors or not len(at) else rolling(joined, length, BASES[1])[at]
+            second = None
+            if not anchors:
+                joined = np.concatenate([word_hashes(t, SEEDS[1]) for t in texts_])
+                second = rolling(joined, length, BASES[1])[at] if len(at) else first
             keys = np.array([r[0] for r in held], np.int64)
             if (found := entries(keys, sizes, at, first, second, buckets, bits)) is not None:
                 yield found
 
-    def look(group: pd.DataFrame) -> pd.DataFrame:
-        own = [p for k, s, h in zip(group["keys"], group["sizes"], group["hits"], strict=True) if len(h) for p in by_document(k, s, np.frombuffer(h, "<u4"))]
-        return pd.concat([shared(group, anchors, bits), pd.DataFrame(own, columns=["key", "places"])]) if own else shared(group, anchors, bits)
-
-    # what a task found by itself has no bucket; it is dealt over as many groups again
-    alone = -1 - F.pmod(F.xxhash64("hits"), F.lit(buckets)).cast("int")
-    sent = rows.mapInArrow(send, ENTRY).withColumn("bucket", F.when(F.col("n") == 0, alone).otherwise(F.col("bucket")))
-    return sent.groupBy("bucket").applyInPandas(look, "key long, places binary")
+    # what a task found by itself has no bucket; it is dealt by its content
+    deal = F.when(F.col("n") == 0, F.xxhash64("hits")).otherwise(F.xxhash64("bucket"))
+    sent = rows.mapInArrow(send, ENTRY).withColumn("_deal", deal)
+    return sent.repartition("_deal").drop("_deal").sortWithinPartitions("bucket").mapInArrow(looked_through(anchors, bits), FOUND)
 
 
 def gathered(found: DataFrame) -> DataFrame:
