@@ -7,10 +7,10 @@ windows show as a block of one document that equals a rolling stretch of the oth
 1. Anchors.  All rolling stretches of ``BLOCK`` words probe the index of blocks.  Both are hashed in
    each task with numpy and dealt by hash; a stretch is a hit if it occurs twice or more and
    one occurrence is a block.
-2. Extension.  Around the hits the windows of ``WINDOW`` words are hashed (128 bits, from two
+2. Extension.  Around the hits the windows of ``WINDOW`` words are hashed (104 bits, from two
    independent hashes of every word) and dealt again; those that occur twice or more are repeats,
    and runs of them are the maximal repeats.  Among 1e13 windows the expected number of unequal
-   ones with equal hashes is below 1e-12.
+   ones with equal hashes is below 1e-5.
 3. The words under a repeat are removed.
 
 A task sends each hash once, with its place if it saw it once; if it saw it more often, its
@@ -32,11 +32,13 @@ from treemill.llm.common import documents, per_row, slices, stored, texts
 
 WINDOW, BLOCK = 35, 18
 #: Bytes of text that a task hashes at a time; entries that a task looks through at a time.
-CHUNK, BUCKET = 4 << 20, 400_000
+CHUNK, BUCKET = 6 << 20, 1_500_000
+#: Places that a task gathers over its buckets before it hands them out by document.
+GATHER = 1_000_000
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SEEDS = 0, 0x5851F42D
 #: Bits of a stretch's hash beyond those that number the blocks; one stretch in 2 ** SPARE is a
-#: hit by chance, which the windows' 128 bits put right.
+#: hit by chance, which the windows' 104 bits put right.
 SPARE = 13
 ENTRY = "bucket long, n int, keys binary, sizes binary, hashes binary, places binary, hits binary"
 FOUND = "key long, places binary"
@@ -129,7 +131,7 @@ def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarr
     new = np.r_[True, h[1:] != h[:-1]]
     if second is not None:
         second = second[order]
-        new[1:] |= second[1:] != second[:-1]
+        new[1:] |= (second[1:] ^ second[:-1]) >> np.uint64(24) > 0
     start = np.flatnonzero(new)
     count = np.diff(np.r_[start, len(h)])
     many = np.repeat(count > 1, count)
@@ -140,7 +142,7 @@ def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarr
         block = ((p - own_start[doc[p]]) % BLOCK == 0).astype(np.uint64)
         extra = np.maximum.reduceat(block, start)
     else:
-        extra = second[start]
+        extra = second[start] >> np.uint64(24)
     distinct, places, single = h[start], p[start], count == 1
     # the top 32 bits deal the hashes, so the number of buckets may grow with the input
     top = distinct >> np.uint64(max(0, bits - 32))
@@ -155,7 +157,7 @@ def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarr
         moved = np.r_[0, np.cumsum(sizes[docs])[:-1]] - own_start[docs]
         place = np.where(single[mine], places[mine] + moved[which] + 1, 0).astype(np.uint64)
         hashes = packed(distinct[mine], -(-bits // 8))
-        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[mine], 8 if second is not None else 1)
+        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[mine], 5 if second is not None else 1)
         for column, value in zip(rows, (int(bucket[mine[0]]), len(mine), *zip_table(keys[docs], sizes[docs]), hashes, packed(place, 5), b""), strict=True):
             column.append(value)
     if len(repeated):
@@ -178,19 +180,24 @@ def owners(keys: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unpacked(keys, 8, n).view(np.int64)), np.r_[0, np.cumsum(size)[:-1]]
 
 
-def by_document(keys: bytes, sizes: bytes, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(key, places within the document) of places within a chunk."""
-    if not len(places):
-        return
+def located(keys: bytes, sizes: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places within the documents of places within a chunk."""
     key, start = owners(keys, sizes)
-    places = np.sort(places.astype(np.int64))
     doc = np.searchsorted(start, places, "right") - 1
-    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    for a, b in zip(edge, np.r_[edge[1:], len(doc)], strict=True):
-        yield int(key[doc[a]]), listed(places[a:b] - start[doc[a]])
+    return key[doc], places - start[doc]
 
 
-def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[int, bytes]]:
+def by_document(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """``FOUND`` rows of keys and places."""
+    key, place = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
+    lists = [listed(place[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), pa.array(lists, pa.binary())], ["key", "places"])
+
+
+def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """key and places of one bucket's hashes that occur twice or more (``anchors``: one in a block);
     ``rows`` are (n, keys, sizes, hashes, places) of the chunks that sent some.
     """
@@ -200,7 +207,7 @@ def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[int, bytes
     for (count, _, _, data, at, *_), end in zip(rows, ends, strict=True):
         cut = 4 + int.from_bytes(data[:4], "little")
         h[end - count : end] = unpacked(data[4:cut], -(-bits // 8), count)
-        extra[end - count : end] = unpacked(data[cut:], 1 if anchors else 8, count)
+        extra[end - count : end] = unpacked(data[cut:], 1 if anchors else 5, count)
         place[end - count : end] = unpacked(at, 5, count).view(np.int64)
     order = np.argsort(h, kind="stable") if anchors else np.lexsort((extra, h))
     h, extra = h[order], extra[order]
@@ -215,30 +222,35 @@ def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[int, bytes
     found = found[place[found] > 0]
     out = []
     for row, a, b in zip(rows, np.searchsorted(found, ends - n), np.searchsorted(found, ends), strict=True):
-        out += by_document(row[1], row[2], place[found[a:b]] - 1)
+        if a < b:
+            out.append(located(row[1], row[2], place[found[a:b]] - 1))
     return out
 
 
 def looked_through(anchors: bool, bits: int):
-    """A function of batches sorted by bucket: ``FOUND`` rows, one bucket in memory at a time."""
+    """A function of batches sorted by bucket: ``FOUND`` rows.  One bucket is in memory at a time, and
+    up to ``GATHER`` places of those before it.
+    """
 
-    def answer(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        own = [x for _, k, s, _, _, hits in rows if bucket < 0 for x in by_document(k, s, np.frombuffer(hits, "<u4"))]
-        found = own if bucket < 0 else shared(rows, anchors, bits)
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["key", "places"])
+    def answer(bucket: int, rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if bucket < 0:
+            return [located(k, s, np.frombuffer(hits, "<u4").astype(np.int64)) for _, k, s, _, _, hits in rows]
+        return shared(rows, anchors, bits)
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, found = None, [], []
         for batch in batches:
             for part in slices(batch):
                 for bucket, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if held and (bucket != now or bucket < 0):
-                        yield answer(now, held)
+                        found += answer(now, held)
                         held = []
+                        if sum(len(f[0]) for f in found) > GATHER:
+                            yield by_document(found)
+                            found = []
                     now = bucket
                     held.append(tuple(row))
-        if held:
-            yield answer(now, held)
+        yield by_document(found + (answer(now, held) if held else []))
 
     return look
 
