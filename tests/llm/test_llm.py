@@ -192,21 +192,23 @@ def shingles(text):
 
 
 def alike_components(rows):
-    """The least doc_id reachable over pairs with four fifths of their shingles in common."""
-    sets = {i: shingles(t) for i, t in rows}
+    """The least doc_id reachable over pairs with four fifths of their shingles in common, or
+    fingerprints that differ in two bits or fewer.
+    """
+    sets, prints = {i: shingles(t) for i, t in rows}, {i: brute_print(t) for i, t in rows}
     root = {i: i for i in sets}
     for i in sorted(sets):
         todo = [i] if root[i] == i else []
         while todo:
             a = todo.pop()
-            new = [b for b in sets if b > i and root[b] == b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            new = [b for b in sets if b > i and root[b] == b and (5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2)]
             root |= dict.fromkeys(new, i)
             todo += new
     return {i: r for i, r in root.items() if r != i or list(root.values()).count(i) > 1}
 
 
-@pytest.mark.parametrize(("crowd", "part_size"), [(50, 1 << 20), (2, 1 << 20), (50, 5000)])
-def test_near_copies(spark, crowd, part_size):
+@pytest.mark.parametrize("crowd", [50, 2])
+def test_near_copies(spark, crowd):
     rng = np.random.default_rng(6)
     words = [f"word{i}" for i in range(5000)]
     rows = []
@@ -219,7 +221,7 @@ def test_near_copies(spark, crowd, part_size):
             rows.append(" ".join(copy))
     rows += [" ".join(sorted(rows[0].split())), " ".join(sorted(rows[0].split(), reverse=True))]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, crowd, part_size).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, crowd).collect()}
     want = alike_components(list(enumerate(rows)))
     assert len(want) >= 48 and found == want
     assert simhash.drop_near_copies(docs, crowd).count() == len(rows) - sum(i != r for i, r in want.items())
@@ -241,19 +243,23 @@ def test_near_copies_of_whole_blocks(spark):
     assert found == alike_components(rows) and len(found) > 90
 
 
-def test_near_copies_in_different_parts(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARED", 0)
-    monkeypatch.setattr(simhash, "PART", 3)
+def test_near_copies_of_large_groups(spark):
+    """Thousands of links: hundreds of copies of one base that are alike in part only, and pairs
+    within a group that are like nothing but their partner.
+    """
     rng = np.random.default_rng(9)
     base, rows = [f"b{i}" for i in range(200)], []
-    for _ in range(12):  # twelve pairs in one candidate group, each like nothing but its partner
-        text = list(base)
-        for at in rng.choice(200, 14, replace=False):
-            text[int(at)] = f"e{rng.integers(1 << 40)}"
-        rows += [" ".join(text), " ".join(text[:-1] + ["end"])]
-    rows = list(enumerate(rows))
-    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 2, 1500).collect()}
-    assert found == alike_components(rows) and len(found) == len(rows) and len(set(found.values())) > 6
+    for n, edits in ((300, 3), (60, 12)):
+        for _ in range(n):
+            text = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                text[int(at)] = f"e{rng.integers(1 << 40)}"
+            rows += [text] + [text[:-1] + ["end"]] * (edits == 12)
+    rows = list(enumerate(map(" ".join, rows)))
+    want = alike_components(rows)
+    for crowd in (50, 4):
+        found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), crowd).collect()}
+        assert found == want and len(set(want.values())) > 10
 
 
 def test_near_copies_odd_rows(docs):

@@ -11,40 +11,29 @@ Only distinct fingerprints are joined; copies of a text have one fingerprint.
 
 from __future__ import annotations
 
-import heapq
+import functools
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treemill.llm.common import documents, per_row, settle, sifted, slices, stored, texts, word_chunks
 from treemill.llm.components import components
-from treemill.llm.exact_dedup import exact_repeats
 
 SEGMENTS, RADIUS, SHINGLE = 16, 2, 3
 SEED = 42
 #: Fingerprints in a cell from which it is divided.
 CROWD = 200
-#: For near copies (see ``near_copies``): bands of 32 bits, differing bits of all 128 at most.
-BANDS, APART = 4, 18
-#: Bits beyond which no shingles are compared.
-FAR = 28
-#: Words of a shingle, and the factor that joins their hashes.
+#: Words of a shingle of near copies, and the factor that joins their hashes.
 WORDS, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
-#: Characters of text that are verified at a time.
-PART_SIZE = 32 << 20
-#: Members of a cell from which it is searched instead of paired.
+#: Documents that share a shingle from which they are dealt into cells instead of paired.
 DENSE = 50
-#: Shingles that the prefixes of two alike sets have in common at least, if the sets have so many.
-MEET = 3
 #: Documents whose shingles tell the frequent ones, copies there from which a shingle is one, and
 #: how many are kept; only the order of shingles hangs on them and no link does.
-LOOKED, OFTEN, MOST = 10_000, 4, 200_000
-#: Members of a crowded cell that one task takes, and those that all its parts share.
-PART, SHARED = 20_000, 200
+LOOKED, OFTEN, MOST = 10_000, 3, 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -143,49 +132,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD)
     return prints.join(rooted.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def wide_fingerprint(text: str | None) -> tuple[int, int]:
-    """128 bits as two signed longs, over the set of the text's words, A-Z in lower case."""
-    from xxhash import xxh3_128_digest
-
-    seen: set[bytes] = set()
-    for words in word_chunks((text or "").encode().translate(LOWER)):
-        seen.update(words)
-    if not seen:
-        return 0, 0
-    sums = np.zeros(128, np.int64)
-    found = list(seen)
-    for at in range(0, len(found), 1 << 16):
-        hashes = b"".join(xxh3_128_digest(w, SEED) for w in found[at : at + (1 << 16)])
-        sums += _bit_sums(np.frombuffer(hashes, np.uint8), 128)
-    low, high = np.packbits(2 * sums > len(found), bitorder="little").view("<i8")
-    return int(low), int(high)
-
-
-def spanning(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links that join the same members of a crowded cell as all pairs would: a search from
-    each member that is not reached yet, least first, one link for each one reached.
-    """
-    rows = rows.drop_duplicates("id").sort_values("id")
-    ids, bits = rows["id"].to_numpy(), rows[["low", "high"]].to_numpy().view(np.uint64)
-    open_ = np.ones(len(ids), bool)
-    a, b = [], []
-    for start in range(len(ids)):
-        if not open_[start]:
-            continue
-        open_[start] = False
-        todo = [start]
-        while todo and open_.any():
-            at = heapq.heappop(todo)
-            rest = np.flatnonzero(open_)
-            near = rest[np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1) <= APART]
-            open_[near] = False
-            for k in near.tolist():
-                heapq.heappush(todo, k)
-            a += [ids[at]] * len(near)
-            b += ids[near].tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-
 def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles, A-Z in lower case.
 
@@ -211,103 +157,15 @@ def alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return 5 * both >= 4 * (len(own) + sizes - both)
 
 
-def verified(ids: np.ndarray, bits: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """For each member of a candidate group the least id it reaches over links of alike shingles,
-    itself included, by a search from each member not reached yet.
-
-    Shingles are compared where fingerprints, sizes and bucket counts allow a link.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    counts = np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) for s in sets]).astype(np.int32)
-    root, open_ = ids.copy(), np.argsort(ids, kind="stable")
-    while len(open_):
-        start, open_ = open_[0], open_[1:]
-        todo = [start]
-        while todo and len(open_):
-            at = todo.pop()
-            near = np.bitwise_count(bits[open_] ^ bits[at]).sum(axis=1) <= FAR
-            near &= 5 * np.minimum(sizes[open_], sizes[at]) >= 4 * np.maximum(sizes[open_], sizes[at])
-            hits = [np.zeros(0, np.int64)]
-            found = np.flatnonzero(near)
-            for part in np.array_split(found, len(found) // 1000 + 1):
-                most = np.minimum(counts[open_[part]], counts[at]).sum(axis=1)
-                part = part[5 * most >= 4 * (sizes[open_[part]] + sizes[at] - most)]
-                hits.append(part[alike(sets[at], [sets[k] for k in open_[part]])])
-            hit = np.concatenate(hits)
-            root[open_[hit]] = ids[start]
-            todo += open_[hit].tolist()
-            open_ = np.delete(open_, hit)
-    return root
-
-
-def roots_in_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``verified`` of each (component, part) in rows sorted by it; texts become hashes as they
-    come, so one part's hashes are held at a time.
+def ordered(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set's shingles in an order that all sets share: rare ones by hash, then ``often`` (sorted)
+    by ``rank``.
     """
-    key, members = None, []
-
-    def closed() -> pa.RecordBatch:
-        ids = np.array([m[0] for m in members], np.int64)
-        bits = np.array([m[1:3] for m in members], np.int64).reshape(-1, 2).view(np.uint64)
-        root = verified(ids, bits, [m[3] for m in members]) if members else ids
-        whole = np.full(len(ids), key is not None and key[2] == 1)
-        return pa.RecordBatch.from_arrays([pa.array(whole), pa.array(ids), pa.array(root)], ["whole", "a", "b"])
-
-    for batch in batches:
-        for rows in slices(batch):
-            for *now, doc_id, low, high, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                if now != key:
-                    yield closed()
-                    key, members = now, []
-                members.append((doc_id, low, high, shingle_set(text)))
-    yield closed()
-
-
-def candidates(prints: DataFrame, crowd: int = DENSE) -> DataFrame:
-    """``prints`` (doc_id, key, size, low, high) of rows with a fingerprint near another row's,
-    with ``component``, what is reachable over fingerprints that differ in ``APART`` bits.
-
-    Each of ``BANDS`` bands of 32 bits goes through the grid with radius 2.  In a crowded cell
-    each task links the members it reaches one by one instead of all pairs; cells of over
-    ``PART`` members are dealt in parts that share ``SHARED`` members.
-    """
-    classes = settle(prints.groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id is not null"))
-    half = lambda c, n: F.shiftrightunsigned(c, 32 * n).bitwiseAND(F.lit((1 << 32) - 1))
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), half(("low", "high")[i // 2], i % 2).alias("bits")) for i in range(BANDS)]))
-    banded = classes.withColumn("_b", bands).select("id", "low", "high", "_b.band", "_b.bits")
-    members = cells(banded, "bits", 16, 2).drop("bits")
-    members = settle(members.withColumn("cell", F.col("cell") * BANDS + F.col("band")).drop("band"))
-    counts = members.groupBy("cell").count()
-    crowds = settle(counts.where(F.col("count") > crowd))
-    found = pairs_in(members.join(crowds, "cell", "left_anti"), ["cell"], differing("low", "high") <= APART)
-    crowded = members.join(crowds, "cell").withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
-    spanned = dealt(crowded, "id").select("cell", "part", "id", "low", "high").groupBy("cell", "part").applyInPandas(spanning, "a long, b long")
-    linked = components(found.unionByName(spanned)).select(F.col("node").alias("id"), "component")
-    rooted = classes.join(linked, "id", "left").where("component is not null or id < last")
-    return prints.join(rooted.select("low", "high", F.coalesce("component", "id").alias("component")), ["low", "high"]).where("doc_id is not null")
-
-
-def dealt(rows: DataFrame, of: str) -> DataFrame:
-    """``rows``, each in one ``part`` of its group's ``parts`` by a hash of column ``of``, about
-    ``SHARED`` of the group's ``count`` rows in all of them.
-    """
-    order = F.pmod(F.xxhash64(of), F.lit(1 << 30))
-    shared = (order < SHARED * (1 << 30) / F.col("count")) & (F.col("parts") > 1)
-    return rows.withColumn("part", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array((order % F.col("parts")).cast("int")))))
-
-
-def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in an order that all sets share: rare ones by hash, then
-    ``often`` (sorted) by ``rank``.
-
-    Two sets of n shingles or more that are alike share 4/5 n or more; of the first
-    n - 4/5 n + ``MEET`` of each, ``MEET`` at least are then common to both, whatever the order.
-    """
-    if len(often):
-        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-        hit = often[at] == own
-        own = np.concatenate([own[~hit], own[hit][np.argsort(rank[at[hit]])]])
-    return own[: len(own) - -(-4 * len(own) // 5) + MEET]
+    if not len(often):
+        return own
+    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+    hit = often[at] == own
+    return np.concatenate([own[~hit], own[hit][np.argsort(rank[at[hit]])]])
 
 
 def frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -329,53 +187,71 @@ def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def prefixes(marked: DataFrame, often: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """token, id and n of every shingle in a document's ``prefix``; n is the size of its set.
+    """token, id, n and place of the first shingles of each document's set of n.
 
-    A row with n below 0 stands for the whole set: its token is the set's hash.
+    Two sets that are alike have four fifths of n in common, so the first n - 4/5 n + 1 of each
+    hold a common one, whatever the order.  A row with place -1 stands for the whole set: its
+    token is the set's hash.
     """
     from xxhash import xxh3_64_intdigest
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, 1 << 20):
-                tokens, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                tokens, ids, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
                 for doc_id, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                     own = shingle_set(text)
-                    first = prefix(own, often, rank)
+                    first = ordered(own, often, rank)[: len(own) - -(-4 * len(own) // 5) + 1]
                     tokens += [np.array([xxh3_64_intdigest(own.tobytes(), SEED)], np.uint64), first]
                     ids.append(np.full(len(first) + 1, doc_id, np.int64))
-                    sizes.append(np.append(-1 - len(own), np.full(len(first), len(own))))
-                columns = [np.concatenate(tokens).view(np.int64), np.concatenate(ids), np.concatenate(sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "id", "n"])
+                    sizes.append(np.full(len(first) + 1, len(own), np.int32))
+                    at.append(np.arange(-1, len(first), dtype=np.int32))
+                columns = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (ids, sizes, at))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "id", "n", "place"])
 
-    return marked.select("doc_id", "text").mapInArrow(run, "token long, id long, n long")
+    return marked.select("doc_id", "text").mapInArrow(run, "token long, id long, n int, place int")
 
 
-def shared_by(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` whose token has two or more values of ``column``."""
-    same = Window.partitionBy("token")
-    found = rows.withColumn("_least", F.min(column).over(same)).withColumn("_most", F.max(column).over(same))
-    return found.where("_least <> _most").drop("_least", "_most")
+def repeated(rows: DataFrame) -> DataFrame:
+    """``rows`` whose token another row has too.
 
+    Counted before the shuffle; rows whose token surely is alone stay where they are.
+    """
+    tokens = settle(rows.groupBy("token").count().where("count > 1").select("token"))
+    maybe, _ = sifted(rows, "token", tokens)
+    return maybe.join(tokens, "token", "left_semi")
 
-def all_near_copies(marked: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id and component_id over all links: those of ``known`` (doc_id, component_id) and, by
-    an exact search, every one between two of its components or documents outside them.
 
-    Documents of one component need no further link, so a large group of copies is not paired.
+def open_between(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (token, id, n, place) of tokens that two or more components share, with ``root``,
+    the component of the id; ``members``, the token's rows; and ``minor``, whether the row is in
+    another component than most of them.
     """
-    marked = marked.where("doc_id is not null")
-    met = settle(shared_by(prefixes(marked, *frequent(marked)), "id"))
-    wholes = met.where("n < 0")
-    equal = wholes.join(wholes.groupBy("token", "n").agg(F.min("id").alias("b")), ["token", "n"]).select(F.col("id").alias("a"), "b")
-    joined = components(known.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(equal))
-    joined = settle(joined.select(F.col("node").alias("id"), F.col("component").alias("root")))
-    rooted = met.where("n > 0").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = settle(shared_by(rooted, "root"))
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    on &= 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")
-    pairs = rooted.alias("a").join(rooted.alias("b"), on).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.least("a.n", "b.n").alias("n")).count()
-    pairs = settle(pairs.where(F.col("count") >= F.least(F.lit(MEET), "n")).select("a", "b").distinct())
+    found = settle(rows.select("token", "id", "n", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    counts = found.groupBy("token", "root").agg(F.count("*").alias("own"))
+    counts = counts.groupBy("token").agg(F.sum("own").alias("members"), F.max(F.struct("own", "root"))["root"].alias("main"), F.count("*").alias("roots"))
+    counts = settle(counts.where("roots > 1").drop("roots"))
+    return settle(found.join(counts, "token").withColumn("minor", F.col("root") != F.col("main")).drop("main"))
+
+
+def candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct pairs (a, b) of ids that share ``keys``, are in different components and can be alike.
+
+    One of two components at least is minor, so the many members of a large one never meet.  Sets
+    of n and m shingles that are alike have 4/9 (n + m) in common or more; their first common
+    one, at places i and j, leaves n - i and m - j at most.
+    """
+    on = (F.col("a.root") != F.col("b.root")) & (~F.col("b.minor") | (F.col("a.id") < F.col("b.id")))
+    on &= 9 * F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= 4 * (F.col("a.n") + F.col("b.n"))
+    for k in keys:
+        on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on
+    pairs = rows.where("minor").alias("a").join(rows.alias("b"), on)
+    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def alike_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets of shingles are alike."""
+    pairs = settle(pairs)
     ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     maybe, _ = sifted(marked, "doc_id", ids)
     whole = maybe.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "text")
@@ -384,47 +260,53 @@ def all_near_copies(marked: DataFrame, known: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
     shingles = lambda data: np.frombuffer(data, np.uint64)
     judged = per_row(both, lambda a, b, x, y: (a, b, bool(alike(shingles(x), [shingles(y)])[0])), "a long, b long, near boolean")
-    links = joined.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(judged.where("near").select("a", "b"))
-    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return settle(judged.where("near").select("a", "b"))
 
 
-def near_copies(docs: DataFrame, crowd: int = DENSE, part_size: int = PART_SIZE) -> DataFrame:
-    """doc_id and component_id (the least doc_id reachable) of rows with a near copy: whole texts
-    whose five-word shingles are alike, four fifths or more of all in common.
+def merged(*links: DataFrame) -> DataFrame:
+    """id and root over all ``links`` (a, b)."""
+    joined = components(functools.reduce(DataFrame.unionByName, links))
+    return joined.select(F.col("node").alias("id"), F.col("component").alias("root"))
 
-    Texts without a word are copies of each other; null doc_ids are left out; rows of one doc_id
-    are one document.  ``close_copies`` joins most groups; ``all_near_copies`` then finds every
-    link that it left out, so no limit of its search decides what is found.
-    """
-    marked = texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
-    return all_near_copies(marked, settle(close_copies(docs, marked, crowd, part_size)))
 
+def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
+    """doc_id and component_id (the least doc_id reachable) of rows with a near copy.
 
-def close_copies(docs: DataFrame, marked: DataFrame, crowd: int, part_size: int) -> DataFrame:
-    """doc_id and component_id over links between texts whose fingerprints are near, a part of all.
+    Links are those of ``near_duplicates`` (fingerprints that differ in 2 bits or fewer) and, since
+    texts that share four fifths of their five-word shingles may differ in a dozen bits, every
+    pair of texts whose five-word shingles are alike, four fifths or more of all in common:
 
-    Candidates come from fingerprints over the *set of words*: near copies whose edits are scattered
-    differ in about one word of fifty, so these differ in one bit of fifteen at most on average,
-    while shingles' would differ in one of six.  Every link is then verified by the shingles: each
-    candidate's text goes once to its group's task, where the search tries every pair.  Groups
-    of over ``part_size`` characters are dealt in parts that share ``SHARED`` members.
+    1. Documents are indexed by the first shingles of their sets, rare ones first; two alike sets
+       share one of them (an exact prefix filter), and where they do bounds what they share.
+    2. A shingle of more than ``crowd`` documents is not paired at once: these are dealt at
+       random into cells of ``crowd`` or fewer, pairs of a cell are verified and joined.  Rounds of
+       this end when the pairs of different components are no more than a round's, or a round
+       leaves over half of them.
+    3. All pairs of different components that are left are verified, whatever their number.
+
+    So a group of copies is not expanded into its pairs, and no link is lost.  Texts without a
+    word are copies of each other; null doc_ids are left out; rows of one doc_id are one document.
     """
-    one = lambda doc_id, text, key: (doc_id, key, len(text), *wide_fingerprint(text))
-    prints = settle(per_row(marked, one, "doc_id long, key long, size long, low long, high long"))
-    rows = settle(candidates(prints, crowd).distinct())
-    groups = rows.groupBy("component").agg(F.sum("size").alias("_size"), F.count("*").alias("count"))
-    groups = groups.select("component", "count", F.greatest(F.ceil(F.col("_size") / part_size), F.lit(1)).cast("int").alias("parts"))
-    placed = dealt(rows.join(groups, "component"), "doc_id").select("component", "part", "parts", "doc_id", "key", "low", "high")
-    placed = settle(placed)
-    whole, _ = sifted(marked, "doc_id", placed.select("doc_id"))
-    whole = whole.dropDuplicates(["doc_id", "key"]) if exact_repeats(docs) else whole
-    full = whole.join(placed.hint("shuffle_hash"), ["doc_id", "key"]).select("component", "part", "parts", "doc_id", "low", "high", "text")
-    sorted_ = full.repartition("component", "part").sortWithinPartitions("component", "part")
-    reached = settle(sorted_.mapInArrow(roots_in_parts, "whole boolean, a long, b long"))
-    joined = components(reached.where("not whole")).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    alone = reached.where("whole").select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
-    copies = alone.where("doc_id <> component_id")
-    return copies.unionByName(copies.select(F.col("component_id").alias("doc_id"), "component_id").distinct()).unionByName(joined)
+    known = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    marked = texts(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    met = settle(repeated(stored(prefixes(marked, *frequent(marked)))))
+    wholes = met.where("place < 0")
+    equal = wholes.join(wholes.groupBy("token", "n").agg(F.min("id").alias("b")), ["token", "n"]).select(F.col("id").alias("a"), "b")
+    roots = merged(known, equal)
+    left, before = open_between(met.where("place >= 0"), roots), None
+    for turn in itertools.count():
+        many = F.when(F.col("minor") & (F.col("members") > crowd), F.col("members"))
+        rows, pairs = left.agg(F.count("*"), F.coalesce(F.sum(many), F.lit(0))).first()
+        if pairs <= crowd * rows or (before and 2 * pairs > before):
+            break
+        before = pairs
+        cells = F.pow(2.0, F.ceil(F.log2(F.col("members") / crowd))).cast("long")
+        dealt = left.where(F.col("members") > crowd).withColumn("cell", F.pmod(F.xxhash64("id", F.lit(turn)), cells))
+        new = alike_pairs(candidates(dealt, ["token", "cell"]), marked)
+        roots = merged(roots.select(F.col("id").alias("a"), F.col("root").alias("b")), new)
+        left = open_between(left, roots)
+    rest = alike_pairs(candidates(left, ["token"]), marked)
+    return merged(roots.select(F.col("id").alias("a"), F.col("root").alias("b")), rest).toDF("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
