@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from treemill.llm.common import documents, per_batch, texts
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Encoded words that a task keeps; past it the table starts anew (only speed depends on it).
-REMEMBER = 400_000
+#: Encoded words that a task keeps: half of them new, half those used before (only speed depends on it).
+REMEMBER = 200_000
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 #: The pattern of the byte-level pretokenizer, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII characters only.
@@ -69,6 +71,7 @@ class Codec:
         #: by token: for the last token before it, whether the two stay apart
         self.apart: dict[bytes, dict[bytes, bool]] = {t: {} for t in self.ids}
         self.known = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
+        self.before: dict[str, bytes] = {}
 
     def stays_apart(self, left: bytes, token: bytes) -> bool:
         """Whether merging ``left + token`` from its bytes ends in these two tokens; an empty left:
@@ -139,11 +142,12 @@ class Codec:
         """The ids of each text as little-endian 32-bit numbers."""
         cut = list(map(self.pretokens, texts))
         words = set().union(*cut)
+        if len(self.known) + len(words) > REMEMBER // 2:
+            self.known, self.before = {t: i.to_bytes(4, "little") for t, i in self.special.items()}, self.known
         new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBER:
-            self.known = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
-            new = words.difference(self.known)
-        self.learn(new)
+        again = new.intersection(self.before)
+        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        self.learn(new - again)
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
     def decoded(self, ids: bytes) -> bytes:
@@ -174,7 +178,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         found = own.encode([text or "" for _, text in rows])
         return [(doc_id, len(ids) // 4, ids, own.decoded(ids).decode()) for (doc_id, _), ids in zip(rows, found, strict=True)]
 
-    return per_batch(texts(docs), many, "doc_id long, n_tokens long, ids binary, decoded string", lambda: codec(name))
+    return per_batch(texts(docs), many, "doc_id long, n_tokens long, ids binary, decoded string", lambda: codec(name), SLICE)
 
 
 def encoded_digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
@@ -186,7 +190,7 @@ def encoded_digests(docs: DataFrame, path: str | None = None, ids: bool = False)
         found = own.encode([text or "" for _, text in rows])
         return [(doc_id, len(x) // 4, sha(x), sha(own.decoded(x)), *([x] if ids else [])) for (doc_id, _), x in zip(rows, found, strict=True)]
 
-    return per_batch(texts(docs), many, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, lambda: codec(name))
+    return per_batch(texts(docs), many, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, lambda: codec(name), SLICE)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,8 +81,8 @@ def per_row(df: DataFrame, one: Callable[..., tuple], schema: str, start: Callab
     return per_batch(df, lambda first, rows: [one(first, *r) for r in rows], schema, start)
 
 
-def per_batch(df: DataFrame, many: Callable[..., list[tuple]], schema: str, start: Callable[[], object] | None = None) -> DataFrame:
-    """Like ``per_row`` for lists of rows of a few MB: ``many(rows)`` returns their results."""
+def per_batch(df: DataFrame, many: Callable[..., list[tuple]], schema: str, start: Callable[[], object] | None = None, size: int = 4 << 20) -> DataFrame:
+    """Like ``per_row`` for lists of rows of ``size`` bytes: ``many(rows)`` returns their results."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -91,7 +91,7 @@ def per_batch(df: DataFrame, many: Callable[..., list[tuple]], schema: str, star
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (start(),) if start else ()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 rows = many(*first, list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

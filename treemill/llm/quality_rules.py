@@ -8,12 +8,15 @@ before the next rule is grown.  The list becomes one ordered Spark CASE expressi
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from treemill.llm.common import WORD, documents, per_row, texts
+from treemill.llm.common import documents, per_row, slices, texts
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = BASE + ("n_upper", "n_shouts", "n_chars_read", "n_lines")
@@ -170,14 +173,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     """The rows of ``docs`` that are kept, all columns as they are; no shuffle of the texts."""
     rules = fit(docs, labels, sample)
     names = docs.columns
-    spark_udf = F.pandas_udf(_stats_frame, ", ".join(f"{s} long" for s in STATS))
-    marked = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), spark_udf(docs["text"].cast("string")).alias("_stats"))
-    passed = marked.select("_doc", "_stats.*").where(verdict(rules))
-    return passed.select(*[F.col("_doc").getField(c).alias(c) for c in names])
+    whole = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), docs["text"].cast("string").alias("_text"))
+    schema = StructType([whole.schema["_doc"], *[StructField(s, LongType()) for s in STATS]])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                columns = zip(*map(text_stats, part.column("_text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("_doc"), *(pa.array(c, pa.int64()) for c in columns)], ["_doc", *STATS])
 
-def _stats_frame(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_stats(t) for t in text], columns=list(STATS))
+    passed = whole.mapInArrow(run, schema).where(verdict(rules))
+    return passed.select(*[F.col("_doc").getField(c).alias(c) for c in names])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
