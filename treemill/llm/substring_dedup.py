@@ -13,14 +13,16 @@ windows show as a block of one document that equals a rolling stretch of the oth
    ones with equal hashes is below 1e-5.
 3. The words under a repeat are removed.
 
-A task sends each hash once, with its place if it saw it once; if it saw it more often, its
-places are known to be repeated without asking.  So a passage that a third of all documents
-share sends one entry a task, not one a document.
+Documents are laid end to end in chunks of a few MB first, and a place is a word of a chunk.  A
+chunk sends each hash once, with its place if it has it once; if it has it more often, its places
+are known to be repeated without asking.  So a passage that a third of all documents share sends
+one entry a chunk, not one a document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,40 +30,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treemill.llm.common import documents, per_row, slices, stored, texts
+from treemill.llm.common import documents, slices, stored, texts
 
 WINDOW, BLOCK = 35, 18
-#: Bytes of text that a task hashes at a time; entries that a task looks through at a time.
-CHUNK, BUCKET = 6 << 20, 1_500_000
-#: Places that a task gathers over its buckets before it hands them out by document.
+#: Bytes of text in a chunk; entries that a task looks through at a time.
+CHUNK, BUCKET = 4 << 20, 1_500_000
+#: Places that a task gathers over its buckets before it hands them out by chunk.
 GATHER = 1_000_000
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SEEDS = 0, 0x5851F42D
 #: Bits of a stretch's hash beyond those that number the blocks; one stretch in 2 ** SPARE is a
 #: hit by chance, which the windows' 104 bits put right.
 SPARE = 13
-ENTRY = "bucket long, n int, keys binary, sizes binary, hashes binary, places binary, hits binary"
-FOUND = "key long, places binary"
+CHUNKS = "chunk long, doc_ids array<long>, n_words long, words binary"
+ENTRY = "bucket long, n int, chunk long, hashes binary, places binary"
+FOUND = "chunk long, places binary"
 
 
-def closed(text: str | None) -> bytes | None:
-    """A text compressed, for the shuffles."""
+def closed(data: bytes, level: int = 3) -> bytes:
     import zstandard
 
-    return None if text is None else zstandard.ZstdCompressor(level=3).compress(text.encode())
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
-def opened(data: bytes | None) -> str | None:
+def opened(data: bytes) -> bytes:
     import zstandard
 
-    return None if data is None else zstandard.ZstdDecompressor().decompress(data).decode()
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def word_hashes(text: str | None, seed: int = SEEDS[0]) -> np.ndarray:
+def word_hashes(words: bytes, seed: int = SEEDS[0]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().split()
-    return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    found = words.split()
+    return np.fromiter((xxh64_intdigest(w, seed) for w in found), np.uint64, len(found))
 
 
 def rolling(words: np.ndarray, length: int, base: int) -> np.ndarray:
@@ -89,126 +91,98 @@ def rolling(words: np.ndarray, length: int, base: int) -> np.ndarray:
 
 def packed(values: np.ndarray, size: int) -> bytes:
     """The low ``size`` bytes of each number, one plane of bytes after another, compressed."""
-    import zstandard
-
     planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :size]
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+    return closed(np.ascontiguousarray(planes.T).tobytes(), 1)
 
 
-def unpacked(data: bytes, size: int, n: int) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, n)
-    found = np.zeros((n, 8), np.uint8)
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(opened(data), np.uint8).reshape(size, -1)
+    found = np.zeros((planes.shape[1], 8), np.uint8)
     found[:, :size] = planes.T
     return found.view("<u8").ravel()
 
 
-def chunks(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...], most: int) -> Iterator[list[tuple]]:
-    """Rows of whole texts, in lists of about ``most`` bytes."""
-    held, size = [], 0
-    for batch in batches:
-        for part in slices(batch, most // 4):
-            held += zip(*(part.column(c).to_pylist() for c in columns), strict=True)
-            size += part.nbytes
-            if size >= most:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def listed(at: np.ndarray) -> bytes:
+    """Rising places as packed steps."""
+    return packed(np.diff(at, prepend=0).astype(np.uint64), 5)
 
 
-def entries(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int, bits: int) -> pa.RecordBatch | None:
-    """Rows of ``ENTRY`` from one chunk: ``at`` are places in the chunk (counting words), ``first``
-    their hashes; ``second`` more bits of them, or None in the round of the blocks.
+def places(lists: list[bytes] | None) -> np.ndarray:
+    found = [np.cumsum(unpacked(p, 5).view(np.int64)) for p in lists or []]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    Hashes seen twice in the chunk are sent without a place; their places are in ``hits``.
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """``CHUNKS`` rows of about ``CHUNK`` bytes, a document at least, as a table: its documents' ids and
+    words, those of a document joined by spaces and documents by line feeds.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+
+        def row(ids: list, texts_: list[bytes], n: int) -> pa.RecordBatch:
+            columns = ([next(number)], pa.int64()), ([ids], pa.list_(pa.int64())), ([n], pa.int64()), ([closed(b"\n".join(texts_))], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], ["chunk", "doc_ids", "n_words", "words"])
+
+        ids, held, size, n = [], [], 0, 0
+        for batch in batches:
+            for part in slices(batch, CHUNK // 4):
+                for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = (text or "").encode().split()
+                    ids.append(doc_id)
+                    held.append(b" ".join(words))
+                    size, n = size + len(held[-1]), n + len(words)
+                    if size >= CHUNK:
+                        yield row(ids, held, n)
+                        ids, held, size, n = [], [], 0, 0
+        if ids:
+            yield row(ids, held, n)
+
+    return stored(texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, CHUNKS))
+
+
+def entries(chunk: int, block: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int, bits: int) -> Iterator[tuple]:
+    """Rows of ``ENTRY`` from one chunk: ``at`` are places, ``first`` their hashes; ``second`` more
+    bits of them, or None in the round of the blocks; ``block``, whether a place starts a block.
+
+    Hashes seen twice in the chunk are sent without a place; those places are a row without hashes.
     """
-    if not len(at):
-        return None
     order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
     h, p = first[order], at[order]
     new = np.r_[True, h[1:] != h[:-1]]
     if second is not None:
-        second = second[order]
-        new[1:] |= (second[1:] ^ second[:-1]) >> np.uint64(24) > 0
+        second = second[order] >> np.uint64(24)
+        new[1:] |= second[1:] != second[:-1]
     start = np.flatnonzero(new)
     count = np.diff(np.r_[start, len(h)])
-    many = np.repeat(count > 1, count)
-    repeated = p[many]
-    own_start = np.r_[0, np.cumsum(sizes)[:-1]]
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    if second is None:
-        block = ((p - own_start[doc[p]]) % BLOCK == 0).astype(np.uint64)
-        extra = np.maximum.reduceat(block, start)
-    else:
-        extra = second[start] >> np.uint64(24)
-    distinct, places, single = h[start], p[start], count == 1
+    extra = np.maximum.reduceat(block[p].astype(np.uint64), start) if second is None else second[start]
+    distinct, place = h[start], np.where(count == 1, p[start] + 1, 0).astype(np.uint64)
     # the top 32 bits deal the hashes, so the number of buckets may grow with the input
     top = distinct >> np.uint64(max(0, bits - 32))
     bucket = (top * np.uint64(buckets) >> np.uint64(min(bits, 32))).astype(np.int64)
-    rows: list[list] = [[], [], [], [], [], [], []]
-    turn = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(bucket[turn]) != 0, True])
+    edges = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        mine = turn[a:b]
-        # only the documents that have a place here, as if they alone were laid end to end
-        docs, which = np.unique(doc[places[mine]], return_inverse=True)
-        moved = np.r_[0, np.cumsum(sizes[docs])[:-1]] - own_start[docs]
-        place = np.where(single[mine], places[mine] + moved[which] + 1, 0).astype(np.uint64)
-        hashes = packed(distinct[mine], -(-bits // 8))
-        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[mine], 5 if second is not None else 1)
-        for column, value in zip(rows, (int(bucket[mine[0]]), len(mine), *zip_table(keys[docs], sizes[docs]), hashes, packed(place, 5), b""), strict=True):
-            column.append(value)
-    if len(repeated):
-        for column, value in zip(rows, (-1, 0, *zip_table(keys, sizes), b"", b"", repeated.astype("<u4").tobytes()), strict=True):
-            column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "n", "keys", "sizes", "hashes", "places", "hits"])
-
-
-def zip_table(keys: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
-    steps = np.diff(keys, prepend=np.int64(0)).view(np.uint64)
-    return packed(steps, 8), packed(sizes.astype(np.uint64), 5)
-
-
-def owners(keys: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and first places of a chunk's documents."""
-    import zstandard
-
-    n = len(zstandard.ZstdDecompressor().decompress(keys)) // 8
-    size = unpacked(sizes, 5, n).astype(np.int64)
-    return np.cumsum(unpacked(keys, 8, n).view(np.int64)), np.r_[0, np.cumsum(size)[:-1]]
-
-
-def located(keys: bytes, sizes: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places within the documents of places within a chunk."""
-    key, start = owners(keys, sizes)
-    doc = np.searchsorted(start, places, "right") - 1
-    return key[doc], places - start[doc]
-
+        hashes = packed(distinct[a:b], -(-bits // 8))
+        hashes = len(hashes).to_bytes(4, "little") + hashes + packed(extra[a:b], 1 if second is None else 5)
+        yield int(bucket[a]), int(b - a), chunk, hashes, packed(place[a:b], 5)
+    if (count > 1).any():
+        yield -1, 0, chunk, b"", listed(np.sort(p[np.repeat(count > 1, count)]))
 
-def by_document(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """``FOUND`` rows of keys and places."""
-    key, place = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
-    lists = [listed(place[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), pa.array(lists, pa.binary())], ["key", "places"])
 
-
-def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """key and places of one bucket's hashes that occur twice or more (``anchors``: one in a block);
-    ``rows`` are (n, keys, sizes, hashes, places) of the chunks that sent some.
+def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[int, np.ndarray]]:
+    """chunk and places of one bucket's hashes that occur twice or more (``anchors``: one in a block);
+    ``rows`` are (n, chunk, hashes, places).
     """
     n = np.array([r[0] for r in rows], np.int64)
     ends = np.cumsum(n)
     h, extra, place = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint8 if anchors else np.uint64), np.empty(ends[-1], np.int64)
-    for (count, _, _, data, at, *_), end in zip(rows, ends, strict=True):
+    for (count, _, data, at), end in zip(rows, ends, strict=True):
         cut = 4 + int.from_bytes(data[:4], "little")
-        h[end - count : end] = unpacked(data[4:cut], -(-bits // 8), count)
-        extra[end - count : end] = unpacked(data[cut:], 1 if anchors else 5, count)
-        place[end - count : end] = unpacked(at, 5, count).view(np.int64)
+        h[end - count : end] = unpacked(data[4:cut], -(-bits // 8))
+        extra[end - count : end] = unpacked(data[cut:], 1 if anchors else 5)
+        place[end - count : end] = unpacked(at, 5).view(np.int64)
     order = np.argsort(h, kind="stable") if anchors else np.lexsort((extra, h))
     h, extra = h[order], extra[order]
     new = np.r_[True, h[1:] != h[:-1]]
@@ -220,11 +194,17 @@ def shared(rows: list[tuple], anchors: bool, bits: int) -> list[tuple[np.ndarray
         hit &= np.maximum.reduceat(extra, start) > 0
     found = np.sort(order[np.repeat(hit, np.diff(np.r_[start, len(h)]))])
     found = found[place[found] > 0]
-    out = []
-    for row, a, b in zip(rows, np.searchsorted(found, ends - n), np.searchsorted(found, ends), strict=True):
-        if a < b:
-            out.append(located(row[1], row[2], place[found[a:b]] - 1))
-    return out
+    parts = zip(rows, np.searchsorted(found, ends - n), np.searchsorted(found, ends), strict=True)
+    return [(row[1], place[found[a:b]] - 1) for row, a, b in parts if a < b]
+
+
+def by_chunk(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """``FOUND`` rows of chunks and places."""
+    joined: dict[int, list] = {}
+    for chunk, at in found:
+        joined.setdefault(chunk, []).append(at)
+    lists = [listed(np.sort(np.concatenate(v))) for v in joined.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(joined), pa.int64()), pa.array(lists, pa.binary())], ["chunk", "places"])
 
 
 def looked_through(anchors: bool, bits: int):
@@ -232,10 +212,8 @@ def looked_through(anchors: bool, bits: int):
     up to ``GATHER`` places of those before it.
     """
 
-    def answer(bucket: int, rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-        if bucket < 0:
-            return [located(k, s, np.frombuffer(hits, "<u4").astype(np.int64)) for _, k, s, _, _, hits in rows]
-        return shared(rows, anchors, bits)
+    def answer(bucket: int, rows: list[tuple]) -> list[tuple[int, np.ndarray]]:
+        return [(chunk, places([at])) for _, chunk, _, at in rows] if bucket < 0 else shared(rows, anchors, bits)
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found = None, [], []
@@ -245,105 +223,84 @@ def looked_through(anchors: bool, bits: int):
                     if held and (bucket != now or bucket < 0):
                         found += answer(now, held)
                         held = []
-                        if sum(len(f[0]) for f in found) > GATHER:
-                            yield by_document(found)
+                        if sum(len(f[1]) for f in found) > GATHER:
+                            yield by_chunk(found)
                             found = []
                     now = bucket
                     held.append(tuple(row))
-        yield by_document(found + (answer(now, held) if held else []))
+        yield by_chunk(found + (answer(now, held) if held else []))
 
     return look
 
 
-def dealt(rows: DataFrame, size: int, anchors: bool) -> DataFrame:
-    """key and places of the stretches (``anchors``) or windows of ``rows`` that are shared.
+def dealt(rows: DataFrame, n_words: int, anchors: bool) -> DataFrame:
+    """chunk and its lists of places of stretches (``anchors``) or windows that are shared.
 
-    ``rows`` has key and text; for windows also hits, the places of shared stretches, and the text
-    compressed.  ``size`` is the number of bytes of all texts; the number of buckets follows it.
+    ``rows`` has chunk and words; for windows also hits, the places of shared stretches.
+    ``n_words`` is the number of words of all texts; the number of buckets follows it.
     """
-    buckets = max(64, size // 6 // BUCKET + 1)
-    bits = min(64, (size // 6 // BLOCK + 1).bit_length() + SPARE) if anchors else 64
-
-    def send(batches):
-        # compressed texts are about a third as long
-        for held in chunks(batches, ("key", "text"), CHUNK) if anchors else chunks(batches, ("key", "text", "hits"), CHUNK // 3):
-            texts_ = [r[1] if anchors else opened(r[1]) for r in held]
-            words = [word_hashes(t) for t in texts_]
-            sizes = np.array([len(w) for w in words], np.int64)
-            joined = np.concatenate(words)
-            length = BLOCK if anchors else WINDOW
-            ends = np.repeat(np.cumsum(sizes), sizes)
-            fits = np.arange(len(joined)) + length <= ends
-            if not anchors:
-                wanted = np.zeros(len(joined), bool)
-                at = 0
-                for (_, _, hits), n in zip(held, sizes, strict=True):
-                    wanted[at : at + n] = around(hits, int(n))
-                    at += n
-                fits &= wanted
-            at = np.flatnonzero(fits)
-            first = rolling(joined, length, BASES[0])[at] if len(at) else at.astype(np.uint64)
-            if anchors:
-                first = first >> np.uint64(64 - bits)
-            second = None
-            if not anchors:
-                joined = np.concatenate([word_hashes(t, SEEDS[1]) for t in texts_])
-                second = rolling(joined, length, BASES[1])[at] if len(at) else first
-            keys = np.array([r[0] for r in held], np.int64)
-            if (found := entries(keys, sizes, at, first, second, buckets, bits)) is not None:
-                yield found
-
-    # what a task found by itself has no bucket; it is dealt by its content
-    deal = F.when(F.col("n") == 0, F.xxhash64("hits")).otherwise(F.xxhash64("bucket"))
-    sent = rows.mapInArrow(send, ENTRY).withColumn("_deal", deal)
-    return sent.repartition("_deal").drop("_deal").sortWithinPartitions("bucket").mapInArrow(looked_through(anchors, bits), FOUND)
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    """key and all its places' lists."""
-    return found.groupBy("key").agg(F.collect_list("places").alias("hits"))
-
-
-def listed(at: np.ndarray) -> bytes:
-    """Rising places as steps of two bytes each, or eight if one is wider; the first byte tells."""
-    steps = np.diff(at, prepend=0)
-    return b"\2" + steps.astype("<u2").tobytes() if steps.max() < 1 << 16 else b"\x08" + steps.astype("<i8").tobytes()
+    buckets = max(64, n_words // BUCKET + 1)
+    bits = min(64, (n_words // BLOCK + 1).bit_length() + SPARE) if anchors else 64
+    length = BLOCK if anchors else WINDOW
 
-
-def places(parts: list[bytes] | None) -> np.ndarray:
-    lists = [np.cumsum(np.frombuffer(p, "<u2" if p[0] == 2 else "<i8", offset=1), dtype=np.int64) for p in parts or []]
-    return np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                chunk, words, *hits = (c[0].as_py() for c in part.columns)
+                texts_ = opened(words).split(b"\n")
+                hashes = [word_hashes(t) for t in texts_]
+                sizes = np.array([len(w) for w in hashes], np.int64)
+                joined = np.concatenate(hashes)
+                place = np.arange(len(joined))
+                wanted = place + length <= np.repeat(np.cumsum(sizes), sizes)
+                if not anchors:
+                    wanted &= spread(places(hits[0]), WINDOW - BLOCK, 0, len(joined))
+                at = np.flatnonzero(wanted)
+                if not len(at):
+                    continue
+                first, second = rolling(joined, length, BASES[0])[at], None
+                if anchors:
+                    first = first >> np.uint64(64 - bits)
+                else:
+                    joined = np.concatenate([word_hashes(t, SEEDS[1]) for t in texts_])
+                    second = rolling(joined, length, BASES[1])[at]
+                block = (place - np.repeat(np.cumsum(sizes) - sizes, sizes)) % BLOCK == 0
+                columns = zip(*entries(chunk, block, at, first, second, buckets, bits), strict=True)
+                types = pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "n", "chunk", "hashes", "places"])
+
+    # what a chunk found by itself has no bucket and stays by its chunk
+    deal = F.when(F.col("n") == 0, F.xxhash64("chunk")).otherwise(F.xxhash64("bucket"))
+    sent = rows.mapInArrow(send, ENTRY).withColumn("_deal", deal)
+    looked = sent.repartition("_deal").drop("_deal").sortWithinPartitions("bucket").mapInArrow(looked_through(anchors, bits), FOUND)
+    return looked.groupBy("chunk").agg(F.collect_list("places").alias("hits"))
 
 
 def spread(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     """A mask of n places: true from ``before`` places before each of ``at`` to ``after`` after."""
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, np.maximum(at - before, 0), 1)
-    np.add.at(steps, np.minimum(at + after + 1, n), -1)
-    return np.cumsum(steps[:-1]) > 0
-
+    steps = np.bincount(np.maximum(at - before, 0), minlength=n + 1) - np.bincount(np.minimum(at + after + 1, n), minlength=n + 1)
+    return np.cumsum(steps[:n]) > 0
 
-def around(hits: list[bytes] | None, n: int) -> np.ndarray:
-    """The starts of windows that hold a hit."""
-    return spread(places(hits), WINDOW - BLOCK, 0, n) if n else np.zeros(0, bool)
 
+def kept_words(digest: bool):
+    """A function of batches of chunks with the starts of repeated windows: a row per document."""
 
-def kept_words(text: str | None, starts: list[bytes] | None) -> tuple[int, int, bytes]:
-    """Number of words, number removed, and the kept words joined by one space."""
-    words = (text or "").encode().split()
-    if not starts:
-        return len(words), 0, b" ".join(words)
-    gone = spread(places(starts), 0, WINDOW - 1, len(words))
-    return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and key: doc_id itself if it is there and unique, else a hash of the row, so
-    that repeated rows share a key and get the same result.
-    """
-    rows = texts(docs)
-    odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("count").take(1)
-    return rows.withColumn("key", F.xxhash64("doc_id", "text") if odd else F.col("doc_id").cast("long"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids, n_words, words, starts = (c[0].as_py() for c in part.columns)
+                # a repeated window lies within its document, so the mask needs no ends of documents
+                gone, at, out = spread(places(starts), 0, WINDOW - 1, n_words), 0, []
+                for doc_id, text in zip(ids, opened(words).split(b"\n"), strict=True):
+                    own = text.split()
+                    mask = gone[at : at + len(own)]
+                    at += len(own)
+                    if mask.any():
+                        text = b" ".join(w for w, g in zip(own, mask.tolist(), strict=True) if not g)
+                    out.append((doc_id, len(own), int(mask.sum()), hashlib.sha256(text).hexdigest() if digest else text.decode()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return run
 
 
 def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -355,30 +312,14 @@ def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     a window lose none.  Repeated rows count as documents of their own.  Other columns are not
     looked at.
     """
-    out = (lambda data: hashlib.sha256(data).hexdigest()) if digest else bytes.decode
-    name = "kept_sha256" if digest else "kept"
-
-    def first(key, doc_id, text, hits):
-        if hits:
-            return key, doc_id, 0, 0, None, text, hits
-        n, gone, kept = kept_words(opened(text), None)
-        return key, doc_id, n, gone, out(kept), None, None
-
-    def last(doc_id, text, starts):
-        n, gone, kept = kept_words(opened(text), starts)
-        return doc_id, n, gone, out(kept)
-
-    rows = keyed(docs)
-    size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    hits = gathered(dealt(rows.select("key", "text"), size, anchors=True))
-    small = per_row(rows.select("key", "doc_id", "text"), lambda key, doc_id, text: (key, doc_id, closed(text)), "key long, doc_id long, text binary")
-    joined = small.join(hits.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "hits")
-    schema = f"doc_id long, n_words long, n_removed long, {name} string"
-    marked = stored(per_row(joined, first, f"key long, {schema}, text binary, hits array<binary>"))
-    found = marked.where("hits is not null").select("key", "doc_id", "text", "hits")
-    starts = gathered(dealt(found.select("key", "text", "hits"), size, anchors=False)).withColumnRenamed("hits", "starts")
-    cut = per_row(found.join(starts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "starts"), last, schema)
-    return marked.where("hits is null").select("doc_id", "n_words", "n_removed", name).unionByName(cut)
+    chunks = chunked(docs)
+    n_words = int(chunks.agg(F.sum("n_words")).first()[0] or 0)
+    hits = dealt(chunks.select("chunk", "words"), n_words, anchors=True)
+    met = chunks.join(hits.hint("shuffle_hash"), "chunk").select("chunk", "words", "hits")
+    starts = dealt(met, n_words, anchors=False)
+    joined = chunks.join(starts.hint("shuffle_hash"), "chunk", "left").select("doc_ids", "n_words", "words", "hits")
+    found = joined.mapInArrow(kept_words(digest), "doc_id long, n_words long, n_removed long, kept string")
+    return found.withColumnRenamed("kept", "kept_sha256") if digest else found
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
