@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,16 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again; for wide rows."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a ``stored`` frame, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sifted(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,6 +128,26 @@ def word_chunks(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def whole_number(df: DataFrame, column: str) -> int:
-    """A single sum or count, as an int; 0 over no rows."""
-    return int(df.first()[column] or 0)
+def closed(data: bytes, level: int = 3) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def opened(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each number, one plane of bytes after another, compressed."""
+    planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :size]
+    return closed(np.ascontiguousarray(planes.T).tobytes(), 1)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(opened(data), np.uint8).reshape(size, -1)
+    found = np.zeros((planes.shape[1], 8), np.uint8)
+    found[:, :size] = planes.T
+    return found.view("<u8").ravel()

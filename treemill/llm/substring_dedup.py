@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treemill.llm.common import documents, slices, stored, texts
+from treemill.llm.common import closed, documents, opened, packed, settle, slices, stored, texts, unpacked
 
 WINDOW, BLOCK = 35, 18
 #: Bytes of text in a chunk; entries that a task looks through at a time.
@@ -47,18 +47,6 @@ ENTRY = "bucket long, n int, chunk long, hashes binary, places binary"
 FOUND = "chunk long, places binary"
 
 
-def closed(data: bytes, level: int = 3) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=level).compress(data)
-
-
-def opened(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 def word_hashes(words: bytes, seed: int = SEEDS[0]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -89,19 +77,6 @@ def rolling(words: np.ndarray, length: int, base: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-def packed(values: np.ndarray, size: int) -> bytes:
-    """The low ``size`` bytes of each number, one plane of bytes after another, compressed."""
-    planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :size]
-    return closed(np.ascontiguousarray(planes.T).tobytes(), 1)
-
-
-def unpacked(data: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(opened(data), np.uint8).reshape(size, -1)
-    found = np.zeros((planes.shape[1], 8), np.uint8)
-    found[:, :size] = planes.T
-    return found.view("<u8").ravel()
-
-
 def listed(at: np.ndarray) -> bytes:
     """Rising places as packed steps."""
     return packed(np.diff(at, prepend=0).astype(np.uint64), 5)
@@ -273,7 +248,7 @@ def dealt(rows: DataFrame, n_words: int, anchors: bool) -> DataFrame:
     deal = F.when(F.col("n") == 0, F.xxhash64("chunk")).otherwise(F.xxhash64("bucket"))
     sent = rows.mapInArrow(send, ENTRY).withColumn("_deal", deal)
     looked = sent.repartition("_deal").drop("_deal").sortWithinPartitions("bucket").mapInArrow(looked_through(anchors, bits), FOUND)
-    return looked.groupBy("chunk").agg(F.collect_list("places").alias("hits"))
+    return settle(looked.groupBy("chunk").agg(F.collect_list("places").alias("hits")))
 
 
 def spread(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
