@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treemill.llm.common import documents, per_row, settle, sifted, slices, stored, texts, word_chunks
+from treemill.llm.common import discard, documents, packed, per_row, settle, sifted, slices, stored, texts, unpacked, word_chunks
 from treemill.llm.components import components
 
 SEGMENTS, RADIUS, SHINGLE = 16, 2, 3
@@ -33,7 +33,7 @@ WORDS, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
 DENSE = 50
 #: Documents whose shingles tell the frequent ones, copies there from which a shingle is one, and
 #: how many are kept; only the order of shingles hangs on them and no link does.
-LOOKED, OFTEN, MOST = 10_000, 3, 200_000
+LOOKED, OFTEN, MOST = 10_000, 2, 300_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -148,13 +148,18 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Which of ``others`` have four fifths or more of all shingles in common with ``own``."""
-    sizes = np.array([len(o) for o in others], np.int64)
-    joined = np.concatenate([np.zeros(0, np.uint64), *others])
-    hit = own[np.searchsorted(own[:-1], joined)] == joined if len(own) else np.zeros(len(joined), bool)
-    both = np.bincount(np.repeat(np.arange(len(others)), sizes)[hit], minlength=len(others))
-    return 5 * both >= 4 * (len(own) + sizes - both)
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of steps (see ``short_set``) have four fifths or more of all in common."""
+    both = len(np.intersect1d(np.cumsum(a), np.cumsum(b), assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def short_set(text: str | None) -> bytes:
+    """``shingle_set`` by the upper 40 bits of the hashes, as packed steps.
+
+    Two texts of 500 shingles have one chance in four million that unequal ones count as equal.
+    """
+    return packed(np.diff(np.unique(shingle_set(text) >> np.uint64(24)), prepend=np.uint64(0)), 5)
 
 
 def ordered(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -255,12 +260,13 @@ def alike_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     maybe, _ = sifted(marked, "doc_id", ids)
     whole = maybe.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "text")
-    sets = stored(per_row(whole, lambda i, text: (i, shingle_set(text).tobytes()), "id long, shingles binary"))
+    sets = stored(per_row(whole, lambda i, text: (i, short_set(text)), "id long, shingles binary"))
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    shingles = lambda data: np.frombuffer(data, np.uint64)
-    judged = per_row(both, lambda a, b, x, y: (a, b, bool(alike(shingles(x), [shingles(y)])[0])), "a long, b long, near boolean")
-    return settle(judged.where("near").select("a", "b"))
+    judged = per_row(both, lambda a, b, x, y: (a, b, alike(unpacked(x, 5), unpacked(y, 5))), "a long, b long, near boolean")
+    found = settle(judged.where("near").select("a", "b"))
+    discard(sets)
+    return found
 
 
 def merged(*links: DataFrame) -> DataFrame:
@@ -289,7 +295,9 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     """
     known = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     marked = texts(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
-    met = settle(repeated(stored(prefixes(marked, *frequent(marked)))))
+    index = stored(prefixes(marked, *frequent(marked)))
+    met = settle(repeated(index))
+    discard(index)
     wholes = met.where("place < 0")
     equal = wholes.join(wholes.groupBy("token", "n").agg(F.min("id").alias("b")), ["token", "n"]).select(F.col("id").alias("a"), "b")
     roots = merged(known, equal)
