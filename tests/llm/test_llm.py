@@ -317,6 +317,41 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in found.collect())
 
 
+def test_language_id_learns_every_language(spark):
+    """More than 200 languages, each with letters of its own."""
+    rows = [(40 * k + i, " ".join(f"{chr(0x4E00 + 7 * k)}{chr(0x4E00 + 7 * k + i % 3)}" for _ in range(20)), f"x{k}") for k in range(230) for i in range(6)]
+    found = language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    hit = {r.doc_id: r.lang_pred for r in found.collect()}
+    assert len(set(hit.values())) > 220 and sum(hit[i] == lang for i, _, lang in rows) > 0.9 * len(rows)
+
+
+def plain_buckets(text):
+    """Bucket counts of words and pairs of words of a text, one by one."""
+    from zlib import crc32
+
+    words = [crc32(w) for w in re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()]
+    hashes = [w * 0xD6E8FEB86659FD93 for w in words] + [a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F for a, b in zip(words, words[1:], strict=False)]
+    return collections.Counter((h % (1 << 64) >> 33) % resampling.BUCKETS for h in hashes)
+
+
+def test_resampling_against_plain_counts(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality in (0, 1)]
+    counts = {i: plain_buckets(t) for i, t in texts.items()}
+    models = []
+    for ids in ({i for i, q in labels if q == 1 and i in texts}, set(texts)):
+        total = sum((counts[i] for i in ids), collections.Counter())
+        n = sum(total.values()) + resampling.BUCKETS
+        models.append(lambda b, total=total, n=n: np.log((total[b] + 1) / n))
+    want = {i: sum(k * (models[0](b) - models[1](b)) for b, k in c.items()) for i, c in counts.items()}
+    found = resampling.op1(spark, folder).collect()
+    assert {r.doc_id: r.log_ratio for r in found} == pytest.approx(want)
+    share = sum(q for _, q in labels) / len(labels)
+    best = sorted(found, key=lambda r: -r.key)[: round(share * len(found))]
+    assert {r.doc_id for r in found if r.kept} == {r.doc_id for r in best}
+
+
 def test_resampling(docs, labels):
     rows = resampling.resampled(docs, labels.where("quality = 1"), 0.5).collect()
     assert len(rows) == docs.count() and sum(r.kept for r in rows) >= round(0.5 * len(rows))

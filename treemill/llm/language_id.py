@@ -28,8 +28,9 @@ FAMILIES = {
 }
 #: Buckets of the n-grams.
 WIDTH = 1 << 12
-#: Rows learned from, at most: so many of each language, those with the smallest hash, and in all.
-SAMPLE, IN_ALL = 700, 4000
+#: Rows learned from, those with the smallest hash: so many of each language at most, so many in all
+#: unless that is under ``LEAST`` of each language.
+SAMPLE, IN_ALL, LEAST = 700, 4000, 4
 #: Bytes whose n-grams are counted at a time.
 STEP = 1 << 20
 UNKNOWN = "und"
@@ -120,21 +121,21 @@ def held_out():
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of up to ``sample`` rows of each language; None if no row can be learned from.
+    """A model of all languages, from up to ``sample`` rows of each; None if no row can be learned from.
 
     Rows are those with a language and a letter in the text that are not held out; a null
     doc_id counts as held out.
     """
     known = texts(docs, "lang").where(F.col("lang").isNotNull() & F.coalesce(~held_out(), F.lit(False)))
     known = known.where(F.col("text").rlike(r"\p{L}")).withColumn("order", F.xxhash64("doc_id", F.lit(5)))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    if not langs:
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    sample = max(1, min(sample, IN_ALL // len(langs)))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().where(F.col("lang").isin(langs)).collect()}
+    sample = max(LEAST, min(sample, IN_ALL // len(counts)))
     # the hash is uniform, so a limit on it leaves a little over ``sample`` rows of each language
-    share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, 1.2 * sample / counts[lang]))])
-    near = known.where((F.pmod("order", F.lit(1 << 20)) / (1 << 20) < share[F.col("lang")]) & F.col("lang").isin(langs))
+    spark = docs.sparkSession
+    share = spark.createDataFrame([(lang, min(1.0, 1.2 * sample / n + 4 / n)) for lang, n in counts.items()], "lang string, share double")
+    near = known.join(F.broadcast(share), "lang").where(F.pmod("order", F.lit(1 << 20)) / (1 << 20) < F.col("share"))
     rows = per_row(near.select("lang", "order", "text"), lambda lang, order, text: (lang, order, vector(text).tobytes()), "lang string, order long, v binary").collect()
     taken: dict[str, int] = {}
     x, y = [], []
@@ -150,8 +151,9 @@ def identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Every whole text is read.  A text that is null or has no letter gets ``und`` and score 0, as
-    does every text where nothing could be learned.  Up to 200 languages are learned, the most
-    frequent ones.  Only doc_id, text and, to learn from, lang are looked at.
+    does every text where nothing could be learned.  Every language with a usable row is learned;
+    the rows grow with the number of languages (4 of each at least) and not with the corpus.  Equal
+    and long texts count like any other.  Only doc_id, text and, to learn from, lang are looked at.
     """
     model = fit(docs, sample)
 
