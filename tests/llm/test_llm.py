@@ -359,17 +359,59 @@ def test_resampling(docs, labels):
     assert [r.log_ratio for r in rows if r.n_grams == 0] == [0.0] * sum(r.n_grams == 0 for r in rows)
 
 
+def plain_license(text):
+    """The nearest template of a text, window by window: (score, licence)."""
+    table, places, unknown = licenses.vectors()
+    words, best = re.findall("[a-z0-9]+", (text or "").lower().replace("licence", "license")), (0, None)
+    for t, template in enumerate(table):
+        x = dict(zip(template["words"], template["x"], strict=True))
+        idf = dict(zip(template["words"], template["idf"], strict=True))
+        starts = {i - p["at"] for p in places if p["template"] == t for i, w in enumerate(words) if w == p["word"]}
+        for start in starts:
+            window = collections.Counter(words[max(start, 0) : start + template["length"]])
+            weight = {w: n * idf.get(w, unknown) for w, n in window.items()}
+            score = round(sum(v * x.get(w, 0) for w, v in weight.items()) / np.sqrt(sum(v * v for v in weight.values())), 6)
+            if score >= licenses.LEAST and score > best[0]:
+                best = score, template["license"]
+    return best
+
+
 def test_licenses(spark):
+    gpl = "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version."
+    mit = "some words before\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/y.py", "x\nLicensed under the Apache License, Version 2.0."),
         (4, "z.py", None), (5, None, "All rights reserved."), (6, "a/b/COPYING", "Licensed under CC BY-NC 4.0."), (7, "other/x", "a license to be free, which is not a notice at all"),
+        (8, "q/1", gpl), (9, "q/2", mit), (10, "q/3", "Copyright (c) 2020 Jane Doe. Released under the MIT licence. And more."), (11, "q/4", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"),
+        (12, "q/5", ""), (12, "q/5", ""), (13, "q/6", "word " * 500 + "and this text is\n * licensed under the\n * GNU Lesser General Public License version 3 " + "word " * 5000),
+        (14, "q/7", "x" * 1000 + " licensed under the bsd 3-clause license"), (15, None, None),
     ]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("clash")).withColumn("row", F.lit(1))
-    found = {r.doc_id: (r.own_license, r.license, r.license_from) for r in licenses.license_scan(files).collect()}
-    assert found == {
+    found = licenses.license_scan(files).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: (r.own_license, r.license, r.license_from) for r in found}
+    own = {8: "GPL-3.0", 9: "MIT", 10: "MIT", 11: "GPL-3.0", 12: None, 13: "LGPL-3.0", 14: "BSD-3-Clause", 15: None}
+    assert got == {
         1: ("MIT", "MIT", None), 2: (None, "CC-BY-NC-4.0", "a/b"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, None, None),
         5: ("proprietary", "proprietary", None), 6: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 7: (None, None, None),
-    }
+    } | {i: (v, v, None) for i, v in own.items()}
+
+
+def test_license_scan_of_a_whole_table(spark, monkeypatch):
+    """Own licences against every window, inheritance against a walk up; with few and many heavy keys."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    own = {i: plain_license(t) for i, t in texts.items()}
+    for heavy in (1000, 3):
+        monkeypatch.setattr(licenses, "HEAVY", heavy)
+        rows = licenses.op3(spark, "/root/testdata/sf0.001").collect()
+        assert {r.doc_id: (r.own_score or 0, r.own_license) for r in rows} == own
+        files = {r.path.rsplit("/", 1)[0]: r.own_license for r in rows if r.path.endswith("LICENSE") and r.own_license}
+        for r in rows:
+            up = r.path
+            while "/" in up and up.rsplit("/", 1)[0] not in files:
+                up = up.rsplit("/", 1)[0]
+            want = files.get(up.rsplit("/", 1)[0]) if "/" in up else None
+            assert r.license == (r.own_license or want)
 
 
 def test_pipeline(spark):
