@@ -369,7 +369,7 @@ def plain_license(text):
         starts = {i - p["at"] for p in places if p["template"] == t for i, w in enumerate(words) if w == p["word"]}
         for start in starts:
             window = collections.Counter(words[max(start, 0) : start + template["length"]])
-            weight = {w: n * idf.get(w, unknown) for w, n in window.items()}
+            weight = {w: n * idf.get(w, 1 if w in licenses.FREQUENT else unknown) for w, n in window.items()}
             score = round(sum(v * x.get(w, 0) for w, v in weight.items()) / np.sqrt(sum(v * v for v in weight.values())), 6)
             if score >= licenses.LEAST and score > best[0]:
                 best = score, template["license"]

@@ -73,7 +73,7 @@ TEMPLATES = {
     "proprietary": ["all rights reserved", "unauthorized copying of this file via any medium is strictly prohibited", "proprietary and confidential"],
 }
 LEAST = 0.75
-#: Frequent words of English prose and bare numbers, fixed values; they point to a template last.
+#: Frequent words of English prose and bare numbers, fixed values; they weigh least, as if in every template.
 FREQUENT = set("a all an and any are as at be been by can do for from have in into is it its made make may no nor not of on or other out over part so such than that the their them these they this to under up use used was were which who will with you your 0 1 2 3 4".split())
 #: A licence file's name.
 FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)[^/]*$"
@@ -85,13 +85,14 @@ HEAVY = 1000
 def vectors() -> tuple[list[dict], list[dict], float]:
     """The templates; the places of their weighty words; and the idf of a word that a template lacks.
 
-    A word's idf is over the templates: ln((1 + n) / (1 + templates with it)) + 1; a template's vector
+    A word's idf is over the templates: ln((1 + n) / (1 + templates with it)) + 1, or 1 for a frequent
+    word; a template's vector
     ``x`` has length one.  Weighty words of a template are so many, the heaviest first and frequent
     ones last, that the rest has less than ``LEAST`` of its length: a window without one of them
     can't reach that cosine.
     """
     texts = [(name, t.split()) for name, notices in TEMPLATES.items() for t in notices]
-    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in t for _, t in texts))) + 1 for _, t in texts for w in t}
+    idf = {w: 1.0 if w in FREQUENT else math.log((1 + len(texts)) / (1 + sum(w in t for _, t in texts))) + 1 for _, t in texts for w in t}
     table, places = [], []
     for n, (name, words) in enumerate(texts):
         own = sorted(set(words), key=lambda w: (-words.count(w) * idf[w], w))
@@ -111,13 +112,13 @@ def words_of(text: Column) -> Column:
 
 def cosine(window: Column, unknown: float) -> Column:
     """Of a window's TF-IDF vector and the template in columns words, idf and x; words that the
-    template lacks have the idf ``unknown``.
+    template lacks have the idf ``unknown``, or 1 if frequent.
     """
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     n = F.transform("words", lambda w: F.size(F.filter(window, lambda v: v == w)))
     mine = F.zip_with(n, F.col("idf"), lambda k, i: k * i)
     others = F.array_except(window, F.col("words"))
-    far = total(F.transform(others, lambda w: F.pow(F.size(F.filter(window, lambda v: v == w)), F.lit(2.0)))) * unknown**2
+    far = total(F.transform(others, lambda w: F.pow(F.size(F.filter(window, lambda v: v == w)) * F.when(w.isin(*sorted(FREQUENT)), 1.0).otherwise(unknown), F.lit(2.0))))
     dot = total(F.zip_with(mine, F.col("x"), lambda a, b: a * b))
     return F.round(F.coalesce(F.try_divide(dot, F.sqrt(total(F.transform(mine, lambda a: a * a)) + far)), F.lit(0.0)), 6)
 
@@ -125,7 +126,7 @@ def cosine(window: Column, unknown: float) -> Column:
 def own_licenses(files: DataFrame) -> DataFrame:
     """row, license and score of the files with a window near a template: the nearest one.
 
-    Distinct windows are compared once in each task before anything is shuffled.
+    Windows are compared in the task that reads the text; only the near ones are shuffled.
     """
     table, places, unknown = vectors()
     spark = files.sparkSession
@@ -136,7 +137,7 @@ def own_licenses(files: DataFrame) -> DataFrame:
     start = F.col("i") - F.col("at")
     first = F.greatest(start, F.lit(0))
     window = F.slice("_words", first + 1, F.greatest(start + F.col("length") - first, F.lit(0)))
-    windows = hits.join(F.broadcast(spots), "word").select("row", "template", window.alias("window")).distinct()
+    windows = hits.join(F.broadcast(spots), "word").select("row", "template", window.alias("window"))
     scored = windows.join(F.broadcast(templates), "template").withColumn("score", cosine(F.col("window"), unknown)).where(F.col("score") >= LEAST)
     best = F.max(F.struct("score", (-F.col("template")).alias("order"), "license"))
     return scored.groupBy("row").agg(best.alias("best")).select("row", "best.license", "best.score")
