@@ -12,9 +12,10 @@ cut AS (
     OVER (PARTITION BY doc ORDER BY k, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
   FROM parts WHERE form <> ''
 ),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc, s ORDER BY k, part) - 1 AS i FROM cut),
-tok AS (
-  SELECT CAST(doc * 100000000 + s * 1000 + i // 40 AS BIGINT) AS sent_id, CAST(i % 40 AS INTEGER) AS idx, form, lower(form) AS lemma,
+counted AS (SELECT *, row_number() OVER (PARTITION BY doc, s ORDER BY k, part) - 1 AS i FROM cut),
+numbered AS MATERIALIZED (SELECT *, sum(CASE WHEN i % 40 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY s, k, part) - 1 AS n FROM counted),
+tok AS MATERIALIZED (
+  SELECT CAST(doc * 100000000 + n AS BIGINT) AS sent_id, CAST(i % 40 AS INTEGER) AS idx, form, lower(form) AS lemma,
     CASE WHEN regexp_matches(form, '^[,;:.?!"]+$') THEN 'PUN'
          WHEN regexp_matches(form, '[0-9]') THEN 'NUM'
          WHEN length(form) <= 2 THEN 'DET' WHEN length(form) = 3 THEN 'PRP'
@@ -41,20 +42,20 @@ headed AS (
       WHEN pos = 'ADV' THEN next_verb WHEN pos IN ('NOM', 'NAM') THEN coalesce(last_verb, next_verb) ELSE last_verb END AS sys_head
   FROM near
 ),
-arcs AS (
+arcs AS MATERIALIZED (
   SELECT kind, sent_id, gov, head, CASE WHEN pos = 'PUN' THEN 'PONC' WHEN pos = 'DET' THEN 'DET' WHEN pos IN ('PRP', 'ADJ', 'NUM') THEN 'MOD'
       WHEN pos = 'ADV' THEN 'ADV' WHEN pos = 'VER' THEN 'COORD' WHEN head > gov THEN 'SUJ' ELSE 'OBJ' END AS label
   FROM (SELECT 'gold' AS kind, sent_id, idx AS gov, gold_head AS head, pos FROM headed UNION ALL SELECT 'sys', sent_id, idx, sys_head, pos FROM headed)
   WHERE head IS NOT NULL
 ),
-gold AS (SELECT sent_id, gov, head, label FROM arcs WHERE kind = 'gold'),
-sys AS (SELECT sent_id, gov, head, label FROM arcs WHERE kind = 'sys'),
-lnk AS (
+gold AS MATERIALIZED (SELECT sent_id, gov, head, label FROM arcs WHERE kind = 'gold'),
+sys AS MATERIALIZED (SELECT sent_id, gov, head, label FROM arcs WHERE kind = 'sys'),
+lnk AS MATERIALIZED (
   SELECT t.sent_id, t.idx, t.form, t.lemma, t.pos, coalesce(g.head, -1) AS head, coalesce(g.label, 'ROOT') AS label, h.form AS head_form, h.lemma AS head_lemma, h.pos AS head_pos
   FROM tok t LEFT JOIN gold g ON g.sent_id = t.sent_id AND g.gov = t.idx LEFT JOIN tok h ON h.sent_id = t.sent_id AND h.idx = g.head
 ),
 islands AS (SELECT sent_id, pos, idx, idx - row_number() OVER (PARTITION BY sent_id, pos ORDER BY idx) AS island FROM tok),
-grp AS (SELECT sent_id, pos AS name, min(idx) AS first_idx, max(idx) AS last_idx FROM islands GROUP BY sent_id, pos, island),
+grp AS MATERIALIZED (SELECT sent_id, pos AS name, min(idx) AS first_idx, max(idx) AS last_idx FROM islands GROUP BY sent_id, pos, island),
 up AS (
   SELECT sent_id, gov AS idx, head AS anc, 1 AS d FROM gold
   UNION ALL SELECT u.sent_id, u.idx, g.head, u.d + 1 FROM up u JOIN gold g ON g.sent_id = u.sent_id AND g.gov = u.anc WHERE u.d < 50

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 BLOCK = 40
-#: Room for the sentences of one document, and for the blocks of one sentence.
-SENTENCES, BLOCKS = 100_000_000, 1000
+#: Room for the sentences of one document: over four billion tokens of it.
+SENTENCES = 100_000_000
 
 
 def tag() -> Column:
@@ -36,7 +37,10 @@ def tag() -> Column:
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """sent_id, idx (from 0), form, lemma and pos of every token of the texts."""
+    """doc, sent_id, idx (from 0), form, lemma and pos of every token of the texts.
+
+    ``sent_id`` counts the sentences of a document from doc times ``SENTENCES``.
+    """
     words = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "[ \t\n\r]+")).alias("at", "word")).where("word <> ''")
     body, marks = F.regexp_replace("word", r'[,;:.?!"]+$', ""), F.regexp_extract("word", r'([,;:.?!"]+)$', 1)
     parts = words.select("doc", "at", F.posexplode(F.array(body, marks)).alias("part", "form")).where("form <> ''")
@@ -44,48 +48,73 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     ends = F.when((F.col("part") == 1) & F.col("form").rlike("[.?!]"), 1).otherwise(0)
     parts = parts.withColumn("s", F.coalesce(F.sum(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.withColumn("i", F.row_number().over(Window.partitionBy("doc", "s").orderBy("at", "part")) - 1)
-    sent = F.col("doc") * SENTENCES + F.col("s") * BLOCKS + F.floor(F.col("i") / BLOCK)
-    return parts.select(sent.alias("sent_id"), (F.col("i") % BLOCK).cast("int").alias("idx"), "form", F.lower("form").alias("lemma"), tag().alias("pos"))
+    begins = F.when(F.col("i") % BLOCK == 0, 1).otherwise(0)
+    parts = parts.withColumn("n", F.sum(begins).over(Window.partitionBy("doc").orderBy("s", "at", "part")) - 1)
+    sent = F.col("doc") * SENTENCES + F.col("n")
+    return parts.select("doc", sent.alias("sent_id"), (F.col("i") % BLOCK).cast("int").alias("idx"), "form", F.lower("form").alias("lemma"), tag().alias("pos"))
 
 
-def nearest(condition: Column, before: bool = False, reach: int | None = None) -> Column:
+def nearest(condition: Column, before: bool = False, reach: int | None = None, keys: tuple[str, ...] = ("sent_id",)) -> Column:
     """idx of the nearest word that meets ``condition`` after (or before) each word of a sentence;
     with ``reach``, at most so many words away.
     """
-    rows = Window.partitionBy("sent_id").orderBy("idx")
+    rows = Window.partitionBy(*keys).orderBy("idx")
     if before:
         return F.max(F.when(condition, F.col("idx"))).over(rows.rowsBetween(-reach if reach else Window.unboundedPreceding, -1))
     return F.min(F.when(condition, F.col("idx"))).over(rows.rowsBetween(1, reach or Window.unboundedFollowing))
 
 
-def arcs(toks: DataFrame, system: bool = False) -> DataFrame:
-    """sent_id, gov, head and label; words without a head have no row."""
+def annotated(toks: DataFrame) -> DataFrame:
+    """Tokens with gold_head, gold_label, sys_head, sys_label (null without an arc) and the gold
+    head's head_form, head_lemma and head_pos.
+
+    One pass: windows and arrays within the sentence, on the partitions that ``toks`` comes in.
+    """
+    sentence = Window.partitionBy("doc", "sent_id")
     noun, verb = F.col("pos").isin("NOM", "NAM"), F.col("pos") == "VER"
     near = toks.select(
-        "sent_id", "idx", "pos",
-        nearest(noun).alias("next_noun"), nearest(noun, reach=3).alias("near_noun"),
-        nearest(verb).alias("next_verb"), nearest(verb, before=True).alias("last_verb"),
-        nearest(F.lit(True), before=True, reach=1).alias("last_word"),
+        "*",
+        nearest(noun, keys=("doc", "sent_id")).alias("next_noun"), nearest(noun, reach=3, keys=("doc", "sent_id")).alias("near_noun"),
+        nearest(verb, keys=("doc", "sent_id")).alias("next_verb"), nearest(verb, before=True, keys=("doc", "sent_id")).alias("last_verb"),
+        nearest(F.lit(True), before=True, reach=1, keys=("doc", "sent_id")).alias("last_word"),
     )
-    subject = F.coalesce("last_verb", "next_verb") if system else F.coalesce("next_verb", "last_verb")
-    head = (
-        F.when(F.col("pos") == "PUN", F.col("last_word"))
-        .when(F.col("pos") == "DET", F.col("near_noun" if system else "next_noun"))
-        .when(F.col("pos").isin("PRP", "ADJ", "NUM"), F.col("next_noun"))
-        .when(F.col("pos") == "ADV", F.col("next_verb"))
-        .when(F.col("pos").isin("NOM", "NAM"), subject)
-        .otherwise(F.col("last_verb"))
-    )
-    label = (
-        F.when(F.col("pos") == "PUN", "PONC")
-        .when(F.col("pos") == "DET", "DET")
-        .when(F.col("pos").isin("PRP", "ADJ", "NUM"), "MOD")
-        .when(F.col("pos") == "ADV", "ADV")
-        .when(F.col("pos") == "VER", "COORD")
-        .when(F.col("head") > F.col("idx"), "SUJ")
-        .otherwise("OBJ")
-    )
-    return near.withColumn("head", head).where("head is not null").select("sent_id", F.col("idx").alias("gov"), "head", label.alias("label"))
+
+    def head(system: bool) -> Column:
+        subject = F.coalesce("last_verb", "next_verb") if system else F.coalesce("next_verb", "last_verb")
+        return (
+            F.when(F.col("pos") == "PUN", F.col("last_word"))
+            .when(F.col("pos") == "DET", F.col("near_noun" if system else "next_noun"))
+            .when(F.col("pos").isin("PRP", "ADJ", "NUM"), F.col("next_noun"))
+            .when(F.col("pos") == "ADV", F.col("next_verb"))
+            .when(F.col("pos").isin("NOM", "NAM"), subject)
+            .otherwise(F.col("last_verb"))
+        )
+
+    def label(head: str) -> Column:
+        named = (
+            F.when(F.col("pos") == "PUN", "PONC")
+            .when(F.col("pos") == "DET", "DET")
+            .when(F.col("pos").isin("PRP", "ADJ", "NUM"), "MOD")
+            .when(F.col("pos") == "ADV", "ADV")
+            .when(F.col("pos") == "VER", "COORD")
+            .when(F.col(head) > F.col("idx"), "SUJ")
+            .otherwise("OBJ")
+        )
+        return F.when(F.col(head).isNotNull(), named)
+
+    found = near.withColumn("gold_head", head(False)).withColumn("sys_head", head(True))
+    whole = F.collect_list(F.struct("form", "lemma", "pos")).over(sentence.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = found.withColumn("_head", F.get(whole, F.col("gold_head")))
+    return found.select(
+        "sent_id", "idx", "form", "lemma", "pos", "gold_head", label("gold_head").alias("gold_label"), "sys_head", label("sys_head").alias("sys_label"),
+        *[F.col(f"_head.{c}").alias(f"head_{c}") for c in ("form", "lemma", "pos")],
+    )
+
+
+def arcs(words: DataFrame, kind: str) -> DataFrame:
+    """sent_id, gov, head and label of one annotation of ``annotated``; words without a head have no row."""
+    found = words.where(F.col(f"{kind}_head").isNotNull())
+    return found.select("sent_id", F.col("idx").alias("gov"), F.col(f"{kind}_head").alias("head"), F.col(f"{kind}_label").alias("label"))
 
 
 def runs(toks: DataFrame) -> DataFrame:
@@ -96,12 +125,23 @@ def runs(toks: DataFrame) -> DataFrame:
 
 
 class Treebank:
-    """The tables of one corpus, made lazily."""
+    """The tables of one corpus, made lazily.
+
+    All come from one table of annotated words, made once and kept (memory, then disk; what a lost
+    executor kept is made again), so a query that joins it with itself reads the texts once.
+    ``release`` frees it.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, table: str = "documents"):
         key = {"documents": "doc_id", "benchmark": "item_id"}[table]
         self.docs = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, "text")
-        self.tokens = tokens(self.docs, key)
-        self.gold = arcs(self.tokens)
-        self.system = arcs(self.tokens, system=True)
+        self.words = annotated(tokens(self.docs, key)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tokens = self.words.select("sent_id", "idx", "form", "lemma", "pos")
+        self.gold, self.system = arcs(self.words, "gold"), arcs(self.words, "sys")
         self.groups = runs(self.tokens)
+        heads = [F.coalesce("gold_head", F.lit(-1)).alias("head"), F.coalesce("gold_label", F.lit("ROOT")).alias("label")]
+        #: words with their gold arc and the head's columns, as ``match.linked`` makes them
+        self.linked = self.words.select("sent_id", "idx", "form", "lemma", "pos", *heads, "head_form", "head_lemma", "head_pos")
+
+    def release(self) -> None:
+        self.words.unpersist()

@@ -89,7 +89,8 @@ def lines08(tokens: DataFrame, deps: DataFrame, roles: DataFrame) -> DataFrame:
     all_preds = F.coalesce("preds", F.array().cast("array<int>"))
     fine = F.coalesce(F.col("extra")["POSD"], F.lit("_")) if "extra" in tokens.columns else F.lit("_")
     number = F.array_position(all_preds, F.col("idx")) - 1
-    first = F.array((F.col("idx") + 1).cast("string"), "form", "lemma", "pos", fine, "form", "lemma", "pos", (F.coalesce("_head", F.lit(-1)) + 1).cast("string"), F.coalesce("_label", F.lit("ROOT")), F.when(number >= 0, F.concat_ws(".", "lemma", number.cast("string"))).otherwise("_"))
+    there = [F.coalesce(c, F.lit("_")) for c in ("form", "lemma", "pos")]
+    first = F.array((F.col("idx") + 1).cast("string"), *there, fine, *there, (F.coalesce("_head", F.lit(-1)) + 1).cast("string"), F.coalesce("_label", F.lit("ROOT")), F.when(number >= 0, F.concat_ws(".", "lemma", number.cast("string"))).otherwise("_"))
     cells = F.transform(all_preds, lambda p: F.coalesce(F.try_element_at("args", p), F.lit("_")))
     return _sentence_text(joined.select("sent_id", "idx", F.array_join(F.concat(first, cells), "\t").alias("line")))
 

@@ -61,7 +61,8 @@ def lines06(tokens: DataFrame, deps: DataFrame) -> DataFrame:
     one = first_arcs(deps).select("sent_id", F.col("gov").alias("idx"), "head", "label")
     joined = tokens.join(one, ["sent_id", "idx"], "left")
     extra = (lambda k: F.coalesce(F.col("extra")[k], F.lit("_"))) if "extra" in tokens.columns else (lambda k: F.lit("_"))
-    line = F.concat_ws("\t", (F.col("idx") + 1).cast("string"), "form", "lemma", "pos", extra("POSD"), extra("FEATS"), (F.coalesce("head", F.lit(-1)) + 1).cast("string"), F.coalesce("label", F.lit("ROOT")), F.lit("_"), F.lit("_"))
+    there = [F.coalesce(c, F.lit("_")) for c in ("form", "lemma", "pos")]
+    line = F.concat_ws("\t", (F.col("idx") + 1).cast("string"), *there, extra("POSD"), extra("FEATS"), (F.coalesce("head", F.lit(-1)) + 1).cast("string"), F.coalesce("label", F.lit("ROOT")), F.lit("_"), F.lit("_"))
     return joined.groupBy("sent_id").agg(F.concat(F.array_join(F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))["line"], "\n"), F.lit("\n")).alias("text"))
 
 
@@ -75,10 +76,10 @@ def lines09(tokens: DataFrame, deps: DataFrame, roles: DataFrame) -> DataFrame:
     one = first_arcs(deps).select("sent_id", F.col("gov").alias("idx"), "head", "label")
     joined = tokens.join(one, ["sent_id", "idx"], "left").join(preds, "sent_id", "left").join(args, ["sent_id", "idx"], "left")
     head, label = (F.coalesce("head", F.lit(-1)) + 1).cast("string"), F.coalesce("label", F.lit("ROOT"))
-    clean = lambda c: F.translate(c, " ", "_")
+    clean = lambda c: F.coalesce(F.translate(c, " ", "_"), F.lit("_"))
     is_pred = F.array_contains(F.coalesce("preds", F.array().cast("array<int>")), F.col("idx"))
     cells = F.transform(F.coalesce("preds", F.array().cast("array<int>")), lambda p: F.coalesce(F.try_element_at("args", p), F.lit("_")))
-    first = F.array((F.col("idx") + 1).cast("string"), clean("form"), clean("lemma"), clean("lemma"), "pos", "pos", F.lit("_"), F.lit("_"), head, head, label, label, F.when(is_pred, "Y").otherwise("_"), F.coalesce("sense", F.lit("_")))
+    first = F.array((F.col("idx") + 1).cast("string"), clean("form"), clean("lemma"), clean("lemma"), clean("pos"), clean("pos"), F.lit("_"), F.lit("_"), head, head, label, label, F.when(is_pred, "Y").otherwise("_"), F.coalesce("sense", F.lit("_")))
     line = F.array_join(F.concat(first, cells), "\t")
     return joined.groupBy("sent_id").agg(F.concat(F.array_join(F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))["line"], "\n"), F.lit("\n")).alias("text"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,25 @@ def trs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", "turn", F.array_join(lines, " ").alias("text")).where("text <> ''")
 
 
+def escaped(column: str) -> Column:
+    """A string for an XML attribute; null is empty."""
+    out = F.coalesce(column, F.lit(""))
+    for sign, name in (("&", "amp"), ('"', "quot"), ("<", "lt"), (">", "gt")):
+        out = F.replace(out, F.lit(sign), F.lit(f"&{name};"))
+    return out
+
+
+def plain(value: Column) -> Column:
+    for sign, name in ((">", "gt"), ("<", "lt"), ('"', "quot"), ("&", "amp")):
+        value = F.replace(value, F.lit(f"&{name};"), F.lit(sign))
+    return value
+
+
 def xml_lines(tokens: DataFrame, deps: DataFrame, groups: DataFrame) -> DataFrame:
     """sent_id and text: the native XML of each sentence (words, groups, then arcs)."""
-    t = tokens.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", F.format_string('<t i="%d" l="%s" f="%s" c="%s"/>', F.col("idx") + 1, "lemma", "form", "pos").alias("x"))))["x"], "\n").alias("words"))
+    t = tokens.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", F.format_string('<t i="%d" l="%s" f="%s" c="%s"/>', F.col("idx") + 1, escaped("lemma"), escaped("form"), escaped("pos")).alias("x"))))["x"], "\n").alias("words"))
     g = groups.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("<group> %s %d %d", "name", "first_idx", "last_idx"))), "\n").alias("spans"))
-    d = deps.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("gov", F.format_string('<d r="%s" s="%d" c="%d"/>', "label", F.col("gov") + 1, F.col("head") + 1).alias("x"))))["x"], "\n").alias("arcs"))
+    d = deps.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("gov", F.format_string('<d r="%s" s="%d" c="%d"/>', escaped("label"), F.col("gov") + 1, F.col("head") + 1).alias("x"))))["x"], "\n").alias("arcs"))
     joined = t.join(g, "sent_id", "left").join(d, "sent_id", "left")
     return joined.select("sent_id", F.concat_ws("\n", F.format_string('<SEQ id="T_%d">', "sent_id"), "words", "spans", "arcs", F.lit("</SEQ>")).alias("text"))
 
@@ -51,7 +65,7 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     """tokens, arcs and groups of native XML; arcs with a missing end or label are dropped."""
     whole = spark.read.text(path, wholetext=True)
     seqs = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<SEQ .*?</SEQ>)"))).alias("seq")).select(F.regexp_extract("seq", r'id="T_(\d+)"', 1).cast("long").alias("sent_id"), F.explode(F.split("seq", "\n")).alias("line"))
-    at = lambda k: F.regexp_extract("line", rf' {k}="([^"]*)"', 1)
+    at = lambda k: plain(F.regexp_extract("line", rf' {k}="([^"]*)"', 1))
     words = seqs.where("line like '<t %'").select("sent_id", (at("i").cast("int") - 1).alias("idx"), at("f").alias("form"), at("l").alias("lemma"), at("c").alias("pos"))
     arcs = seqs.where("line like '<d %'").select("sent_id", (at("s").cast("int") - 1).alias("gov"), (at("c").cast("int") - 1).alias("head"), at("r").alias("label")).where("label <> ''")
     ends = words.select("sent_id", F.col("idx").alias("gov"))
@@ -61,8 +75,16 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def chunks(sentences: DataFrame, n: int) -> DataFrame:
-    """sent_id and chunk: n equal parts in order, the last with the rest."""
-    numbered = sentences.select("sent_id").distinct()
-    seq = F.row_number().over(Window.orderBy("sent_id")) - 1
-    size = F.greatest(F.floor(F.count("*").over(Window.partitionBy()) / n), F.lit(1))
-    return numbered.select("sent_id", F.least(F.floor(seq / size), F.lit(n - 1)).alias("chunk"))
+    """sent_id and chunk: n equal parts in order, the last with the rest.
+
+    Sentences are numbered in two levels: within ranges of ids, then by sums over the few ranges.
+    """
+    ranged = sentences.select("sent_id").distinct().repartitionByRange("sent_id").withColumn("part", F.spark_partition_id())
+    counts = ranged.groupBy("part").agg(F.min("sent_id").alias("low"), F.count("*").alias("own"))
+    order = Window.orderBy("low")
+    counts = counts.select(F.col("low"), F.lead("low").over(order).alias("high"), (F.sum("own").over(order) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy()).alias("all"))
+    # the ranges may differ from run to run of the plan, so rows find theirs by their id
+    found = sentences.select("sent_id").distinct().join(F.broadcast(counts), (F.col("sent_id") >= F.col("low")) & (F.col("high").isNull() | (F.col("sent_id") < F.col("high"))))
+    seq = F.col("before") + F.row_number().over(Window.partitionBy("low").orderBy("sent_id")) - 1
+    size = F.greatest(F.floor(F.col("all") / n), F.lit(1))
+    return found.select("sent_id", F.least(F.floor(seq / size), F.lit(n - 1)).alias("chunk"))
