@@ -21,6 +21,8 @@ CHUNK = 1 << 20
 #: Bits of the filter by which rows are sifted before a shuffle; broadcast as 64-bit words, so at
 #: most 262,144 rows (4 MB) whatever the input.
 FILTER_BITS = 1 << 24
+#: Bytes of an Arrow batch on its way to Python.
+BATCH = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,12 +74,23 @@ def sifted(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, Data
     return marked.where(hit).drop(*ours), marked.where(~hit).drop(*ours)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH`` bytes in this session, unless it has a size of its own.
+
+    Spark's own size, 64 MB, is held several times over by each task and its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b") if spark.conf.get(key).rstrip("b").isdigit() else 0) == 64 << 20:
+        spark.conf.set(key, BATCH)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only ``doc_id``, ``text`` and ``more``, so that other columns of ``docs`` can't clash."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *map(F.col, more))
 
 
@@ -96,6 +109,7 @@ def per_batch(df: DataFrame, many: Callable[..., list[tuple]], schema: str, star
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bounded_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

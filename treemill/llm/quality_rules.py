@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from treemill.llm.common import documents, per_row, slices, texts
+from treemill.llm.common import bounded_batches, documents, per_row, slices, texts
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = BASE + ("n_upper", "n_shouts", "n_chars_read", "n_lines")
@@ -182,6 +182,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
                 columns = zip(*map(text_stats, part.column("_text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("_doc"), *(pa.array(c, pa.int64()) for c in columns)], ["_doc", *STATS])
 
+    bounded_batches(docs.sparkSession)
     passed = whole.mapInArrow(run, schema).where(verdict(rules))
     return passed.select(*[F.col("_doc").getField(c).alias(c) for c in names])
 
