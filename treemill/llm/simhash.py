@@ -286,8 +286,8 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
        share one of them (an exact prefix filter), and where they do bounds what they share.
     2. A shingle of more than ``crowd`` documents is not paired at once: these are dealt at
        random into cells of ``crowd`` or fewer, pairs of a cell are verified and joined.  Rounds of
-       this end when the pairs of different components are no more than a round's, or a round
-       leaves over half of them.
+       this end when the pairs of different components that are left there are no more than the
+       index's rows, or a round leaves over half of them.
     3. All pairs of different components that are left are verified, whatever their number.
 
     So a group of copies is not expanded into its pairs, and no link is lost.  Texts without a
@@ -305,7 +305,7 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     for turn in itertools.count():
         many = F.when(F.col("minor") & (F.col("members") > crowd), F.col("members"))
         rows, pairs = left.agg(F.count("*"), F.coalesce(F.sum(many), F.lit(0))).first()
-        if pairs <= crowd * rows or (before and 2 * pairs > before):
+        if pairs <= rows or (before and 2 * pairs > before):
             break
         before = pairs
         cells = F.pow(2.0, F.ceil(F.log2(F.col("members") / crowd))).cast("long")
