@@ -23,9 +23,9 @@ from treemill.llm.common import documents, per_batch, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded words that a task keeps: half of them new, half those used before (only speed depends on it).
-REMEMBER = 240_000
+REMEMBER = 300_000
 #: Bytes of text that are encoded at a time.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: The pattern of the byte-level pretokenizer, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII characters only.
