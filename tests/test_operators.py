@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -110,6 +111,27 @@ def test_projection_onto_itself(spark):
     assert align.edits(toks, toks, linked).first().matched == 3
 
 
+def test_closest_against_all_pairs(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "of", "and"]) for _ in range(rng.randint(1, 7))) for _ in range(170)]
+    rows = list(enumerate([*texts, "quite rare words", "quite rare word", "", None]))
+    df = spark.createDataFrame(rows, "sent_id long, text string")
+    asked = df.where("sent_id % 10 = 0 or sent_id >= 170")
+    got = {r.sent_id: (r.distance, r.near_id) for r in align.closest(asked, df, rows=20).collect()}
+    best = {i: min((_distance(a, b), j) for j, b in rows if b is not None and j != i) for i, a in rows if a is not None and (i % 10 == 0 or i >= 170)}
+    assert got == best
+
+
+def _distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(now[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
 def test_spanning_trees_against_all_trees():
     rng = np.random.default_rng(1)
     for n in (2, 3, 4, 5):

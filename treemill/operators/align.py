@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a band of sentence lengths.
+BAND = 8
+
 
 def lcs_links(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence."""
@@ -63,15 +66,30 @@ def project_groups(groups: DataFrame, linked: DataFrame) -> DataFrame:
     return inside.groupBy("sent_id", "name", "first_idx", "last_idx").agg(F.min("idx_b").alias("to_first"), F.max("idx_b").alias("to_last")).select("sent_id", "name", F.col("to_first").alias("first_idx"), F.col("to_last").alias("last_idx"))
 
 
-def closest(queries: DataFrame, sentences: DataFrame) -> DataFrame:
-    """The nearest sentence of each query by edit distance over characters.
+def closest(queries: DataFrame, sentences: DataFrame, rare: int = 50, rows: int = 1 << 14) -> DataFrame:
+    """The nearest other sentence of each query by edit distance over characters, the least id of equals.
 
-    Candidates share a rare word with the query: of the words in both tables those in at most 50
-    sentences, which keeps the join linear; queries without one have no row.
+    Sentences that share a word found in ``rare`` sentences or fewer give a first bound of the
+    distance; queries without one take the greatest length.  Then each query meets every sentence
+    whose length differs by its bound or less, in bands of length that are dealt into blocks of
+    about ``rows`` sentences, so that no sentence is left out and no block grows with the corpus.
+    Null texts are left out; a query with no other sentence has no row.
     """
+    queries, sentences = (df.select("sent_id", "text").where("text is not null") for df in (queries, sentences))
     words = lambda df, k: df.select(F.col("sent_id").alias(k), "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     all_words = words(sentences, "near_id").withColumnRenamed("text", "near_text")
-    rare = all_words.groupBy("w").count().where("count <= 50").select("w")
-    pairs = words(queries, "sent_id").join(rare, "w").join(all_words, "w").where("sent_id <> near_id").dropDuplicates(["sent_id", "near_id"])
-    scored = pairs.withColumn("distance", F.levenshtein("text", "near_text"))
+    few = all_words.groupBy("w").count().where(F.col("count") <= rare).select("w")
+    shared = words(queries, "sent_id").join(few, "w").join(all_words, "w").where("sent_id <> near_id")
+    bounds = shared.groupBy("sent_id", "text").agg(F.min(F.levenshtein("text", "near_text")).alias("bound"))
+    longest = sentences.agg(F.max(F.length("text"))).first()[0] or 0
+    banded = sentences.withColumn("band", F.floor(F.length("text") / BAND).cast("int"))
+    blocks = banded.groupBy("band").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    dealt = banded.join(blocks, "band").select("band", F.pmod(F.xxhash64("sent_id"), "blocks").cast("int").alias("block"), F.col("sent_id").alias("near_id"), F.col("text").alias("near_text"))
+    asked = queries.join(bounds, ["sent_id", "text"], "left").withColumn("bound", F.coalesce("bound", F.greatest(F.length("text"), F.lit(longest))))
+    low, high = (F.floor((F.length("text") + k * F.col("bound")) / BAND).cast("int") for k in (-1, 1))
+    met = asked.withColumn("band", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.greatest(low, F.lit(longest // BAND))))))
+    met = met.join(blocks, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = F.abs(F.length("text") - F.length("near_text")) <= F.col("bound")
+    pairs = met.join(dealt, ["band", "block"]).where((F.col("sent_id") != F.col("near_id")) & near)
+    scored = pairs.withColumn("distance", F.expr("levenshtein(text, near_text, bound)")).where("distance >= 0")
     return scored.groupBy("sent_id").agg(F.min(F.struct("distance", "near_id")).alias("best")).select("sent_id", "best.near_id", "best.distance")
