@@ -48,6 +48,14 @@ def test_brackets(spark, tmp_path):
     assert [(r.sent_id, r.idx, r.pos, r.form) for r in found] == [(0, 0, "DT", "The"), (0, 1, "NN", "cat"), (0, 2, "VB", "sat"), (1, 0, "VB", "Go")]
 
 
+def test_numbers_run_on_over_files(spark, tmp_path):
+    (tmp_path / "a.mrg").write_text("(S (X a))\n(S (X b)\n  (X c))\n")
+    (tmp_path / "b.mrg").write_text("(S)\n(S (X d))\n")
+    (tmp_path / "c.mrg").write_text("(S (X e))\n")
+    found = other.brackets(spark, str(tmp_path)).collect()
+    assert sorted((r.sent_id, r.idx, r.form) for r in found) == [(0, 0, "a"), (1, 0, "b"), (1, 1, "c"), (2, 0, "d"), (3, 0, "e")]
+
+
 def test_transcripts(spark, tmp_path):
     (tmp_path / "a.stm").write_text("x male> hello there\nno\n")
     (tmp_path / "a.trs").write_text("<Turn>\n<Sync/>\nhello\n# c\nyou\n</Turn>\n<Turn>\nbye\n</Turn>\n")

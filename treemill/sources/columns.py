@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treemill.sources.other import numbered
+
 
 def _sentence_text(lines: DataFrame) -> DataFrame:
     """sent_id and text from sent_id, idx and line."""
@@ -25,8 +27,7 @@ def read_props(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     """
     whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
     blocks = whole.select("file", F.posexplode(F.split("value", r"\n[ \t]*\n")).alias("at", "block")).where(F.trim("block") != "")
-    numbered = blocks.select((F.dense_rank().over(Window.orderBy("file", "at")) - 1).cast("long").alias("sent_id"), "block")
-    lines = numbered.select("sent_id", F.posexplode(F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")).alias("idx", "line"))
+    lines = numbered(blocks, "at").select("sent_id", F.posexplode(F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")).alias("idx", "line"))
     words = lines.select("sent_id", "idx", F.split(F.trim("line"), r"\s+").alias("c"))
     verbs = words.where(F.col("c")[0] != "-").select("sent_id", F.col("idx").alias("head"), (F.row_number().over(Window.partitionBy("sent_id").orderBy("idx")) - 1).alias("n"))
     cells = words.select("sent_id", "idx", F.posexplode(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0)))).alias("n", "cell"))

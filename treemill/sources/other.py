@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, place: str) -> DataFrame:
+    """``rows`` with sent_id, without gaps from 0 in the order of ``file`` and ``place``.
+
+    Places are ranked inside their file; only one row a file is ordered in one task.
+    """
+    inside = rows.withColumn("_rank", F.dense_rank().over(Window.partitionBy("file").orderBy(place)))
+    sizes = inside.groupBy("file").agg(F.max("_rank").alias("_own"))
+    before = sizes.select("file", (F.sum("_own").over(Window.orderBy("file")) - F.col("_own")).alias("_before"))
+    return inside.join(before, "file").withColumn("sent_id", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_rank", "_before")
+
+
 def brackets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """sent_id, idx, pos and form of bracketed trees; a leaf is ``(POS word)``.
 
@@ -20,9 +31,8 @@ def brackets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     trees = lines.withColumn("before", before)
     trees = trees.withColumn("tree", F.sum(F.when(F.col("before") == 0, 1).otherwise(0)).over(order))
     leaves = trees.select("file", "tree", "at", F.posexplode(F.regexp_extract_all("line", F.lit(r"(\([^ ()]+ [^ ()]+\))"))).alias("i", "leaf"))
-    number = F.dense_rank().over(Window.orderBy("file", "tree")) - 1
     place = F.row_number().over(Window.partitionBy("file", "tree").orderBy("at", "i")) - 1
-    return leaves.select(number.cast("long").alias("sent_id"), place.alias("idx"), F.regexp_extract("leaf", r"^\(([^ ]+) ", 1).alias("pos"), F.regexp_extract("leaf", r" ([^ ]+)\)$", 1).alias("form"))
+    return numbered(leaves, "tree").select("sent_id", place.alias("idx"), F.regexp_extract("leaf", r"^\(([^ ]+) ", 1).alias("pos"), F.regexp_extract("leaf", r" ([^ ]+)\)$", 1).alias("form"))
 
 
 def stm(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
