@@ -6,6 +6,7 @@ carriage return.  ``bytes.split()`` cuts at exactly these six bytes.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -57,6 +58,21 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query that wrote them ends, for work in many short queries.
+
+    Each of these has to end in a table or a checkpoint: a second run of the same frame shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sifted(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose ``column`` may be the one of ``keys``, and rows where it is not.
 

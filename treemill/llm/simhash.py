@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treemill.llm.common import discard, documents, packed, per_row, settle, sifted, slices, stored, texts, unpacked, word_chunks
+from treemill.llm.common import discard, documents, packed, per_row, released, settle, sifted, slices, stored, texts, unpacked, word_chunks
 from treemill.llm.components import components
 
 SEGMENTS, RADIUS, SHINGLE = 16, 2, 3
@@ -232,11 +232,13 @@ def open_between(rows: DataFrame, roots: DataFrame) -> DataFrame:
     the component of the id; ``members``, the token's rows; and ``minor``, whether the row is in
     another component than most of them.
     """
-    found = settle(rows.select("token", "id", "n", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    found = stored(rows.select("token", "id", "n", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     counts = found.groupBy("token", "root").agg(F.count("*").alias("own"))
     counts = counts.groupBy("token").agg(F.sum("own").alias("members"), F.max(F.struct("own", "root"))["root"].alias("main"), F.count("*").alias("roots"))
     counts = settle(counts.where("roots > 1").drop("roots"))
-    return settle(found.join(counts, "token").withColumn("minor", F.col("root") != F.col("main")).drop("main"))
+    still = stored(found.join(counts, "token").withColumn("minor", F.col("root") != F.col("main")).drop("main"))
+    discard(found)
+    return still
 
 
 def candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -256,8 +258,8 @@ def candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def alike_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets of shingles are alike."""
-    pairs = settle(pairs)
-    ids = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    pairs = stored(pairs)
+    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     maybe, _ = sifted(marked, "doc_id", ids)
     whole = maybe.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "text")
     sets = stored(per_row(whole, lambda i, text: (i, short_set(text)), "id long, shingles binary"))
@@ -265,7 +267,8 @@ def alike_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
     judged = per_row(both, lambda a, b, x, y: (a, b, alike(unpacked(x, 5), unpacked(y, 5))), "a long, b long, near boolean")
     found = settle(judged.where("near").select("a", "b"))
-    discard(sets)
+    for table in (sets, ids, pairs):
+        discard(table)
     return found
 
 
@@ -296,12 +299,13 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     known = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     marked = texts(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
     index = stored(prefixes(marked, *frequent(marked)))
-    met = settle(repeated(index))
+    met = stored(repeated(index))
     discard(index)
     wholes = met.where("place < 0")
     equal = wholes.join(wholes.groupBy("token", "n").agg(F.min("id").alias("b")), ["token", "n"]).select(F.col("id").alias("a"), "b")
     roots = merged(known, equal)
     left, before = open_between(met.where("place >= 0"), roots), None
+    discard(met)
     for turn in itertools.count():
         many = F.when(F.col("minor") & (F.col("members") > crowd), F.col("members"))
         rows, pairs = left.agg(F.count("*"), F.coalesce(F.sum(many), F.lit(0))).first()
@@ -312,8 +316,10 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
         dealt = left.where(F.col("members") > crowd).withColumn("cell", F.pmod(F.xxhash64("id", F.lit(turn)), cells))
         new = alike_pairs(candidates(dealt, ["token", "cell"]), marked)
         roots = merged(roots.select(F.col("id").alias("a"), F.col("root").alias("b")), new)
-        left = open_between(left, roots)
+        left, old = open_between(left, roots), left
+        discard(old)
     rest = alike_pairs(candidates(left, ["token"]), marked)
+    discard(left)
     return merged(roots.select(F.col("id").alias("a"), F.col("root").alias("b")), rest).toDF("doc_id", "component_id")
 
 
@@ -322,7 +328,8 @@ def drop_near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    gone = settle(near_copies(docs, crowd).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    with released(docs.sparkSession):
+        gone = settle(near_copies(docs, crowd).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     maybe, stay = sifted(docs, "doc_id", gone)
     return maybe.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti").union(stay)
 
