@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treemill.llm import bpe, exact_dedup, language_id, licenses, mixing, quality_rules, resampling, secrets, simhash, substring_dedup
+from treemill.llm import bpe, byte_bpe, exact_dedup, fill_in_middle, language_id, licenses, mixing, quality_rules, resampling, secrets, simhash, spelling, substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": resampling.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8,
     "op9_secret_scan": secrets.op9,
     "op10_simhash": simhash.op10,
+    "op11_spelling_variants": spelling.op11,
+    "op12_fill_in_middle": fill_in_middle.op12,
+    "op13_byte_bpe": byte_bpe.op13,
 }
 
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLE_SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL, "op12_fill_in_middle": fill_in_middle.OP12_SQL}
