@@ -1,70 +1,56 @@
 """Measures of dependency trees.
 
-Heads of a sentence are collected into one array and walked with higher-order functions, so
-ancestors cost one shuffle by sentence, not one join a level.  Walks stop after ``DEEP`` steps, so
-cycles end.
+Ancestors, depths and yields come from ``forest``: one row a sentence, no walk cut short.  Functions
+take ``deps`` or, without it, words that have their head already.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treemill.operators.match import first_arcs
+from treemill.operators import forest
 
-DEEP = 50
 
+def ancestors(tokens: DataFrame, deps: DataFrame | None = None) -> DataFrame:
+    """sent_id, idx and chain, the ancestors of each word, nearest first; in a cycle up to the word itself."""
 
-def head_arrays(tokens: DataFrame, deps: DataFrame) -> DataFrame:
-    """sent_id and heads: at place i the head of word i, -1 if it has none."""
-    joined = tokens.select("sent_id", "idx").join(first_arcs(deps).select("sent_id", F.col("gov").alias("idx"), "head"), ["sent_id", "idx"], "left")
-    pairs = F.array_sort(F.collect_list(F.struct("idx", F.coalesce("head", F.lit(-1)).alias("head"))))
-    return joined.groupBy("sent_id").agg(pairs.alias("pairs")).select("sent_id", F.col("pairs.head").alias("heads"))
+    def one(sent, heads):
+        chains = []
+        for i in range(len(heads)):
+            chain, at = [], heads[i]
+            while 0 <= at < len(heads) and at not in chain:
+                chain.append(at)
+                at = heads[at]
+            chains.append((sent, i, chain))
+        return chains
 
-
-def chain(heads: Column, idx: Column) -> Column:
-    """The ancestors of a word, nearest first; up to ``DEEP``, without the word unless in a cycle."""
-
-    def step(path, _):
-        last = F.coalesce(F.element_at(path, -1), F.lit(-1))
-        head = F.when(last >= 0, F.get(heads, last)).otherwise(F.lit(-1))
-        return F.when(head >= 0, F.concat(path, F.array(head))).otherwise(F.concat(path, F.array(F.lit(-1))))
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(DEEP)), F.array(idx), lambda p, n: F.when(F.element_at(p, -1) < 0, p).otherwise(step(p, n)))
-    return F.filter(F.slice(walked, 2, DEEP), lambda x: x >= 0)
-
-
-def ancestors(tokens: DataFrame, deps: DataFrame) -> DataFrame:
-    """sent_id, idx and chain, the array of ancestors of each word."""
-    arrays = head_arrays(tokens, deps)
-    spread = arrays.select("sent_id", "heads", F.explode(F.sequence(F.lit(0), F.size("heads") - 1)).alias("idx"))
-    return spread.select("sent_id", "idx", chain(F.col("heads"), F.col("idx")).alias("chain"))
+    words = forest.with_heads(tokens, deps).select("sent_id", "idx", "head")
+    return forest.per_sentence(forest.sentences(words, "head"), one, "sent_id long, idx int, chain array<int>")
 
 
 def roots(tokens: DataFrame, deps: DataFrame) -> DataFrame:
     return tokens.select("sent_id", "idx").join(deps.select("sent_id", F.col("gov").alias("idx")), ["sent_id", "idx"], "left_anti")
 
 
-def root_of(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+def root_of(tokens: DataFrame, deps: DataFrame | None = None) -> DataFrame:
     """The root of each word's tree: its last ancestor or itself; null in or under a cycle."""
-    found = ancestors(tokens, deps)
-    return found.select("sent_id", "idx", F.when(F.size("chain") < DEEP, F.coalesce(F.try_element_at("chain", F.lit(-1)), "idx")).alias("root"))
+    return forest.measures(tokens, deps).select("sent_id", "idx", "root")
 
 
-def depths(tokens: DataFrame, deps: DataFrame) -> DataFrame:
-    """The number of arcs from each word to its root."""
-    return ancestors(tokens, deps).select("sent_id", "idx", F.size("chain").alias("depth"))
+def depths(tokens: DataFrame, deps: DataFrame | None = None) -> DataFrame:
+    """The number of arcs from each word to its root; null in or under a cycle."""
+    return forest.measures(tokens, deps).select("sent_id", "idx", "depth")
 
 
-def cyclic(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+def cyclic(tokens: DataFrame, deps: DataFrame | None = None) -> DataFrame:
     """Words that are their own ancestors."""
-    return ancestors(tokens, deps).where(F.array_contains("chain", F.col("idx"))).select("sent_id", "idx")
+    return forest.measures(tokens, deps).where("cyclic").select("sent_id", "idx")
 
 
-def yields(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+def yields(tokens: DataFrame, deps: DataFrame | None = None) -> DataFrame:
     """sent_id, idx, and the leftmost and rightmost word below each word, itself included."""
-    up = ancestors(tokens, deps).select("sent_id", F.col("idx").alias("word"), F.explode(F.array_distinct(F.concat(F.array("idx"), "chain"))).alias("idx"))
-    return up.groupBy("sent_id", "idx").agg(F.min("word").alias("leftmost"), F.max("word").alias("rightmost"), F.count("*").alias("size"))
+    return forest.measures(tokens, deps).select("sent_id", "idx", "leftmost", "rightmost", "size")
 
 
 def crossings(deps: DataFrame) -> DataFrame:

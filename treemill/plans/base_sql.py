@@ -57,8 +57,15 @@ lnk AS MATERIALIZED (
 islands AS (SELECT sent_id, pos, idx, idx - row_number() OVER (PARTITION BY sent_id, pos ORDER BY idx) AS island FROM tok),
 grp AS MATERIALIZED (SELECT sent_id, pos AS name, min(idx) AS first_idx, max(idx) AS last_idx FROM islands GROUP BY sent_id, pos, island),
 up AS (
-  SELECT sent_id, gov AS idx, head AS anc, 1 AS d FROM gold
-  UNION ALL SELECT u.sent_id, u.idx, g.head, u.d + 1 FROM up u JOIN gold g ON g.sent_id = u.sent_id AND g.gov = u.anc WHERE u.d < 50
+  SELECT sent_id, gov AS idx, head AS anc FROM gold
+  UNION SELECT u.sent_id, u.idx, g.head FROM up u JOIN gold g ON g.sent_id = u.sent_id AND g.gov = u.anc
+),
+knot AS (
+  SELECT sent_id, gov, head FROM gold UNION ALL SELECT r.sent_id, r.idx, min(g.gov) FROM lnk r JOIN gold g ON g.sent_id = r.sent_id AND g.head = r.idx WHERE r.head < 0 GROUP BY r.sent_id, r.idx
+),
+knotted AS (
+  SELECT sent_id, gov AS idx, head AS anc FROM knot
+  UNION SELECT u.sent_id, u.idx, k.head FROM knotted u JOIN knot k ON k.sent_id = u.sent_id AND k.gov = u.anc
 )
 """
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
-from treemill.operators import align, evaluate, match, rewrite, rules, spans, stats, tree
+from treemill.operators import align, evaluate, forest, match, rewrite, rules, spans, stats, tree
 from treemill.operators.match import Triplet
 from treemill.plans.base_sql import sql
 from treemill.sources import other
@@ -28,11 +28,23 @@ def verb() -> Column:
 
 
 
+_OPEN: list[Treebank] = []
+
+
+def opened(spark: SparkSession, sf_dir: str) -> Treebank:
+    """A treebank for one query; what the query before kept is released, so one table is kept at most."""
+    for old in _OPEN:
+        if old.docs.sparkSession is spark:
+            old.release()
+    _OPEN[:] = [Treebank(spark, sf_dir)]
+    return _OPEN[0]
+
+
 def query(name: str, oracle: str | None = None, plain: bool = False):
     """Registers a function of a ``Treebank`` (``plain``: of the session and folder)."""
 
     def add(f):
-        QUERIES[name] = f if plain else lambda spark, sf_dir: f(Treebank(spark, sf_dir))
+        QUERIES[name] = f if plain else lambda spark, sf_dir: f(opened(spark, sf_dir))
         if oracle:
             ORACLE_SQL[name] = oracle if plain else sql(oracle)
         return f
@@ -40,6 +52,17 @@ def query(name: str, oracle: str | None = None, plain: bool = False):
     return add
 
 
+def tally(rows: DataFrame, *keys: Column | str, places: tuple[str, ...]) -> DataFrame:
+    """By the keys: the number of rows and the sums of their places and of their sentences' numbers (by 1009)."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("sent_id") % 1009).alias("sents"), *[F.sum(c).cast("long").alias(c) for c in places])
+
+
+def tallied(rows: str, keys: str, places: tuple[str, ...]) -> str:
+    """The same in SQL."""
+    sums = "".join(f", CAST(sum({c}) AS BIGINT) AS {c}" for c in places)
+    return f"SELECT {keys}, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents{sums} FROM ({rows}) GROUP BY ALL"
+
+
 def linked(tb: Treebank) -> DataFrame:
     return tb.linked
 
@@ -66,15 +89,16 @@ def short_sentences(tb):
 # search
 
 
-@query(FLAGSHIP, "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, a.head AS head0, b.head AS head1, a.label AS rel0, b.label AS rel1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.idx + 1 WHERE regexp_full_match(a.pos, 'N.M') AND b.pos = 'VER'")
+@query(FLAGSHIP, tallied("SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, a.head AS head0, b.head AS head1, a.label AS rel0, b.label AS rel1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.idx + 1 WHERE regexp_full_match(a.pos, 'N.M') AND b.pos = 'VER'", "rel0, rel1", ("dep0", "dep1", "head0", "head1")))
 def match_adjacent(tb):
     found = match.search(linked(tb), [Triplet("pos rlike '^(?:N.M)$'"), Triplet("pos = 'VER'")], "dep1 = dep0 + 1")
-    return found.select("sent_id", "dep0", "dep1", "head0", "head1", "rel0", "rel1")
+    return tally(found, "rel0", "rel1", places=("dep0", "dep1", "head0", "head1"))
 
 
-@query("match_all_pairs", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx <> b.idx WHERE a.pos = 'ADV' AND b.pos = 'VER'")
+@query("match_all_pairs", tallied("SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx <> b.idx WHERE a.pos = 'ADV' AND b.pos = 'VER'", "dep1 - dep0 AS distance", ("dep0",)))
 def match_all_pairs(tb):
-    return match.search(linked(tb), [Triplet("pos = 'ADV'"), Triplet("pos = 'VER'")]).select("sent_id", "dep0", "dep1")
+    found = match.search(linked(tb), [Triplet("pos = 'ADV'"), Triplet("pos = 'VER'")])
+    return tally(found, (F.col("dep1") - F.col("dep0")).alias("distance"), places=("dep0",))
 
 
 @query("match_first", "SELECT a.sent_id, a.idx AS dep0, min(b.idx) AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx > a.idx WHERE a.pos = 'ADV' AND b.pos = 'VER' GROUP BY ALL")
@@ -108,20 +132,22 @@ def match_form_cases(tb):
     return n("lower", "lower(form) in ('the', 'de')").unionByName(n("exact", "form in ('the', 'de')")).unionByName(n("either", "lower(form) = 'the' or pos = 'NUM'"))
 
 
-@query("match_same_lemma", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx < b.idx AND a.lemma = b.lemma WHERE a.pos = 'NOM' AND b.pos = 'NOM'")
+@query("match_same_lemma", tallied("SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx < b.idx AND a.lemma = b.lemma WHERE a.pos = 'NOM' AND b.pos = 'NOM'", "dep1 - dep0 AS distance", ("dep0",)))
 def match_same_lemma(tb):
-    return match.search(linked(tb), [Triplet("pos = 'NOM'"), Triplet("pos = 'NOM'")], "dep0 < dep1 and lemma0 = lemma1").select("sent_id", "dep0", "dep1")
+    found = match.search(linked(tb), [Triplet("pos = 'NOM'"), Triplet("pos = 'NOM'")], "dep0 < dep1 and lemma0 = lemma1")
+    return tally(found, (F.col("dep1") - F.col("dep0")).alias("distance"), places=("dep0",))
 
 
-@query("match_three", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, c.idx AS dep2 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.head JOIN lnk c ON c.sent_id = a.sent_id AND c.head = b.idx AND c.idx > b.idx WHERE a.label = 'SUJ' AND c.label = 'OBJ'")
+@query("match_three", tallied("SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, c.idx AS dep2 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.head JOIN lnk c ON c.sent_id = a.sent_id AND c.head = b.idx AND c.idx > b.idx WHERE a.label = 'SUJ' AND c.label = 'OBJ'", "dep1 - dep0 AS distance", ("dep0", "dep1", "dep2")))
 def match_three(tb):
     found = match.search(linked(tb), [Triplet(labels=("SUJ",)), Triplet(), Triplet(labels=("OBJ",))], "dep1 = head0 and head2 = dep1 and dep2 > dep1")
-    return found.select("sent_id", "dep0", "dep1", "dep2")
+    return tally(found, (F.col("dep1") - F.col("dep0")).alias("distance"), places=("dep0", "dep1", "dep2"))
 
 
-@query("match_equal_relations", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, a.label AS rel0 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.head = a.idx AND a.label = b.label WHERE a.pos <> 'PUN'")
+@query("match_equal_relations", tallied("SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1, a.label AS rel0 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.head = a.idx AND a.label = b.label WHERE a.pos <> 'PUN'", "rel0", ("dep0", "dep1")))
 def match_equal_relations(tb):
-    return match.search(linked(tb), [Triplet("pos <> 'PUN'"), Triplet()], "head1 = dep0 and rel0 = rel1").select("sent_id", "dep0", "dep1", "rel0")
+    found = match.search(linked(tb), [Triplet("pos <> 'PUN'"), Triplet()], "head1 = dep0 and rel0 = rel1")
+    return tally(found, "rel0", places=("dep0", "dep1"))
 
 
 PAIRS = "a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND a.idx < b.idx AND b.idx <= a.idx + 8 WHERE a.pos = 'NAM' AND b.pos = 'VER'"
@@ -152,7 +178,7 @@ def match_proj(tb):
 
 @query("match_has_ancestor", "SELECT DISTINCT u.sent_id, u.idx AS dep0, u.anc AS dep1 FROM up u JOIN tok t ON t.sent_id = u.sent_id AND t.idx = u.idx WHERE t.pos = 'DET' AND u.anc > u.idx")
 def match_has_ancestor(tb):
-    up = tree.ancestors(tb.tokens, tb.gold).select("sent_id", "idx", F.explode(F.array_distinct("chain")).alias("dep1"))
+    up = tree.ancestors(linked(tb)).select("sent_id", "idx", F.explode("chain").alias("dep1"))
     return tb.tokens.where("pos = 'DET'").join(up, ["sent_id", "idx"]).where("dep1 > idx").select("sent_id", F.col("idx").alias("dep0"), "dep1")
 
 
@@ -173,9 +199,9 @@ def match_outside_group(tb):
     return match.in_group(linked(tb), tb.groups, "idx", "NOM", inside=False).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("match_group_start", "SELECT t.sent_id, t.idx, t.form FROM tok t JOIN grp g ON g.sent_id = t.sent_id AND g.first_idx = t.idx AND g.name = 'NAM'")
+@query("match_group_start", tallied("SELECT t.sent_id, t.idx, length(t.form) AS chars FROM tok t JOIN grp g ON g.sent_id = t.sent_id AND g.first_idx = t.idx AND g.name = 'NAM'", "idx", ("chars",)))
 def match_group_start(tb):
-    return match.group_starts(tb.tokens, tb.groups, "NAM").select("sent_id", "idx", "form")
+    return tally(match.group_starts(tb.tokens, tb.groups, "NAM").withColumn("chars", F.length("form")), "idx", places=("chars",))
 
 
 @query("quick_search", "SELECT sent_id, idx FROM lnk WHERE label = 'ADV' OR form = 'the'")
@@ -221,10 +247,10 @@ def rewrite_add_arcs(tb):
     return rewrite.add_arcs(tb.gold, found, "dep0", "dep1", "NEXT").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("rewrite_dry_run", "SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.idx + 1 WHERE a.pos = 'DET' AND b.pos = 'ADJ' AND a.head <> b.idx")
+@query("rewrite_dry_run", tallied("SELECT a.sent_id, a.idx AS dep0, b.idx AS dep1 FROM lnk a JOIN lnk b ON a.sent_id = b.sent_id AND b.idx = a.idx + 1 WHERE a.pos = 'DET' AND b.pos = 'ADJ' AND a.head <> b.idx", "dep0", ("dep1",)))
 def rewrite_dry_run(tb):
     found = match.search(linked(tb), [Triplet("pos = 'DET'"), Triplet("pos = 'ADJ'")], "dep1 = dep0 + 1")
-    return rewrite.would_add(tb.gold, found, "dep0", "dep1").select("sent_id", "dep0", "dep1")
+    return tally(rewrite.would_add(tb.gold, found, "dep0", "dep1"), "dep0", places=("dep1",))
 
 
 @query("rewrite_groups", "SELECT name, count(*) AS n FROM (SELECT sent_id, name, first_idx, last_idx FROM grp WHERE name <> 'PUN' UNION SELECT sent_id, 'SV', least(idx, head), greatest(idx, head) FROM lnk WHERE label = 'SUJ') GROUP BY name")
@@ -249,29 +275,67 @@ def tree_roots(tb):
     return tree.roots(tb.tokens, tb.gold).join(tb.tokens, ["sent_id", "idx"]).groupBy("pos").agg(F.count("*").alias("n"))
 
 
-@query("tree_depths", "SELECT d AS depth, count(*) AS n FROM (SELECT t.sent_id, t.idx, coalesce(max(u.d), 0) AS d FROM tok t LEFT JOIN up u ON u.sent_id = t.sent_id AND u.idx = t.idx GROUP BY t.sent_id, t.idx) GROUP BY d")
+@query("tree_depths", "SELECT d AS depth, count(*) AS n FROM (SELECT t.sent_id, t.idx, count(u.anc) AS d FROM tok t LEFT JOIN up u ON u.sent_id = t.sent_id AND u.idx = t.idx GROUP BY t.sent_id, t.idx) GROUP BY d")
 def tree_depths(tb):
-    return tree.depths(tb.tokens, tb.gold).groupBy("depth").agg(F.count("*").alias("n"))
+    return tree.depths(linked(tb)).groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query("tree_root_of", "SELECT t.sent_id, t.idx, CASE WHEN m.d IS NULL THEN t.idx WHEN m.d < 50 THEN u.anc END AS root FROM tok t LEFT JOIN (SELECT sent_id, idx, max(d) AS d FROM up GROUP BY ALL) m ON m.sent_id = t.sent_id AND m.idx = t.idx LEFT JOIN up u ON u.sent_id = m.sent_id AND u.idx = m.idx AND u.d = m.d")
+@query("tree_root_of", "SELECT l.sent_id, l.idx, CASE WHEN l.head < 0 THEN l.idx ELSE r.anc END AS root FROM lnk l LEFT JOIN (SELECT u.sent_id, u.idx, u.anc FROM up u JOIN lnk t ON t.sent_id = u.sent_id AND t.idx = u.anc WHERE t.head < 0) r ON r.sent_id = l.sent_id AND r.idx = l.idx")
 def tree_root_of(tb):
-    return tree.root_of(tb.tokens, tb.gold)
+    return tree.root_of(linked(tb))
 
 
-@query("tree_cycles", "SELECT DISTINCT sent_id, idx FROM up WHERE anc = idx")
+@query("tree_cycles", "SELECT idx, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents FROM knotted WHERE anc = idx GROUP BY idx")
 def tree_cycles(tb):
-    return tree.cyclic(tb.tokens, tb.gold)
+    """Words in cycles of arcs where each root hangs on its own first child."""
+    first = tb.gold.groupBy("sent_id", F.col("head").alias("idx")).agg(F.min("gov").alias("_child"))
+    knot = linked(tb).join(first, ["sent_id", "idx"], "left").withColumn("head", F.when(F.col("head") < 0, F.coalesce("_child", F.lit(-1))).otherwise(F.col("head")))
+    return tally(tree.cyclic(knot), "idx", places=())
 
 
 @query("tree_yields", "SELECT sent_id, idx, min(w) AS leftmost, max(w) AS rightmost, count(*) AS size FROM (SELECT sent_id, anc AS idx, idx AS w FROM up UNION SELECT sent_id, idx, idx FROM tok) GROUP BY sent_id, idx")
 def tree_yields(tb):
-    return tree.yields(tb.tokens, tb.gold)
+    return tree.yields(linked(tb))
+
+
+TREES = """, sub1 AS MATERIALIZED (SELECT sent_id, idx, pos AS tree FROM tok),
+sub2 AS MATERIALIZED (SELECT t.sent_id, t.idx, t.pos || coalesce(c.kids, '') AS tree FROM tok t LEFT JOIN (SELECT g.sent_id, g.head, '(' || string_agg(g.label || ':' || s.tree, ' ' ORDER BY g.label || ':' || s.tree) || ')' AS kids FROM gold g JOIN sub1 s ON s.sent_id = g.sent_id AND s.idx = g.gov GROUP BY ALL) c ON c.sent_id = t.sent_id AND c.head = t.idx),
+sub3 AS MATERIALIZED (SELECT t.sent_id, t.idx, t.pos || coalesce(c.kids, '') AS tree FROM tok t LEFT JOIN (SELECT g.sent_id, g.head, '(' || string_agg(g.label || ':' || s.tree, ' ' ORDER BY g.label || ':' || s.tree) || ')' AS kids FROM gold g JOIN sub2 s ON s.sent_id = g.sent_id AND s.idx = g.gov GROUP BY ALL) c ON c.sent_id = t.sent_id AND c.head = t.idx),
+sub4 AS MATERIALIZED (SELECT t.sent_id, t.idx, t.pos || coalesce(c.kids, '') AS tree FROM tok t LEFT JOIN (SELECT g.sent_id, g.head, '(' || string_agg(g.label || ':' || s.tree, ' ' ORDER BY g.label || ':' || s.tree) || ')' AS kids FROM gold g JOIN sub3 s ON s.sent_id = g.sent_id AND s.idx = g.gov GROUP BY ALL) c ON c.sent_id = t.sent_id AND c.head = t.idx)
+"""
+
+
+@query("frequent_subtrees", TREES + " SELECT k, tree, count(*) AS n FROM (SELECT 1 AS k, tree FROM sub1 UNION ALL SELECT 2, tree FROM sub2 UNION ALL SELECT 3, tree FROM sub3 UNION ALL SELECT 4, tree FROM sub4) GROUP BY k, tree HAVING count(*) >= 20")
+def frequent_subtrees(tb):
+    return forest.frequent_subtrees(linked(tb), 4, 20)
+
+
+@query("subtree_including", "SELECT h.idx, count(*) AS n, CAST(sum(h.sent_id % 1009) AS BIGINT) AS sents FROM tok h WHERE (SELECT count(*) FROM gold g WHERE g.sent_id = h.sent_id AND g.head = h.idx AND g.label = 'SUJ') >= 2 AND EXISTS (SELECT 1 FROM gold g JOIN gold d ON d.sent_id = g.sent_id AND d.head = g.gov AND d.label = 'DET' WHERE g.sent_id = h.sent_id AND g.head = h.idx AND g.label = 'SUJ') GROUP BY h.idx")
+def subtree_including(tb):
+    """Words with two subjects one of which has a determiner."""
+    return tally(forest.including(linked(tb), [1, -1, 3, 1], ["SUJ", "", "DET", "SUJ"]), "idx", places=())
+
+
+@query("subtree_extracted", "SELECT k.label AS relation, CAST(count(*) AS BIGINT) AS words FROM (SELECT sent_id, idx, CASE WHEN lvl = 0 THEN 'TOP' ELSE label END AS label FROM (SELECT r.sent_id, r.idx, 0 AS lvl, r.label FROM lnk r WHERE r.head < 0 AND r.pos = 'VER' UNION ALL SELECT c.sent_id, c.idx, 1, c.label FROM lnk r JOIN lnk c ON c.sent_id = r.sent_id AND c.head = r.idx WHERE r.head < 0 AND r.pos = 'VER' UNION ALL SELECT d.sent_id, d.idx, 2, d.label FROM lnk r JOIN lnk c ON c.sent_id = r.sent_id AND c.head = r.idx JOIN lnk d ON d.sent_id = c.sent_id AND d.head = c.idx WHERE r.head < 0 AND r.pos = 'VER')) k GROUP BY k.label")
+def subtree_extracted(tb):
+    """Labels in the three top levels of trees whose root is a verb."""
+    tops = linked(tb).where("head < 0 and pos = 'VER'").select("sent_id", "idx")
+    found = forest.subtree(linked(tb), tops, 3)
+    return found.groupBy(F.when(F.col("head") < 0, "TOP").otherwise(F.col("label")).alias("relation")).agg(F.count("*").alias("words"))
+
+
+@query("tree_projective")
+def tree_projective(tb):
+    """How many of the system's arcs are left by label once those that break projectivity are gone."""
+    words = tb.words.select("sent_id", "idx", F.coalesce("sys_head", F.lit(-1)).alias("head"), F.col("sys_label").alias("label"))
+    kept = forest.projective(words.select("sent_id", "idx", "head")).withColumnRenamed("head", "kept")
+    both = words.join(kept, ["sent_id", "idx"]).where("head >= 0")
+    return both.groupBy("label").agg(F.count("*").alias("arcs"), F.sum((F.col("kept") >= 0).cast("int")).alias("kept"))
 
 
-@query("tree_crossings", "SELECT a.sent_id, a.gov AS gov_a, b.gov AS gov_b FROM sys a JOIN sys b ON a.sent_id = b.sent_id AND a.gov < b.gov WHERE (least(a.gov, a.head) < least(b.gov, b.head) AND least(b.gov, b.head) < greatest(a.gov, a.head) AND greatest(a.gov, a.head) < greatest(b.gov, b.head)) OR (least(b.gov, b.head) < least(a.gov, a.head) AND least(a.gov, a.head) < greatest(b.gov, b.head) AND greatest(b.gov, b.head) < greatest(a.gov, a.head))")
+@query("tree_crossings", tallied("SELECT a.sent_id, a.gov AS gov_a, b.gov AS gov_b FROM sys a JOIN sys b ON a.sent_id = b.sent_id AND a.gov < b.gov WHERE (least(a.gov, a.head) < least(b.gov, b.head) AND least(b.gov, b.head) < greatest(a.gov, a.head) AND greatest(a.gov, a.head) < greatest(b.gov, b.head)) OR (least(b.gov, b.head) < least(a.gov, a.head) AND least(a.gov, a.head) < greatest(b.gov, b.head) AND greatest(b.gov, b.head) < greatest(a.gov, a.head))", "gov_b - gov_a AS distance", ("gov_a",)))
 def tree_crossings(tb):
-    return tree.crossings(tb.system)
+    return tally(tree.crossings(tb.system), (F.col("gov_b") - F.col("gov_a")).alias("distance"), places=("gov_a",))
 
 
 @query("tree_unprojective", "SELECT g.sent_id, g.gov, count(*) AS breaks FROM sys g JOIN (SELECT t.sent_id, t.idx, coalesce(s.head, -1) AS head FROM tok t LEFT JOIN sys s ON s.sent_id = t.sent_id AND s.gov = t.idx) w ON w.sent_id = g.sent_id AND w.idx > least(g.gov, g.head) AND w.idx < greatest(g.gov, g.head) AND (w.head < least(g.gov, g.head) OR w.head > greatest(g.gov, g.head)) GROUP BY g.sent_id, g.gov")
@@ -401,14 +465,14 @@ def _rule_sql(test: str, target: str, frame: str, pick: str, label: str) -> str:
     return f"SELECT sent_id, idx AS gov, h AS head, '{label}' AS label FROM (SELECT *, {pick}(CASE WHEN {target} THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN {frame}) AS h FROM tok) WHERE {test} AND h IS NOT NULL"
 
 
-@query("rule_any_right", "SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'SUJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx > a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'")
+@query("rule_any_right", tallied("SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'SUJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx > a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'", "label, head - gov AS distance", ("gov",)))
 def rule_any_right(tb):
-    return rules.to_any(tb.tokens, F.col("pos") == "NAM", verb(), "SUJ")
+    return tally(rules.to_any(tb.tokens, F.col("pos") == "NAM", verb(), "SUJ"), "label", (F.col("head") - F.col("gov")).alias("distance"), places=("gov",))
 
 
-@query("rule_any_left", "SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'OBJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx < a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'")
+@query("rule_any_left", tallied("SELECT a.sent_id, a.idx AS gov, b.idx AS head, 'OBJ' AS label FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.idx < a.idx WHERE a.pos = 'NAM' AND b.pos = 'VER'", "label, head - gov AS distance", ("gov",)))
 def rule_any_left(tb):
-    return rules.to_any(tb.tokens, F.col("pos") == "NAM", verb(), "OBJ", right=False)
+    return tally(rules.to_any(tb.tokens, F.col("pos") == "NAM", verb(), "OBJ", right=False), "label", (F.col("head") - F.col("gov")).alias("distance"), places=("gov",))
 
 
 @query("rule_first_after", _rule_sql("pos = 'DET'", "pos IN ('NOM', 'NAM')", "1 FOLLOWING AND UNBOUNDED FOLLOWING", "min", "DET"))
@@ -441,9 +505,9 @@ def rule_head_to_first(tb):
     return rules.head_to_first(tb.tokens, tb.gold, "SUJ", verb(), "AUX")
 
 
-@query("rule_lift_children", "SELECT g.sent_id, g.gov, coalesce(u.head, g.head) AS head, g.label FROM gold g LEFT JOIN gold u ON u.sent_id = g.sent_id AND u.gov = g.head AND u.label = 'COORD'")
+@query("rule_lift_children", tallied("SELECT g.sent_id, g.gov, coalesce(u.head, g.head) AS head, g.label FROM gold g LEFT JOIN gold u ON u.sent_id = g.sent_id AND u.gov = g.head AND u.label = 'COORD'", "label", ("gov", "head")))
 def rule_lift_children(tb):
-    return rules.lifted(tb.gold, "COORD")
+    return tally(rules.lifted(tb.gold, "COORD"), "label", places=("gov", "head"))
 
 
 @query("rule_without_child", "SELECT sent_id, idx AS gov, h AS head, 'SUJ' AS label FROM (SELECT t.*, min(CASE WHEN t.pos = 'VER' AND p.head IS NULL THEN t.idx END) OVER (PARTITION BY t.sent_id ORDER BY t.idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h FROM tok t LEFT JOIN (SELECT DISTINCT sent_id, head FROM gold WHERE label = 'ADV') p ON p.sent_id = t.sent_id AND p.head = t.idx) WHERE pos = 'NAM' AND h IS NOT NULL")
@@ -465,9 +529,9 @@ def group_runs(tb):
     return tb.groups.groupBy("name", (F.col("last_idx") - F.col("first_idx") + 1).alias("words")).agg(F.count("*").alias("n"))
 
 
-@query("group_bio", "SELECT t.sent_id, t.idx, t.form, t.pos, CASE WHEN t.pos <> 'NAM' THEN 'NO' WHEN EXISTS (SELECT 1 FROM grp g WHERE g.sent_id = t.sent_id AND g.name = 'NAM' AND g.first_idx = t.idx) THEN 'NAMB' ELSE 'NAMI' END AS tag FROM tok t")
+@query("group_bio", tallied("SELECT t.sent_id, t.idx, length(t.form) AS chars, t.pos, CASE WHEN t.pos <> 'NAM' THEN 'NO' WHEN EXISTS (SELECT 1 FROM grp g WHERE g.sent_id = t.sent_id AND g.name = 'NAM' AND g.first_idx = t.idx) THEN 'NAMB' ELSE 'NAMI' END AS tag FROM tok t", "pos, tag", ("idx", "chars")))
 def group_bio(tb):
-    return spans.begin_inside(tb.tokens, tb.groups, "NAM")
+    return tally(spans.begin_inside(tb.tokens, tb.groups, "NAM").withColumn("chars", F.length("form")), "pos", "tag", places=("idx", "chars"))
 
 
 @query("corpus_chunks", "SELECT chunk, count(*) AS sentences FROM (SELECT least((row_number() OVER (ORDER BY sent_id) - 1) // greatest(count(*) OVER () // 4, 1), 3) AS chunk FROM (SELECT DISTINCT sent_id FROM tok)) GROUP BY chunk")
