@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
-from treemill.operators import align, evaluate, forest, match, rewrite, rules, spans, stats, tree
+from treemill.operators import align, evaluate, forest, match, multiwords, rewrite, rules, sequential, spans, stats, tree
 from treemill.operators.match import Triplet
 from treemill.plans.base_sql import sql
 from treemill.sources import other
@@ -267,6 +267,81 @@ def delete_punctuation(tb):
     return deps.groupBy("label").agg(F.count("*").alias("n"), F.sum("head").alias("heads"))
 
 
+INHERITED = """(SELECT p.sent_id, p.idx, CASE WHEN p.head >= 0 THEN p.label WHEN q.head IS NOT NULL AND NOT (q.head > p.p AND q.head <= p.idx) THEN q.label ELSE 'ROOT' END AS label,
+  CASE WHEN p.head >= 0 THEN p.head WHEN q.head IS NOT NULL AND NOT (q.head > p.p AND q.head <= p.idx) THEN q.head ELSE -1 END AS head
+  FROM (SELECT *, max(CASE WHEN head >= 0 THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM lnk) p
+  LEFT JOIN lnk q ON q.sent_id = p.sent_id AND q.idx = p.p)"""
+
+
+@query("rewrite_sequential", f"SELECT label, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents, CAST(sum(idx) AS BIGINT) AS idx, CAST(sum(head) AS BIGINT) AS head FROM {INHERITED} GROUP BY label")
+def rewrite_sequential(tb):
+    """Each word without an arc takes the one of the word before it, as it is by then; never to itself."""
+    rule = sequential.Rule("w0.head < 0", "w1.idx = w0.idx - 1 and w1.head >= 0 and w1.head <> w0.idx", attach=(("w0.idx", "w1.head", "w1.label"),))
+    found = sequential.rewritten(linked(tb), [rule]).withColumn("label", F.coalesce("label", F.lit("ROOT")))
+    return tally(found, "label", places=("idx", "head"))
+
+
+# multiword units: the most frequent sequences of two or three words stand for a lexicon
+
+UNITS = r""", grams AS (
+  SELECT form, count(*) AS n FROM (
+    SELECT unnest(CASE WHEN f3 IS NOT NULL THEN [form || '_' || f2, form || '_' || f2 || '_' || f3] WHEN f2 IS NOT NULL THEN [form || '_' || f2] ELSE [] END) AS form
+    FROM (SELECT form, lead(form) OVER w AS f2, lead(form, 2) OVER w AS f3 FROM tok WINDOW w AS (PARTITION BY sent_id ORDER BY idx))
+  ) WHERE len(string_split(form, '_')) <= 3 GROUP BY form
+),
+lexicon AS MATERIALIZED (SELECT form, len(string_split(form, '_')) AS k FROM grams ORDER BY n DESC, form LIMIT 3000),
+hits AS MATERIALIZED (
+  SELECT sent_id, i, max(k) AS k FROM (
+    SELECT w.sent_id, w.idx AS i, l.k FROM (SELECT sent_id, idx, form || '_' || lead(form) OVER w AS form, 2 AS k FROM tok WINDOW w AS (PARTITION BY sent_id ORDER BY idx)) w JOIN lexicon l USING (form, k)
+    UNION ALL SELECT w.sent_id, w.idx, l.k FROM (SELECT sent_id, idx, form || '_' || lead(form) OVER w || '_' || lead(form, 2) OVER w AS form, 3 AS k FROM tok WINDOW w AS (PARTITION BY sent_id ORDER BY idx)) w JOIN lexicon l USING (form, k)
+  ) GROUP BY sent_id, i
+),
+picked AS (
+  SELECT sent_id, min(i) AS i, arg_min(k, i) AS k FROM hits GROUP BY sent_id
+  UNION ALL SELECT p.sent_id, min(h.i), arg_min(h.k, h.i) FROM picked p JOIN hits h ON h.sent_id = p.sent_id AND h.i >= p.i + p.k GROUP BY p.sent_id
+),
+placed AS MATERIALIZED (
+  SELECT t.sent_id, t.idx, t.form, t.pos, p.k, p.i, sum(CASE WHEN p.i IS NULL OR p.i = t.idx THEN 1 ELSE 0 END) OVER (PARTITION BY t.sent_id ORDER BY t.idx) - 1 AS new
+  FROM tok t LEFT JOIN picked p ON p.sent_id = t.sent_id AND t.idx >= p.i AND t.idx < p.i + p.k
+)
+"""
+
+
+def _lexicon(tb: Treebank) -> DataFrame:
+    order = Window.partitionBy("sent_id").orderBy("idx")
+    two, three = F.concat("form", F.lit("_"), F.lead("form", 1).over(order)), F.concat("form", F.lit("_"), F.lead("form", 1).over(order), F.lit("_"), F.lead("form", 2).over(order))
+    grams = tb.tokens.select(F.array_compact(F.array(two, three)).alias("forms")).select(F.explode("forms").alias("form")).where(F.size(F.split("form", "_")) <= 3)
+    best = grams.groupBy("form").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form").limit(3000)
+    return best.select("form", F.col("form").alias("lemma"), F.lit("MWE").alias("pos"))
+
+
+@query("multiword_units", UNITS + " SELECT form, CAST(count(*) AS BIGINT) AS words, k FROM (SELECT sent_id, i, k, string_agg(form, '_' ORDER BY idx) AS form FROM placed WHERE i IS NOT NULL GROUP BY sent_id, i, k) GROUP BY form, k")
+def multiword_units(tb):
+    found = multiwords.found_units(tb.tokens, _lexicon(tb))
+    return found.groupBy("form", (F.col("last_idx") - F.col("first_idx") + 1).alias("k")).agg(F.count("*").alias("words"))
+
+
+@query("multiwords_merged", UNITS + """ SELECT pos, label, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents, CAST(sum(new) AS BIGINT) AS idx, CAST(sum(head) AS BIGINT) AS head FROM (
+  SELECT w.sent_id, w.new, CASE WHEN w.i IS NULL THEN w.pos ELSE 'MWE' END AS pos, a.head, a.label FROM placed w LEFT JOIN (
+    SELECT g.sent_id, p.new AS gov, arg_min(h.new, g.gov) AS head, arg_min(g.label, g.gov) AS label FROM gold g JOIN placed p ON p.sent_id = g.sent_id AND p.idx = g.gov JOIN placed h ON h.sent_id = g.sent_id AND h.idx = g.head WHERE p.new <> h.new GROUP BY g.sent_id, p.new
+  ) a ON a.sent_id = w.sent_id AND a.gov = w.new WHERE w.i IS NULL OR w.i = w.idx
+) GROUP BY pos, label""")
+def multiwords_merged(tb):
+    words, arcs, _ = multiwords.merged(tb.tokens, tb.gold, tb.groups, _lexicon(tb))
+    found = words.join(arcs.withColumnRenamed("gov", "idx"), ["sent_id", "idx"], "left")
+    return tally(found, "pos", "label", places=("idx", "head"))
+
+
+@query("retokenized", """SELECT name, count(*) AS n, CAST(sum(a) AS BIGINT) AS first_idx, CAST(sum(b) AS BIGINT) AS last_idx FROM (
+  SELECT DISTINCT g.sent_id, g.name, f.low AS a, l.high AS b FROM grp g
+  JOIN (SELECT sent_id, idx, sum(n) OVER w - n AS low FROM (SELECT sent_id, idx, len(regexp_extract_all(replace(replace(replace(replace(form, '_', ' '), '(', ''), ')', ''), '*', ''), '(aujourd''hui|[^ '']*''|[^ '']+)')) AS n FROM tok) WINDOW w AS (PARTITION BY sent_id ORDER BY idx)) f ON f.sent_id = g.sent_id AND f.idx = g.first_idx
+  JOIN (SELECT sent_id, idx, sum(n) OVER w - 1 AS high FROM (SELECT sent_id, idx, len(regexp_extract_all(replace(replace(replace(replace(form, '_', ' '), '(', ''), ')', ''), '*', ''), '(aujourd''hui|[^ '']*''|[^ '']+)')) AS n FROM tok) WINDOW w AS (PARTITION BY sent_id ORDER BY idx)) l ON l.sent_id = g.sent_id AND l.idx = g.last_idx
+) WHERE a <= b GROUP BY name""")
+def retokenized(tb):
+    _, _, groups = multiwords.retokenized(tb.tokens, tb.gold, tb.groups)
+    return groups.groupBy("name").agg(F.count("*").alias("n"), F.sum("first_idx").alias("first_idx"), F.sum("last_idx").alias("last_idx"))
+
+
 # trees
 
 
