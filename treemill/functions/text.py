@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The tokens of ``tokenize``, and what lies between them.
+TOKEN = r"""aujourd'hui|[^ \t\n\r,;:.?!"']*'|[^ \t\n\r,;:.?!"']+|[,;:.?!"]"""
+GAP = r"[ \t\n\r]+"
+
+
 def tokenize(text: Column) -> Column:
     """Words, with ``,;:.?!"`` as tokens and a cut after an apostrophe; ``aujourd'hui`` stays whole."""
     plain = F.regexp_replace(text, "’", "'")
-    return F.regexp_extract_all(plain, F.lit(r"""(aujourd'hui|[^ \t\n\r,;:.?!"']*'|[^ \t\n\r,;:.?!"']+|[,;:.?!"])"""))
+    return F.regexp_extract_all(plain, F.lit(f"({TOKEN})"))
 
 
 def offsets(text: Column) -> Column:

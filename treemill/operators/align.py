@@ -2,58 +2,118 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treemill.operators.forest import per_sentence
+
 #: Characters of a band of sentence lengths.
 BAND = 8
+#: What an alignment says of a word: the same on both sides, on the left or right only, another word.
+SAME, LEFT, RIGHT, OTHER = range(4)
+
 
+def edit_path(a: list, b: list) -> list[tuple[int, int | None, int | None]]:
+    """(code, place in a, place in b) along a cheapest way from a to b; deleting, inserting and replacing cost 1.
 
-def lcs_links(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence."""
-    n, m = len(a), len(b)
-    size = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            size[i, j] = size[i + 1, j + 1] + 1 if a[i] == b[j] else max(size[i + 1, j], size[i, j + 1])
-    i = j = 0
-    out = []
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1, j] >= size[i, j + 1]:
-            i += 1
+    The common ends are cut off first.  Then only a band of places around the diagonal is filled in, twice as
+    wide each time until the cost is within it, which no cheaper way can leave.  Of equal ways,
+    from the end, words are paired before they are deleted, and deleted before they are inserted.
+    """
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    n, m = len(a) - first - last, len(b) - first - last
+    x, y, far, band = a[first : first + n], b[first : first + m], n + m + 1, max(1, abs(n - m))
+    while True:
+        rows = [list(range(min(m, band) + 1))]
+        lows = [0]
+        for i in range(1, n + 1):
+            low, high = max(0, i - band), min(m, i + band)
+            above, at, row = rows[-1], lows[-1], []
+            for j in range(low, high + 1):
+                k = j - at
+                cost = above[k] + 1 if 0 <= k < len(above) else far
+                if j and 0 <= k - 1 < len(above):
+                    cost = min(cost, above[k - 1] + (x[i - 1] != y[j - 1]))
+                if row:
+                    cost = min(cost, row[-1] + 1)
+                row.append(cost)
+            rows.append(row)
+            lows.append(low)
+        if rows[n][m - lows[n]] <= band:
+            break
+        band *= 2
+
+    def cost(i: int, j: int) -> int:
+        return rows[i][j - lows[i]] if i >= 0 and 0 <= j - lows[i] < len(rows[i]) else far
+
+    path, i, j = [], n, m
+    while i or j:
+        if i and j and cost(i - 1, j - 1) + (x[i - 1] != y[j - 1]) == cost(i, j):
+            i, j = i - 1, j - 1
+            path.append((SAME if x[i] == y[j] else OTHER, first + i, first + j))
+        elif i and cost(i - 1, j) + 1 == cost(i, j):
+            i -= 1
+            path.append((LEFT, first + i, None))
         else:
-            j += 1
-    return out
+            j -= 1
+            path.append((RIGHT, None, first + j))
+    ends = lambda at, to, size: [(SAME, at + k, to + k) for k in range(size)]
+    return ends(0, 0, first) + path[::-1] + ends(len(a) - last, len(b) - last, last)
 
 
-def links(left: DataFrame, right: DataFrame) -> DataFrame:
-    """sent_id, idx_a, idx_b: words of two versions of each sentence that are aligned.
+def alignment(left: DataFrame, right: DataFrame) -> DataFrame:
+    """sent_id, place, code, idx_a and idx_b: two versions of each sentence word by word.
 
-    One row a sentence goes to Python; sentences are short (their words are blocked at load).
+    Equal sentences stay in the JVM; of the others one row each goes to Python.  Sentences of one version only
+    are left out.
     """
-    forms = lambda df, n: df.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("idx", "form"))).alias(n))
+    forms = lambda df, n: df.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("form", F.lit("")).alias("form")))).alias(n))
     pairs = forms(left, "a").join(forms(right, "b"), "sent_id").select("sent_id", F.col("a.form").alias("a"), F.col("b.form").alias("b"))
+    equal = pairs.where("a = b").select("sent_id", F.posexplode("a").alias("place", "_form"))
+    equal = equal.select("sent_id", "place", F.lit(SAME).alias("code"), F.col("place").alias("idx_a"), F.col("place").alias("idx_b"))
+    one = lambda sent, a, b: [(sent, n, *step) for n, step in enumerate(edit_path(a, b))]
+    return equal.unionByName(per_sentence(pairs.where("a <> b"), one, "sent_id long, place int, code int, idx_a int, idx_b int"))
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(s, i, j) for s, a, b in zip(pdf["sent_id"], pdf["a"], pdf["b"], strict=True) for i, j in lcs_links(list(a), list(b))]
-            yield pd.DataFrame(rows, columns=["sent_id", "idx_a", "idx_b"])
 
-    return pairs.mapInPandas(run, "sent_id long, idx_a int, idx_b int")
+def links(left: DataFrame, right: DataFrame, others: bool = False) -> DataFrame:
+    """sent_id, idx_a, idx_b: equal words of two versions of each sentence that are aligned; with ``others``
+    also words in each other's place.
+    """
+    return alignment(left, right).where(F.col("code").isin(SAME, *([OTHER] if others else []))).select("sent_id", "idx_a", "idx_b")
 
 
 def edits(left: DataFrame, right: DataFrame, linked: DataFrame) -> DataFrame:
-    """Per sentence the words matched, only on the left and only on the right."""
+    """Per sentence the words linked, not linked on the left and not linked on the right."""
     n = lambda df, name: df.groupBy("sent_id").agg(F.count("*").alias(name))
     found = n(left, "n_a").join(n(right, "n_b"), "sent_id").join(n(linked, "matched"), "sent_id", "left").fillna(0)
     return found.select("sent_id", "matched", (F.col("n_a") - F.col("matched")).alias("deleted"), (F.col("n_b") - F.col("matched")).alias("inserted"))
 
 
+def edit_counts(aligned: DataFrame) -> DataFrame:
+    """Per sentence the words matched, replaced, only on the left and only on the right."""
+    n = lambda code, name: F.sum((F.col("code") == code).cast("long")).alias(name)
+    return aligned.groupBy("sent_id").agg(n(SAME, "matched"), n(OTHER, "substituted"), n(LEFT, "deleted"), n(RIGHT, "inserted"))
+
+
+def errors(aligned: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """How often each word is deleted, inserted, or replaced by another: code, form_a, form_b and n."""
+    form = lambda df, side: df.select("sent_id", F.col("idx").alias(f"idx_{side}"), F.col("form").alias(f"form_{side}"))
+    wrong = aligned.where(F.col("code") != SAME).join(form(left, "a"), ["sent_id", "idx_a"], "left").join(form(right, "b"), ["sent_id", "idx_b"], "left")
+    return wrong.groupBy("code", "form_a", "form_b").agg(F.count("*").alias("n"))
+
+
+def project_tags(aligned: DataFrame, left: DataFrame, right: DataFrame, column: str = "pos") -> DataFrame:
+    """The words of the right version with ``column`` of the word that they are aligned with, null without one."""
+    tags = aligned.where("idx_a is not null and idx_b is not null").join(left.select("sent_id", F.col("idx").alias("idx_a"), F.col(column).alias("_tag")), ["sent_id", "idx_a"])
+    tags = tags.select("sent_id", F.col("idx_b").alias("idx"), "_tag")
+    return right.drop(column).join(tags, ["sent_id", "idx"], "left").withColumnRenamed("_tag", column)
+
+
 def project_arcs(deps: DataFrame, linked: DataFrame) -> DataFrame:
     """Arcs of the left version on the right one, where both ends are linked."""
     end = lambda n: linked.groupBy("sent_id", F.col("idx_a").alias(n)).agg(F.min("idx_b").alias(f"to_{n}"))

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
-from treemill.operators import align, evaluate, forest, match, multiwords, rewrite, rules, sequential, spans, stats, tree
+from treemill.operators import align, evaluate, forest, match, multiwords, rewrite, rules, segments, sequential, spans, stats, tree
 from treemill.operators.match import Triplet
 from treemill.plans.base_sql import sql
 from treemill.sources import other
-from treemill.sources.adapter import Treebank
+from treemill.sources.adapter import Treebank, pieces, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -649,11 +649,73 @@ def tokenized(spark, sf_dir):
 # alignment: texts against themselves without punctuation
 
 
-@query("aligned_edits")
+@query("aligned_edits", "SELECT sent_id, count(*) FILTER (WHERE pos <> 'PUN') AS matched, 0 AS substituted, count(*) FILTER (WHERE pos = 'PUN') AS deleted, 0 AS inserted FROM tok GROUP BY sent_id HAVING count(*) FILTER (WHERE pos <> 'PUN') > 0")
 def aligned_edits(tb):
-    left = tb.tokens
-    right = left.where("pos <> 'PUN'")
-    return align.edits(left, right, align.links(left, right))
+    return align.edit_counts(align.alignment(tb.tokens, tb.tokens.where("pos <> 'PUN'")))
+
+
+@query("alignment_codes", "SELECT CASE WHEN pos = 'NUM' THEN 3 ELSE 0 END AS code, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents, CAST(sum(idx) AS BIGINT) AS idx_a, CAST(sum(idx) AS BIGINT) AS idx_b FROM tok GROUP BY 1")
+def alignment_codes(tb):
+    """Texts against themselves with each number replaced by a sign."""
+    masked = tb.tokens.withColumn("form", F.when(F.col("pos") == "NUM", "#").otherwise(F.col("form")))
+    return tally(align.alignment(tb.tokens, masked), "code", places=("idx_a", "idx_b"))
+
+
+@query("alignment_errors", "SELECT 1 AS code, form AS form_a, CAST(NULL AS VARCHAR) AS form_b, count(*) AS n FROM tok WHERE pos = 'PUN' AND sent_id IN (SELECT sent_id FROM tok WHERE pos <> 'PUN') GROUP BY form")
+def alignment_errors(tb):
+    rest = tb.tokens.where("pos <> 'PUN'")
+    return align.errors(align.alignment(tb.tokens, _numbered(rest)), tb.tokens, _numbered(rest))
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    return words.withColumn("idx", F.row_number().over(Window.partitionBy("sent_id").orderBy("idx")) - 1)
+
+
+@query("projected_tags", "SELECT pos, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents, CAST(sum(new) AS BIGINT) AS idx FROM (SELECT sent_id, pos, row_number() OVER (PARTITION BY sent_id ORDER BY idx) - 1 AS new FROM tok WHERE pos <> 'PUN') GROUP BY pos")
+def projected_tags(tb):
+    """Tags carried over to the texts without punctuation, numbered anew."""
+    rest = _numbered(tb.tokens.where("pos <> 'PUN'")).select("sent_id", "idx", "form", F.lit("?").alias("pos"))
+    return tally(align.project_tags(align.alignment(tb.tokens, rest), tb.tokens, rest), "pos", places=("idx",))
+
+
+# a second segmentation: the words of another tokenizer, in the sentences of the view
+
+SECOND = r""", whole AS (SELECT doc_id AS doc, regexp_extract_all(text, '([ \t\n\r]+|[^ \t\n\r]+)') AS l, regexp_extract_all(replace(text, '’', ''''), '(aujourd''hui|[^ \t\n\r,;:.?!"'']*''|[^ \t\n\r,;:.?!"'']+|[,;:.?!"]|[ \t\n\r]+)') AS r FROM documents),
+lefts AS (SELECT doc, pl, piece, sum(length(piece)) OVER (PARTITION BY doc ORDER BY pl) - length(piece) AS b FROM (SELECT doc, unnest(l) AS piece, generate_subscripts(l, 1) AS pl FROM whole)),
+rights AS MATERIALIZED (SELECT doc, n, b, b + length(piece) AS e FROM (SELECT doc, piece, b, row_number() OVER (PARTITION BY doc ORDER BY b) - 1 AS n FROM (SELECT doc, pl, piece, sum(length(piece)) OVER (PARTITION BY doc ORDER BY pl) - length(piece) AS b FROM (SELECT doc, unnest(r) AS piece, generate_subscripts(r, 1) AS pl FROM whole)) WHERE NOT regexp_matches(piece, '^[ \t\n\r]'))),
+ours AS MATERIALIZED (
+  SELECT sent_id, doc, idx, b, b + length(form) AS e FROM (
+    SELECT t.sent_id, t.sent_id // 100000000 AS doc, t.idx, t.form, p.b FROM (SELECT *, row_number() OVER (PARTITION BY sent_id // 100000000 ORDER BY sent_id, idx) AS z FROM tok) t
+    JOIN (SELECT doc, b, row_number() OVER (PARTITION BY doc ORDER BY b) AS z FROM (
+      SELECT doc, b, regexp_replace(piece, '[,;:.?!"]+$', '') AS f FROM lefts WHERE NOT regexp_matches(piece, '^[ \t\n\r]')
+      UNION ALL SELECT doc, b + length(regexp_replace(piece, '[,;:.?!"]+$', '')), regexp_extract(piece, '([,;:.?!"]+)$', 1) FROM lefts WHERE NOT regexp_matches(piece, '^[ \t\n\r]')
+    ) WHERE f <> '') p ON p.doc = t.sent_id // 100000000 AND p.z = t.z
+  )
+),
+met AS MATERIALIZED (
+  SELECT o.doc, o.sent_id, o.idx, r.n, count(*) AS shared FROM (SELECT doc, sent_id, idx, unnest(range(CAST(b AS BIGINT), CAST(e AS BIGINT))) AS c FROM ours) o
+  JOIN (SELECT doc, n, unnest(range(CAST(b AS BIGINT), CAST(e AS BIGINT))) AS c FROM rights) r ON r.doc = o.doc AND r.c = o.c GROUP BY ALL
+)
+"""
+
+
+def _two(tb: Treebank) -> tuple[DataFrame, DataFrame]:
+    """The words of the view and those of the tokenizer, with their places."""
+    second = pieces(tb.docs.withColumn("text", F.regexp_replace("text", "’", "'")), f"{fn.TOKEN}|{fn.GAP}").where(~F.col("piece").rlike(r"^[ \t\n\r]"))
+    numbered = second.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1).alias("n"), "begin", "end", F.col("piece").alias("form"))
+    return tokens(tb.docs, offsets=True).select("doc", "sent_id", "idx", "begin", "end"), numbered
+
+
+@query("segment_overlaps", SECOND + " SELECT shared, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_a, CAST(sum(n) AS BIGINT) AS n_b FROM met GROUP BY shared")
+def segment_overlaps(tb):
+    found = segments.overlaps(*_two(tb))
+    return found.groupBy("shared").agg(F.count("*").alias("n"), F.sum("idx_a").cast("long").alias("idx_a"), F.sum("n_b").cast("long").alias("n_b"))
+
+
+@query("resegmented", SECOND + " SELECT words, count(*) AS sentences, CAST(sum(sent_id % 1009) AS BIGINT) AS sents, CAST(sum(first) AS BIGINT) AS first FROM (SELECT sent_id, max(n) - min(n) + 1 AS words, min(n) AS first FROM met GROUP BY sent_id) GROUP BY words")
+def resegmented(tb):
+    found = segments.resegmented(*_two(tb)).groupBy("sent_id").agg(F.count("*").alias("words"), F.min("n").alias("first"))
+    return found.groupBy("words").agg(F.count("*").alias("sentences"), F.sum(F.col("sent_id") % 1009).alias("sents"), F.sum("first").cast("long").alias("first"))
 
 
 # classic tables

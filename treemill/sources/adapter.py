@@ -36,14 +36,32 @@ def tag() -> Column:
     )
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, at (the piece's number), piece, begin and end: the matches of a pattern that covers the whole text;
+    offsets count code points, end exclusive.
+    """
+    cut = docs.select(F.col(key).alias("doc"), F.posexplode(F.regexp_extract_all(text, F.lit(f"({pattern})"))).alias("at", "piece"))
+    end = F.sum(F.length("piece")).over(Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("end", end.cast("int")).withColumn("begin", F.col("end") - F.length("piece"))
+
+
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
     """doc, sent_id, idx (from 0), form, lemma and pos of every token of the texts.
 
-    ``sent_id`` counts the sentences of a document from doc times ``SENTENCES``.
+    ``sent_id`` counts the sentences of a document from doc times ``SENTENCES``.  With ``offsets`` also begin and
+    end, in code points of the text.
     """
-    words = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "[ \t\n\r]+")).alias("at", "word")).where("word <> ''")
+    if offsets:
+        found = pieces(docs, "[ \t\n\r]+|[^ \t\n\r]+", key, text)
+        words = found.where(~F.col("piece").rlike("^[ \t\n\r]")).select("doc", "at", F.col("piece").alias("word"), F.col("begin").alias("_from"))
+    else:
+        words = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "[ \t\n\r]+")).alias("at", "word")).where("word <> ''")
     body, marks = F.regexp_replace("word", r'[,;:.?!"]+$', ""), F.regexp_extract("word", r'([,;:.?!"]+)$', 1)
-    parts = words.select("doc", "at", F.posexplode(F.array(body, marks)).alias("part", "form")).where("form <> ''")
+    more = ["begin", "end"] if offsets else []
+    parts = words.select("*", body.alias("_body"), F.posexplode(F.array(body, marks)).alias("part", "form")).where("form <> ''")
+    if offsets:
+        parts = parts.withColumn("begin", F.col("_from") + F.when(F.col("part") == 1, F.length("_body")).otherwise(0)).withColumn("end", F.col("begin") + F.length("form"))
+    parts = parts.select("doc", "at", "part", "form", *more)
     order = Window.partitionBy("doc").orderBy("at", "part")
     ends = F.when((F.col("part") == 1) & F.col("form").rlike("[.?!]"), 1).otherwise(0)
     parts = parts.withColumn("s", F.coalesce(F.sum(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -51,7 +69,7 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     begins = F.when(F.col("i") % BLOCK == 0, 1).otherwise(0)
     parts = parts.withColumn("n", F.sum(begins).over(Window.partitionBy("doc").orderBy("s", "at", "part")) - 1)
     sent = F.col("doc") * SENTENCES + F.col("n")
-    return parts.select("doc", sent.alias("sent_id"), (F.col("i") % BLOCK).cast("int").alias("idx"), "form", F.lower("form").alias("lemma"), tag().alias("pos"))
+    return parts.select("doc", sent.alias("sent_id"), (F.col("i") % BLOCK).cast("int").alias("idx"), "form", F.lower("form").alias("lemma"), tag().alias("pos"), *more)
 
 
 def nearest(condition: Column, before: bool = False, reach: int | None = None, keys: tuple[str, ...] = ("sent_id",)) -> Column:
