@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
-from treemill.operators import align, evaluate, forest, match, multiwords, rewrite, rules, segments, sequential, spans, stats, tree
+from treemill.operators import align, evaluate, forest, match, multiwords, rewrite, rules, segments, sequential, spans, stats, tree, wordrules
 from treemill.operators.match import Triplet
+from treemill.operators.wordrules import WordRule
 from treemill.plans.base_sql import sql
 from treemill.sources import other
 from treemill.sources.adapter import Treebank, pieces, tokens
@@ -596,6 +597,36 @@ def rule_applied(tb):
     return rules.applied(tb.system, new).groupBy("label").agg(F.count("*").alias("n"))
 
 
+WORD_RULES = [
+    WordRule("before", "pos = 'ADJ'", "before", "MOD", "pos IN ('NOM', 'NAM')"),
+    WordRule("after", "pos = 'ADJ'", "after", "MOD", "pos IN ('NOM', 'NAM')"),
+    WordRule("form without head", "form IN ('the', 'de', 'la') AND head < 0", "after", "MOD", "pos = 'VER'"),
+    WordRule("offset", "pos = 'ADV'", -1, "MOD", "pos IN ('NOM', 'VER')"),
+    WordRule("offset after", "pos = 'NUM'", 2, "NUM", "pos = 'NOM'", "head >= 0"),
+    WordRule("found later", "pos = 'ADJ'", "before", "ATTS", "pos <> 'ADV'", "lemma = 'the' OR pos = 'VER'"),
+    WordRule("lemma", "lemma = 'the'", "after", "AUX", "pos = 'VER'"),
+    WordRule("no son", "pos IN ('DET', 'PRP')", "after", "DET", "pos = 'NOM' AND NOT array_contains(sons, 'DET')"),
+    WordRule("no son before", "pos = 'NOM' AND head >= 0", "before", "OBJ", "pos = 'VER' AND NOT array_contains(sons, 'OBJ')"),
+    WordRule("head of", "label = 'SUJ'", "before", "REL", "pos = 'NOM'", of_head="head >= 0"),
+    WordRule("head without head", "label = 'SUJ'", "after", "MOD", "pos = 'PUN'", of_head="head < 0"),
+    WordRule("place", "idx = 0", "after", "FIRST", "pos = 'VER'", "NOT array_contains(sons, 'SUJ')"),
+]
+
+
+def _word_rule_sql(rule: WordRule) -> str:
+    frame = {"after": "1 FOLLOWING AND UNBOUNDED FOLLOWING", "before": "UNBOUNDED PRECEDING AND 1 PRECEDING"}.get(rule.place) or f"{abs(rule.place)} {'FOLLOWING' if rule.place > 0 else 'PRECEDING'} AND {abs(rule.place)} {'FOLLOWING' if rule.place > 0 else 'PRECEDING'}"
+    seen = f"SELECT sent_id, idx, head, y FROM (SELECT *, {'min' if rule.place == 'after' else 'max'}(CASE WHEN {rule.halt} THEN idx END) OVER (PARTITION BY sent_id ORDER BY idx ROWS BETWEEN {frame}) AS y FROM sonned) WHERE ({rule.when}) AND y IS NOT NULL"
+    joined = f"SELECT x.sent_id, x.idx, x.head, x.y FROM ({seen}) x JOIN (SELECT sent_id AS s, idx AS i FROM sonned WHERE {rule.found}) f ON f.s = x.sent_id AND f.i = x.y"
+    if rule.of_head:
+        joined = f"SELECT j.sent_id, j.head AS idx, j.head, j.y FROM ({joined}) j JOIN (SELECT sent_id AS s, idx AS i FROM sonned WHERE {rule.of_head}) z ON z.s = j.sent_id AND z.i = j.head WHERE j.head <> j.y"
+    return f"SELECT '{rule.name}' AS rule, '{rule.label}' AS label, sent_id, idx AS gov, y AS head FROM ({joined})"
+
+
+@query("word_rules", ", sonned AS MATERIALIZED (SELECT l.*, coalesce(s.sons, []) AS sons FROM lnk l LEFT JOIN (SELECT sent_id, head, list(label) AS sons FROM gold GROUP BY ALL) s ON s.sent_id = l.sent_id AND s.head = l.idx) " + tallied(" UNION ALL ".join(map(_word_rule_sql, WORD_RULES)), "rule, label", ("gov", "head")))
+def word_rules(tb):
+    return tally(wordrules.candidates(linked(tb), WORD_RULES), "rule", "label", places=("gov", "head"))
+
+
 # groups, order, splits
 
 
