@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treemill.operators.running import summed_before
 from treemill.operators.tree import roots
 
 
@@ -64,11 +65,35 @@ def moving_average(rows: DataFrame, order: str, value: str, size: int = 10) -> D
 
 
 def operating_points(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    """False accepts and false rejects at each distinct score, summed per score before the window."""
+    """False accepts and false rejects at each distinct score, summed per score before the running sums."""
     per = scored.groupBy(score).agg(F.sum(F.col(truth).cast("int")).alias("good"), F.sum(1 - F.col(truth).cast("int")).alias("bad"))
-    upto, everything = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    return per.select(
-        score,
-        (1 - F.coalesce(F.sum("bad").over(upto), F.lit(0)) / F.sum("bad").over(everything)).alias("false_accept"),
-        (F.coalesce(F.sum("good").over(upto), F.lit(0)) / F.sum("good").over(everything)).alias("false_reject"),
-    )
+    everything = per.agg(F.sum("good").alias("_goods"), F.sum("bad").alias("_bads"))
+    found = summed_before(per, score, rejected=F.col("good"), passed=F.col("bad")).crossJoin(F.broadcast(everything))
+    return found.select(score, (1 - F.try_divide("passed", "_bads")).alias("false_accept"), F.try_divide("rejected", "_goods").alias("false_reject"))
+
+
+def equal_error_rate(points: DataFrame, score: str = "score") -> DataFrame:
+    """The least score of ``operating_points`` at which as many are wrongly rejected as accepted, or more, and the mean of
+    the two shares there; no row if there is none.
+    """
+    found = points.where(F.col("false_reject") >= F.col("false_accept")).agg(F.min(F.struct(score, "false_accept", "false_reject")).alias("p")).where("p is not null")
+    return found.select(f"p.{score}", ((F.col("p.false_accept") + F.col("p.false_reject")) / 2).alias("eer"))
+
+
+def f_interval(p: Column, p_half: Column, r: Column, r_half: Column) -> tuple[Column, Column]:
+    """The least and the greatest F for a precision and a recall within their intervals (cut to [0, 1])."""
+    f = lambda x, y: F.try_divide(2 * x * y, x + y)
+    low = f(F.greatest(p - p_half, F.lit(0.0)), F.greatest(r - r_half, F.lit(0.0)))
+    return F.coalesce(low, F.lit(0.0)), F.coalesce(f(F.least(p + p_half, F.lit(1.0)), F.least(r + r_half, F.lit(1.0))), F.lit(0.0))
+
+
+def sequential_posterior(events: DataFrame, alpha: float, outcomes: int, order: str = "ord") -> DataFrame:
+    """``events`` (a numeric order, context, outcome) with log_p: the log probability of each outcome in its context, given the
+    events before it, under a symmetric Dirichlet prior over ``outcomes`` outcomes.
+
+    The order must tell events apart.  Counts so far are made in ranges of the order, so no context is counted in
+    one task; the sum over all events is the log of a closed form, whatever the order.
+    """
+    seen = summed_before(events, order, ["context"], _n=F.lit(1))
+    seen = summed_before(seen, order, ["context", "outcome"], _k=F.lit(1))
+    return seen.withColumn("log_p", F.log(alpha + F.col("_k")) - F.log(F.lit(alpha * outcomes) + F.col("_n"))).drop("_n", "_k")

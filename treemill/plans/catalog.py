@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
-from treemill.operators import align, evaluate, forest, match, multiwords, rewrite, rules, segments, sequential, spans, stats, tree, wordrules
+from treemill.operators import align, evaluate, forest, frames, match, multiwords, rewrite, rules, segments, sequential, spans, stats, tree, wordrules
 from treemill.operators.match import Triplet
 from treemill.operators.wordrules import WordRule
 from treemill.plans.base_sql import sql
 from treemill.sources import other
-from treemill.sources.adapter import Treebank, pieces, tokens
+from treemill.sources.adapter import BLOCK, Treebank, pieces, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -749,6 +749,38 @@ def resegmented(tb):
     return found.groupBy("words").agg(F.count("*").alias("sentences"), F.sum(F.col("sent_id") % 1009).alias("sents"), F.sum("first").cast("long").alias("first"))
 
 
+# frames: the lexicon has the argument sets that the system gives a verb twice or more
+
+FRAMES = """, obs AS MATERIALIZED (SELECT t.sent_id, t.idx, t.lemma, coalesce(g.args, []) AS args FROM tok t LEFT JOIN (SELECT sent_id, head, list_sort(list(DISTINCT label)) AS args FROM gold GROUP BY sent_id, head) g ON g.sent_id = t.sent_id AND g.head = t.idx WHERE t.pos = 'VER'),
+lex AS MATERIALIZED (SELECT lemma, args FROM (SELECT t.lemma, coalesce(s.args, []) AS args FROM tok t LEFT JOIN (SELECT sent_id, head, list_sort(list(DISTINCT label)) AS args FROM sys GROUP BY sent_id, head) s ON s.sent_id = t.sent_id AND s.head = t.idx WHERE t.pos = 'VER') GROUP BY lemma, args HAVING count(*) >= 2),
+fits AS MATERIALIZED (SELECT o.sent_id, o.idx, count(l.lemma) AS n, coalesce(max(len(l.args)), -1) AS size FROM obs o LEFT JOIN lex l ON l.lemma = o.lemma AND list_has_all(o.args, l.args) GROUP BY o.sent_id, o.idx)
+"""
+
+
+@query("frames_matched", FRAMES + " SELECT n AS fitting, size, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents, CAST(sum(idx) AS BIGINT) AS idx FROM fits GROUP BY n, size")
+def frames_matched(tb):
+    """Verbs by the number of frames that fit them and the size of the largest (-1: none fits)."""
+    seen = frames.observed(linked(tb), verb())
+    given = frames.observed(tb.words.select("sent_id", "idx", "lemma", "pos", F.coalesce("sys_head", F.lit(-1)).alias("head"), F.col("sys_label").alias("label")), verb())
+    lexicon = given.groupBy("lemma", "args").agg(F.count("*").alias("n")).where("n >= 2").select("lemma", "args", F.array_join("args", "+").alias("frame"))
+    fits = frames.fitting(seen, lexicon)
+    counted = fits.groupBy("sent_id", "idx").agg(F.count("*").alias("fitting")).join(frames.best(fits), ["sent_id", "idx"])
+    rest = frames.unmatched(seen, fits).select("sent_id", "idx", F.lit(0).alias("fitting"), F.lit(-1).alias("size"))
+    return tally(counted.select("sent_id", "idx", "fitting", "size").unionByName(rest), "fitting", "size", places=("idx",))
+
+
+@query("sequential_posteriors", """, frame AS (SELECT t.pos AS context, least(coalesce(c.s, 0), 4) * 25 + least(coalesce(c.o, 0), 4) * 5 + least(coalesce(c.m, 0), 4) AS outcome FROM tok t LEFT JOIN (SELECT sent_id, head, count(*) FILTER (WHERE label = 'SUJ') AS s, count(*) FILTER (WHERE label = 'OBJ') AS o, count(*) FILTER (WHERE label = 'MOD') AS m FROM gold GROUP BY sent_id, head) c ON c.sent_id = t.sent_id AND c.head = t.idx),
+totals AS (SELECT context, outcome, count(*) AS n FROM frame GROUP BY ALL)
+SELECT context, CAST(sum(n) AS BIGINT) AS n, round(lgamma(12.5) - lgamma(12.5 + sum(n)) + sum(lgamma(0.1 + n) - lgamma(0.1)), 3) AS log_p FROM totals GROUP BY context""")
+def sequential_posteriors(tb):
+    """The frame (numbers of subjects, objects and modifiers, up to 4 each) of every word given its tag: the sum of what each adds in turn."""
+    count = lambda label: F.least(F.coalesce(F.sum((F.col("label") == label).cast("int")), F.lit(0)), F.lit(4))
+    kids = tb.gold.groupBy("sent_id", F.col("head").alias("idx")).agg((count("SUJ") * 25 + count("OBJ") * 5 + count("MOD")).alias("frame"))
+    events = tb.tokens.join(kids, ["sent_id", "idx"], "left").select((F.col("sent_id") * BLOCK + F.col("idx")).alias("ord"), F.col("pos").alias("context"), F.coalesce("frame", F.lit(0)).alias("outcome"))
+    found = stats.sequential_posterior(events, 0.1, 125)
+    return found.groupBy("context").agg(F.count("*").alias("n"), F.round(F.sum("log_p"), 3).alias("log_p"))
+
+
 # classic tables
 
 
@@ -762,3 +794,16 @@ def event_moving_average(spark, sf_dir):
 def operating_points(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").alias("truth"))
     return stats.operating_points(rows).select("score", F.round("false_accept", 9).alias("false_accept"), F.round("false_reject", 9).alias("false_reject"))
+
+
+@query("equal_error_rate", "WITH points AS (SELECT score, 1 - coalesce(sum(b) OVER w, 0) / sum(b) OVER () AS fa, coalesce(sum(g) OVER w, 0) / sum(g) OVER () AS fr FROM (SELECT l_extendedprice AS score, sum(CAST(l_returnflag = 'R' AS INT)) AS g, sum(CAST(l_returnflag <> 'R' AS INT)) AS b FROM lineitem GROUP BY 1) WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT score, round((fa + fr) / 2, 9) AS eer FROM points WHERE fr >= fa ORDER BY score LIMIT 1", plain=True)
+def equal_error_rate(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").alias("truth"))
+    return stats.equal_error_rate(stats.operating_points(rows)).select("score", F.round("eer", 9).alias("eer"))
+
+
+@query("label_f_intervals", "SELECT label, round(coalesce(2 * greatest(p - ph, 0) * greatest(r - rh, 0) / nullif(greatest(p - ph, 0) + greatest(r - rh, 0), 0), 0), 6) AS f_low, round(coalesce(2 * least(p + ph, 1) * least(r + rh, 1) / nullif(least(p + ph, 1) + least(r + rh, 1), 0), 0), 6) AS f_high FROM (SELECT label, p, r, 1.96 * sqrt(p * (1 - p) / s) AS ph, 1.96 * sqrt(r * (1 - r) / g) AS rh FROM (SELECT label, count(*) FILTER (WHERE k = 'both') / count(*) FILTER (WHERE k <> 'gold') AS p, count(*) FILTER (WHERE k = 'both') / count(*) FILTER (WHERE k <> 'sys') AS r, count(*) FILTER (WHERE k <> 'gold') AS s, count(*) FILTER (WHERE k <> 'sys') AS g FROM (SELECT coalesce(g.label, s.label) AS label, CASE WHEN s.label IS NULL THEN 'gold' WHEN g.label IS NULL THEN 'sys' ELSE 'both' END AS k FROM gold g FULL JOIN sys s ON g.sent_id = s.sent_id AND g.gov = s.gov AND g.head = s.head AND g.label = s.label) GROUP BY label)) WHERE p IS NOT NULL AND r IS NOT NULL")
+def label_f_intervals(tb):
+    found = evaluate.by_label(tb.gold, tb.system).where("precision is not null and recall is not null")
+    low, high = stats.f_interval(*map(F.col, ("precision", "precision_half", "recall", "recall_half")))
+    return found.select("label", F.round(low, 6).alias("f_low"), F.round(high, 6).alias("f_high"))
