@@ -98,25 +98,3 @@ def tagged(tokens: DataFrame, states: list[str], start: np.ndarray, move: np.nda
     return rows.mapInPandas(run, "sent_id long, idx int, state string")
 
 
-def transitions(heads: list[int]) -> list[str]:
-    """The arc-eager actions that build a projective tree (head -1: none); else the nearest to it."""
-    stack, out, done = [], [], set()
-    i, n = 0, len(heads)
-    while i < n:
-        top = stack[-1] if stack else None
-        if top is not None and heads[top] == i and top not in done:
-            out.append("LA")
-            done.add(stack.pop())
-        elif top is not None and heads[i] == top:
-            out.append("RA")
-            done.add(i)
-            stack.append(i)
-            i += 1
-        elif top is not None and (top in done or heads[top] < 0) and any(heads[i] == s or heads[s] == i for s in stack[:-1]):
-            out.append("REDUCE")
-            stack.pop()
-        else:
-            out.append("SHIFT")
-            stack.append(i)
-            i += 1
-    return out

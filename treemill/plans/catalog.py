@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
-from treemill.operators import align, evaluate, forest, frames, match, multiwords, rewrite, rules, segments, sequential, spans, stats, tree, wordrules
+from treemill.operators import align, evaluate, forest, frames, match, multiwords, rewrite, rules, segments, sequential, spans, stats, transitions, tree, wordrules
 from treemill.operators.match import Triplet
 from treemill.operators.wordrules import WordRule
 from treemill.plans.base_sql import sql
@@ -781,6 +781,28 @@ def sequential_posteriors(tb):
     return found.groupBy("context").agg(F.count("*").alias("n"), F.round(F.sum("log_p"), 3).alias("log_p"))
 
 
+# transitions
+
+
+@query("transition_replays", "SELECT count(DISTINCT t.sent_id) AS sentences, count(*) AS words, count(*) AS again FROM tok t WHERE NOT EXISTS (SELECT 1 FROM gold g JOIN lnk w ON w.sent_id = g.sent_id AND w.idx > least(g.gov, g.head) AND w.idx < greatest(g.gov, g.head) AND (w.head < least(g.gov, g.head) OR w.head > greatest(g.gov, g.head)) WHERE g.sent_id = t.sent_id) AND t.sent_id NOT IN (SELECT sent_id FROM up WHERE anc = idx)")
+def transition_replays(tb):
+    """Projective sentences, their words, and how many get their head back from the oracle's actions."""
+    kept = forest.projective(linked(tb)).withColumnRenamed("head", "kept")
+    broken = linked(tb).join(kept, ["sent_id", "idx"]).where("head <> kept").select("sent_id").unionByName(forest.measures(linked(tb)).where("cyclic").select("sent_id"))
+    found = transitions.replays(linked(tb)).join(broken, "sent_id", "left_anti")
+    return found.agg(F.count_distinct("sent_id").alias("sentences"), F.count("*").alias("words"), F.sum((F.col("head") == F.col("again")).cast("int")).alias("again"))
+
+
+@query("transition_parser")
+def transition_parser(tb):
+    """Words of held-out sentences (one of five, by a hash) by tag, and how many get their head from a model learned on the others."""
+    held = F.crc32(F.col("sent_id").cast("string")) % 5 == 0
+    words = linked(tb).select("sent_id", "idx", "form", "pos", "head")
+    test = words.where(held)
+    found = transitions.parsed(test, transitions.trained(words.where(~held))).withColumnRenamed("head", "found")
+    return test.join(found, ["sent_id", "idx"]).groupBy("pos").agg(F.count("*").alias("words"), F.sum((F.col("head") == F.col("found")).cast("int")).alias("right"))
+
+
 # classic tables
 
 
