@@ -63,6 +63,11 @@ def test_transcripts(spark, tmp_path):
     assert [r.text for r in other.trs(spark, str(tmp_path / "a.trs")).orderBy("turn").collect()] == ["hello you", "bye"]
 
 
+def test_transcript_in_another_encoding(spark, tmp_path):
+    (tmp_path / "b.stm").write_bytes("x male> été\n".encode("latin-1"))
+    assert other.stm(spark, str(tmp_path / "b.stm"), "ISO-8859-1").first()["text"] == "été"
+
+
 def test_xml_round_trip(spark, tmp_path):
     toks = tokens(spark, [("The", "DT"), ("cat", "NN")])
     arcs = deps(spark, [(0, 1, "NMOD")])

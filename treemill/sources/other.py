@@ -35,9 +35,14 @@ def brackets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered(leaves, "tree").select("sent_id", place.alias("idx"), F.regexp_extract("leaf", r"^\(([^ ]+) ", 1).alias("pos"), F.regexp_extract("leaf", r" ([^ ]+)\)$", 1).alias("form"))
 
 
+def in_encoding(column: str, encoding: str) -> Column:
+    """Text that Spark's reader took as it stands in the file, read in an encoding."""
+    return F.col(column) if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col(column).cast("binary"), encoding)
+
+
 def stm(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """The text after ``male>`` of each line that has it."""
-    lines = spark.read.option("encoding", encoding).text(path)
+    lines = spark.read.text(path).select(in_encoding("value", encoding).alias("value"))
     return lines.where(F.col("value").contains("male>")).select(F.trim(F.regexp_extract("value", "male>(.*)$", 1)).alias("text"))
 
 
