@@ -47,6 +47,30 @@ def linked(tokens: DataFrame, deps: DataFrame, columns: tuple[str, ...] = ("form
     return found.select("sent_id", "idx", *columns, F.coalesce("head", F.lit(-1)).alias("head"), F.coalesce("label", F.lit(ROOT)).alias("label"), *[f"head_{c}" for c in columns])
 
 
+#: What ``enriched`` adds to words; tests of a search may use it, and its condition with the triplet's number.
+ADDED = ("children", "size", "root", "starts", "inside", "note")
+
+
+def enriched(words: DataFrame, groups: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """``words`` (with head and label) for searches that ask for more than the word: children (the number of arcs into it),
+    size (words of its sentence), root (of its tree; null in a cycle), starts and inside (names of the groups that begin
+    with it and that it is in) and note (of its sentence; null without ``notes``, which has sent_id and note).
+    """
+    from treemill.operators.forest import measures
+
+    counts = words.where("head >= 0").groupBy("sent_id", F.col("head").alias("idx")).agg(F.count("*").cast("int").alias("children"))
+    found = words.join(counts, ["sent_id", "idx"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    found = found.join(words.groupBy("sent_id").agg(F.count("*").cast("int").alias("size")), "sent_id").join(measures(words).select("sent_id", "idx", "root"), ["sent_id", "idx"])
+    none = F.array().cast("array<string>")
+    if groups is None:
+        found = found.withColumn("starts", none).withColumn("inside", none)
+    else:
+        spread = groups.select("sent_id", F.explode(F.sequence("first_idx", "last_idx")).alias("idx"), "name", "first_idx")
+        named = spread.groupBy("sent_id", "idx").agg(F.collect_set(F.when(F.col("idx") == F.col("first_idx"), F.col("name"))).alias("starts"), F.collect_set("name").alias("inside"))
+        found = found.join(named, ["sent_id", "idx"], "left").withColumn("starts", F.coalesce("starts", none)).withColumn("inside", F.coalesce("inside", none))
+    return found.withColumn("note", F.lit(None).cast("string")) if notes is None else found.join(notes.select("sent_id", "note"), "sent_id", "left")
+
+
 def bound(words: DataFrame, triplet: Triplet, n: int) -> DataFrame:
     """The words that fit one triplet, as dep<n>, head<n>, rel<n> and the columns form<n> ..."""
     found = words.where(triplet.dep)
@@ -55,7 +79,7 @@ def bound(words: DataFrame, triplet: Triplet, n: int) -> DataFrame:
     if triplet.labels:
         fits = F.col("label").isin(*triplet.labels)
         found = found.where(~fits if triplet.others else fits)
-    return found.select("sent_id", F.col("idx").alias(f"dep{n}"), F.col("head").alias(f"head{n}"), F.col("label").alias(f"rel{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("form", "lemma", "pos")])
+    return found.select("sent_id", F.col("idx").alias(f"dep{n}"), F.col("head").alias(f"head{n}"), F.col("label").alias(f"rel{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("form", "lemma", "pos", *[c for c in ADDED if c in words.columns])])
 
 
 def search(words: DataFrame, triplets: list[Triplet], where: str = "true", mode: str = "all", closest: tuple[str, str] | None = None) -> DataFrame:

@@ -51,3 +51,32 @@ def delete_words(tokens: DataFrame, deps: DataFrame, gone: DataFrame) -> tuple[D
     place = numbered.select("sent_id", "idx", "_new")
     moved = deps.join(place.select("sent_id", F.col("idx").alias("gov"), F.col("_new").alias("_gov")), ["sent_id", "gov"]).join(place.select("sent_id", F.col("idx").alias("head"), F.col("_new").alias("_head")), ["sent_id", "head"])
     return numbered.drop("idx").withColumnRenamed("_new", "idx"), moved.select("sent_id", F.col("_gov").alias("gov"), F.col("_head").alias("head"), "label")
+
+
+def reattached(words: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words and arcs without the words in ``gone`` (sent_id, idx), the rest numbered anew; a word whose head goes hangs on
+    the nearest word above that stays, and has no arc if there is none.  ``words`` have head (-1: none) and label.
+    """
+    from treemill.operators.forest import per_sentence, sentences
+
+    marked = words.join(gone.select("sent_id", "idx", F.lit(True).alias("_gone")).distinct(), ["sent_id", "idx"], "left").withColumn("_gone", F.col("_gone").isNotNull())
+
+    def one(sent, heads, away):
+        place, n = [], 0
+        for out in away:
+            place.append(-1 if out else n)
+            n += not out
+        for i, out in enumerate(away):
+            if not out:
+                at, seen = heads[i], set()
+                while 0 <= at < len(heads) and away[at] and at not in seen:
+                    seen.add(at)
+                    at = heads[at]
+                kept = 0 <= at < len(heads) and not away[at] and at != i
+                yield sent, i, place[i], place[at] if kept else -1
+
+    rows = sentences(marked.select("sent_id", "idx", "head", "_gone"), "head", "_gone")
+    placed = per_sentence(rows, one, "sent_id long, idx int, _new int, _head int")
+    found = words.drop("head").join(placed, ["sent_id", "idx"]).drop("idx").withColumnsRenamed({"_new": "idx", "_head": "head"})
+    arcs = found.where("head >= 0").select("sent_id", F.col("idx").alias("gov"), "head", "label")
+    return found.drop("head", "label"), arcs

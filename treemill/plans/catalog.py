@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treemill.functions import text as fn
-from treemill.operators import align, evaluate, forest, frames, match, multiwords, rewrite, rules, segments, sequential, spans, stats, transitions, tree, wordrules
+from treemill.operators import align, editing, evaluate, forest, frames, match, multiwords, rewrite, rules, segments, sequential, spans, stats, transitions, tree, wordrules
 from treemill.operators.match import Triplet
 from treemill.operators.wordrules import WordRule
 from treemill.plans.base_sql import sql
 from treemill.sources import other
-from treemill.sources.adapter import BLOCK, Treebank, pieces, tokens
+from treemill.sources.adapter import BLOCK, SENTENCES, Treebank, pieces, tokens
+from treemill.sources.corpora import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -803,6 +804,81 @@ def transition_parser(tb):
     return test.join(found, ["sent_id", "idx"]).groupBy("pos").agg(F.count("*").alias("words"), F.sum((F.col("head") == F.col("found")).cast("int")).alias("right"))
 
 
+# searches that ask for more than the word
+
+
+ROOTS = ", rooted AS MATERIALIZED (SELECT l.*, CASE WHEN l.head < 0 THEN l.idx ELSE r.anc END AS root, coalesce(c.n, 0) AS children, z.n AS size FROM lnk l LEFT JOIN (SELECT u.sent_id, u.idx, u.anc FROM up u JOIN lnk t ON t.sent_id = u.sent_id AND t.idx = u.anc WHERE t.head < 0) r ON r.sent_id = l.sent_id AND r.idx = l.idx LEFT JOIN (SELECT sent_id, head, count(*) AS n FROM gold GROUP BY ALL) c ON c.sent_id = l.sent_id AND c.head = l.idx JOIN (SELECT sent_id, count(*) AS n FROM tok GROUP BY sent_id) z ON z.sent_id = l.sent_id)"
+
+
+@query("search_trees", ROOTS + tallied("SELECT a.sent_id, a.idx AS dep0, min(b.idx) AS dep1, a.children AS children0 FROM rooted a JOIN rooted b ON a.sent_id = b.sent_id AND b.idx > a.idx AND a.root = b.root WHERE a.pos = 'NOM' AND a.children >= 2 AND a.size <= 20 AND b.pos = 'VER' GROUP BY a.sent_id, a.idx, a.children", "children0", ("dep0", "dep1")))
+def search_trees(tb):
+    """Nouns with two children or more in short sentences, and the first verb behind them in the same tree."""
+    words = match.enriched(linked(tb))
+    found = match.search(words, [Triplet("pos = 'NOM' and children >= 2 and size <= 20"), Triplet("pos = 'VER'")], "dep1 > dep0 and root0 = root1", mode="first")
+    return tally(found, "children0", places=("dep0", "dep1"))
+
+
+@query("search_groups", tallied("SELECT t.sent_id, t.idx AS dep0, t.pos AS pos0 FROM tok t WHERE lower(t.form) = 'the' OR EXISTS (SELECT 1 FROM grp g WHERE g.sent_id = t.sent_id AND g.name = 'NAM' AND g.first_idx = t.idx) OR EXISTS (SELECT 1 FROM grp g WHERE g.sent_id = t.sent_id AND g.name = 'ADJ' AND t.idx BETWEEN g.first_idx AND g.last_idx)", "pos0", ("dep0",)))
+def search_groups(tb):
+    """A form, or the beginning of a group, or the inside of another."""
+    words = match.enriched(linked(tb), tb.groups)
+    return tally(match.search(words, [Triplet("lower(form) = 'the' or array_contains(starts, 'NAM') or array_contains(inside, 'ADJ')")]), "pos0", places=("dep0",))
+
+
+@query("search_notes", tallied("SELECT t.sent_id, t.idx AS dep0, d.lang AS note0 FROM tok t JOIN documents d ON d.doc_id = t.sent_id // 100000000 WHERE t.pos = 'NUM' AND contains(d.lang, 'e')", "note0", ("dep0",)))
+def search_notes(tb):
+    """Numbers in sentences whose note, here the language of their document, has an e."""
+    langs = tb.source.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("note"))
+    notes = tb.tokens.select("sent_id").distinct().join(langs, F.floor(F.col("sent_id") / SENTENCES) == F.col("_doc")).select("sent_id", "note")
+    words = match.enriched(linked(tb), notes=notes)
+    return tally(match.search(words, [Triplet("pos = 'NUM' and contains(note, 'e')")]), "note0", places=("dep0",))
+
+
+@query("delete_reattached", """, lift AS (
+  SELECT sent_id, gov, head, label FROM gold UNION ALL SELECT l.sent_id, l.gov, p.head, l.label FROM lift l JOIN tok t ON t.sent_id = l.sent_id AND t.idx = l.head AND t.pos = 'NOM' JOIN gold p ON p.sent_id = l.sent_id AND p.gov = l.head
+), kept AS MATERIALIZED (SELECT sent_id, idx, row_number() OVER (PARTITION BY sent_id ORDER BY idx) - 1 AS n FROM tok WHERE pos <> 'NOM')
+SELECT l.label, count(*) AS n, CAST(sum(l.sent_id % 1009) AS BIGINT) AS sents, CAST(sum(g.n) AS BIGINT) AS gov, CAST(sum(h.n) AS BIGINT) AS head FROM lift l JOIN kept g ON g.sent_id = l.sent_id AND g.idx = l.gov JOIN kept h ON h.sent_id = l.sent_id AND h.idx = l.head GROUP BY l.label""")
+def delete_reattached(tb):
+    """Without the nouns: their children hang on the word above."""
+    words, arcs = rewrite.reattached(linked(tb), linked(tb).where("pos = 'NOM'"))
+    return tally(arcs, "label", places=("gov", "head"))
+
+
+# corpora as wholes
+
+
+def _corpus(tb: Treebank) -> Corpus:
+    return Corpus(tb.tokens, tb.gold, tb.gold.limit(0), tb.groups)
+
+
+@query("sentences_joined", "SELECT label, count(*) AS n, CAST(sum((sent_id - n % 2) % 1009) AS BIGINT) AS sents, CAST(sum(gov + before) AS BIGINT) AS gov FROM (SELECT g.label, g.sent_id, g.sent_id % 100000000 AS n, g.gov, CASE WHEN g.sent_id % 2 = 1 THEN s.words ELSE 0 END AS before FROM gold g LEFT JOIN (SELECT sent_id, count(*) AS words FROM tok GROUP BY sent_id) s ON s.sent_id = g.sent_id - 1) GROUP BY label")
+def sentences_joined(tb):
+    """Each sentence of an odd number put behind the one before it."""
+    pairs = tb.tokens.select("sent_id").distinct().withColumn("into", F.col("sent_id") - F.col("sent_id") % 2)
+    return tally(editing.joined(_corpus(tb), pairs).deps, "label", places=("gov",))
+
+
+@query("sentences_split", "SELECT label, count(*) AS n, CAST(sum(CASE WHEN gov >= 10 THEN gov - 10 ELSE gov END) AS BIGINT) AS gov, CAST(sum(CASE WHEN head >= 10 THEN head - 10 ELSE head END) AS BIGINT) AS head FROM gold WHERE (gov >= 10) = (head >= 10) GROUP BY label")
+def sentences_split(tb):
+    """Sentences cut before their eleventh word."""
+    cut = editing.split_at(_corpus(tb), tb.tokens.where("idx = 10").select("sent_id", "idx"))
+    return cut.deps.groupBy("label").agg(F.count("*").alias("n"), F.sum("gov").alias("gov"), F.sum("head").alias("head"))
+
+
+@query("sentences_drawn", "SELECT CAST(round(count(DISTINCT sent_id) * 0.3) AS BIGINT) AS drawn, CAST(count(DISTINCT sent_id) - round(count(DISTINCT sent_id) * 0.3) AS BIGINT) AS rest FROM tok")
+def sentences_drawn(tb):
+    """How many sentences each part of a random split has."""
+    corpus = _corpus(tb)
+    part = editing.drawn(corpus.tokens, 0.3)
+    n = lambda inside, name: editing.only(corpus, part, inside).tokens.agg(F.count_distinct("sent_id").alias(name))
+    return n(True, "drawn").crossJoin(n(False, "rest"))
+
+
+@query("sentences_with_words", "SELECT count(*) AS sentences FROM (SELECT sent_id FROM tok WHERE lower(lemma) IN ('the', 'de', 'der') GROUP BY sent_id HAVING count(DISTINCT lower(lemma)) >= 2)")
+def sentences_with_words(tb):
+    return editing.with_words(tb.tokens, ["The", "de", "der"], 2).agg(F.count("*").alias("sentences"))
+
+
 # classic tables
 
 

@@ -152,7 +152,8 @@ class Treebank:
 
     def __init__(self, spark: SparkSession, sf_dir: str, table: str = "documents"):
         key = {"documents": "doc_id", "benchmark": "item_id"}[table]
-        self.docs = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, "text")
+        self.source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        self.docs = self.source.select(key, "text")
         self.words = annotated(tokens(self.docs, key)).persist(StorageLevel.MEMORY_AND_DISK)
         self.tokens = self.words.select("sent_id", "idx", "form", "lemma", "pos")
         self.gold, self.system = arcs(self.words, "gold"), arcs(self.words, "sys")

@@ -68,11 +68,11 @@ def props_lines(tokens: DataFrame, yields: DataFrame, roles: DataFrame) -> DataF
     ends = cut.select("sent_id", "head", F.explode(F.array(F.struct(F.col("p.a").alias("idx"), F.concat(F.lit("("), "label").alias("open"), F.lit("").alias("close")), F.struct(F.col("p.b").alias("idx"), F.lit("").alias("open"), F.lit(")").alias("close")))).alias("e"))
     marks = ends.groupBy("sent_id", "head", F.col("e.idx").alias("idx")).agg(F.array_join(F.array_sort(F.collect_list("e.open")), "").alias("open"), F.array_join(F.collect_list("e.close"), "").alias("close"))
     grid = tokens.select("sent_id", "idx", "form", "pos").join(predicates, "sent_id").join(marks, ["sent_id", "head", "idx"], "left")
-    own = F.concat(F.lit("("), F.substring("pos", 1, 1), F.lit("*)"))
+    own = F.concat(F.lit("("), F.coalesce(F.substring("pos", 1, 1), F.lit("_")), F.lit("*)"))
     cell = F.concat(F.coalesce("open", F.lit("")), F.when(F.col("idx") == F.col("head"), own).otherwise("*"), F.coalesce("close", F.lit("")))
     rows = grid.groupBy("sent_id", "idx").agg(F.array_sort(F.collect_list(F.struct("head", cell.alias("cell"))))["cell"].alias("cells"), F.max((F.col("idx") == F.col("head")).cast("int")).alias("is_verb"))
     full = tokens.select("sent_id", "idx", "form").join(rows, ["sent_id", "idx"], "left")
-    line = F.concat_ws("\t", F.when(F.col("is_verb") == 1, F.col("form")).otherwise("-"), F.array_join("cells", "\t"))
+    line = F.concat_ws("\t", F.when(F.col("is_verb") == 1, F.coalesce("form", F.lit("_"))).otherwise("-"), F.array_join("cells", "\t"))
     return _sentence_text(full.select("sent_id", "idx", line.alias("line")))
 
 

@@ -70,7 +70,7 @@ def plain(value: Column) -> Column:
 def xml_lines(tokens: DataFrame, deps: DataFrame, groups: DataFrame) -> DataFrame:
     """sent_id and text: the native XML of each sentence (words, groups, then arcs)."""
     t = tokens.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", F.format_string('<t i="%d" l="%s" f="%s" c="%s"/>', F.col("idx") + 1, escaped("lemma"), escaped("form"), escaped("pos")).alias("x"))))["x"], "\n").alias("words"))
-    g = groups.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("<group> %s %d %d", "name", "first_idx", "last_idx"))), "\n").alias("spans"))
+    g = groups.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("<group> %s %d %d", F.regexp_replace(escaped("name"), "[\r\n]", " "), "first_idx", "last_idx"))), "\n").alias("spans"))
     d = deps.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("gov", F.format_string('<d r="%s" s="%d" c="%d"/>', escaped("label"), F.col("gov") + 1, F.col("head") + 1).alias("x"))))["x"], "\n").alias("arcs"))
     joined = t.join(g, "sent_id", "left").join(d, "sent_id", "left")
     return joined.select("sent_id", F.concat_ws("\n", F.format_string('<SEQ id="T_%d">', "sent_id"), "words", "spans", "arcs", F.lit("</SEQ>")).alias("text"))
@@ -85,7 +85,8 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     arcs = seqs.where("line like '<d %'").select("sent_id", (at("s").cast("int") - 1).alias("gov"), (at("c").cast("int") - 1).alias("head"), at("r").alias("label")).where("label <> ''")
     ends = words.select("sent_id", F.col("idx").alias("gov"))
     arcs = arcs.join(ends, ["sent_id", "gov"], "left_semi").join(ends.withColumnRenamed("gov", "head"), ["sent_id", "head"], "left_semi").select("sent_id", "gov", "head", "label")
-    spans = seqs.where("line like '<group>%'").select("sent_id", F.split("line", " ").alias("p")).select("sent_id", F.col("p")[1].alias("name"), F.col("p")[2].cast("int").alias("first_idx"), F.col("p")[3].cast("int").alias("last_idx"))
+    spans = seqs.where("line like '<group>%'").select("sent_id", *[F.regexp_extract("line", r"^<group> (.*) (\d+) (\d+)$", n).alias(c) for n, c in ((1, "_name"), (2, "_first"), (3, "_last"))])
+    spans = spans.select("sent_id", plain(F.col("_name")).alias("name"), F.col("_first").cast("int").alias("first_idx"), F.col("_last").cast("int").alias("last_idx"))
     return words, arcs, spans
 
 
