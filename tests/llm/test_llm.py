@@ -369,6 +369,8 @@ def plain_license(text):
         starts = {i - p["at"] for p in places if p["template"] == t for i, w in enumerate(words) if w == p["word"]}
         for start in starts:
             window = collections.Counter(words[max(start, 0) : start + template["length"]])
+            if any(w not in window for w in template["needs"]) or any(w in window for w in template["bars"]):
+                continue
             weight = {w: n * idf.get(w, 1 if w in licenses.FREQUENT else unknown) for w, n in window.items()}
             score = round(sum(v * x.get(w, 0) for w, v in weight.items()) / np.sqrt(sum(v * v for v in weight.values())), 6)
             if score >= licenses.LEAST and score > best[0]:
@@ -397,6 +399,39 @@ def test_licenses(spark):
     } | {i: (v, v, None) for i, v in own.items()}
 
 
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO"
+NOTICES = {
+    "BSD-2-Clause": [BSD.format(""), "This file is licensed under the BSD 2-Clause License.", "# SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": [BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"), BSD.format("Neither the name of Acme Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"), "Released under the New BSD License"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."],
+    "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0"],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
+    "CC-BY-SA-4.0": ["released under the Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0 (see file)"],
+    "LGPL-2.0": ["GNU LIBRARY GENERAL PUBLIC LICENSE\n Version 2, June 1991", "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License"],
+    "LGPL-2.1": ["under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["licensed under the GNU Affero General Public License version 3"],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1", "The Apache Software License, Version 1.1\n\nCopyright (c) 2000 The Apache Software Foundation. All rights reserved."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version\n1.1 (the \"License\"); you may not use this file except in compliance with the License."],
+    "GPL-2.0": ["/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version. */"],
+    None: ["licensed under the apache license version 7", "the library is open", "a creative commons attribution wtfpl 4 0 license"],
+}
+
+
+def test_notices_get_their_own_licence(spark):
+    rows = [(i, f"d{i}/x", text, name) for i, (name, text) in enumerate((n, t) for n, ts in NOTICES.items() for t in ts)]
+    found = {r.doc_id: r.own_license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string, name string")).collect()}
+    assert found == {i: name for i, _, _, name in rows}
+
+
+def test_no_template_is_of_two_licences():
+    own = {}
+    for name, words in licenses.templates():
+        assert own.setdefault(words, name) == name
+        assert plain_license(words) == (1.0, name), words
+
+
 def test_license_scan_of_a_whole_table(spark, monkeypatch):
     """Own licences against every window, inheritance against a walk up; with few and many heavy keys."""
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
