@@ -77,3 +77,38 @@ def test_observed_and_fused_frames(spark):
     one = spark.createDataFrame([("go", "f2", ["O", "S"]), ("go", "f3", [])], "lemma string, frame string, args array<string>")
     two = spark.createDataFrame([("go", "f1", ["S", "O", "S"]), ("do", "f9", ["S"])], "lemma string, frame string, args array<string>")
     assert {(r.lemma, r.frame, tuple(r.args)) for r in frames.fused(one, two).collect()} == {("go", "f1", ("O", "S")), ("go", "f3", ()), ("do", "f9", ("S",))}
+
+
+@pytest.mark.parametrize("part", [12, 4096])
+def test_moving_average_over_parts(spark, part):
+    rng = random.Random(part)
+    rows = [(rng.choice("ab"), i * 7, rng.random()) for i in range(150)]
+    found = stats.moving_average(spark.createDataFrame(rows, "key string, o long, v double"), "o", "v", 10, part).collect()
+    want = {}
+    for key in "ab":
+        own = [(o, v) for k, o, v in rows if k == key]
+        want |= {o: sum(v for _, v in own[i - 9 : i + 1]) / 10 for i, (o, _) in enumerate(own) if i >= 9}
+    assert {r.o: r["mean"] for r in found} == {o: pytest.approx(m) for o, m in want.items()} and len(found) == len(want)
+
+
+def test_scores_by_label_in_one_row_or_two(spark):
+    from treemill.operators import evaluate
+
+    rng = random.Random(5)
+    rows = [(1, i, *((rng.choice([0, 1]), rng.choice("XY")) if rng.random() < 0.8 else (None, None)), *((rng.choice([0, 1]), rng.choice("XYZ")) if rng.random() < 0.8 else (None, None))) for i in range(100)]
+    words = spark.createDataFrame(rows, "sent_id long, idx int, gold_head int, gold_label string, sys_head int, sys_label string")
+    side = lambda k: words.where(f"{k}_head is not null").selectExpr("sent_id", "idx as gov", f"{k}_head as head", f"{k}_label as label")
+    assert {tuple(r) for r in evaluate.by_label_of(words).collect()} == {tuple(r) for r in evaluate.by_label(side("gold"), side("sys")).collect()}
+
+
+def test_faults_and_equal_graphs(spark):
+    from treemill.operators import rewrite, tree
+
+    words = spark.createDataFrame([(1, 0, "A", 2, "X"), (1, 1, "PUN", 3, "X"), (1, 2, "B", -1, None), (1, 3, "C", 1, "X"), (2, 0, "A", -1, None)], "sent_id long, idx int, pos string, head int, label string")
+    assert {tuple(r) for r in tree.faults(words).select("sent_id", "roots", "in_cycles", "crossing", "under_marks").collect()} == {(1, 1, 2, 3, 1), (2, 1, 0, 0, 0)}
+    changed = words.withColumn("label", F.when(F.col("idx") == 3, "Y").otherwise(F.col("label")))
+    assert [r.sent_id for r in tree.same_graphs(words, changed).collect()] == [2]
+    arcs = spark.createDataFrame([(1, 2, 0, "A"), (1, 2, 4, "B"), (1, 2, 3, "GRPX"), (1, 5, 1, "C")], "sent_id long, gov int, head int, label string")
+    assert {tuple(r) for r in rewrite.single_heads(arcs).collect()} == {(1, 2, 0, "A"), (1, 5, 1, "C")}
+    shares = tree.shares_of_trees(spark.createDataFrame([("V(O:N S:D)", 3), ("D(O:V(S:N))", 1), ("V", 9)], "tree string, n long"))
+    assert {(r.tree, r.bag, r.share) for r in shares.collect()} == {("V(O:N S:D)", "D N V", 0.75), ("D(O:V(S:N))", "D N V", 0.25), ("V", "V", 1.0)}

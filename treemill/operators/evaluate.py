@@ -38,10 +38,27 @@ def distance(head: str) -> Column:
 
 
 def by_label(gold: DataFrame, system: DataFrame) -> DataFrame:
-    """Precision, recall and F per label over all arcs, with the half-width of the 95 % interval."""
+    """Precision, recall and F per label over all arcs, with the half-width of the 95 % interval; words may have
+    several arcs, equal ones count once.
+    """
     key = ["sent_id", "gov", "head", "label"]
-    right = system.select(key).intersect(gold.select(key)).groupBy("label").agg(F.count("*").alias("right"))
-    counts = gold.groupBy("label").agg(F.count("*").alias("in_gold")).join(system.groupBy("label").agg(F.count("*").alias("in_sys")), "label", "full").join(right, "label", "left").fillna(0)
+    sides = gold.select(*key, F.lit(1).alias("g"), F.lit(0).alias("s")).unionByName(system.select(*key, F.lit(0).alias("g"), F.lit(1).alias("s")))
+    arcs = sides.groupBy(key).agg(F.max("g").alias("g"), F.max("s").alias("s"), F.sum("g").alias("in_gold"), F.sum("s").alias("in_sys"))
+    return _scores(arcs.groupBy("label").agg(F.sum("in_gold").alias("in_gold"), F.sum("in_sys").alias("in_sys"), F.sum(F.col("g") * F.col("s")).cast("long").alias("right")))
+
+
+def by_label_of(words: DataFrame) -> DataFrame:
+    """``by_label`` of words that have gold_head, gold_label, sys_head and sys_label (null without an arc) in one row: one
+    aggregation, summed before its shuffle.
+    """
+    has = lambda side: F.col(f"{side}_head").isNotNull().cast("int")
+    right = F.coalesce((F.col("gold_head") == F.col("sys_head")) & (F.col("gold_label") == F.col("sys_label")), F.lit(False)).cast("int")
+    one = lambda side, g, s, r: F.struct(F.col(f"{side}_label").alias("label"), g.alias("in_gold"), s.alias("in_sys"), r.alias("right"))
+    rows = words.select(F.explode(F.array(one("gold", has("gold"), F.lit(0), right), one("sys", F.lit(0), has("sys"), F.lit(0)))).alias("r")).select("r.*").where("label is not null")
+    return _scores(rows.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("in_gold", "in_sys", "right")]))
+
+
+def _scores(counts: DataFrame) -> DataFrame:
     p, r = F.try_divide("right", "in_sys"), F.try_divide("right", "in_gold")
     found = counts.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.try_divide(2 * p * r, p + r))
     half = lambda v, n: 1.96 * F.sqrt(F.try_divide(F.col(v) * (1 - F.col(v)), F.col(n)))

@@ -80,3 +80,14 @@ def reattached(words: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]
     found = words.drop("head").join(placed, ["sent_id", "idx"]).drop("idx").withColumnsRenamed({"_new": "idx", "_head": "head"})
     arcs = found.where("head >= 0").select("sent_id", F.col("idx").alias("gov"), "head", "label")
     return found.drop("head", "label"), arcs
+
+
+def single_heads(deps: DataFrame, dropped: str = "GRP") -> DataFrame:
+    """One arc a word, for formats that have no more: of several the nearest head, of equally near ones the left; arcs whose
+    label begins with ``dropped`` go first.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("sent_id", "gov").orderBy(F.abs(F.col("head") - F.col("gov")), "head", "label")
+    ranked = deps.where(~F.col("label").startswith(dropped)).withColumn("_n", F.row_number().over(order))
+    return ranked.where("_n = 1").select("sent_id", "gov", "head", "label")

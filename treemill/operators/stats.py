@@ -57,11 +57,25 @@ def preferences(tokens: DataFrame, deps: DataFrame, least: int = 2) -> DataFrame
     return deps.join(dep, ["sent_id", "gov"]).join(head, ["sent_id", "head"]).groupBy("head_lemma", "label", "dep_lemma").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def moving_average(rows: DataFrame, order: str, value: str, size: int = 10) -> DataFrame:
-    """The mean of the last ``size`` rows, where there are so many; by group column ``key``."""
-    frame = Window.partitionBy("key").orderBy(order).rowsBetween(1 - size, 0)
-    found = rows.withColumn("mean", F.avg(value).over(frame)).withColumn("_n", F.count("*").over(frame))
-    return found.where(F.col("_n") == size).drop("_n")
+def moving_average(rows: DataFrame, order: str, value: str, size: int = 10, part: int = 4096) -> DataFrame:
+    """The mean of the last ``size`` rows, where there are so many; by group column ``key``.
+
+    Rows of a key are dealt into parts of ``part`` rows in their order (a number that tells them apart), each with the last
+    rows of the part before it, so no key is in one task.
+    """
+    ranked = summed_before(rows, order, ["key"], _n=F.lit(1)).withColumn("_part", F.floor(F.col("_n") / part))
+    again = F.when(F.col("_n") % part >= part - size + 1, F.array("_part", F.col("_part") + 1)).otherwise(F.array("_part"))
+    dealt = ranked.withColumn("_in", F.explode(again))
+    frame = Window.partitionBy("key", "_in").orderBy("_n").rowsBetween(1 - size, 0)
+    found = dealt.withColumn("mean", F.avg(value).over(frame))
+    return found.where((F.col("_in") == F.col("_part")) & (F.col("_n") >= size - 1)).drop("_n", "_part", "_in")
+
+
+def log_likelihood(counts: DataFrame, context: str, outcome: str) -> DataFrame:
+    """Per context: n, and the log likelihood of its outcomes under their own shares."""
+    cell = counts.groupBy(context, outcome).agg(F.sum("n").alias("k"))
+    total = cell.groupBy(context).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("own"))
+    return total.select(context, "n", (F.col("own") - F.col("n") * F.log("n")).alias("log_likelihood"))
 
 
 def operating_points(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:

@@ -91,3 +91,32 @@ def penalties(tokens: DataFrame, deps: DataFrame) -> DataFrame:
     fan = deps.groupBy("sent_id", "head").agg(F.count("*").alias("n")).groupBy("sent_id").agg(F.max("n").alias("fan"))
     found = tokens.groupBy("sent_id").agg(F.count("*").alias("words")).join(per_root, "sent_id", "left").join(length, "sent_id", "left").join(fan, "sent_id", "left").fillna(0)
     return found.withColumn("penalty", 1000 * F.greatest(F.col("roots") - 1, F.lit(0)) + 10 * F.greatest(F.col("fan") - 4, F.lit(0)) + F.col("length"))
+
+
+def faults(words: DataFrame) -> DataFrame:
+    """What speaks against the tree of each sentence: sent_id, roots, in_cycles (words in cycles), crossing (arcs that cross
+    another) and under_marks (arcs to punctuation, ``pos`` PUN).
+    """
+    seen = forest.measures(words).groupBy("sent_id").agg(F.sum(F.col("cyclic").cast("int")).alias("in_cycles"))
+    arcs = words.where("head >= 0").select("sent_id", F.col("idx").alias("gov"), "head", "label")
+    crossed = crossings(arcs).select("sent_id", F.explode(F.array("gov_a", "gov_b")).alias("gov")).distinct().groupBy("sent_id").agg(F.count("*").alias("crossing"))
+    marks = words.where("pos = 'PUN'").select("sent_id", F.col("idx").alias("head"))
+    wrong = arcs.join(marks, ["sent_id", "head"], "left_semi").groupBy("sent_id").agg(F.count("*").alias("under_marks"))
+    base = words.groupBy("sent_id").agg(F.sum((F.col("head") < 0).cast("int")).alias("roots"))
+    return base.join(seen, "sent_id").join(crossed, "sent_id", "left").join(wrong, "sent_id", "left").fillna(0)
+
+
+def shares_of_trees(counts: DataFrame, floor: float = 1e-5) -> DataFrame:
+    """``counts`` (tree, n, as ``forest.frequent_subtrees`` names them) with bag, the tree's sorted tags, and share: how
+    many of the trees with the same tags are this one, ``floor`` at least.
+    """
+    bag = F.array_join(F.array_sort(F.regexp_extract_all(F.regexp_replace("tree", "[^ ():]+:", ""), F.lit("([^ ()]+)"))), " ")
+    found = counts.withColumn("bag", bag)
+    totals = found.groupBy("bag").agg(F.sum("n").alias("_all"))
+    return found.join(totals, "bag").withColumn("share", F.greatest(F.col("n") / F.col("_all"), F.lit(floor))).drop("_all")
+
+
+def same_graphs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """sent_id of the sentences that have equal tags, heads and labels, word by word, in two versions (words with head and label)."""
+    plain = lambda df, n: forest.sentences(df.select("sent_id", "idx", "pos", "head", F.coalesce("label", F.lit("")).alias("label")), "pos", "head", "label").select("sent_id", F.struct("poss", "heads", "labels").alias(n))
+    return plain(a, "_a").join(plain(b, "_b"), "sent_id").where("_a = _b").select("sent_id")

@@ -435,9 +435,40 @@ def topology_penalties(tb):
     return tree.penalties(tb.tokens, tb.gold)
 
 
+@query("tree_faults", "SELECT roots, in_cycles, crossing, under_marks, count(*) AS sentences FROM (SELECT l.sent_id, count(*) FILTER (WHERE l.head < 0) AS roots, 0 AS in_cycles, coalesce(any_value(c.n), 0) AS crossing, coalesce(any_value(p.n), 0) AS under_marks FROM lnk l LEFT JOIN (SELECT sent_id, count(DISTINCT gov) AS n FROM (SELECT a.sent_id, a.gov FROM gold a JOIN gold b ON a.sent_id = b.sent_id WHERE (least(a.gov, a.head) < least(b.gov, b.head) AND least(b.gov, b.head) < greatest(a.gov, a.head) AND greatest(a.gov, a.head) < greatest(b.gov, b.head)) OR (least(b.gov, b.head) < least(a.gov, a.head) AND least(a.gov, a.head) < greatest(b.gov, b.head) AND greatest(b.gov, b.head) < greatest(a.gov, a.head))) GROUP BY sent_id) c ON c.sent_id = l.sent_id LEFT JOIN (SELECT g.sent_id, count(*) AS n FROM gold g JOIN tok t ON t.sent_id = g.sent_id AND t.idx = g.head AND t.pos = 'PUN' GROUP BY g.sent_id) p ON p.sent_id = l.sent_id GROUP BY l.sent_id) GROUP BY ALL")
+def tree_faults(tb):
+    return tree.faults(linked(tb)).groupBy("roots", "in_cycles", "crossing", "under_marks").agg(F.count("*").alias("sentences"))
+
+
+@query("same_graphs", "SELECT words, count(*) AS sentences FROM (SELECT t.sent_id, count(*) AS words FROM tok t LEFT JOIN gold g ON g.sent_id = t.sent_id AND g.gov = t.idx LEFT JOIN sys s ON s.sent_id = t.sent_id AND s.gov = t.idx GROUP BY t.sent_id HAVING bool_and(g.head IS NOT DISTINCT FROM s.head AND g.label IS NOT DISTINCT FROM s.label)) GROUP BY words")
+def same_graphs(tb):
+    """Sentences that the system annotates as they should be, by length."""
+    side = lambda k: tb.words.select("sent_id", "idx", "pos", F.coalesce(f"{k}_head", F.lit(-1)).alias("head"), F.col(f"{k}_label").alias("label"))
+    found = tree.same_graphs(side("gold"), side("sys"))
+    return tb.tokens.join(found, "sent_id", "left_semi").groupBy("sent_id").agg(F.count("*").alias("words")).groupBy("words").agg(F.count("*").alias("sentences"))
+
+
+@query("subtree_shares", TREES + " SELECT tree, n, array_to_string(list_sort(regexp_extract_all(regexp_replace(tree, '[^ ():]+:', '', 'g'), '[^ ()]+')), ' ') AS bag, round(greatest(n / sum(n) OVER (PARTITION BY array_to_string(list_sort(regexp_extract_all(regexp_replace(tree, '[^ ():]+:', '', 'g'), '[^ ()]+')), ' ')), 0.00001), 9) AS share FROM (SELECT tree, count(*) AS n FROM sub2 GROUP BY tree HAVING count(*) >= 20)")
+def subtree_shares(tb):
+    counts = forest.frequent_subtrees(linked(tb), 2, 20).where("k = 2").drop("k")
+    return tree.shares_of_trees(counts).select("tree", "n", "bag", F.round("share", 9).alias("share"))
+
+
+@query("single_heads", "SELECT label, count(*) AS n, CAST(sum(sent_id % 1009) AS BIGINT) AS sents, CAST(sum(gov) AS BIGINT) AS gov, CAST(sum(head) AS BIGINT) AS head FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, gov ORDER BY abs(head - gov), head, label) AS k FROM (SELECT * FROM gold UNION SELECT * FROM sys)) WHERE k = 1 GROUP BY label")
+def single_heads(tb):
+    """Of the two annotations' arcs the nearest of each word."""
+    return tally(rewrite.single_heads(tb.gold.unionByName(tb.system).distinct()), "label", places=("gov", "head"))
+
+
 # statistics and evaluation
 
 
+@query("label_likelihoods", "SELECT pos, CAST(sum(n) AS BIGINT) AS n, round(sum(n * ln(n)) - sum(n) * ln(sum(n)), 4) AS log_likelihood FROM (SELECT t.pos, g.label, count(*) AS n FROM gold g JOIN tok t ON t.sent_id = g.sent_id AND t.idx = g.gov GROUP BY ALL) GROUP BY pos")
+def label_likelihoods(tb):
+    found = stats.log_likelihood(stats.by_pos_label(tb.tokens, tb.gold), "pos", "label")
+    return found.withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
 @query("pos_label_count", "SELECT t.pos, g.label, count(*) AS n FROM gold g JOIN tok t ON t.sent_id = g.sent_id AND t.idx = g.gov GROUP BY ALL")
 def pos_label_count(tb):
     return stats.by_pos_label(tb.tokens, tb.gold)
@@ -520,7 +551,7 @@ def las_by_distance(tb):
 
 @query("label_prf", "SELECT label, in_gold, in_sys, \"right\", round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / nullif(p + r, 0), 9) AS f1, round(1.96 * sqrt(p * (1 - p) / in_sys), 9) AS precision_half, round(1.96 * sqrt(r * (1 - r) / in_gold), 9) AS recall_half FROM (SELECT *, \"right\" / nullif(in_sys, 0) AS p, \"right\" / nullif(in_gold, 0) AS r FROM (SELECT coalesce(g.label, s.label) AS label, coalesce(g.n, 0) AS in_gold, coalesce(s.n, 0) AS in_sys, coalesce(b.n, 0) AS \"right\" FROM (SELECT label, count(*) AS n FROM gold GROUP BY label) g FULL JOIN (SELECT label, count(*) AS n FROM sys GROUP BY label) s ON g.label = s.label LEFT JOIN (SELECT label, count(*) AS n FROM (SELECT * FROM gold INTERSECT SELECT * FROM sys) GROUP BY label) b ON b.label = coalesce(g.label, s.label)))")
 def label_prf(tb):
-    return evaluate.by_label(tb.gold, tb.system)
+    return evaluate.by_label_of(tb.words)
 
 
 @query("graph_diff", "SELECT CAST(count(*) FILTER (WHERE g.label IS NOT NULL AND s.label IS NOT NULL) AS BIGINT) AS common, count(*) FILTER (WHERE s.label IS NULL) AS only_a, count(*) FILTER (WHERE g.label IS NULL) AS only_b, count(*) FILTER (WHERE g.label <> s.label) AS relabelled FROM gold g FULL JOIN sys s ON g.sent_id = s.sent_id AND g.gov = s.gov AND g.head = s.head")
@@ -902,6 +933,6 @@ def equal_error_rate(spark, sf_dir):
 
 @query("label_f_intervals", "SELECT label, round(coalesce(2 * greatest(p - ph, 0) * greatest(r - rh, 0) / nullif(greatest(p - ph, 0) + greatest(r - rh, 0), 0), 0), 6) AS f_low, round(coalesce(2 * least(p + ph, 1) * least(r + rh, 1) / nullif(least(p + ph, 1) + least(r + rh, 1), 0), 0), 6) AS f_high FROM (SELECT label, p, r, 1.96 * sqrt(p * (1 - p) / s) AS ph, 1.96 * sqrt(r * (1 - r) / g) AS rh FROM (SELECT label, count(*) FILTER (WHERE k = 'both') / count(*) FILTER (WHERE k <> 'gold') AS p, count(*) FILTER (WHERE k = 'both') / count(*) FILTER (WHERE k <> 'sys') AS r, count(*) FILTER (WHERE k <> 'gold') AS s, count(*) FILTER (WHERE k <> 'sys') AS g FROM (SELECT coalesce(g.label, s.label) AS label, CASE WHEN s.label IS NULL THEN 'gold' WHEN g.label IS NULL THEN 'sys' ELSE 'both' END AS k FROM gold g FULL JOIN sys s ON g.sent_id = s.sent_id AND g.gov = s.gov AND g.head = s.head AND g.label = s.label) GROUP BY label)) WHERE p IS NOT NULL AND r IS NOT NULL")
 def label_f_intervals(tb):
-    found = evaluate.by_label(tb.gold, tb.system).where("precision is not null and recall is not null")
+    found = evaluate.by_label_of(tb.words).where("precision is not null and recall is not null")
     low, high = stats.f_interval(*map(F.col, ("precision", "precision_half", "recall", "recall_half")))
     return found.select("label", F.round(low, 6).alias("f_low"), F.round(high, 6).alias("f_high"))
