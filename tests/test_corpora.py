@@ -133,3 +133,19 @@ def test_nulls_and_signs_in_writers(spark, tmp_path):
     roles = spark.createDataFrame([(1, 0, 1, "A0")], ARCS)
     yields = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 1)], "sent_id long, idx int, leftmost int, rightmost int")
     assert columns.props_lines(words, yields, roles).first()["text"] == "-\t(A0*)\n_\t(B*)\n"
+
+
+def test_facts_of_sentences(spark, tmp_path):
+    c = made(spark, {1: "a b", 2: "c"})
+    facts = spark.createDataFrame([(1, "a < b\nc", None, 0.5, "file & more"), (2, None, "note", None, None)], "sent_id long, text string, comment string, conf double, source string")
+    (tmp_path / "a.xml").write_text("\n".join(r.text for r in other.xml_lines(c.tokens, c.deps, c.groups, facts).orderBy("sent_id").collect()))
+    assert rows(other.read_xml_facts(spark, str(tmp_path / "a.xml"))) == {(1, "a < b c", None, 0.5, "file & more"), (2, None, "note", None, None)}
+    assert texts(corpora.load(spark, str(tmp_path / "a.xml"))) == {1: "a b", 2: "c"}
+
+
+def test_marks_go_round(spark):
+    from treemill.operators import spans
+
+    marks = spark.createDataFrame([(1, 0), (1, 4), (3, 2), (9, 1)], "sent_id long, idx int")
+    found = rows(spans.next_marks(marks, F.col("sent_id") > 5))
+    assert found == {(1, 0, 1, 4), (1, 4, 3, 2), (3, 2, 1, 0), (9, 1, 9, 1)}

@@ -156,3 +156,15 @@ def test_projective_graphs_stay(spark):
     heads = [1, -1, 1, 2, 2]
     assert forest.repaired(heads) == heads
     assert match.first_arcs(frame(spark, [heads])).count() == 5
+
+
+def test_similarity_branches_and_groups(spark):
+    heads, labels = [1, 3, 1, -1, 3, 4], ["D", "S", "M", None, "O", "D"]
+    words = spark.createDataFrame([(1, i, f"w{i}", h, x) for i, (h, x) in enumerate(zip(heads, labels, strict=True))], "sent_id long, idx int, form string, head int, label string")
+    found = {r.idx: (r.parents, r.children, r.distance) for r in forest.similar(words, ["M", "S"], ["D", "M", "D"]).collect()}
+    assert found == {0: (0, 0, 0), 1: (0, 2, -2), 2: (2, 0, -2), 3: (0, 0, 0), 4: (0, 1, -1), 5: (0, 0, 0)}
+    at = spark.createDataFrame([(1, 2), (1, 5), (1, 3)], "sent_id long, idx int")
+    got = {(r.top, r.form) for r in tree.branches(words, at).collect()}
+    assert got == {(1, "w0"), (1, "w1"), (1, "w2"), (4, "w4"), (4, "w5")} | {(3, f"w{i}") for i in range(6)}
+    groups = spark.createDataFrame([(1, "A", 1, 3), (1, "B", 0, 2)], "sent_id long, name string, first_idx int, last_idx int")
+    assert [tuple(r) for r in tree.sub_groups(groups, 1, 4).collect()] == [(1, "A", 0, 2)]

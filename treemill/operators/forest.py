@@ -7,6 +7,7 @@ walk is cut short, whatever the depth; words in or under a cycle are told apart
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -246,6 +247,25 @@ def including(words: DataFrame, heads: list[int], labels: list[str]) -> DataFram
     return per_sentence(rows, lambda sent, hs, ls: [(sent, w) for w in places_of(target, hs, ls)], "sent_id long, idx int")
 
 
+def similar(words: DataFrame, above: list[str], below: list[str]) -> DataFrame:
+    """sent_id, idx, parents, children and distance of every word to one whose arcs up to the root have the labels ``above``
+    and whose children have the labels ``below``: how many of the labels above are equal in turn, how many of those below
+    (each counted once) are there too, and minus their sum.
+    """
+    up, down = list(above), Counter(below)
+
+    def one(sent, heads, labels):
+        kids = children_of(heads)
+        for word in range(len(heads)):
+            at, same = word, 0
+            while same < len(up) and 0 <= heads[at] < len(heads) and labels[at] == up[same]:
+                at, same = heads[at], same + 1
+            shared = (Counter(labels[k] for k in kids[word]) & down).total()
+            yield sent, word, same, shared, -same - shared
+
+    return per_sentence(sentences(words.select("sent_id", "idx", "head", "label"), "head", "label"), one, "sent_id long, idx int, parents int, children int, distance int")
+
+
 # projectivity
 
 

@@ -111,3 +111,19 @@ def sequential_posterior(events: DataFrame, alpha: float, outcomes: int, order:
     seen = summed_before(events, order, ["context"], _n=F.lit(1))
     seen = summed_before(seen, order, ["context", "outcome"], _k=F.lit(1))
     return seen.withColumn("log_p", F.log(alpha + F.col("_k")) - F.log(F.lit(alpha * outcomes) + F.col("_n"))).drop("_n", "_k")
+
+
+def frames_in_order(words: DataFrame) -> DataFrame:
+    """How often each head's tag occurs with each frame: the labels of its children in word order, ``_`` in its own place.
+
+    ``words`` have head, label and pos.
+    """
+    arcs = words.where("head >= 0").select("sent_id", F.col("head").alias("idx"), F.col("idx").alias("at"), "label")
+    own = words.select("sent_id", "idx", F.col("idx").alias("at"), F.lit("_").alias("label"))
+    frames = arcs.unionByName(own).groupBy("sent_id", "idx").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "label")))["label"], " ").alias("frame"))
+    return frames.join(words.select("sent_id", "idx", "pos"), ["sent_id", "idx"]).groupBy("pos", "frame").agg(F.count("*").alias("n"))
+
+
+def arc_lengths(deps: DataFrame) -> DataFrame:
+    """How often arcs of each label have each length and direction (positive: the head stands behind)."""
+    return deps.groupBy("label", (F.col("head") - F.col("gov")).alias("length")).agg(F.count("*").alias("n"))

@@ -84,6 +84,22 @@ def sub_sentence(tokens: DataFrame, deps: DataFrame, first: int, last: int) -> t
     return kept, inside.withColumn("gov", F.col("gov") - first).withColumn("head", F.col("head") - first)
 
 
+def sub_groups(groups: DataFrame, first: int, last: int) -> DataFrame:
+    """The groups that lie whole in words first..last, numbered like ``sub_sentence``."""
+    inside = groups.where((F.col("first_idx") >= first) & (F.col("last_idx") <= last))
+    return inside.withColumn("first_idx", F.col("first_idx") - first).withColumn("last_idx", F.col("last_idx") - first)
+
+
+def branches(words: DataFrame, at: DataFrame) -> DataFrame:
+    """The whole branch that holds each word of ``at`` (sent_id, idx): what hangs on the child of the root above it, as
+    ``forest.subtree`` gives it; words in or under cycles have none.
+    """
+    chains = ancestors(words).join(at, ["sent_id", "idx"], "left_semi").join(forest.measures(words).select("sent_id", "idx", "root"), ["sent_id", "idx"]).where("root is not null")
+    tops = chains.select("sent_id", F.when(F.size("chain") >= 2, F.get("chain", F.size("chain") - 2)).otherwise(F.col("idx")).alias("idx")).distinct()
+    most = words.groupBy("sent_id").count().agg(F.max("count")).first()[0] or 1
+    return forest.subtree(words, tops, most)
+
+
 def penalties(tokens: DataFrame, deps: DataFrame) -> DataFrame:
     """Topology of each sentence: roots, arc length, largest number of children, and their weighted sum."""
     per_root = roots(tokens, deps).groupBy("sent_id").agg(F.count("*").alias("roots"))

@@ -401,6 +401,28 @@ def subtree_extracted(tb):
     return found.groupBy(F.when(F.col("head") < 0, "TOP").otherwise(F.col("label")).alias("relation")).agg(F.count("*").alias("words"))
 
 
+@query("tree_similarity", "SELECT parents, children, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx FROM (SELECT a.idx, CASE WHEN a.head < 0 OR a.label <> 'MOD' THEN 0 WHEN b.head < 0 OR b.label <> 'SUJ' THEN 1 ELSE 2 END AS parents, coalesce(c.n, 0) AS children FROM lnk a LEFT JOIN lnk b ON b.sent_id = a.sent_id AND b.idx = a.head LEFT JOIN (SELECT sent_id, head, least(count(*) FILTER (WHERE label = 'DET'), 2) + least(count(*) FILTER (WHERE label = 'MOD'), 1) AS n FROM gold GROUP BY sent_id, head) c ON c.sent_id = a.sent_id AND c.head = a.idx) GROUP BY parents, children")
+def tree_similarity(tb):
+    """Words by their likeness to a modifier of a subject that has two determiners and a modifier."""
+    found = forest.similar(linked(tb), ["MOD", "SUJ"], ["DET", "MOD", "DET"])
+    return found.groupBy("parents", "children").agg(F.count("*").alias("n"), F.sum("idx").alias("idx"))
+
+
+@query("frames_in_order", "SELECT t.pos, f.frame, count(*) AS n FROM (SELECT sent_id, idx, string_agg(label, ' ' ORDER BY place) AS frame FROM (SELECT sent_id, head AS idx, gov AS place, label FROM gold UNION ALL SELECT sent_id, idx, idx, '_' FROM tok) GROUP BY sent_id, idx) f JOIN tok t USING (sent_id, idx) GROUP BY ALL HAVING count(*) >= 3")
+def frames_in_order(tb):
+    return stats.frames_in_order(linked(tb)).where("n >= 3")
+
+
+@query("arc_lengths", "SELECT label, head - gov AS length, count(*) AS n FROM gold GROUP BY ALL")
+def arc_lengths(tb):
+    return stats.arc_lengths(tb.gold)
+
+
+@query("sub_groups", "SELECT name, count(*) AS n, CAST(sum(first_idx - 2) AS BIGINT) AS first_idx, CAST(sum(last_idx - 2) AS BIGINT) AS last_idx FROM grp WHERE first_idx >= 2 AND last_idx <= 9 GROUP BY name")
+def sub_groups(tb):
+    return tree.sub_groups(tb.groups, 2, 9).groupBy("name").agg(F.count("*").alias("n"), F.sum("first_idx").alias("first_idx"), F.sum("last_idx").alias("last_idx"))
+
+
 @query("tree_projective")
 def tree_projective(tb):
     """How many of the system's arcs are left by label once those that break projectivity are gone."""
@@ -677,10 +699,9 @@ def corpus_chunks(tb):
     return other.chunks(tb.tokens, 4).groupBy("chunk").agg(F.count("*").alias("sentences"))
 
 
-@query("next_mark", "SELECT sent_id, idx, lead(sent_id) OVER (PARTITION BY sent_id // 100000000 ORDER BY sent_id, idx) AS next_sent, lead(idx) OVER (PARTITION BY sent_id // 100000000 ORDER BY sent_id, idx) AS next_idx FROM tok WHERE pos = 'NUM'")
+@query("next_mark", "SELECT sent_id, idx, coalesce(lead(sent_id) OVER w, first_value(sent_id) OVER w) AS next_sent, coalesce(lead(idx) OVER w, first_value(idx) OVER w) AS next_idx FROM tok WHERE pos = 'NUM' WINDOW w AS (PARTITION BY sent_id // 100000000 ORDER BY sent_id, idx)")
 def next_mark(tb):
-    order = Window.partitionBy(F.floor(F.col("sent_id") / 100000000)).orderBy("sent_id", "idx")
-    return tb.tokens.where("pos = 'NUM'").select("sent_id", "idx", F.lead("sent_id").over(order).alias("next_sent"), F.lead("idx").over(order).alias("next_idx"))
+    return spans.next_marks(tb.tokens.where("pos = 'NUM'"), F.floor(F.col("sent_id") / SENTENCES))
 
 
 @query("frequent_shapes", "SELECT pos, children, n FROM (SELECT t.pos, coalesce(c.children, '') AS children, count(*) AS n FROM tok t LEFT JOIN (SELECT sent_id, head, string_agg(label, ' ' ORDER BY label) AS children FROM gold GROUP BY ALL) c ON c.sent_id = t.sent_id AND c.head = t.idx GROUP BY ALL) ORDER BY n DESC, pos, children LIMIT 10")

@@ -67,13 +67,37 @@ def plain(value: Column) -> Column:
     return value
 
 
-def xml_lines(tokens: DataFrame, deps: DataFrame, groups: DataFrame) -> DataFrame:
-    """sent_id and text: the native XML of each sentence (words, groups, then arcs)."""
+#: Facts of a sentence in native XML, fixed names: column and element.
+FACTS = {"text": "TXT", "comment": "CMT", "conf": "CONF", "source": "SOURCE"}
+
+
+def xml_lines(tokens: DataFrame, deps: DataFrame, groups: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """sent_id and text: the native XML of each sentence (its facts if given, words, groups, then arcs).
+
+    ``facts`` has sent_id and any of text, comment, conf and source; nulls are left out.
+    """
     t = tokens.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", F.format_string('<t i="%d" l="%s" f="%s" c="%s"/>', F.col("idx") + 1, escaped("lemma"), escaped("form"), escaped("pos")).alias("x"))))["x"], "\n").alias("words"))
     g = groups.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("<group> %s %d %d", F.regexp_replace(escaped("name"), "[\r\n]", " "), "first_idx", "last_idx"))), "\n").alias("spans"))
     d = deps.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("gov", F.format_string('<d r="%s" s="%d" c="%d"/>', escaped("label"), F.col("gov") + 1, F.col("head") + 1).alias("x"))))["x"], "\n").alias("arcs"))
     joined = t.join(g, "sent_id", "left").join(d, "sent_id", "left")
-    return joined.select("sent_id", F.concat_ws("\n", F.format_string('<SEQ id="T_%d">', "sent_id"), "words", "spans", "arcs", F.lit("</SEQ>")).alias("text"))
+    about = []
+    if facts is not None:
+        there = [c for c in FACTS if c in facts.columns]
+        joined = joined.join(facts.select("sent_id", *[F.col(c).cast("string").alias(f"_{c}") for c in there]), "sent_id", "left")
+        about = [F.when(F.col(f"_{c}").isNotNull(), F.concat(F.lit(f"<{FACTS[c]}>"), F.regexp_replace(escaped(f"_{c}"), "[\r\n]+", " "), F.lit(f"</{FACTS[c]}>"))) for c in there]
+    return joined.select("sent_id", F.concat_ws("\n", F.format_string('<SEQ id="T_%d">', "sent_id"), *about, "words", "spans", "arcs", F.lit("</SEQ>")).alias("text"))
+
+
+def read_xml_facts(spark: SparkSession, path: str) -> DataFrame:
+    """sent_id, text, comment, conf (a number) and source of the sentences of native XML, null where missing."""
+    whole = spark.read.text(path, wholetext=True)
+    seqs = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<SEQ .*?</SEQ>)"))).alias("seq"))
+
+    def fact(name: str) -> Column:
+        pattern = rf"(?s)<{name}>(.*?)</{name}>"
+        return F.when(F.col("seq").rlike(pattern), plain(F.regexp_extract("seq", pattern, 1)))
+
+    return seqs.select(F.regexp_extract("seq", r'id="T_(\d+)"', 1).cast("long").alias("sent_id"), *[fact(e).try_cast("double").alias(c) if c == "conf" else fact(e).alias(c) for c, e in FACTS.items()])
 
 
 def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
