@@ -72,7 +72,7 @@ def _fold(rule: Rule, state: str) -> str:
     for name, value in reversed(steps):
         body = _let(name, value, body)
     if rule.other is not None:
-        # words are made one by one, so the first that fits ends no search early but costs no join
+        # a sentence's words are few: all of them are tried, and the first that fits is w1
         fits = f"filter(transform(sequence(0, size(_words) - 1), j -> {_word('s0', 'j')}), w1 -> w1.idx <> w0.idx AND ({rule.other}))"
         body = _let("w1", f"get({fits}, 0)", f"CASE WHEN w1 IS NULL THEN s0 ELSE {body} END")
     body = _let("w0", _word("s0", "i"), f"CASE WHEN {rule.when} THEN {body} ELSE s0 END")
