@@ -8,10 +8,11 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treemill.llm import bpe, byte_bpe, fill_in_middle, spelling
+from treemill.llm import bpe, byte_bpe, fill_in_middle, simhash, spelling
 
 SCHEMA = "doc_id long, text string, word string, n string, form string, prefix string, output string, ids string"
 LONG = " ".join(f"Wörd{'abcdefgh'[i % 8]}{'xyz'[i % 3] * (i % 4)} é{i}" for i in range(40_000))
@@ -233,3 +234,22 @@ def test_a_chain_of_forms(spark):
     text = " ".join(w for k, w in enumerate(words) for _ in range(3 * 2**k))
     found = {r.word: r for r in spelling.spelling_variants(spark.createDataFrame([(1, text)], "doc_id long, text string"), damaged=1 << 40).collect()}
     assert all(found[w].root == words[-1] for w in words) and found[words[0]].form == words[1]
+
+
+def test_shingle_counts_of_all_texts(spark):
+    """Counts are of every text, in packs and buckets of any size; texts with little in common have no rows but their own."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 6, rng.integers(0, 30)))) for i in range(300)]
+    rows += [(300 + i, " ".join(f"x{i}_{k}" for k in range(20)) + " " + " ".join(f"w{k}" for k in range(6))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = simhash.packs(docs).localCheckpoint()
+    counts = simhash.shingle_counts(sets, 50).localCheckpoint()
+    assert counts.select("bucket").distinct().count() > 8
+    want = collections.Counter(t for _, text in rows for t in simhash.short_hashes(text).tolist())
+    packs = {r.pack: sorted({t for s in simhash.opened_pack(r.sizes, r.steps) for t in s.tolist()}) for r in sets.collect()}
+    found = collections.defaultdict(list)
+    for r in counts.orderBy("pack", "bucket").collect():
+        found[r.pack] += simhash.unpacked(bytes(r.counts), 8).tolist()
+    assert len(packs) >= 3 and all(found[p] == [want[t] for t in tokens] for p, tokens in packs.items())
+    index = simhash.prefixes(sets, counts)
+    assert index.where("place < 0").count() == len(rows) and index.where("id >= 300 and place >= 0").count() == 0

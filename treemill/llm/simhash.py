@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,8 @@ CROWD = 200
 WORDS, MIX = 5, np.uint64(0x9E3779B97F4A7C15)
 #: Documents that share a shingle from which they are dealt into cells instead of paired.
 DENSE = 50
-#: Documents whose shingles tell the frequent ones, copies there from which a shingle is one, and
-#: how many are kept; only the order of shingles hangs on them and no link does.
-LOOKED, OFTEN, MOST = 10_000, 2, 300_000
+#: Shingles of a bucket in which they are counted, about.
+COUNTED = 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -154,67 +154,103 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def short_set(text: str | None) -> bytes:
-    """``shingle_set`` by the upper 40 bits of the hashes, as packed steps.
+def short_hashes(text: str | None) -> np.ndarray:
+    """``shingle_set`` by the upper 40 bits of the hashes, sorted.
 
     Two texts of 500 shingles have one chance in four million that unequal ones count as equal.
     """
-    return packed(np.diff(np.unique(shingle_set(text) >> np.uint64(24)), prepend=np.uint64(0)), 5)
+    return np.unique(shingle_set(text) >> np.uint64(24))
+
 
+def short_set(text: str | None) -> bytes:
+    """``short_hashes`` as packed steps."""
+    return packed(np.diff(short_hashes(text), prepend=np.uint64(0)), 5)
 
-def ordered(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set's shingles in an order that all sets share: rare ones by hash, then ``often`` (sorted)
-    by ``rank``.
+
+def packs(marked: DataFrame) -> DataFrame:
+    """The sets of a batch of texts as one row: pack (its number), ids and sizes of the sets, n (all their
+    shingles) and steps, the sets end to end as packed steps.
     """
-    if not len(often):
-        return own
-    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-    hit = often[at] == own
-    return np.concatenate([own[~hit], own[hit][np.argsort(rank[at[hit]])]])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for rows in slices(batch, 4 << 20):
+                ids, sets = rows.column(0).to_pylist(), [short_hashes(t) for t in rows.column(1).to_pylist()]
+                steps = np.concatenate([np.zeros(0, np.uint64), *(np.diff(s, prepend=np.uint64(0)) for s in sets)])
+                row = {"pack": next(number), "ids": ids, "sizes": [len(s) for s in sets], "n": len(steps), "steps": packed(steps, 5)}
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("steps", pa.binary())])
+    return marked.select("doc_id", "text").mapInArrow(run, "pack long, ids array<long>, sizes array<int>, n long, steps binary")
 
-def frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of ``LOOKED`` texts, sorted, and their ranks, the rarest first."""
-    n = marked.count()
-    some = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < min(1.0, LOOKED / max(n, 1)) * (1 << 30))
-    each = some.select("text").mapInArrow(_shingle_rows, "token long")
-    top = each.groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(MOST).collect()
-    found = np.array([r["token"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], -order
 
+def opened_pack(sizes: list[int], steps: bytes) -> list[np.ndarray]:
+    """The sets of a pack."""
+    return [np.cumsum(s) for s in np.split(unpacked(steps, 5), np.cumsum(sizes)[:-1])] if sizes else []
 
-def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows in slices(batch):
-            for text in rows.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["token"])
 
+def shingle_counts(sets: DataFrame, size: int = COUNTED) -> DataFrame:
+    """pack, bucket and counts: in how many sets of all the pack's distinct shingles are, in their order.
 
-def prefixes(marked: DataFrame, often: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """token, id, n and place of the first shingles of each document's set of n.
+    A bucket is a range of hashes with about ``size`` shingles, so its rows fit into a task.
+    """
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    shift = np.uint64(40 - (shingles // size).bit_length())
 
-    Two sets that are alike have four fifths of n in common, so the first n - 4/5 n + 1 of each
-    hold a common one, whatever the order.  A row with place -1 stands for the whole set: its
-    token is the set's hash.
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *opened_pack(row["sizes"], row["steps"])]), return_counts=True)
+                buckets, at = np.unique(found >> shift, return_index=True)
+                parts = list(zip(np.split(found, at[1:]), np.split(counts, at[1:]), strict=True)) if len(at) else []
+                steps = [packed(np.diff(f, prepend=f[:1]), 5) for f, _ in parts]
+                columns = [[row["pack"]] * len(parts), buckets.astype(np.int64), [int(f[0]) for f, _ in parts], steps, [packed(c.astype(np.uint64), 8) for _, c in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    def count(rows: pa.Table) -> pa.Table:
+        firsts, steps, counts = (rows.column(c).to_pylist() for c in ("first", "steps", "counts"))
+        found = [np.cumsum(unpacked(s, 5)) + np.uint64(f) for f, s in zip(firsts, steps, strict=True)]
+        _, place = np.unique(np.concatenate(found), return_inverse=True)
+        totals = np.bincount(place, weights=np.concatenate([unpacked(c, 8) for c in counts])).astype(np.uint64)
+        each = np.split(totals[place], np.cumsum([len(f) for f in found])[:-1])
+        return rows.select(["pack", "bucket"]).append_column("counts", pa.array([packed(c, 8) for c in each], pa.binary()))
+
+    fields = pa.schema([("pack", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
+    dealt = sets.select("pack", "sizes", "steps").mapInArrow(spread, "pack long, bucket long, first long, steps binary, counts binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "pack long, bucket long, counts binary")
+
+
+def prefixes(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """token, id, n and place of the first shingles of each document's set of n that another set has too.
+
+    All sets are in one order, rare shingles (by ``counts``) first.  Two sets that are alike have four
+    fifths of n in common, so the first n - 4/5 n + 1 of each hold a common one.  Those that no
+    other set has can't be it, so a set with fewer than 4/5 n of others has no row but its own: a
+    row with place -1 stands for the whole set; its token is the set's hash.
     """
     from xxhash import xxh3_64_intdigest
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, 1 << 20):
+            for row in batch.to_pylist():
                 tokens, ids, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-                for doc_id, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                    own = shingle_set(text)
-                    first = ordered(own, often, rank)[: len(own) - -(-4 * len(own) // 5) + 1]
-                    tokens += [np.array([xxh3_64_intdigest(own.tobytes(), SEED)], np.uint64), first]
+                sets = opened_pack(row["sizes"], row["steps"])
+                _, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+                seen = np.concatenate([np.zeros(0, np.uint64), *(unpacked(c["counts"], 8) for c in row["counts"] or [])])[place]
+                for doc_id, own, n in zip(row["ids"], sets, np.split(seen, np.cumsum(row["sizes"])[:-1]), strict=True):
+                    most = len(own) - -(-4 * len(own) // 5) + 1
+                    alone = int((n == 1).sum())
+                    first = np.lexsort((own, n))[alone:most]
+                    tokens += [np.array([xxh3_64_intdigest(own.tobytes(), SEED)], np.uint64), own[first]]
                     ids.append(np.full(len(first) + 1, doc_id, np.int64))
                     sizes.append(np.full(len(first) + 1, len(own), np.int32))
-                    at.append(np.arange(-1, len(first), dtype=np.int32))
+                    at += [np.array([-1], np.int32), np.arange(alone, alone + len(first), dtype=np.int32)]
                 columns = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (ids, sizes, at))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "id", "n", "place"])
 
-    return marked.select("doc_id", "text").mapInArrow(run, "token long, id long, n int, place int")
+    each = counts.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("counts"))
+    return sets.join(each.hint("shuffle_hash"), "pack", "left").select("ids", "sizes", "steps", "counts").mapInArrow(run, "token long, id long, n int, place int")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -285,8 +321,9 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     texts that share four fifths of their five-word shingles may differ in a dozen bits, every
     pair of texts whose five-word shingles are alike, four fifths or more of all in common:
 
-    1. Documents are indexed by the first shingles of their sets, rare ones first; two alike sets
-       share one of them (an exact prefix filter), and where they do bounds what they share.
+    1. All shingles of all texts are counted.  Documents are indexed by the first shingles of their
+       sets, rare ones first; two alike sets share one of them (an exact prefix filter), and
+       where they do bounds what they share.
     2. A shingle of more than ``crowd`` documents is not paired at once: these are dealt at
        random into cells of ``crowd`` or fewer, pairs of a cell are verified and joined.  Rounds of
        this end when the pairs of different components that are left there are no more than the
@@ -298,7 +335,11 @@ def near_copies(docs: DataFrame, crowd: int = DENSE) -> DataFrame:
     """
     known = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     marked = texts(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
-    index = stored(prefixes(marked, *frequent(marked)))
+    sets = stored(packs(marked))
+    counts = stored(shingle_counts(sets))
+    index = stored(prefixes(sets, counts))
+    for table in (sets, counts):
+        discard(table)
     met = stored(repeated(index))
     discard(index)
     wholes = met.where("place < 0")
