@@ -5,6 +5,7 @@ import pytest
 
 WHOLE = [
     "match_adjacent",
+    "match_all_pairs",
 ]
 
 
