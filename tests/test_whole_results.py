@@ -6,6 +6,7 @@ import pytest
 WHOLE = [
     "match_adjacent",
     "match_all_pairs",
+    "match_same_lemma",
 ]
 
 
