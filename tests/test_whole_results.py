@@ -7,6 +7,7 @@ WHOLE = [
     "match_adjacent",
     "match_all_pairs",
     "match_same_lemma",
+    "match_three",
 ]
 
 
