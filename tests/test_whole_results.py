@@ -8,6 +8,7 @@ WHOLE = [
     "match_all_pairs",
     "match_same_lemma",
     "match_three",
+    "match_equal_relations",
 ]
 
 
