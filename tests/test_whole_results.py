@@ -9,6 +9,7 @@ WHOLE = [
     "match_same_lemma",
     "match_three",
     "match_equal_relations",
+    "match_group_start",
 ]
 
 
