@@ -10,6 +10,7 @@ WHOLE = [
     "match_three",
     "match_equal_relations",
     "match_group_start",
+    "rewrite_dry_run",
 ]
 
 
