@@ -11,6 +11,7 @@ WHOLE = [
     "match_equal_relations",
     "match_group_start",
     "rewrite_dry_run",
+    "tree_crossings",
 ]
 
 
