@@ -12,6 +12,7 @@ WHOLE = [
     "match_group_start",
     "rewrite_dry_run",
     "tree_crossings",
+    "rule_any_right",
 ]
 
 
