@@ -33,6 +33,8 @@ class Automaton:
     def possible(self, action: str) -> bool:
         if action == SHIFT:
             return True
+        if self.at >= self.size and action != REDUCE:
+            return False
         return bool(self.stack) and not (action == LEFT and self.heads[self.stack[-1]] >= 0)
 
     def act(self, action: str) -> None:
@@ -42,7 +44,7 @@ class Automaton:
             self.heads[self.stack.pop()] = self.at
         elif action == REDUCE:
             self.stack.pop()
-        else:
+        elif self.at < self.size:  # behind the last word there is nothing to shift
             if action == RIGHT:
                 self.heads[self.at] = self.stack[-1]
             self.stack.append(self.at)
