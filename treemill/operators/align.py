@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,24 @@ BAND = 8
 SAME, LEFT, RIGHT, OTHER = range(4)
 
 
+def _thinned(x: list, y: list, first: int) -> list[tuple[int, int, int | None]] | None:
+    """The steps from the end where y is x without some words, which no other way is cheaper than; else None."""
+    path, i, j = [], len(x), len(y)
+    while i >= j and i:
+        i -= 1
+        if j and x[i] == y[j - 1]:
+            j -= 1
+            path.append((SAME, first + i, first + j))
+        else:
+            path.append((LEFT, first + i, None))
+    return path if i == j == 0 else None
+
+
 def edit_path(a: list, b: list) -> list[tuple[int, int | None, int | None]]:
     """(code, place in a, place in b) along a cheapest way from a to b; deleting, inserting and replacing cost 1.
 
-    The common ends are cut off first.  Then only a band of places around the diagonal is filled in, twice as
+    The common ends are cut off first.  Sentences that differ in two places at most, or by words left out of one side, need
+    no more.  Of others only a band of places around the diagonal is filled in, twice as
     wide each time until the cost is within it, which no cheaper way can leave.  Of equal ways,
     from the end, words are paired before they are deleted, and deleted before they are inserted.
     """
@@ -28,6 +44,13 @@ def edit_path(a: list, b: list) -> list[tuple[int, int | None, int | None]]:
         last += 1
     n, m = len(a) - first - last, len(b) - first - last
     x, y, far, band = a[first : first + n], b[first : first + m], n + m + 1, max(1, abs(n - m))
+    ends = lambda at, to, size: [(SAME, at + k, to + k) for k in range(size)]
+    whole = lambda path: ends(0, 0, first) + path[::-1] + ends(len(a) - last, len(b) - last, last)
+    if n == m and sum(map(operator.ne, x, y)) <= 2:  # leaving the diagonal costs two
+        return whole([(SAME if x[k] == y[k] else OTHER, first + k, first + k) for k in range(n - 1, -1, -1)])
+    path = _thinned(x, y, first) if n > m else [(RIGHT, b, a) if code == LEFT else (code, b, a) for code, a, b in _thinned(y, x, first) or []]
+    if path:
+        return whole(path)
     while True:
         rows = [list(range(min(m, band) + 1))]
         lows = [0]
@@ -62,8 +85,7 @@ def edit_path(a: list, b: list) -> list[tuple[int, int | None, int | None]]:
         else:
             j -= 1
             path.append((RIGHT, None, first + j))
-    ends = lambda at, to, size: [(SAME, at + k, to + k) for k in range(size)]
-    return ends(0, 0, first) + path[::-1] + ends(len(a) - last, len(b) - last, last)
+    return whole(path)
 
 
 def alignment(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -80,6 +102,26 @@ def alignment(left: DataFrame, right: DataFrame) -> DataFrame:
     return equal.unionByName(per_sentence(pairs.where("a <> b"), one, "sent_id long, place int, code int, idx_a int, idx_b int"))
 
 
+def paths(rows: DataFrame, *carry: str) -> DataFrame:
+    """Rows of sentences with two versions a and b (arrays of forms) aligned: codes, at_as and at_bs (the steps of
+    ``alignment``), and the arrays in ``carry``.
+    """
+
+    def one(sent, a, b, *rest):
+        path = edit_path(a, b) if a != b else [(SAME, k, k) for k in range(len(a))]
+        return [(sent, *rest, *([s[k] for s in path] for k in range(3)))]
+
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return per_sentence(rows.select("sent_id", "a", "b", *carry), one, f"sent_id long{kinds}, codes array<int>, at_as array<int>, at_bs array<int>")
+
+
+def steps(aligned: DataFrame) -> DataFrame:
+    """The rows of ``alignment`` for those of ``paths``, with its other columns."""
+    kept = [c for c in aligned.columns if c not in ("codes", "at_as", "at_bs")]
+    found = aligned.select(*kept, F.posexplode(F.arrays_zip("codes", "at_as", "at_bs")).alias("place", "_s"))
+    return found.select(*kept, "place", F.col("_s.codes").alias("code"), F.col("_s.at_as").alias("idx_a"), F.col("_s.at_bs").alias("idx_b"))
+
+
 def links(left: DataFrame, right: DataFrame, others: bool = False) -> DataFrame:
     """sent_id, idx_a, idx_b: equal words of two versions of each sentence that are aligned; with ``others``
     also words in each other's place.
@@ -96,19 +138,33 @@ def edits(left: DataFrame, right: DataFrame, linked: DataFrame) -> DataFrame:
 
 def edit_counts(aligned: DataFrame) -> DataFrame:
     """Per sentence the words matched, replaced, only on the left and only on the right."""
+    if "codes" in aligned.columns:  # ``paths``
+        n = lambda code, name: F.size(F.filter("codes", lambda c: c == code)).cast("long").alias(name)
+        return aligned.select("sent_id", n(SAME, "matched"), n(OTHER, "substituted"), n(LEFT, "deleted"), n(RIGHT, "inserted"))
     n = lambda code, name: F.sum((F.col("code") == code).cast("long")).alias(name)
     return aligned.groupBy("sent_id").agg(n(SAME, "matched"), n(OTHER, "substituted"), n(LEFT, "deleted"), n(RIGHT, "inserted"))
 
 
-def errors(aligned: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """How often each word is deleted, inserted, or replaced by another: code, form_a, form_b and n."""
+def errors(aligned: DataFrame, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+    """How often each word is deleted, inserted, or replaced by another: code, form_a, form_b and n.
+
+    ``paths`` that carry a and b need no other table.
+    """
+    if left is None:
+        wrong = steps(aligned).where(F.col("code") != SAME).select("code", F.get("a", F.col("idx_a")).alias("form_a"), F.get("b", F.col("idx_b")).alias("form_b"))
+        return wrong.groupBy("code", "form_a", "form_b").agg(F.count("*").alias("n"))
     form = lambda df, side: df.select("sent_id", F.col("idx").alias(f"idx_{side}"), F.col("form").alias(f"form_{side}"))
     wrong = aligned.where(F.col("code") != SAME).join(form(left, "a"), ["sent_id", "idx_a"], "left").join(form(right, "b"), ["sent_id", "idx_b"], "left")
     return wrong.groupBy("code", "form_a", "form_b").agg(F.count("*").alias("n"))
 
 
-def project_tags(aligned: DataFrame, left: DataFrame, right: DataFrame, column: str = "pos") -> DataFrame:
-    """The words of the right version with ``column`` of the word that they are aligned with, null without one."""
+def project_tags(aligned: DataFrame, left: DataFrame | None = None, right: DataFrame | None = None, column: str = "pos") -> DataFrame:
+    """The words of the right version with ``column`` of the word that they are aligned with, null without one.
+
+    ``paths`` that carry the left version's array of it need no other table.
+    """
+    if left is None:
+        return steps(aligned).where("idx_b is not null").select("sent_id", F.col("idx_b").alias("idx"), F.get(f"{column}s", F.col("idx_a")).alias(column))
     tags = aligned.where("idx_a is not null and idx_b is not null").join(left.select("sent_id", F.col("idx").alias("idx_a"), F.col(column).alias("_tag")), ["sent_id", "idx_a"])
     tags = tags.select("sent_id", F.col("idx_b").alias("idx"), "_tag")
     return right.drop(column).join(tags, ["sent_id", "idx"], "left").withColumnRenamed("_tag", column)

@@ -25,6 +25,17 @@ def joined(corpus: Corpus, target: DataFrame) -> Corpus:
     return Corpus(moved(corpus.tokens, "idx"), moved(corpus.deps, "gov", "head"), moved(corpus.roles, "gov", "head"), moved(corpus.groups, "first_idx", "last_idx"))
 
 
+def parted(df: DataFrame, most: int, first: str, *rest: str) -> DataFrame:
+    """Rows of sentences that are cut before the words in ``_cuts`` (an array, in order; ``most`` parts at most): their places
+    and sentences numbered anew, without what lies across a cut.
+    """
+    part = lambda p: F.size(F.filter("_cuts", lambda c: c <= F.col(p)))
+    found = df.withColumn("_part", part(first)).where(" and ".join(["true", *[f"size(filter(_cuts, c -> c <= {p})) = _part" for p in rest]]))
+    begin = F.when(F.col("_part") > 0, F.get("_cuts", F.col("_part") - 1)).otherwise(0)
+    found = found.withColumn("_from", begin)
+    return found.withColumns({p: F.col(p) - F.col("_from") for p in (first, *rest)}).withColumn("sent_id", F.col("sent_id") * most + F.col("_part")).drop("_part", "_from", "_cuts")
+
+
 def split_at(corpus: Corpus, places: DataFrame) -> Corpus:
     """Sentences cut before the words in ``places`` (sent_id, idx); arcs and groups across a cut go.
 
@@ -35,12 +46,7 @@ def split_at(corpus: Corpus, places: DataFrame) -> Corpus:
     none = F.array().cast("array<int>")
 
     def moved(df: DataFrame, first: str, *rest: str) -> DataFrame:
-        found = df.join(cuts, "sent_id", "left").withColumn("_cuts", F.coalesce("_cuts", none))
-        part = lambda p: F.size(F.filter("_cuts", lambda c: c <= F.col(p)))
-        found = found.withColumn("_part", part(first)).where(" and ".join(["true", *[f"size(filter(_cuts, c -> c <= {p})) = _part" for p in rest]]))
-        begin = F.when(F.col("_part") > 0, F.get("_cuts", F.col("_part") - 1)).otherwise(0)
-        found = found.withColumn("_from", begin)
-        return found.withColumns({p: F.col(p) - F.col("_from") for p in (first, *rest)}).withColumn("sent_id", F.col("sent_id") * most + F.col("_part")).select(*df.columns)
+        return parted(df.join(cuts, "sent_id", "left").withColumn("_cuts", F.coalesce("_cuts", none)), most, first, *rest)
 
     return Corpus(moved(corpus.tokens, "idx"), moved(corpus.deps, "gov", "head"), moved(corpus.roles, "gov", "head"), moved(corpus.groups, "first_idx", "last_idx"))
 

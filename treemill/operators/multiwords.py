@@ -6,21 +6,100 @@ with the lexicon, and chosen from left to right, the longest first, in one fold
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treemill.operators.forest import per_sentence
+
 #: Between the words of a unit.
 JOINT = "_"
+#: Forms of a lexicon that is sent to the tasks.
+SENT = 100_000
+
+
+def _entries(lexicon: DataFrame) -> DataFrame:
+    entries = lexicon.groupBy("form").agg(F.min(F.struct("lemma", "pos")).alias("e")).withColumn("k", F.size(F.split("form", JOINT))).where("k > 1")
+    return entries.select("form", "k", "e.lemma", "e.pos")
+
+
+class Units:
+    """A small lexicon in a task: the units of a sentence, from left to right, the longest first."""
+
+    def __init__(self, entries: list):
+        self.known = {(e.form, e.k): (e.lemma, e.pos) for e in entries}
+        self.lengths = sorted({e.k for e in entries}, reverse=True)
+        #: what stands before a joint in any form, so the first word of every unit
+        self.firsts = {e.form[: m.start()] for e in entries for m in re.finditer(JOINT, e.form)}
+
+    def of(self, forms: list[str]) -> Iterator[tuple[int, int, str, str, str]]:
+        at = 0
+        while at < len(forms):
+            if forms[at] in self.firsts:
+                for k in self.lengths:
+                    form = JOINT.join(forms[at : at + k])
+                    if at + k <= len(forms) and (form, k) in self.known:
+                        yield at, at + k - 1, form, *self.known[form, k]
+                        at += k - 1
+                        break
+            at += 1
+
+
+def merged_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Words and arcs of ``merged`` as rows of sentences: forms, poss, heads (-1: none) and labels (null without an arc), of rows
+    that have these arrays; lexicons of ``SENT`` forms at most.
+    """
+    found = _entries(lexicon).limit(SENT + 1).collect()
+    if len(found) > SENT:
+        raise ValueError(f"over {SENT} units: use merged")
+    units = Units(found)
+
+    def one(sent, forms, tags, heads, labels):
+        first = {a: (b, form, pos) for a, b, form, _, pos in units.of(forms)}
+        new, place, at = [], [0] * len(forms), 0
+        while at < len(forms):
+            end, form, pos = first.get(at, (at, forms[at], tags[at]))
+            for word in range(at, end + 1):
+                place[word] = len(new)
+            new.append((at, end, form, pos))
+            at = end + 1
+        arcs = []
+        for k, (a, b, _, _) in enumerate(new):
+            out = next((w for w in range(a, b + 1) if 0 <= heads[w] < len(forms) and place[heads[w]] != k), None)
+            arcs.append((-1, None) if out is None else (place[heads[out]], labels[out]))
+        yield sent, [n[2] for n in new], [n[3] for n in new], [a[0] for a in arcs], [a[1] for a in arcs]
+
+    return per_sentence(rows.select("sent_id", "forms", "poss", "heads", "labels"), one, "sent_id long, forms array<string>, poss array<string>, heads array<int>, labels array<string>")
+
+
+def regrouped(rows: DataFrame) -> DataFrame:
+    """The groups of ``cut`` for rows of sentences with groups (names, firsts, lasts) and ``ns``, the number of parts of each word."""
+
+    def one(sent, ns, names, firsts, lasts):
+        ends = list(accumulate(ns))
+        found = {(name, ends[a] - ns[a], ends[b] - 1) for name, a, b in zip(names, firsts, lasts, strict=True)}
+        return [(sent, *g) for g in found if g[1] <= g[2]]
+
+    return per_sentence(rows.select("sent_id", "ns", "names", "firsts", "lasts"), one, "sent_id long, name string, first_idx int, last_idx int")
 
 
 def found_units(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """sent_id, first_idx, last_idx, form, lemma and pos of the units of ``lexicon`` (form as ``a_b_c``, lemma, pos).
 
     From left to right, the longest at each word; a unit never begins inside another.  Forms of one word
-    are no units; of equal forms in the lexicon the least (lemma, pos) counts.
+    are no units; of equal forms in the lexicon the least (lemma, pos) counts.  ``tokens`` may be rows of sentences with
+    forms; then a lexicon of ``SENT`` forms at most is sent to the tasks, and a larger one joined as always.
     """
-    entries = lexicon.groupBy("form").agg(F.min(F.struct("lemma", "pos")).alias("e")).withColumn("k", F.size(F.split("form", JOINT))).where("k > 1")
-    entries = entries.select("form", "k", "e.lemma", "e.pos")
+    entries = _entries(lexicon)
+    if "forms" in tokens.columns:
+        found = entries.limit(SENT + 1).collect()
+        if len(found) <= SENT:
+            units = Units(found)
+            return per_sentence(tokens.select("sent_id", "forms"), lambda sent, forms: [(sent, *u) for u in units.of(forms)], "sent_id long, first_idx int, last_idx int, form string, lemma string, pos string")
+        tokens = tokens.select("sent_id", F.posexplode("forms").alias("idx", "form"), F.lit(None).cast("string").alias("lemma"), F.lit(None).cast("string").alias("pos"))
     lengths = sorted(r.k for r in entries.select("k").distinct().collect())
     if not lengths:
         return tokens.select("sent_id", F.col("idx").alias("first_idx"), F.col("idx").alias("last_idx"), "form", "lemma", "pos").limit(0)
@@ -96,9 +175,13 @@ def split(tokens: DataFrame, deps: DataFrame, groups: DataFrame) -> tuple[DataFr
     return cut(tokens, deps, groups, F.when(F.size(pieces) > 0, pieces).otherwise(F.array("form")), F.lit("unk"))
 
 
+def retokenized_parts(form: Column) -> Column:
+    """The parts of a form in ``retokenized``."""
+    return F.regexp_extract_all(F.translate(form, "_()*", " "), F.lit("(aujourd'hui|[^ ']*'|[^ ']+)"))
+
+
 def retokenized(tokens: DataFrame, deps: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words without brackets and asterisks, cut at underscores and after apostrophes (but for ``aujourd'hui``);
     what is empty then goes.
     """
-    plain = F.translate("form", "_()*", " ")
-    return cut(tokens, deps, groups, F.regexp_extract_all(plain, F.lit("(aujourd'hui|[^ ']*'|[^ ']+)")))
+    return cut(tokens, deps, groups, retokenized_parts(F.col("form")))
