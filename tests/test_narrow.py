@@ -6,6 +6,7 @@ import pytest
 NARROW = [
     "group_runs",
     "sub_groups",
+    "aligned_edits",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
