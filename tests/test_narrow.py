@@ -7,6 +7,7 @@ NARROW = [
     "group_runs",
     "sub_groups",
     "aligned_edits",
+    "frames_matched",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
