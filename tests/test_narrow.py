@@ -8,6 +8,7 @@ NARROW = [
     "sub_groups",
     "aligned_edits",
     "frames_matched",
+    "induced_roles",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
