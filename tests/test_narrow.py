@@ -9,6 +9,7 @@ NARROW = [
     "aligned_edits",
     "frames_matched",
     "induced_roles",
+    "multiword_units",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
