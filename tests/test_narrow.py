@@ -10,6 +10,7 @@ NARROW = [
     "frames_matched",
     "induced_roles",
     "multiword_units",
+    "projected_tags",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
