@@ -11,6 +11,7 @@ NARROW = [
     "induced_roles",
     "multiword_units",
     "projected_tags",
+    "search_groups",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
