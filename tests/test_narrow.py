@@ -12,6 +12,7 @@ NARROW = [
     "multiword_units",
     "projected_tags",
     "search_groups",
+    "search_notes",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
