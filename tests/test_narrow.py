@@ -13,6 +13,7 @@ NARROW = [
     "projected_tags",
     "search_groups",
     "search_notes",
+    "sequential_posteriors",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
