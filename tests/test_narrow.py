@@ -14,6 +14,7 @@ NARROW = [
     "search_groups",
     "search_notes",
     "sequential_posteriors",
+    "search_trees",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
