@@ -15,6 +15,7 @@ NARROW = [
     "search_notes",
     "sequential_posteriors",
     "search_trees",
+    "multiwords_merged",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
