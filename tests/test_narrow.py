@@ -16,6 +16,7 @@ NARROW = [
     "sequential_posteriors",
     "search_trees",
     "multiwords_merged",
+    "alignment_errors",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
