@@ -17,6 +17,7 @@ NARROW = [
     "search_trees",
     "multiwords_merged",
     "alignment_errors",
+    "alignment_codes",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
