@@ -18,6 +18,7 @@ NARROW = [
     "multiwords_merged",
     "alignment_errors",
     "alignment_codes",
+    "lexical_preferences",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
