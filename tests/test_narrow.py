@@ -19,6 +19,7 @@ NARROW = [
     "alignment_errors",
     "alignment_codes",
     "lexical_preferences",
+    "resegmented",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
