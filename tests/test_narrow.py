@@ -20,6 +20,7 @@ NARROW = [
     "alignment_codes",
     "lexical_preferences",
     "resegmented",
+    "retokenized",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
