@@ -21,6 +21,7 @@ NARROW = [
     "lexical_preferences",
     "resegmented",
     "retokenized",
+    "frequent_subtrees",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
