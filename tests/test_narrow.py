@@ -22,6 +22,7 @@ NARROW = [
     "resegmented",
     "retokenized",
     "frequent_subtrees",
+    "subtree_including",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
