@@ -23,6 +23,7 @@ NARROW = [
     "retokenized",
     "frequent_subtrees",
     "subtree_including",
+    "rewrite_groups",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
