@@ -24,6 +24,7 @@ NARROW = [
     "frequent_subtrees",
     "subtree_including",
     "rewrite_groups",
+    "tree_unprojective",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
