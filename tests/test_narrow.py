@@ -25,6 +25,7 @@ NARROW = [
     "subtree_including",
     "rewrite_groups",
     "tree_unprojective",
+    "delete_reattached",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
