@@ -26,6 +26,7 @@ NARROW = [
     "rewrite_groups",
     "tree_unprojective",
     "delete_reattached",
+    "tree_similarity",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
