@@ -27,6 +27,7 @@ NARROW = [
     "tree_unprojective",
     "delete_reattached",
     "tree_similarity",
+    "same_graphs",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
