@@ -28,6 +28,7 @@ NARROW = [
     "delete_reattached",
     "tree_similarity",
     "same_graphs",
+    "tree_shapes",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
