@@ -29,6 +29,7 @@ NARROW = [
     "tree_similarity",
     "same_graphs",
     "tree_shapes",
+    "tree_faults",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
