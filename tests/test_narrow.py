@@ -30,6 +30,7 @@ NARROW = [
     "same_graphs",
     "tree_shapes",
     "tree_faults",
+    "subtree_extracted",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
