@@ -31,6 +31,7 @@ NARROW = [
     "tree_shapes",
     "tree_faults",
     "subtree_extracted",
+    "match_three",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
