@@ -32,6 +32,7 @@ NARROW = [
     "tree_faults",
     "subtree_extracted",
     "match_three",
+    "frames_in_order",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
