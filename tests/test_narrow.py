@@ -33,6 +33,7 @@ NARROW = [
     "subtree_extracted",
     "match_three",
     "frames_in_order",
+    "subtree_shares",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
