@@ -35,6 +35,7 @@ NARROW = [
     "frames_in_order",
     "subtree_shares",
     "match_equal_relations",
+    "sentences_drawn",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
