@@ -36,6 +36,7 @@ NARROW = [
     "subtree_shares",
     "match_equal_relations",
     "sentences_drawn",
+    "sentences_split",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
