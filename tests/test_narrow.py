@@ -37,6 +37,7 @@ NARROW = [
     "match_equal_relations",
     "sentences_drawn",
     "sentences_split",
+    "match_same_lemma",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
