@@ -38,6 +38,7 @@ NARROW = [
     "sentences_drawn",
     "sentences_split",
     "match_same_lemma",
+    "delete_punctuation",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]
