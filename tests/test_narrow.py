@@ -39,6 +39,7 @@ NARROW = [
     "sentences_split",
     "match_same_lemma",
     "delete_punctuation",
+    "transition_parser",
 ]
 #: What these shuffle by sentence are few rows: those found, or one a sentence.
 SOME = ["search_trees", "sentences_drawn", "frames_matched"]

@@ -1,11 +1,14 @@
 """The oracle gives trees back, and the model learns."""
 
 import random
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from treemill.operators import forest, transitions
-from treemill.operators.transitions import Automaton, oracle, replayed
+from treemill.operators.transitions import ACTIONS, WEIGHTS, Automaton, oracle, replayed
 from treemill.sources.adapter import Treebank
 
 
@@ -82,3 +85,84 @@ def test_model_learns_a_rule(spark):
     assert right > 0.93
     assert transitions.parsed(test, weights).count() == test.count()
     assert transitions.trained(words.limit(0)).any() == False  # noqa: E712
+
+
+def features(state, forms, tags):
+    """What stands on the stack and before it, one state at a time."""
+    found = ["bias"]
+    if state.stack:
+        top = state.stack[-1]
+        found += [f"sw {forms[top]}", f"sp {tags[top]}", f"sh {state.heads[top] >= 0} {tags[top]}"]
+        if len(state.stack) > 1:
+            found.append(f"s1 {tags[state.stack[-2]]}")
+        found.append(f"si {tags[top]} {tags[state.at]} {min(state.at - top, 4)}")
+    found += [f"iw {forms[state.at]}", f"ip {tags[state.at]}"]
+    if state.at + 1 < state.size:
+        found += [f"i1 {tags[state.at + 1]}", f"i2 {tags[state.at]} {tags[state.at + 1]}"]
+    return [zlib.crc32(f.encode()) % WEIGHTS for f in found]
+
+
+def best(weights, state, at):
+    sums = weights[at].sum(axis=0)
+    return max((a for a in range(4) if state.possible(ACTIONS[a])), key=lambda a: (sums[a], -a))
+
+
+def plainly_improved(weights, trees):
+    own, total, steps = weights.astype(np.float64), np.zeros_like(weights, np.float64), 1
+    for heads, forms, tags in trees:
+        state = Automaton(len(heads))
+        for action in oracle(heads):
+            at, right = features(state, forms, tags), ACTIONS.index(action)
+            got = best(own, state, at)
+            if got != right:
+                for row in at:
+                    own[row, right] += 1
+                    own[row, got] -= 1
+                    total[row, right] += steps
+                    total[row, got] -= steps
+            steps += 1
+            state.act(action)
+    return own - total / steps, steps - 1
+
+
+def test_batches_learn_and_parse_like_a_plain_loop():
+    rng = random.Random(4)
+    trees = []
+    for k in range(300):
+        n = rng.choice([0, 1, 2, 3, 9, 25])
+        heads = [rng.randint(-2, n + 1) for _ in range(n)] if k % 3 else [h for _, h in sorted(projective(rng, 0, n, -1).items())]
+        trees.append((heads, [rng.choice("abcdefgh") * 2 for _ in range(n)], [rng.choice(["D", "N N", "V", "_"]) for _ in range(n)]))
+
+    def whole(some):
+        sizes = np.array([len(h) for h, _, _ in some], np.int64)
+        null = lambda c: [None if v == "_" else v for v in c]
+        return sizes, pa.array([x for h, _, _ in some for x in h], pa.int32()), *[pa.array(null([x for t in some for x in t[k]]), pa.string()) for k in (1, 2)]
+
+    weights = np.zeros((WEIGHTS, 4))
+    for _ in range(3):
+        # one state at a time, and all batches with stretches of states tried ahead
+        wanted, n = plainly_improved(weights, trees)
+        got, m = transitions.improved(weights, (transitions.states_of(*whole(some)) for some in (trees[:1], trees[1:50], [], trees[50:])))
+        assert n == m and (got == wanted).all() and wanted.any()
+        weights = wanted.astype(np.float32)
+    sizes, _, forms, tags = whole(trees)
+    found = transitions.found_heads(weights, np.cumsum(sizes) - sizes, sizes, forms, tags).tolist()
+    for heads, words, kinds in trees:
+        state = Automaton(len(heads))
+        while state.at < state.size:
+            state.act(ACTIONS[best(weights, state, features(state, words, kinds))])
+        assert state.heads == found[: len(heads)]
+        found = found[len(heads) :]
+
+
+def test_rows_of_sentences_are_learned_like_words(spark):
+    words = [(1, 0, "a", "D", 1), (1, 1, "b", "N", -1), (2, 0, "b", None, -1), (2, 1, None, "N", 0), (2, 2, "c", "V", None)]
+    words = spark.createDataFrame(words, "sent_id long, idx int, form string, pos string, head int").coalesce(1)
+    rows = forest.sentences(words, "head", "form", "pos").coalesce(1).orderBy("sent_id").coalesce(1)
+    weights = transitions.trained(rows)
+    assert weights.any()
+    found = transitions.compared(rows, weights)
+    assert found.columns == ["sent_id", "idx", "pos", "head", "found"]
+    assert [tuple(r)[:4] for r in found.orderBy("sent_id", "idx").collect()] == [(s, i, p, h) for s, i, _, p, h in words.orderBy("sent_id", "idx").collect()]
+    assert transitions.parsed(words, weights).exceptAll(found.select("sent_id", "idx", F.col("found").alias("head"))).count() == 0
+    assert transitions.parsed(words.drop("head"), weights).count() == 5

@@ -2,9 +2,9 @@
 
 Words are read from left to right.  LA hangs the word on top of the stack on the next one, RA the next one on the top
 (and puts it on the stack), REDUCE takes the top away, SHIFT puts the next word on the stack.  An action that is
-not possible becomes SHIFT, so every sequence of actions ends.  One sentence is one row; the model is
-trained on all sentences: each partition improves the weights on its own ones, the results are averaged by a
-shuffle, and this is repeated.
+not possible becomes SHIFT, so every sequence of actions ends.  One sentence is one row, and those of a batch take
+their steps together in numpy; the model is trained on all sentences: each partition improves the weights on its own
+ones, the results are averaged by a shuffle, and this is repeated.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treemill.operators.forest import per_sentence, sentences
+from treemill.operators.forest import flat, parts, per_sentence, sentences
 
 ACTIONS = LEFT, RIGHT, REDUCE, SHIFT = ("LA", "RA", "REDUCE", "SHIFT")
 #: Rows of the table of weights, whatever the number of features; it is collected and sent to the tasks.
 WEIGHTS = 1 << 16
+#: States that are tried ahead at least, while the model learns.
+LOOK = 8
 
 
 class Automaton:
@@ -85,56 +87,178 @@ def replayed(actions: Iterable[str], size: int) -> list[int]:
     return state.heads
 
 
-def features(state: Automaton, forms: list[str], tags: list[str]) -> list[int]:
-    """Rows of the table for what stands on the stack and before it."""
-    found = ["bias"]
-    if state.stack:
-        top = state.stack[-1]
-        found += [f"sw {forms[top]}", f"sp {tags[top]}", f"sh {state.heads[top] >= 0} {tags[top]}"]
-        if len(state.stack) > 1:
-            found.append(f"s1 {tags[state.stack[-2]]}")
-        if state.at < state.size:
-            found.append(f"si {tags[top]} {tags[state.at]} {min(state.at - top, 4)}")
-    if state.at < state.size:
-        found += [f"iw {forms[state.at]}", f"ip {tags[state.at]}"]
-        if state.at + 1 < state.size:
-            found += [f"i1 {tags[state.at + 1]}", f"i2 {tags[state.at]} {tags[state.at + 1]}"]
-    return [zlib.crc32(f.encode()) % WEIGHTS for f in found]
-
-
-def chosen(weights: np.ndarray, state: Automaton, at: list[int]) -> int:
-    """The possible action with most weight, the first of equals."""
-    sums = weights[at].sum(axis=0)
-    return max((a for a in range(4) if state.possible(ACTIONS[a])), key=lambda a: (sums[a], -a))
-
-
-def improved(weights: np.ndarray, trees: Iterable[tuple[list[int], list[str], list[str]]]) -> tuple[np.ndarray, int]:
-    """Averaged perceptron over (heads, forms, tags): the weights after one pass, and how many trees there were."""
-    own, total, steps, n = weights.astype(np.float64), np.zeros_like(weights, np.float64), 1, 0
-    for heads, forms, tags in trees:
-        n += 1
-        state = Automaton(len(heads))
-        for action in oracle(heads):
-            at, right = features(state, forms, tags), ACTIONS.index(action)
-            got = chosen(own, state, at)
-            if got != right:
-                for row in at:
-                    own[row, right] += 1
-                    own[row, got] -= 1
-                    total[row, right] += steps
-                    total[row, got] -= steps
-            steps += 1
-            state.act(action)
-    return own - total / steps, n
+class Automata:
+    """The states of parsing many sentences, laid end to end; words are named by their places in the whole, and a step
+    is taken by many sentences at once.
+    """
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray):
+        self.at, self.end = starts.copy(), starts + sizes
+        self.heads, self.below = np.full(sizes.sum(), -1), np.full(sizes.sum(), -1)
+        self.top = np.full(len(starts), -1)
+
+    def left(self) -> np.ndarray:
+        """The sentences that have words to come."""
+        return np.flatnonzero(self.at < self.end)
+
+    def seen(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For some sentences the word on top of the stack and the one under it (-1: none), whether the top has a head, and the next word."""
+        top = self.top[which]
+        there = top >= 0
+        return top, np.where(there, self.below[top], -1), there & (self.heads[top] >= 0), self.at[which]
+
+    def act(self, which: np.ndarray, action: np.ndarray) -> None:
+        """Some sentences, all with words to come, take an action that is possible."""
+        top, at = self.top[which], self.at[which]
+        left, right, push = action == 0, action == 1, action % 2 == 1
+        self.heads[top[left]], self.heads[at[right]] = at[left], top[right]
+        self.below[at[push]] = top[push]
+        self.top[which] = np.where(push, at, self.below[top])
+        self.at[which] += push
+
+
+def steps_of(heads: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the oracle does in each sentence, sentence by sentence: top, second, hung and at before each action, and the action.
+
+    ``heads`` count from each sentence's start; the same rules as ``oracle``.
+    """
+    place, base, size = np.arange(len(heads)), np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    inside = (heads >= 0) & (heads < size)
+    gold = np.where(inside, heads + base, np.where(heads < 0, -1, len(heads)))
+    last = place.copy()
+    np.maximum.at(last, gold[inside], place[inside])
+    state, found = Automata(starts, sizes), []
+    live = state.left()
+    while len(live):
+        top, second, hung, at = state.seen(live)
+        there, head = top >= 0, gold[top]
+        action = np.select([there & ~hung & (head == at), there & (gold[at] == top), there & (last[top] < at) & (hung | (head < at))], [0, 1, 2], 3)
+        found.append((live, top, second, hung, at, action))
+        state.act(live, action)
+        live = live[state.at[live] < state.end[live]]
+    if not found:
+        return (np.zeros(0, np.int64),) * 5
+    of, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    return tuple(c[order] for c in columns)
+
+
+def row_of(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % WEIGHTS
+
+
+def rows_of(name: str, *coded: tuple[list, np.ndarray]) -> np.ndarray:
+    """Rows of the features ``name`` with some values each, ``coded`` as (all values, the place of each feature's one)."""
+    key = np.zeros(len(coded[0][1]), np.int64)
+    for values, at in coded:
+        key = key * len(values) + at
+    keys, back = np.unique(key, return_inverse=True)
+    columns = []
+    for values, _ in reversed(coded):
+        keys, k = np.divmod(keys, max(1, len(values)))
+        columns.append([values[i] for i in k.tolist()])
+    return np.array([row_of(" ".join([name, *map(str, f)])) for f in zip(*reversed(columns), strict=True)], np.int64)[back]
+
+
+class Features:
+    """The features of states of sentences laid end to end, as rows of the table of weights."""
+
+    def __init__(self, forms: pa.Array, tags: pa.Array, starts: np.ndarray, sizes: np.ndarray):
+        coded = [c.fill_null("_").dictionary_encode() for c in (forms, tags)]
+        (words, self.word), (self.tags, self.tag) = ((c.dictionary.to_pylist(), c.indices.to_numpy(zero_copy_only=False).astype(np.int64)) for c in coded)
+        self.bias = row_of("bias")
+        self.words = {n: np.array([row_of(f"{n} {w}") for w in words], np.int64) for n in ("sw", "iw")}
+        self.kinds = {n: np.array([row_of(f"{n} {t}") for t in self.tags], np.int64) for n in ("sp", "sh True", "sh False", "s1", "ip")}
+        # the next word's tag, and both tags
+        more = np.ones(len(self.tag), bool)
+        more[(starts + sizes - 1)[sizes > 0]] = False
+        at = np.flatnonzero(more)
+        one, two = (self.tags, self.tag[at]), (self.tags, self.tag[at + 1])
+        self.ahead = np.full((len(self.tag), 2), WEIGHTS)
+        self.ahead[at, 0], self.ahead[at, 1] = rows_of("i1", two), rows_of("i2", one, two)
+
+    def rows(self, top: np.ndarray, second: np.ndarray, hung: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ten rows for what stands on the stack and before it; ``WEIGHTS`` stands for none."""
+        there, tag = top >= 0, self.tag[top]
+        near = np.flatnonzero(there)
+        pairs = np.full(len(top), WEIGHTS)
+        pairs[near] = rows_of("si", (self.tags, tag[near]), (self.tags, self.tag[at[near]]), (range(5), np.minimum(at - top, 4)[near]))
+        on = lambda rows: np.where(there, rows, WEIGHTS)
+        stack = [on(self.words["sw"][self.word[top]]), on(self.kinds["sp"][tag]), on(np.where(hung, self.kinds["sh True"][tag], self.kinds["sh False"][tag]))]
+        under = np.where(second >= 0, self.kinds["s1"][self.tag[second]], WEIGHTS)
+        return np.column_stack([np.full(len(top), self.bias), *stack, under, pairs, self.words["iw"][self.word[at]], self.kinds["ip"][self.tag[at]], self.ahead[at]])
+
+
+def barred(top: np.ndarray, hung: np.ndarray) -> np.ndarray:
+    """For each state minus infinity for the actions that are not possible, 0 for others."""
+    bar = np.zeros((len(top), 4))
+    bar[top < 0, :3] = -np.inf
+    bar[hung, 0] = -np.inf
+    return bar
+
+
+def chosen(weights: np.ndarray, rows: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """The possible action with most weight in each state, the first of equals."""
+    return (weights.take(rows, axis=0).sum(axis=1) + bar).argmax(axis=1)
+
+
+def padded(weights: np.ndarray) -> np.ndarray:
+    """The table with a row of zeros for features that a state doesn't have."""
+    return np.vstack([weights, np.zeros((1, 4), weights.dtype)])
+
+
+def improved(weights: np.ndarray, states: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
+    """Averaged perceptron over batches of states (feature rows, bars, right actions): the weights after one pass, and how many
+    states there were.
+
+    Weights change at each wrong action only, so stretches of states are tried with the same weights, up to the first
+    wrong one; the result is that of one state after the other.
+    """
+    own = padded(weights.astype(np.float64))
+    total, steps, ahead = np.zeros_like(own), 1, LOOK
+    for rows, bar, right in states:
+        at = 0
+        while at < len(rows):
+            got = chosen(own, rows[at : at + ahead], bar[at : at + ahead])
+            wrong = got != right[at : at + ahead]
+            k = int(wrong.argmax())
+            if not wrong[k]:
+                at, steps, ahead = at + len(got), steps + len(got), min(2 * ahead, 4096)
+                continue
+            at, steps, ahead = at + k, steps + k, max(LOOK, ahead // 2)
+            there = rows[at][rows[at] < WEIGHTS] * 4
+            plus, minus = there + right[at], there + got[k]
+            for cells, by in ((own.reshape(-1), 1.0), (total.reshape(-1), float(steps))):
+                np.add.at(cells, plus, by)
+                np.subtract.at(cells, minus, by)
+            at, steps = at + 1, steps + 1
+    return (own - total / steps)[:-1], steps - 1
 
 
 def _rows(words: DataFrame) -> DataFrame:
-    plain = words.select("sent_id", "idx", F.coalesce("head", F.lit(-1)).alias("head"), F.coalesce("form", F.lit("_")).alias("form"), F.coalesce("pos", F.lit("_")).alias("pos"))
-    return sentences(plain, "head", "form", "pos")
+    return sentences(words, "head", "form", "pos")
+
+
+def states_of(sizes: np.ndarray, heads: pa.Array, forms: pa.Array, tags: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows, bars and right actions of all states that the oracle passes in sentences laid end to end."""
+    starts = np.cumsum(sizes) - sizes
+    top, second, hung, at, action = steps_of(heads.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), starts, sizes)
+    return Features(forms, tags, starts, sizes).rows(top, second, hung, at), barred(top, hung), action
+
+
+def found_heads(weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forms: pa.Array, tags: pa.Array) -> np.ndarray:
+    """The head of each word (from its sentence's start, -1: none) by the action of most weight at each step."""
+    given, features, state = padded(weights), Features(forms, tags, starts, sizes), Automata(starts, sizes)
+    live = state.left()
+    while len(live):
+        top, second, hung, at = state.seen(live)
+        state.act(live, chosen(given, features.rows(top, second, hung, at), barred(top, hung)))
+        live = live[state.at[live] < state.end[live]]
+    return np.where(state.heads >= 0, state.heads - np.repeat(starts, sizes), -1)
 
 
 def trained(words: DataFrame, rounds: int = 2) -> np.ndarray:
-    """The weights learned from ``words`` (sent_id, idx, form, pos, head); nulls are read as ``_``.
+    """The weights learned from ``words`` (sent_id, idx, form, pos, head; or rows of sentences); nulls are read as ``_``.
 
     Only the weights that differ from zero come to the driver, ``WEIGHTS`` rows of four at most.
     """
@@ -143,35 +267,39 @@ def trained(words: DataFrame, rounds: int = 2) -> np.ndarray:
     for _ in range(rounds):
         given = weights.astype(np.float32)
 
-        def run(batches: Iterable[pd.DataFrame], given: np.ndarray = given) -> Iterator[pd.DataFrame]:
-            trees = ((list(h), list(f), list(t)) for pdf in batches for h, f, t in zip(pdf["heads"], pdf["forms"], pdf["poss"], strict=True))
-            own, n = improved(given, trees)
+        def run(batches: Iterable[pa.RecordBatch], given: np.ndarray = given) -> Iterator[pa.RecordBatch]:
+            states = (states_of(part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), *[c.flatten() for c in part.columns[1:]]) for batch in batches if batch.num_rows for part in parts(batch, 1))
+            own, n = improved(given, states)
             if n:
                 at, action = np.nonzero(own)
-                yield pd.DataFrame({"at": np.append(at, -1), "action": np.append(action, 0), "w": np.append(own[at, action], 1.0)})
+                columns = [np.append(at, -1).astype(np.int32), np.append(action, 0).astype(np.int32), np.append(own[at, action], 1.0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "action", "w"])
 
-        found = rows.mapInPandas(run, "at int, action int, w double").groupBy("at", "action").agg(F.sum("w").alias("w")).toPandas()
-        parts = found.loc[found["at"] < 0, "w"].sum()
+        found = rows.mapInArrow(run, "at int, action int, w double").groupBy("at", "action").agg(F.sum("w").alias("w")).toPandas()
+        tasks = found.loc[found["at"] < 0, "w"].sum()
         found = found[found["at"] >= 0]
         weights = np.zeros((WEIGHTS, 4))
-        if parts:
-            weights[found["at"], found["action"]] = found["w"] / parts
+        if tasks:
+            weights[found["at"], found["action"]] = found["w"] / tasks
     return weights
 
 
-def parsed(words: DataFrame, weights: np.ndarray) -> DataFrame:
-    """sent_id, idx and head (-1: none) of every word, by the action of most weight at each step."""
+def compared(words: DataFrame, weights: np.ndarray) -> DataFrame:
+    """sent_id, idx, pos, head and found (the head that the model gives, -1: none) of every word of words or rows of sentences."""
     given = weights.astype(np.float32)
 
-    def one(sent, _, forms, tags):
-        state = Automaton(len(forms))
-        while state.at < state.size:
-            state.act(ACTIONS[chosen(given, state, features(state, forms, tags))])
-        return [(sent, i, h) for i, h in enumerate(state.heads)]
+    def many(sents, starts, sizes, heads, forms, tags):
+        idx = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+        return np.repeat(sents, sizes), idx, tags, heads, found_heads(given, starts, sizes, forms, tags)
+
+    return flat(_rows(words), many, "sent_id long, idx int, pos string, head int, found int")
+
 
-    if "head" not in words.columns:
+def parsed(words: DataFrame, weights: np.ndarray) -> DataFrame:
+    """sent_id, idx and head (-1: none) of every word, by the action of most weight at each step."""
+    if not {"head", "heads"} & set(words.columns):
         words = words.withColumn("head", F.lit(-1))
-    return per_sentence(_rows(words), one, "sent_id long, idx int, head int")
+    return compared(words, weights).select("sent_id", "idx", F.col("found").alias("head"))
 
 
 def replays(words: DataFrame) -> DataFrame:
