@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treemill.operators import forest, transitions
 from treemill.operators.transitions import ACTIONS, WEIGHTS, Automaton, oracle, replayed
-from treemill.sources.adapter import Treebank
+from treemill.sources.adapter import Treebank, annotated_rows, tokens
 
 
 def projective(rng, low, high, parent):
@@ -136,7 +136,7 @@ def test_batches_learn_and_parse_like_a_plain_loop():
     def whole(some):
         sizes = np.array([len(h) for h, _, _ in some], np.int64)
         null = lambda c: [None if v == "_" else v for v in c]
-        return sizes, pa.array([x for h, _, _ in some for x in h], pa.int32()), *[pa.array(null([x for t in some for x in t[k]]), pa.string()) for k in (1, 2)]
+        return np.cumsum(sizes) - sizes, sizes, pa.array([x for h, _, _ in some for x in h], pa.int32()), *[pa.array(null([x for t in some for x in t[k]]), pa.string()) for k in (1, 2)]
 
     weights = np.zeros((WEIGHTS, 4))
     for _ in range(3):
@@ -145,8 +145,8 @@ def test_batches_learn_and_parse_like_a_plain_loop():
         got, m = transitions.improved(weights, (transitions.states_of(*whole(some)) for some in (trees[:1], trees[1:50], [], trees[50:])))
         assert n == m and (got == wanted).all() and wanted.any()
         weights = wanted.astype(np.float32)
-    sizes, _, forms, tags = whole(trees)
-    found = transitions.found_heads(weights, np.cumsum(sizes) - sizes, sizes, forms, tags).tolist()
+    starts, sizes, _, forms, tags = whole(trees)
+    found = transitions.found_heads(weights, starts, sizes, forms, tags).tolist()
     for heads, words, kinds in trees:
         state = Automaton(len(heads))
         while state.at < state.size:
@@ -166,3 +166,14 @@ def test_rows_of_sentences_are_learned_like_words(spark):
     assert [tuple(r)[:4] for r in found.orderBy("sent_id", "idx").collect()] == [(s, i, p, h) for s, i, _, p, h in words.orderBy("sent_id", "idx").collect()]
     assert transitions.parsed(words, weights).exceptAll(found.select("sent_id", "idx", F.col("found").alias("head"))).count() == 0
     assert transitions.parsed(words.drop("head"), weights).count() == 5
+    # rows that don't leave their task
+    assert (transitions.trained(rows.mapInArrow) == weights).all() and transitions.compared(rows.mapInArrow, weights).exceptAll(found).count() == 0
+
+
+def test_words_end_with_their_last_character_that_is_no_mark(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice('ab.,!?":; \n\té😀') for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["." * 3000, "a" * 50_000 + "!?", '"a".b."', "  . "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = annotated_rows(docs, "forms").select("sent_id", F.posexplode("forms").alias("idx", "form"))
+    wanted = tokens(docs).select("sent_id", "idx", "form")
+    assert rows.count() == wanted.count() and rows.exceptAll(wanted).count() == 0

@@ -10,20 +10,20 @@ ones, the results are averaged by a shuffle, and this is repeated.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treemill.operators.forest import flat, parts, per_sentence, sentences
+from treemill.operators.forest import parts, per_sentence, sentences
 
 ACTIONS = LEFT, RIGHT, REDUCE, SHIFT = ("LA", "RA", "REDUCE", "SHIFT")
 #: Rows of the table of weights, whatever the number of features; it is collected and sent to the tasks.
 WEIGHTS = 1 << 16
 #: States that are tried ahead at least, while the model learns.
-LOOK = 8
+LOOK = 24
 
 
 class Automaton:
@@ -174,11 +174,11 @@ class Features:
         more[(starts + sizes - 1)[sizes > 0]] = False
         at = np.flatnonzero(more)
         one, two = (self.tags, self.tag[at]), (self.tags, self.tag[at + 1])
-        self.ahead = np.full((len(self.tag), 2), WEIGHTS)
-        self.ahead[at, 0], self.ahead[at, 1] = rows_of("i1", two), rows_of("i2", one, two)
+        self.ahead = np.full((2, len(self.tag)), WEIGHTS)
+        self.ahead[:, at] = rows_of("i1", two), rows_of("i2", one, two)
 
     def rows(self, top: np.ndarray, second: np.ndarray, hung: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Ten rows for what stands on the stack and before it; ``WEIGHTS`` stands for none."""
+        """For what stands on the stack and before it ten rows (by the states); ``WEIGHTS`` stands for none."""
         there, tag = top >= 0, self.tag[top]
         near = np.flatnonzero(there)
         pairs = np.full(len(top), WEIGHTS)
@@ -186,7 +186,7 @@ class Features:
         on = lambda rows: np.where(there, rows, WEIGHTS)
         stack = [on(self.words["sw"][self.word[top]]), on(self.kinds["sp"][tag]), on(np.where(hung, self.kinds["sh True"][tag], self.kinds["sh False"][tag]))]
         under = np.where(second >= 0, self.kinds["s1"][self.tag[second]], WEIGHTS)
-        return np.column_stack([np.full(len(top), self.bias), *stack, under, pairs, self.words["iw"][self.word[at]], self.kinds["ip"][self.tag[at]], self.ahead[at]])
+        return np.stack([np.full(len(top), self.bias), *stack, under, pairs, self.words["iw"][self.word[at]], self.kinds["ip"][self.tag[at]], *self.ahead[:, at]])
 
 
 def barred(top: np.ndarray, hung: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def barred(top: np.ndarray, hung: np.ndarray) -> np.ndarray:
 
 def chosen(weights: np.ndarray, rows: np.ndarray, bar: np.ndarray) -> np.ndarray:
     """The possible action with most weight in each state, the first of equals."""
-    return (weights.take(rows, axis=0).sum(axis=1) + bar).argmax(axis=1)
+    return (np.add.reduce(weights.take(rows, axis=0), axis=0) + bar).argmax(axis=1)
 
 
 def padded(weights: np.ndarray) -> np.ndarray:
@@ -215,33 +215,52 @@ def improved(weights: np.ndarray, states: Iterable[tuple[np.ndarray, np.ndarray,
     wrong one; the result is that of one state after the other.
     """
     own = padded(weights.astype(np.float64))
-    total, steps, ahead = np.zeros_like(own), 1, LOOK
+    total, cells, done, ahead = np.zeros(own.size), own.reshape(-1), 0, LOOK
     for rows, bar, right in states:
-        at = 0
-        while at < len(rows):
-            got = chosen(own, rows[at : at + ahead], bar[at : at + ahead])
-            wrong = got != right[at : at + ahead]
+        wrongs, gots, at, end = [], [], 0, len(right)
+        while at < end:
+            to = at + ahead
+            got = chosen(own, rows[:, at:to], bar[at:to])
+            wrong = got != right[at:to]
             k = int(wrong.argmax())
             if not wrong[k]:
-                at, steps, ahead = at + len(got), steps + len(got), min(2 * ahead, 4096)
+                at, ahead = to, min(2 * ahead, 4096)
                 continue
-            at, steps, ahead = at + k, steps + k, max(LOOK, ahead // 2)
-            there = rows[at][rows[at] < WEIGHTS] * 4
-            plus, minus = there + right[at], there + got[k]
-            for cells, by in ((own.reshape(-1), 1.0), (total.reshape(-1), float(steps))):
-                np.add.at(cells, plus, by)
-                np.subtract.at(cells, minus, by)
-            at, steps = at + 1, steps + 1
-    return (own - total / steps)[:-1], steps - 1
+            at, ahead, a = at + k, max(LOOK, ahead // 2), got[k]
+            here = rows[:, at] * 4
+            np.add.at(cells, here + right[at], 1.0)
+            np.subtract.at(cells, here + a, 1.0)
+            own[WEIGHTS] = 0.0
+            wrongs.append(at)
+            gots.append(a)
+            at += 1
+        wrongs = np.array(wrongs, np.int64)
+        here, steps = rows[:, wrongs] * 4, np.broadcast_to(done + 1.0 + wrongs, (len(rows), len(wrongs)))
+        np.add.at(total, (here + right[wrongs]).reshape(-1), steps.reshape(-1))
+        np.subtract.at(total, (here + np.array(gots, np.int64)).reshape(-1), steps.reshape(-1))
+        done += end
+    return (own - total.reshape(own.shape) / (done + 1))[:-1], done
 
 
-def _rows(words: DataFrame) -> DataFrame:
-    return sentences(words, "head", "form", "pos")
+#: Words (sent_id, idx, form, pos, head), rows of sentences, or what maps batches of such rows (sent_id, heads, forms, poss) as
+#: ``mapInArrow`` does.
+Words = DataFrame | Callable[[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str], DataFrame]
 
 
-def states_of(sizes: np.ndarray, heads: pa.Array, forms: pa.Array, tags: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _mapped(words: Words, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    return words(run, schema) if callable(words) else sentences(words, "head", "form", "pos").mapInArrow(run, schema)
+
+
+def _laid(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """sent_ids, starts, sizes, heads, forms and tags of some sentences at a time, laid end to end."""
+    for batch in batches:
+        for part in parts(batch, 1) if batch.num_rows else ():
+            sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield part.column(0).to_numpy(), np.cumsum(sizes) - sizes, sizes, *[c.flatten() for c in part.columns[1:]]
+
+
+def states_of(starts: np.ndarray, sizes: np.ndarray, heads: pa.Array, forms: pa.Array, tags: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows, bars and right actions of all states that the oracle passes in sentences laid end to end."""
-    starts = np.cumsum(sizes) - sizes
     top, second, hung, at, action = steps_of(heads.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), starts, sizes)
     return Features(forms, tags, starts, sizes).rows(top, second, hung, at), barred(top, hung), action
 
@@ -257,25 +276,23 @@ def found_heads(weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray, form
     return np.where(state.heads >= 0, state.heads - np.repeat(starts, sizes), -1)
 
 
-def trained(words: DataFrame, rounds: int = 2) -> np.ndarray:
-    """The weights learned from ``words`` (sent_id, idx, form, pos, head; or rows of sentences); nulls are read as ``_``.
+def trained(words: Words, rounds: int = 2) -> np.ndarray:
+    """The weights learned from ``words``; nulls are read as ``_``.
 
     Only the weights that differ from zero come to the driver, ``WEIGHTS`` rows of four at most.
     """
-    rows = _rows(words)
     weights = np.zeros((WEIGHTS, 4))
     for _ in range(rounds):
         given = weights.astype(np.float32)
 
         def run(batches: Iterable[pa.RecordBatch], given: np.ndarray = given) -> Iterator[pa.RecordBatch]:
-            states = (states_of(part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), *[c.flatten() for c in part.columns[1:]]) for batch in batches if batch.num_rows for part in parts(batch, 1))
-            own, n = improved(given, states)
+            own, n = improved(given, (states_of(*laid) for _, *laid in _laid(batches)))
             if n:
                 at, action = np.nonzero(own)
                 columns = [np.append(at, -1).astype(np.int32), np.append(action, 0).astype(np.int32), np.append(own[at, action], 1.0)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "action", "w"])
 
-        found = rows.mapInArrow(run, "at int, action int, w double").groupBy("at", "action").agg(F.sum("w").alias("w")).toPandas()
+        found = _mapped(words, run, "at int, action int, w double").groupBy("at", "action").agg(F.sum("w").alias("w")).toPandas()
         tasks = found.loc[found["at"] < 0, "w"].sum()
         found = found[found["at"] >= 0]
         weights = np.zeros((WEIGHTS, 4))
@@ -284,15 +301,17 @@ def trained(words: DataFrame, rounds: int = 2) -> np.ndarray:
     return weights
 
 
-def compared(words: DataFrame, weights: np.ndarray) -> DataFrame:
-    """sent_id, idx, pos, head and found (the head that the model gives, -1: none) of every word of words or rows of sentences."""
+def compared(words: Words, weights: np.ndarray) -> DataFrame:
+    """sent_id, idx, pos, head and found (the head that the model gives, -1: none) of every word."""
     given = weights.astype(np.float32)
 
-    def many(sents, starts, sizes, heads, forms, tags):
-        idx = np.arange(sizes.sum()) - np.repeat(starts, sizes)
-        return np.repeat(sents, sizes), idx, tags, heads, found_heads(given, starts, sizes, forms, tags)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sents, starts, sizes, heads, forms, tags in _laid(batches):
+            idx = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+            columns = [pa.array(np.repeat(sents, sizes)), pa.array(idx.astype(np.int32)), tags, heads, pa.array(found_heads(given, starts, sizes, forms, tags).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sent_id", "idx", "pos", "head", "found"])
 
-    return flat(_rows(words), many, "sent_id long, idx int, pos string, head int, found int")
+    return _mapped(words, run, "sent_id long, idx int, pos string, head int, found int")
 
 
 def parsed(words: DataFrame, weights: np.ndarray) -> DataFrame:
