@@ -56,3 +56,11 @@ def test_only_between(spark, folder, tmp_path):
         rows = match.search(tb.rows("poss", "heads", "labels"), [Triplet("pos = 'DET'"), Triplet()], "dep0 < dep1", keep=("poss",))
         one = match.between(pairs, tb.linked, "dep0", "dep1", F.col("pos") == "NUM", present)
         same(match.between(rows, None, "dep0", "dep1", lambda pos: pos == "NUM", present).select("sent_id", "dep0", "dep1"), one.select("sent_id", "dep0", "dep1"))
+
+
+def test_penalties(spark, folder, tmp_path):
+    narrow(spark, folder, "topology_penalties")
+    found, tb = twice(spark, folder, tmp_path, "topology_penalties")
+    same(found, tree.penalties(tb.tokens, tb.gold))
+    tb = treebank(spark, folder)
+    same(tree.penalties(tb.rows("heads")), tree.penalties(tb.tokens, tb.gold))
