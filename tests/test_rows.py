@@ -64,3 +64,14 @@ def test_penalties(spark, folder, tmp_path):
     same(found, tree.penalties(tb.tokens, tb.gold))
     tb = treebank(spark, folder)
     same(tree.penalties(tb.rows("heads")), tree.penalties(tb.tokens, tb.gold))
+
+
+def test_overlaps(spark, folder, tmp_path):
+    narrow(spark, folder, "segment_overlaps")
+    twice(spark, folder, tmp_path, "segment_overlaps")[0].collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
+    from treemill.plans import catalog
+
+    found = segments.overlaps_in(docs, catalog._view_places, catalog._token_places, "idx_a int, n_b long")
+    one = segments.overlaps(*catalog._two(treebank(spark, folder)))
+    same(found, one.select("doc", "idx_a", "n_b", "shared"))
