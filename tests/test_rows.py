@@ -75,3 +75,16 @@ def test_overlaps(spark, folder, tmp_path):
     found = segments.overlaps_in(docs, catalog._view_places, catalog._token_places, "idx_a int, n_b long")
     one = segments.overlaps(*catalog._two(treebank(spark, folder)))
     same(found, one.select("doc", "idx_a", "n_b", "shared"))
+
+
+def test_rules(spark, folder, tmp_path):
+    from treemill.plans.catalog import WORD_RULES
+
+    narrow(spark, folder, "word_rules")
+    twice(spark, folder, tmp_path, "word_rules")[0].collect()
+    tb = treebank(spark, folder)
+    rules = [*WORD_RULES, *[WordRule(f"r{n}", f"pos = '{('DET', 'NOM', 'VER')[n % 3]}'", ("after", "before", n % 9 - 4)[n % 3], "L", "pos = 'VER'", "head >= 0 or size(sons) > 1", ("label = 'SUJ'", None)[n % 2]) for n in range(70)]]
+    columns = ["rule", "sent_id", "gov", "head", "label"]
+    rows = tb.rows("forms", "poss", "heads", "labels")
+    same(wordrules.candidates(rows, rules).select(*columns), wordrules.candidates(tb.linked, rules).select(*columns))
+    assert wordrules.candidates(rows, []).count() == 0
