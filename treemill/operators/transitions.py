@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treemill.operators.forest import parts, per_sentence, sentences
+from treemill.operators.forest import added, parts, per_sentence, sentences
 
 ACTIONS = LEFT, RIGHT, REDUCE, SHIFT = ("LA", "RA", "REDUCE", "SHIFT")
 #: Rows of the table of weights, whatever the number of features; it is collected and sent to the tasks.
@@ -321,7 +321,29 @@ def parsed(words: DataFrame, weights: np.ndarray) -> DataFrame:
     return compared(words, weights).select("sent_id", "idx", F.col("found").alias("head"))
 
 
-def replays(words: DataFrame) -> DataFrame:
-    """sent_id, idx, head and again: the head after replaying the oracle's actions."""
+def replayed_all(at: np.ndarray, actions: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``replayed`` for sentences laid end to end: actions as places in ``ACTIONS``, sentence by sentence, with a word ``at`` of theirs."""
+    state, n = Automata(starts, sizes), np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(starts))
+    first, k = np.cumsum(n) - n, 0
+    live = state.left()
+    while len(live := live[(n[live] > k) & (state.at[live] < state.end[live])]):
+        top, _, hung, _ = state.seen(live)
+        action = actions[first[live] + k]
+        state.act(live, np.where((action < 3) & ((top < 0) | ((action == 0) & hung)), 3, action))
+        k += 1
+    return np.where(state.heads >= 0, state.heads - np.repeat(starts, sizes), -1)
+
+
+def replays(words: DataFrame, whole: bool = False) -> DataFrame:
+    """sent_id, idx, head and again: the head after replaying the oracle's actions.
+
+    With ``whole`` rows of sentences get these as an array ``agains``.
+    """
+    if whole:
+        def many(starts, sizes, heads):
+            *_, at, actions = steps_of(heads, starts, sizes)
+            return [replayed_all(at, actions, starts, sizes)]
+
+        return added(words, "heads", many, "agains array<int>")
     one = lambda sent, heads: [(sent, i, h, a) for i, (h, a) in enumerate(zip(heads, replayed(oracle(heads), len(heads)), strict=True))]
     return per_sentence(sentences(words.select("sent_id", "idx", "head"), "head"), one, "sent_id long, idx int, head int, again int")
