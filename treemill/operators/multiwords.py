@@ -7,12 +7,16 @@ with the lexicon, and chosen from left to right, the longest first, in one fold
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treemill.operators import forest
 from treemill.operators.forest import per_sentence
 
 #: Between the words of a unit.
@@ -47,6 +51,38 @@ class Units:
                         break
             at += 1
 
+    def of_all(self, ends: np.ndarray, forms: pa.Array) -> list[tuple[int, int, str, str, str]]:
+        """``of`` for sentences laid end to end (``ends``: of each word's sentence), by places in the whole; only words that a unit begins with are looked at."""
+        coded = forms.dictionary_encode()
+        begins = np.array([f in self.firsts for f in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy()]
+        free, found = 0, []
+        places = np.flatnonzero(begins)
+        for at, end in zip(places.tolist(), ends[places].tolist(), strict=True):
+            if at >= free:
+                words = forms[at : min(end, at + self.lengths[0])].to_pylist()
+                for k in self.lengths:
+                    if k <= len(words) and (known := self.known.get((form := JOINT.join(words[:k]), k))):
+                        found.append((at, at + k - 1, form, *known))
+                        free = at + k
+                        break
+        return found
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """form (``a_b``) and n of words that stand side by side, for rows of sentences with forms; a pair has a row for each batch it is in."""
+
+    def many(sents, starts, sizes, forms):
+        first = np.ones(len(forms), bool)
+        first[(starts + sizes - 1)[sizes > 0]] = False
+        at = np.flatnonzero(first)
+        coded = forms.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        keys, n = np.unique(codes[at] * len(coded.dictionary) + codes[at + 1], return_counts=True)
+        a, b = np.divmod(keys, max(1, len(coded.dictionary)))
+        return pc.binary_join_element_wise(coded.dictionary.take(pa.array(a)), coded.dictionary.take(pa.array(b)), JOINT), n
+
+    return forest.flat(rows.select("sent_id", "forms"), many, "form string, n long")
+
 
 def merged_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Words and arcs of ``merged`` as rows of sentences: forms, poss, heads (-1: none) and labels (null without an arc), of rows
@@ -57,22 +93,38 @@ def merged_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
         raise ValueError(f"over {SENT} units: use merged")
     units = Units(found)
 
-    def one(sent, forms, tags, heads, labels):
-        first = {a: (b, form, pos) for a, b, form, _, pos in units.of(forms)}
-        new, place, at = [], [0] * len(forms), 0
-        while at < len(forms):
-            end, form, pos = first.get(at, (at, forms[at], tags[at]))
-            for word in range(at, end + 1):
-                place[word] = len(new)
-            new.append((at, end, form, pos))
-            at = end + 1
-        arcs = []
-        for k, (a, b, _, _) in enumerate(new):
-            out = next((w for w in range(a, b + 1) if 0 <= heads[w] < len(forms) and place[heads[w]] != k), None)
-            arcs.append((-1, None) if out is None else (place[heads[out]], labels[out]))
-        yield sent, [n[2] for n in new], [n[3] for n in new], [a[0] for a in arcs], [a[1] for a in arcs]
-
-    return per_sentence(rows.select("sent_id", "forms", "poss", "heads", "labels"), one, "sent_id long, forms array<string>, poss array<string>, heads array<int>, labels array<string>")
+    def some(part: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        base, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+        forms, tags, heads, labels = (c.flatten() for c in part.columns[1:])
+        given = units.of_all(end, forms)
+        begins = np.ones(len(forms), bool)
+        for a, b, *_ in given:
+            begins[a + 1 : b + 1] = False
+        olds = np.flatnonzero(begins)
+        new = np.cumsum(begins) - 1  # places of the words left, in the whole
+        edges = np.append(np.searchsorted(olds, starts), len(olds)).astype(np.int32)
+        at = new[np.array([u[0] for u in given], np.int64)]
+        put = np.zeros(len(olds), bool)
+        put[at] = True
+        in_unit = lambda column, k: pc.replace_with_mask(column.take(pa.array(olds)), pa.array(put), pa.array([u[k] for u in given], pa.string()))
+        own = heads.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = (own >= 0) & (own < end - base)
+        to = np.where(known, new[np.where(known, own + base, 0)], -1)
+        out = np.flatnonzero(known & (to != new))[::-1]  # so that the first word of a unit that leads out of it counts
+        via = np.full(len(olds), -1)
+        via[new[out]] = out
+        head = np.where(via >= 0, to[via] - np.repeat(edges[:-1], np.diff(edges)), -1) if len(olds) else via
+        label = labels.take(pa.array(via, mask=via < 0))
+        columns = [in_unit(forms, 2), in_unit(tags, 4), pa.array(head.astype(np.int32)), label]
+        return pa.RecordBatch.from_arrays([part.column(0), *[pa.ListArray.from_arrays(pa.array(edges), c) for c in columns]], names=["sent_id", "forms", "poss", "heads", "labels"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(some, forest.parts(batch, 1))
+
+    return rows.select("sent_id", "forms", "poss", "heads", "labels").mapInArrow(run, "sent_id long, forms array<string>, poss array<string>, heads array<int>, labels array<string>")
 
 
 def regrouped(rows: DataFrame) -> DataFrame:
@@ -98,7 +150,14 @@ def found_units(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
         found = entries.limit(SENT + 1).collect()
         if len(found) <= SENT:
             units = Units(found)
-            return per_sentence(tokens.select("sent_id", "forms"), lambda sent, forms: [(sent, *u) for u in units.of(forms)], "sent_id long, first_idx int, last_idx int, form string, lemma string, pos string")
+
+            def many(sents, starts, sizes, forms):
+                given, base = units.of_all(np.repeat(starts + sizes, sizes), forms), np.repeat(starts, sizes)
+                at = np.array([u[0] for u in given], np.int64)
+                last = np.array([u[1] for u in given], np.int64)
+                return np.repeat(sents, sizes)[at], at - base[at], last - base[at], *[pa.array([u[k] for u in given], pa.string()) for k in (2, 3, 4)]
+
+            return forest.flat(tokens.select("sent_id", "forms"), many, "sent_id long, first_idx int, last_idx int, form string, lemma string, pos string")
         tokens = tokens.select("sent_id", F.posexplode("forms").alias("idx", "form"), F.lit(None).cast("string").alias("lemma"), F.lit(None).cast("string").alias("pos"))
     lengths = sorted(r.k for r in entries.select("k").distinct().collect())
     if not lengths:
