@@ -5,10 +5,11 @@ that share a key are looked at together, as they were.
 import random
 
 import __spark_entry__
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treemill.operators import match, segments, tree, wordrules
+from treemill.operators import forest, frames, match, multiwords, segments, transitions, tree, wordrules
 from treemill.operators.match import Triplet
 from treemill.operators.wordrules import WordRule
 
@@ -88,3 +89,50 @@ def test_rules(spark, folder, tmp_path):
     rows = tb.rows("forms", "poss", "heads", "labels")
     same(wordrules.candidates(rows, rules).select(*columns), wordrules.candidates(tb.linked, rules).select(*columns))
     assert wordrules.candidates(rows, []).count() == 0
+
+
+def test_replays_and_repairs(spark, folder):
+    plan = __spark_entry__.queries()["transition_replays"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+    draw = random.Random(1)
+    for n in range(150):
+        trees = [[draw.choice([-1, -1, *[h for h in range(m) if h != i]]) for i in range(m)] for m in [draw.randrange(14) for _ in range(draw.randrange(1, 12))]]
+        sizes, heads = np.array([len(t) for t in trees]), np.array([h for t in trees for h in t], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        assert forest.repaired_all(starts, sizes, heads).tolist() == [h for t in trees for h in forest.repaired(t)]
+        *_, at, actions = transitions.steps_of(heads, starts, sizes)
+        if n % 2:
+            actions = np.array([draw.randrange(4) for _ in at], np.int64)
+        of = np.searchsorted(starts, at, "right") - 1
+        given = [h for k, t in enumerate(trees) for h in transitions.replayed([transitions.ACTIONS[a] for a in actions[of == k]], len(t))]
+        assert transitions.replayed_all(at, actions, starts, sizes).tolist() == given
+
+
+def test_enriched_and_frames(spark, folder):
+    tb = treebank(spark, folder)
+    rows = match.enriched(tb.rows("forms", "poss", "heads", "labels", "names", "firsts", "lasts"))
+    words = rows.select("sent_id", "size", F.posexplode(F.arrays_zip("childrens", "roots", "startss", "insides")).alias("idx", "w"))
+    in_order = lambda c: F.sort_array(c)
+    found = words.select("sent_id", "idx", "w.childrens", "size", "w.roots", in_order("w.startss"), in_order("w.insides"))
+    same(found, match.enriched(tb.linked, tb.groups).select("sent_id", "idx", "children", "size", "root", in_order("starts"), in_order("inside")))
+    columns = ["sent_id", "idx", "lemma", "args"]
+    same(frames.observed(tb.rows("forms", "poss", "heads", "labels"), F.col("pos") == "VER").select(*columns), frames.observed(tb.linked, F.col("pos") == "VER").select(*columns))
+
+
+def test_units_in_rows(spark, folder):
+    tb = treebank(spark, folder)
+    units = [("the_Paris",), ("of_the",), ("of_the_seen",), ("seen_it_of",), ("42_42",), ("Paris_seen",)]
+    lexicon = spark.createDataFrame([(f[0], "l", "M") for f in units], "form string, lemma string, pos string")
+    columns = ["sent_id", "first_idx", "last_idx", "form", "pos"]
+    found = multiwords.found_units(tb.rows("forms"), lexicon).select(*columns)
+    assert found.count() > 3
+    same(found, multiwords.found_units(tb.tokens, lexicon).select(*columns))
+    words, arcs, _ = multiwords.merged(tb.tokens, tb.gold, tb.groups, lexicon)
+    rows = multiwords.merged_rows(tb.rows("forms", "poss", "heads", "labels"), lexicon).select("sent_id", F.posexplode(F.arrays_zip("forms", "poss", "heads", "labels")).alias("idx", "w"))
+    same(rows.select("sent_id", "idx", "w.forms", "w.poss"), words.select("sent_id", "idx", "form", "pos"))
+    same(rows.where("w.heads >= 0").select("sent_id", "idx", "w.heads", "w.labels"), arcs.select("sent_id", "gov", "head", "label"))
+    n = multiwords.pairs(tb.rows("forms")).groupBy("form").agg(F.sum("n").alias("n"))
+    from pyspark.sql import Window
+
+    two = tb.tokens.withColumn("form", F.concat_ws("_", "form", F.lead("form").over(Window.partitionBy("sent_id").orderBy("idx")))).withColumn("_n", F.lead("idx").over(Window.partitionBy("sent_id").orderBy("idx")))
+    same(n, two.where("_n is not null").groupBy("form").agg(F.count("*").alias("n")))
